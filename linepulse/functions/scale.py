@@ -124,3 +124,21 @@ def with_total(df: DataFrame, col: str, total: str = "_total") -> DataFrame:
     """Attach SUM(col) over the whole frame as a column (one-row broadcast)."""
     tot = df.agg(F.sum(col).alias(total))
     return df.crossJoin(F.broadcast(tot))
+
+
+def seq_cumsum(df: DataFrame, part, order, bucket, col: str, name: str, exclusive: bool = False) -> DataFrame:
+    """Running SUM(col) within ``part`` in ``order`` (ROWS frame), split by ``bucket``.
+
+    Sums of the earlier buckets come from a per-(part, bucket) aggregate; the window then only
+    runs inside one (part, bucket).  ``exclusive`` leaves the current row out.
+    """
+    part, bucket = _cols(part), _cols(bucket)
+    ordered = [F.col(o).asc() if isinstance(o, str) else o for o in order]
+    sums = df.groupBy(*part, *bucket).agg(F.sum(col).alias("_lp_s"))
+    wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket]).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*part, *bucket, F.coalesce(F.sum("_lp_s").over(wb), F.lit(0)).alias("_lp_before"))
+    joined = _null_safe_join(df, before, part + bucket)
+    end = -1 if exclusive else Window.currentRow
+    wi = Window.partitionBy(*part, *bucket).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
+    inner = F.coalesce(F.sum(col).over(wi), F.lit(0))
+    return joined.withColumn(name, F.col("_lp_before") + inner).drop("_lp_before")

@@ -200,10 +200,15 @@ bi AS (
 bif AS (
   SELECT b.*, i.downtime_id, i.factor_id, i.downtime_min, i.description, i.operator_error
   FROM batches b JOIN idf i ON b.batch_id = i.batch_id),
+j01 AS (
+  SELECT b.*, p.flavor, p.size, p.size_l, p.min_batch_time,
+         CASE WHEN b.duration_min > p.min_batch_time THEN 'Delay' ELSE 'On_time' END AS batch_status
+  FROM batches b LEFT JOIN products p ON b.product_id = p.product_id),
 cp AS (
   SELECT b.batch_id, b.prod_date, b.product_id, b.operator_name, b.start_min, b.end_min, b.duration_min,
          b.shift, b.status, p.flavor, p.size, p.size_l, p.min_batch_time,
-         i.downtime_id, i.factor_id, i.downtime_min, f.description, f.operator_error
+         i.downtime_id, i.factor_id, i.downtime_min, f.description, f.operator_error,
+         CASE WHEN b.duration_min > p.min_batch_time THEN 'Delay' ELSE 'On_time' END AS batch_status
   FROM batches b LEFT JOIN products p ON b.product_id = p.product_id
   LEFT JOIN incidents i ON b.batch_id = i.batch_id
   LEFT JOIN factors f ON i.factor_id = f.factor_id)
