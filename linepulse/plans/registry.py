@@ -38,8 +38,8 @@ def query(key: str, ref: str, sql: str | None = None):
 # --- SQL helpers for the oracle text (DuckDB dialect) ---------------------------------------
 
 def R(x: str, digits: int = 2) -> str:
-    """Half-up rounding on the decimal value (matches Spark's ROUND on DOUBLE)."""
-    return f"CAST(ROUND(CAST(({x}) AS DECIMAL(38,10)), {digits}) AS DOUBLE)"
+    """Half-up rounding of the shortest decimal form of a DOUBLE (what Spark's ROUND does)."""
+    return f"CAST(ROUND(CAST(CAST(CAST(({x}) AS DOUBLE) AS VARCHAR) AS DECIMAL(38,18)), {digits}) AS DOUBLE)"
 
 
 def PCT(num: str, den: str, digits: int = 2) -> str:
