@@ -78,10 +78,11 @@ def production_master_report(t: Tables) -> DataFrame:
 
 
 def ml_incident_frame(t: Tables) -> DataFrame:
-    """Incidents with the factor's operator-error flag and five batch columns."""
+    """Incidents with the factor's operator-error flag and the batch's product, operator,
+    shift and product target (left joins: incidents of unknown batches are kept)."""
+    batch_cols = batch_with_product(t).select("batch_id", "product_id", "operator_name", "shift", "min_batch_time")
     return (t.i.join(F.broadcast(t.f.select("factor_id", "operator_error")), "factor_id", "left")
-               .join(t.b.select("batch_id", "product_id", "operator_name", "shift", "duration_min"),
-                     "batch_id", "left"))
+               .join(batch_cols, "batch_id", "left"))
 
 
 __all__ = ["ON_TIME", "DELAY"]
