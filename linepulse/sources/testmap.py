@@ -217,7 +217,9 @@ cp AS (
 
 def with_oracle_ctes(sql: str) -> str:
     """Prefix a query with the canonical WITH-list (merging a leading WITH of its own)."""
+    from linepulse.sources.dirty import DIRTY_CTES
+    ctes = ORACLE_CTES.strip() + ",\n" + DIRTY_CTES.strip()
     body = sql.strip().rstrip(";")
     if body[:5].upper() == "WITH ":
-        return "WITH " + ORACLE_CTES.strip() + ",\n" + body[5:]
-    return "WITH " + ORACLE_CTES.strip() + "\n" + body
+        return "WITH " + ctes + ",\n" + body[5:]
+    return "WITH " + ctes + "\n" + body
