@@ -1,3 +1,117 @@
-"""sources_plans reports."""
+"""Sources (S keys) and the parsing steps of cleaning.
+
+The canonical tables are exported once per session to the shared folder in the line system's
+text layout (plus the wide downtime matrix), then read back with the schema-first readers, so the
+readers are exercised on data that grows with the test tables.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linepulse.functions.scale import dense_index
+from linepulse.plans.registry import query
+from linepulse.session import shared_dir
+from linepulse.sources import csv_layout as L
+
+_EXPORTS: dict[tuple, dict[str, str]] = {}
+
+
+def exported(t) -> dict[str, str]:
+    spark = t.spark
+    key = (spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _EXPORTS:
+        base = f"{shared_dir(spark).rstrip('/')}/linepulse/export/{abs(hash(t.sf_dir)) % 10**10}"
+        _EXPORTS[key] = {
+            "products": L.write_csv(L.products_text(t.p), f"{base}/products"),
+            "batches": L.write_csv(L.batches_text(t.b), f"{base}/batches"),
+            "incidents": L.write_csv(L.incidents_text(t.i), f"{base}/incidents"),
+            "factors": L.write_csv(L.factors_text(t.f), f"{base}/factors"),
+            "wide": L.write_csv(L.wide_downtime(t.i), f"{base}/wide_downtime"),
+        }
+    return _EXPORTS[key]
+
+
+@query("read_products", "S01", """
+SELECT CAST(product_id AS VARCHAR) AS product_id, flavor, size, min_batch_time FROM products""")
+def read_products(t):
+    return L.read_products(t.spark, exported(t)["products"])
+
+
+@query("read_batches", "S02", """
+SELECT batch_id, prod_date, CAST(product_id AS VARCHAR) AS product_id, operator_name, start_min, end_min, duration_min,
+       shift, status FROM batches""")
+def read_batches(t):
+    return L.read_batches(t.spark, exported(t)["batches"])
+
+
+@query("read_factors", "S03", "SELECT factor_id, description, operator_error FROM factors")
+def read_factors(t):
+    return L.read_factors(t.spark, exported(t)["factors"])
+
+
+@query("read_incidents", "S04", "SELECT downtime_id, batch_id, factor_id, downtime_min FROM incidents")
+def read_incidents(t):
+    return L.read_incidents(t.spark, exported(t)["incidents"])
+
+
+@query("read_all", "S05", """
+SELECT 'products' AS table_name, COUNT(*) AS row_count FROM products
+UNION ALL SELECT 'batches', COUNT(*) FROM batches
+UNION ALL SELECT 'incidents', COUNT(*) FROM incidents
+UNION ALL SELECT 'factors', COUNT(*) FROM factors""")
+def read_all(t):
+    paths = exported(t)
+    frames = [("products", L.read_products(t.spark, paths["products"])),
+              ("batches", L.read_batches(t.spark, paths["batches"])),
+              ("incidents", L.read_incidents(t.spark, paths["incidents"])),
+              ("factors", L.read_factors(t.spark, paths["factors"]))]
+    out = None
+    for name, df in frames:
+        one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+WIDE_SQL = ", ".join(f"CAST(SUM(CASE WHEN factor_id = {k} THEN downtime_min END) AS BIGINT) AS f_{k}"
+                     for k in range(1, L.N_FACTORS + 1))
+
+
+@query("read_wide_downtime", "S06", f"SELECT batch_id, {WIDE_SQL} FROM incidents GROUP BY batch_id")
+def read_wide_downtime(t):
+    return L.read_wide_downtime(t.spark, exported(t)["wide"])
+
+
+@query("unpivot_downtime", "S07", f"""
+WITH w AS (SELECT batch_id, {WIDE_SQL} FROM incidents GROUP BY batch_id),
+     l AS (UNPIVOT w ON {', '.join(f'f_{k}' for k in range(1, L.N_FACTORS + 1))} INTO NAME factor_col VALUE m)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY batch_id, CAST(substr(factor_col, 3) AS INTEGER)) AS BIGINT) AS downtime_id,
+       batch_id, CAST(substr(factor_col, 3) AS INTEGER) AS factor_id, CAST(m AS INTEGER) AS downtime_min
+FROM l WHERE m IS NOT NULL""")
+def unpivot_downtime(t):
+    long = L.unpivot_downtime(L.read_wide_downtime(t.spark, exported(t)["wide"]))
+    return dense_index(long, ["batch_id", "factor_id"], "downtime_id").select(
+        F.col("downtime_id").cast("long"), "batch_id", "factor_id", "downtime_min")
+
+
+@query("cast_types", "C09", """
+SELECT 'batches' AS table_name, COUNT(*) AS row_count, 0::BIGINT AS failed_prod_date, 0::BIGINT AS failed_start_min,
+       0::BIGINT AS failed_end_min, 0::BIGINT AS failed_duration_min FROM batches""")
+def cast_types(t):
+    """Typed conversion of the text export with a count of values that failed to parse."""
+    raw = L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS)
+    pairs = [("prod_date", "Date", L.parse_date("Date")), ("start_min", "Start Time", L.clock_minutes("Start Time")),
+             ("end_min", "End Time", L.clock_minutes("End Time")),
+             ("duration_min", "Production Duration", L.clock_minutes("Production Duration"))]
+    aggs = [F.count(F.lit(1)).alias("row_count")] + [
+        F.count(F.when(F.col(src).isNotNull() & e.isNull(), 1)).alias(f"failed_{n}") for n, src, e in pairs]
+    return raw.agg(*aggs).select(F.lit("batches").alias("table_name"), "*")
+
+
+@query("parse_dates", "C10", """
+SELECT batch_id, CASE WHEN batch_id % 41 = 0 THEN NULL ELSE prod_date END AS prod_date FROM batches""")
+def parse_dates(t):
+    """Month-first date text with junk in some rows: unparseable text becomes NULL."""
+    raw = L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS)
+    junk = F.when(F.col("Batch").cast("long") % 41 == 0, F.lit("31/31/2024")).otherwise(F.col("Date"))
+    return raw.select(F.col("Batch").try_cast("long").alias("batch_id"), L.parse_date(junk).alias("prod_date"))
