@@ -1,3 +1,209 @@
-"""ml_plans reports."""
+"""ML jobs (M keys), prediction sinks (S08, S09) and recommendations (X keys).
+
+Model outputs cannot be reproduced by SQL, so M03/M04/M06-M10 and S08/S09 are checked on rows;
+feature frames (M01, M02, M05) and the recommendation rules (X01-X04, fed with the recorded status
+and downtime in place of predictions) have SQL formulations.
+"""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from linepulse.operators import marts, ml, recommend
+from linepulse.plans.registry import query
+from linepulse.session import shared_dir
+
+_CACHE: dict[tuple, object] = {}
+
+
+def _cached(t, name, build):
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, name)
+    if key not in _CACHE:
+        _CACHE[key] = build()
+    return _CACHE[key]
+
+
+def _status_frame(t):
+    feats = ml.status_features(marts.batch_with_product(t))
+    return ml.encode_alphabetical(feats, ["product_id", "operator_name", "shift"])
+
+
+ENC_SQL = """
+WITH s AS (SELECT *, COALESCE(CAST(product_id AS VARCHAR), 'nan') AS _p, COALESCE(operator_name, 'nan') AS _o,
+                  COALESCE(shift, 'nan') AS _s FROM {src})
+SELECT {cols}, CAST(DENSE_RANK() OVER (ORDER BY _p) - 1 AS INTEGER) AS product_code,
+       CAST(DENSE_RANK() OVER (ORDER BY _o) - 1 AS INTEGER) AS operator_code,
+       CAST(DENSE_RANK() OVER (ORDER BY _s) - 1 AS INTEGER) AS shift_code
+FROM s"""
+
+
+@query("status_features", "M01", """
+SELECT batch_id, CAST(product_id AS VARCHAR) AS product_id, operator_name, shift, CAST(month(prod_date) AS INTEGER) AS month,
+       CAST(day(prod_date) AS INTEGER) AS day, CAST(start_min // 60 AS INTEGER) AS start_hour, min_batch_time, status
+FROM j01""")
+def status_features(t):
+    return ml.status_features(marts.batch_with_product(t))
+
+
+@query("label_encode", "M02", ENC_SQL.format(src="batches", cols="batch_id"))
+def label_encode(t):
+    return ml.encode_alphabetical(t.b, ["product_id", "operator_name", "shift"]).select(
+        "batch_id", "product_code", "operator_code", "shift_code")
+
+
+def _oof(t, k=5, num_trees=100):
+    def build():
+        f = _status_frame(t)
+        return ml.status_classifier_oof(f, k=k, num_trees=num_trees).checkpoint(eager=True)
+    return _cached(t, ("oof", k, num_trees), build)
+
+
+@query("status_classifier_oof", "M03")
+def status_classifier_oof(t):
+    return _oof(t)
+
+
+@query("classification_report", "M04")
+def classification_report(t):
+    return ml.classification_report(_oof(t))
+
+
+DT_SRC = """(SELECT i.downtime_id, i.batch_id, i.factor_id, i.downtime_min, f.operator_error, b.product_id,
+                    b.operator_name, b.shift, b.min_batch_time
+             FROM incidents i LEFT JOIN factors f ON i.factor_id = f.factor_id
+             LEFT JOIN j01 b ON i.batch_id = b.batch_id)"""
+
+
+@query("downtime_features", "M05", ENC_SQL.format(
+    src=DT_SRC, cols="downtime_id, factor_id, CASE operator_error WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END "
+                     "AS operator_error_flag, min_batch_time, downtime_min"))
+def downtime_features(t):
+    d = ml.downtime_features(marts.ml_incident_frame(t))
+    return d.select("downtime_id", "factor_id", "operator_error_flag", "product_code", "operator_code", "shift_code",
+                    "min_batch_time", "downtime_min")
+
+
+def _scaled(t):
+    return ml.scale_features(ml.split_80_20(downtime_features(t)), ml.DOWNTIME_FEATURES)
+
+
+@query("train_test_split_80_20", "M06")
+def train_test_split_80_20(t):
+    return ml.split_80_20(downtime_features(t)).select("downtime_id", "split")
+
+
+@query("scale_features", "M07")
+def scale_features(t):
+    return _scaled(t).select("downtime_id", "split", *[f"{c}_scaled" for c in ml.DOWNTIME_FEATURES])
+
+
+def _ridge(t, alpha=1.0):
+    def build():
+        s = _scaled(t).checkpoint(eager=True)
+        model, asm = ml.downtime_ridge(s, ml.DOWNTIME_FEATURES, alpha)
+        return s, model, asm
+    return _cached(t, ("ridge", alpha), build)
+
+
+@query("downtime_ridge", "M08")
+def downtime_ridge(t):
+    _, model, _ = _ridge(t)
+    return t.spark.createDataFrame(ml.coefficients(model, ml.DOWNTIME_FEATURES), "feature string, coefficient double")
+
+
+def _predictions(t):
+    s, model, asm = _ridge(t)
+    return ml.predict(model, asm, s, ml.DOWNTIME_FEATURES)
+
+
+@query("regression_report", "M09")
+def regression_report(t):
+    return ml.regression_report(_predictions(t))
+
+
+@query("downtime_predictions_all", "M10")
+def downtime_predictions_all(t):
+    return _predictions(t).select("downtime_id", "split", "downtime_min", "predicted_downtime")
+
+
+def _sink_path(t, name):
+    return f"{shared_dir(t.spark).rstrip('/')}/linepulse/predictions/{abs(hash(t.sf_dir)) % 10**10}/{name}"
+
+
+@query("write_status_predictions", "S08")
+def write_status_predictions(t, fmt: str = "parquet"):
+    out = t.b.join(_oof(t).select("batch_id", F.col("predicted_status").alias("status_prediction")), "batch_id")
+    path = _sink_path(t, "status")
+    out.write.mode("overwrite").format(fmt).option("header", True).save(path)
+    return t.spark.read.format(fmt).option("header", True).load(path) if fmt == "parquet" else \
+        t.spark.read.option("header", True).csv(path)
+
+
+@query("write_downtime_predictions", "S09")
+def write_downtime_predictions(t, fmt: str = "parquet"):
+    out = t.i.join(_predictions(t).select("downtime_id", "predicted_downtime"), "downtime_id")
+    path = _sink_path(t, "downtime")
+    out.write.mode("overwrite").format(fmt).save(path)
+    return t.spark.read.format(fmt).load(path)
+
+
+# --- recommendations ------------------------------------------------------------------------
+
+BEST_SQL = """
+best_{c} AS (SELECT product_id, {c} AS best FROM (
+    SELECT product_id, {c}, ROW_NUMBER() OVER (PARTITION BY product_id ORDER BY COUNT(*) DESC, {c}) AS rn
+    FROM batches WHERE status = 'ON TIME' GROUP BY product_id, {c}) x WHERE rn = 1)"""
+
+
+def _planned(t):
+    """Planned batches with the recorded status standing in for the predicted one."""
+    return t.b.withColumn("predicted_status", F.col("status"))
+
+
+@query("recommend_operator", "X01", f"""
+WITH {BEST_SQL.format(c='operator_name')}
+SELECT b.batch_id, b.product_id, b.operator_name, o.best AS recommended_operator
+FROM batches b LEFT JOIN best_operator_name o ON b.product_id = o.product_id WHERE b.status = 'DELAY'""")
+def recommend_operator(t):
+    return recommend.recommend_operator(_planned(t), t.b)
+
+
+@query("recommend_shift", "X02", f"""
+WITH {BEST_SQL.format(c='shift')}
+SELECT b.batch_id, b.product_id, b.shift, CASE WHEN s.best <> b.shift THEN s.best END AS recommended_shift
+FROM batches b LEFT JOIN best_shift s ON b.product_id = s.product_id WHERE b.status = 'DELAY'""")
+def recommend_shift(t):
+    return recommend.recommend_shift(_planned(t), t.b)
+
+
+BUFFER_SQL = ("printf('Operational Warning: High MTTR expected. Inject a standard buffer of %d minutes in the "
+              "downstream assembly schedule.', CAST(ROUND({x}) AS BIGINT))")
+
+
+@query("buffer_warning", "X03", f"""
+SELECT downtime_id, batch_id, CASE WHEN downtime_min > 20 THEN CAST(ROUND(downtime_min) AS BIGINT) END AS buffer_minutes,
+       CASE WHEN downtime_min > 20 THEN {BUFFER_SQL.format(x='downtime_min')} END AS warning
+FROM incidents""")
+def buffer_warning(t):
+    d = t.i.withColumn("predicted_downtime", F.col("downtime_min").cast("double"))
+    return recommend.buffer_warning(d).select("downtime_id", "batch_id", "buffer_minutes", "warning")
+
+
+@query("mitigation_plan", "X04", f"""
+WITH {BEST_SQL.format(c='operator_name')}, {BEST_SQL.format(c='shift')},
+r AS (SELECT b.batch_id, list_filter([
+        CASE WHEN b.status = 'DELAY' AND o.best IS NOT NULL THEN
+             printf('Recommendation 1: Consider reassigning this batch to Operator [%s] to minimize delay risks.', o.best) END,
+        CASE WHEN b.status = 'DELAY' AND s.best IS NOT NULL AND s.best <> b.shift THEN
+             printf('Recommendation 2: Historical data indicates optimal performance on [%s] Shift for this product variant.', s.best) END,
+        CASE WHEN CAST(bd.total_downtime AS DOUBLE) > 20 THEN {BUFFER_SQL.format(x='CAST(bd.total_downtime AS DOUBLE)')} END
+      ], lambda x: x IS NOT NULL) AS recs
+      FROM batches b LEFT JOIN best_operator_name o ON b.product_id = o.product_id
+      LEFT JOIN best_shift s ON b.product_id = s.product_id LEFT JOIN bd ON b.batch_id = bd.batch_id)
+SELECT batch_id, CAST(len(recs) AS INTEGER) AS n_recommendations, array_to_string(recs, ' | ') AS plan_text FROM r""")
+def mitigation_plan(t):
+    per_batch = marts.batch_downtime(t).select("batch_id", F.col("total_downtime").cast("double")
+                                               .alias("predicted_downtime"))
+    plan = recommend.mitigation_plan(_planned(t), t.b, per_batch)
+    return plan.select("batch_id", F.size("recommendations").alias("n_recommendations"),
+                       F.array_join("recommendations", " | ").alias("plan_text"))
