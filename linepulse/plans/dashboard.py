@@ -92,3 +92,20 @@ def outlier_flags(t, k: float = 1.5):
 
 
 __all__ = ["pct"]
+
+
+@query("stream_factor_downtime", "B06", f"""
+SELECT description, COUNT(*) AS incidents, {BIG('SUM(downtime_min)')} AS total_min FROM idf GROUP BY description""")
+def stream_factor_downtime(t):
+    """Per-factor totals maintained by a Structured Streaming query over the incident files
+    (the live feed of the downtime dashboard); the published table is read back."""
+    import uuid
+
+    from linepulse.session import shared_dir
+    from linepulse.sources.testmap import incidents_location
+    from linepulse.streaming.kpi_stream import factor_downtime_stream
+
+    base = f"{shared_dir(t.spark).rstrip('/')}/linepulse/stream/{uuid.uuid4().hex[:12]}"
+    q = factor_downtime_stream(t.spark, incidents_location(t), t.f, f"{base}/out", f"{base}/checkpoint")
+    q.awaitTermination()
+    return t.spark.read.parquet(f"{base}/out")

@@ -151,9 +151,22 @@ def load(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Tables
     t = Tables(b=spark.table(names["batches"]), p=spark.read.parquet(f"{root}/products"),
                i=spark.table(names["incidents"]), f=factors_df(spark), sf_dir=sf_dir)
     _CACHE[key] = t
+    _LOCATIONS[id(t)] = root
     return t
 
 
+_LOCATIONS: dict[int, str] = {}
+
+
+def incidents_location(t: Tables) -> str:
+    """Folder of the written incident table (for streaming readers)."""
+    return f"{_LOCATIONS[id(t)]}/incidents"
+
+
+def batches_location(t: Tables) -> str:
+    return f"{_LOCATIONS[id(t)]}/batches"
+
+
 def _factor_values_sql() -> str:
     rows = ", ".join(f"({fid}, '{d}', '{e}')" for fid, d, e in FACTORS)
     return f"SELECT * FROM (VALUES {rows}) AS t(factor_id, description, operator_error)"
