@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linepulse.functions.expr import is_human
+from linepulse.functions.scale import dense_index
 
 STATUS_FEATURES = ["product_code", "operator_code", "shift_code", "month", "day", "start_hour", "min_batch_time"]
 DOWNTIME_FEATURES = ["factor_id", "operator_error_flag", "product_code", "operator_code", "shift_code",
@@ -30,17 +32,20 @@ CODE_NAMES = {"product_id": "product_code", "operator_name": "operator_code", "s
 def encode_alphabetical(df: DataFrame, cols: Sequence[str], names: dict | None = None) -> DataFrame:
     """Each text column -> 0-based code in alphabetical order of its distinct values (missing -> 'nan').
 
-    Only the distinct values are ranked (a window over the vocabulary, not over the rows), then
-    joined back; the vocabulary never passes through the driver.
+    Only the distinct values are numbered (a distributed dense index over the vocabulary, see
+    ``functions.scale.dense_index``), then joined back; the vocabulary never passes through the
+    driver or a single task.  Every vocabulary is taken from the input frame itself, so the plan
+    stays linear in the number of columns.
     """
     out = df
     for col in cols:
-        txt = F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TEXT))
-        out = out.withColumn(f"_{col}_txt", txt)
-        vocab = out.select(F.col(f"_{col}_txt").alias("_v")).distinct()
+        out = out.withColumn(f"_{col}_txt", F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TEXT)))
+    for col in cols:
         out_name = (names or CODE_NAMES).get(col, f"{col}_code")
-        vocab = vocab.withColumn(out_name, (F.dense_rank().over(Window.orderBy("_v")) - 1).cast("int"))
-        out = out.join(vocab, out[f"_{col}_txt"] == vocab["_v"], "left").drop("_v", f"_{col}_txt")
+        vocab = df.select(F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TEXT)).alias("_v")).distinct()
+        vocab = dense_index(vocab, ["_v"], "_ix").select(
+            F.col("_v").alias(f"_{col}_txt"), (F.col("_ix") - 1).cast("int").alias(out_name))
+        out = out.join(vocab, f"_{col}_txt", "left").drop(f"_{col}_txt")
     return out
 
 
@@ -66,7 +71,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def status_classifier_oof(feats: DataFrame, k: int = 5, num_trees: int = 100, seed: int = 42,
-                          features: Sequence[str] = STATUS_FEATURES) -> DataFrame:
+                          features: Sequence[str] = STATUS_FEATURES, parallelism: int = 5) -> DataFrame:
     """Out-of-fold predictions of the batch status with a balanced random forest.
 
     Every batch is predicted by a model that did not see it (k hash folds).  The label index is
@@ -79,13 +84,20 @@ def status_classifier_oof(feats: DataFrame, k: int = 5, num_trees: int = 100, se
             .withColumn("fold", fold_of("batch_id", k)))
     data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(
         data.na.fill(-1, subset=list(features)))
-    out = None
-    for f in range(k):
+    # k fits read the same training frame: materialise it once in the shared folder
+    data = data.checkpoint(eager=True)
+    def fold_predictions(f: int) -> DataFrame:
         rf = RandomForestClassifier(numTrees=num_trees, seed=seed, weightCol="weight", labelCol="label",
                                     featuresCol="features")
         model = rf.fit(data.filter(F.col("fold") != f))
-        pred = model.transform(data.filter(F.col("fold") == f)).select("batch_id", "status", "prediction")
-        out = pred if out is None else out.unionByName(pred)
+        return model.transform(data.filter(F.col("fold") == f)).select("batch_id", "status", "prediction")
+
+    # the k fits are independent Spark jobs: submit them concurrently (as Spark ML's own tuning does)
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        preds = list(pool.map(fold_predictions, range(k)))
+    out = preds[0]
+    for p in preds[1:]:
+        out = out.unionByName(p)
     return (out.join(F.broadcast(labels.withColumnRenamed("status", "predicted_status")),
                      F.col("prediction") == F.col("label"))
                .select("batch_id", "status", "predicted_status"))
