@@ -1,11 +1,17 @@
 """Joined marts (J keys) and the shared joined views every metric family starts from.
 
-Join strategy: factors is a fixed 12-row dimension and is always broadcast.  Products is a
-dimension whose size is not bounded by construction, so no hint is given: Spark broadcasts it
-only when its measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (static estimate,
-re-checked at runtime by AQE) and otherwise shuffles.  Batches and incidents are both bucketed
-on ``batch_id`` by ``sources.testmap.load`` so their join and per-batch aggregates need no
-exchange; AQE splits a hot batch if one holds a large share of incidents.
+Fact-to-fact work is done once, when the canonical tables are built (``sources.testmap``):
+per-batch downtime totals sit on the batches and the incident detail carries each incident's
+batch attributes.  The views below therefore never join batches with incidents again:
+
+- ``bi`` (inner)  = incident detail rows whose batch exists;
+- ``bi`` (left)   = the same plus, by a UNION ALL, the batches without any incident;
+- ``bd``          = the stored per-batch totals.
+
+Dimension joins: factors is a fixed 12-row list and is always broadcast.  Products is a dimension
+whose size is not bounded by construction, so no hint is given: Spark broadcasts it only when its
+measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (static estimate, re-checked at
+runtime by AQE) and otherwise shuffles, with AQE splitting a skewed product key on the batch side.
 """
 
 from __future__ import annotations
@@ -14,9 +20,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.functions.expr import DELAY, ON_TIME
-from linepulse.sources.testmap import Tables
+from linepulse.sources.testmap import BATCH_COLS, INCIDENT_COLS, Tables, batch_totals, incident_detail
 
 PRODUCT_COLS = ["flavor", "size", "size_l", "min_batch_time"]
+INCIDENT_TYPES = {"downtime_id": "long", "factor_id": "int", "downtime_min": "int"}
+
+
+def batches_with_totals(t: Tables) -> DataFrame:
+    """Batches plus ``total_downtime`` (NULL when none) and ``incident_count``."""
+    return t.bt if t.bt is not None else batch_totals(t.b, t.i)
+
+
+def detail(t: Tables) -> DataFrame:
+    """Every incident with its batch's attributes and a ``matched`` flag."""
+    return t.d if t.d is not None else incident_detail(t.i, t.b)
 
 
 def batch_product(t: Tables, how: str = "inner") -> DataFrame:
@@ -26,8 +43,9 @@ def batch_product(t: Tables, how: str = "inner") -> DataFrame:
 
 
 def batch_downtime(t: Tables) -> DataFrame:
-    """Total downtime per batch (pre-aggregated before any join, so no fan-out)."""
-    return t.i.groupBy("batch_id").agg(F.sum("downtime_min").alias("total_downtime"))
+    """``bd``: total downtime per batch that has incidents (stored, so no aggregation here)."""
+    return (batches_with_totals(t).filter(F.col("incident_count") > 0)
+            .select("batch_id", F.col("total_downtime").cast("long").alias("total_downtime")))
 
 
 def incident_factor(t: Tables, how: str = "inner") -> DataFrame:
@@ -36,13 +54,26 @@ def incident_factor(t: Tables, how: str = "inner") -> DataFrame:
 
 
 def batch_incident(t: Tables, how: str = "inner") -> DataFrame:
-    """``bi`` / J03: one row per batch x incident."""
-    return t.b.join(t.i, "batch_id", how)
+    """``bi`` / J03: one row per batch x incident; ``how='left'`` keeps batches without incident once."""
+    inner = detail(t).filter(F.col("matched")).select(*BATCH_COLS, *INCIDENT_COLS)
+    if how == "inner":
+        return inner
+    if how != "left":
+        raise ValueError("how must be 'inner' or 'left'")
+    lonely = batches_with_totals(t).filter(F.col("incident_count") == 0).select(
+        *BATCH_COLS, *[F.lit(None).cast(tp).alias(c) for c, tp in INCIDENT_TYPES.items()])
+    return inner.unionByName(lonely)
 
 
 def batch_incident_factor(t: Tables, how: str = "inner") -> DataFrame:
-    """``bif``: incident detail with batch and factor attributes."""
-    return t.b.join(incident_factor(t), "batch_id", how)
+    """``bif``: incident detail with batch and factor attributes (left: batches without incident kept)."""
+    return batch_incident(t, how).join(F.broadcast(t.f), "factor_id", how)
+
+
+def batch_product_incident(t: Tables, how: str = "inner") -> DataFrame:
+    """``bp`` x incidents: product attributes and delay on every incident row."""
+    return (batch_incident(t, how).join(t.p, "product_id")
+            .withColumn("delay", F.col("duration_min") - F.col("min_batch_time")))
 
 
 def batch_with_product(t: Tables) -> DataFrame:
@@ -51,16 +82,15 @@ def batch_with_product(t: Tables) -> DataFrame:
 
 
 def complete_table(t: Tables) -> DataFrame:
-    """J04 ``cp``: J01 left-joined to J02 on batch (batches without incident kept once)."""
-    return (batch_with_product(t)
-            .join(incident_factor(t, "left"), "batch_id", "left")
-            .select("batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min",
-                    "duration_min", "shift", "status", *PRODUCT_COLS,
-                    "downtime_id", "factor_id", "downtime_min", "description", "operator_error"))
+    """J04 ``cp``: batches x products x incidents x factors, batches without incident kept once."""
+    return (batch_incident(t, "left").join(t.p, "product_id", "left")
+            .join(F.broadcast(t.f), "factor_id", "left")
+            .select(*BATCH_COLS, *PRODUCT_COLS, "downtime_id", "factor_id", "downtime_min", "description",
+                    "operator_error"))
 
 
 def complete_with_status(t: Tables) -> DataFrame:
-    """Complete table plus the pandas-style two-level label (unknown target counts as on time)."""
+    """Complete table plus the notebook's two-level label (unknown target counts as on time)."""
     cp = complete_table(t)
     label = F.when(F.col("duration_min") > F.col("min_batch_time"), F.lit("Delay")).otherwise(F.lit("On_time"))
     return cp.select("batch_id", "prod_date", "product_id", "flavor", "size", "operator_name", "start_min",
@@ -70,19 +100,19 @@ def complete_with_status(t: Tables) -> DataFrame:
 
 def production_master_report(t: Tables) -> DataFrame:
     """One row per batch with product attributes and total downtime (0 when none)."""
-    return (t.b.join(t.p, "product_id", "left")
-               .join(batch_downtime(t), "batch_id", "left")
+    return (batches_with_totals(t).join(t.p, "product_id", "left")
                .select("batch_id", "prod_date", "product_id", "flavor", "operator_name", "shift", "status",
                        F.col("duration_min").alias("actual_min"), F.col("min_batch_time").alias("target_min"),
                        F.coalesce(F.col("total_downtime"), F.lit(0)).cast("long").alias("total_downtime_min")))
 
 
 def ml_incident_frame(t: Tables) -> DataFrame:
-    """Incidents with the factor's operator-error flag and the batch's product, operator,
-    shift and product target (left joins: incidents of unknown batches are kept)."""
-    batch_cols = batch_with_product(t).select("batch_id", "product_id", "operator_name", "shift", "min_batch_time")
-    return (t.i.join(F.broadcast(t.f.select("factor_id", "operator_error")), "factor_id", "left")
-               .join(batch_cols, "batch_id", "left"))
+    """Every incident with the factor's operator-error flag and the batch's product, operator,
+    shift and product target (incidents of unknown batches kept with NULL attributes)."""
+    return (detail(t).select("downtime_id", "batch_id", "factor_id", "downtime_min", "product_id",
+                             "operator_name", "shift")
+            .join(F.broadcast(t.f.select("factor_id", "operator_error")), "factor_id", "left")
+            .join(t.p.select("product_id", "min_batch_time"), "product_id", "left"))
 
 
 __all__ = ["ON_TIME", "DELAY"]

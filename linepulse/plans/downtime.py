@@ -260,7 +260,7 @@ SELECT b.batch_id, b.product_id, b.status, 'Unexplained Delay (Hidden)' AS delay
 FROM batches b LEFT JOIN incidents i ON b.batch_id = i.batch_id
 WHERE b.status = 'DELAY' AND i.downtime_id IS NULL""")
 def unexplained_delays(t):
-    d = t.b.filter(F.col("status") == "DELAY").join(t.i, "batch_id", "left_anti")
+    d = marts.batches_with_totals(t).filter((F.col("status") == "DELAY") & (F.col("incident_count") == 0))
     return d.select("batch_id", "product_id", "status", F.lit("Unexplained Delay (Hidden)").alias("delay_type"))
 
 

@@ -66,7 +66,7 @@ def operator_error_rate(t, human_only: bool = False):
     he = F.broadcast(t.f.filter(is_human()).select("factor_id", F.col("factor_id").alias("_he_factor")))
     j = marts.batch_incident(t, "left").join(he, "factor_id", "left")
     counted = F.col("_he_factor") if human_only else F.col("downtime_id")
-    # distinct batches per operator: count per batch first (batch_id is the bucketing key)
+    # distinct batches per operator without COUNT(DISTINCT): one group per (operator, batch) first
     per_batch = j.groupBy("operator_name", "batch_id").agg(F.count(counted).alias("_n"))
     return per_batch.groupBy("operator_name").agg(
         F.count(F.lit(1)).alias("total_batches_worked"), F.sum("_n").alias("error_count")
@@ -161,14 +161,14 @@ WITH run AS (SELECT operator_name, {BIG('SUM(duration_min)')} AS s FROM batches
                   {BIG(HE_MIN_SQL.replace('downtime_min', 'i.downtime_min'))} AS operator_mistake_minutes,
                   {PCT(HE_MIN_SQL.replace('downtime_min', 'i.downtime_min'), 'SUM(i.downtime_min)')}
                   AS operator_responsibility_pct
-           FROM batches b LEFT JOIN idf i ON b.batch_id = i.batch_id GROUP BY b.operator_name)
+           FROM batches b LEFT JOIN idfl i ON b.batch_id = i.batch_id GROUP BY b.operator_name)
 SELECT w.operator_name, run.s AS total_production_duration, w.total_downtime_minutes,
        w.operator_mistake_minutes, w.operator_responsibility_pct
 FROM w JOIN run ON w.operator_name = run.operator_name""")
 def operator_waste(t):
     run = t.b.groupBy("operator_name").agg(F.sum("duration_min").alias("total_production_duration"))
     he_min = sum_if(is_human(), "downtime_min")
-    w = t.b.join(marts.incident_factor(t), "batch_id", "left").groupBy("operator_name").agg(
+    w = marts.batch_incident_factor(t, "left").groupBy("operator_name").agg(
         F.sum("downtime_min").alias("total_downtime_minutes"), he_min.alias("operator_mistake_minutes"),
         pct(he_min, F.sum("downtime_min")).alias("operator_responsibility_pct"))
     return w.join(run, "operator_name")

@@ -16,11 +16,11 @@ STANDARD_TIME = {0.6: 60, 2.0: 98}
 
 def _bpi(t, how="inner"):
     """batch x product x incident rows (incident-weighted)."""
-    return marts.batch_product(t).join(t.i, "batch_id", how)
+    return marts.batch_product_incident(t, how)
 
 
 def _bpif(t):
-    return marts.batch_product(t).join(marts.incident_factor(t), "batch_id")
+    return marts.batch_product_incident(t).join(F.broadcast(t.f), "factor_id")
 
 
 @query("size_complexity", "R01", f"""
@@ -33,11 +33,13 @@ SELECT fan.size, run.s AS total_production_min, fan.total_downtime, fan.avg_prod
 FROM fan LEFT JOIN run ON fan.size = run.size""")
 def size_complexity(t):
     run = marts.batch_product(t).groupBy("size").agg(F.sum("duration_min").alias("total_production_min"))
-    fan = (t.p.select("product_id", "size").join(t.b.select("product_id", "batch_id", "duration_min"),
-                                                   "product_id", "left")
-           .join(t.i.select("batch_id", "downtime_min"), "batch_id", "left")
-           .groupBy("size").agg(F.sum("downtime_min").alias("total_downtime"),
-                                F.avg("duration_min").alias("avg_production_time")))
+    # incident-weighted sums per product first (a hot product is combined map-side), then the
+    # products dimension (products without batches still give their size a row)
+    per = marts.batch_incident(t, "left").groupBy("product_id").agg(
+        F.sum("downtime_min").alias("_m"), F.sum("duration_min").alias("_d"), F.count("duration_min").alias("_n"))
+    fan = (t.p.select("product_id", "size").join(per, "product_id", "left").groupBy("size")
+           .agg(F.sum("_m").alias("total_downtime"),
+                (F.sum("_d").cast("double") / F.sum("_n")).alias("avg_production_time")))
     return (fan.join(run, "size", "left")
                .withColumn("delay_impact_pct", pct("total_downtime", "total_production_min")))
 
@@ -57,7 +59,7 @@ SELECT b.size, COUNT(i.downtime_id) AS changeover_count, {BIG('SUM(i.downtime_mi
        AVG(i.downtime_min) AS avg_changeover_duration
 FROM bp b JOIN incidents i ON b.batch_id = i.batch_id WHERE i.factor_id = 2 GROUP BY b.size""")
 def changeover_by_size(t, factor_id: int = 2):
-    d = marts.batch_product(t).join(t.i.filter(F.col("factor_id") == factor_id), "batch_id")
+    d = marts.batch_product_incident(t).filter(F.col("factor_id") == factor_id)
     return d.groupBy("size").agg(F.count("downtime_id").alias("changeover_count"),
                                  F.sum("downtime_min").alias("total_changeover_minutes"),
                                  F.avg("downtime_min").alias("avg_changeover_duration"))
@@ -152,11 +154,14 @@ SELECT p.product_id, {R('AVG(COALESCE(i.downtime_min, 0) * 1.0E0)')} AS avg_down
 FROM products p LEFT JOIN batches b ON p.product_id = b.product_id
 LEFT JOIN incidents i ON b.batch_id = i.batch_id GROUP BY p.product_id""")
 def product_avg_downtime(t):
-    j = (t.p.select("product_id").join(t.b.select("product_id", "batch_id"), "product_id", "left")
-         .join(t.i.select("batch_id", "downtime_min"), "batch_id", "left"))
-    return j.groupBy("product_id").agg(
-        r(F.avg(F.coalesce("downtime_min", F.lit(0)))).alias("avg_downtime_minutes"),
+    # per product over the fanned rows first, then every product (one row each side)
+    per = marts.batch_incident(t, "left").groupBy("product_id").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum(F.coalesce("downtime_min", F.lit(0))).alias("_s"),
         F.sum("downtime_min").alias("total_waste_minutes"))
+    j = t.p.select("product_id").join(per, "product_id", "left")
+    # a product without batches is one row with no downtime: average 0
+    avg = F.when(F.col("_rows").isNull(), F.lit(0.0)).otherwise(F.col("_s").cast("double") / F.col("_rows"))
+    return j.select("product_id", r(avg).alias("avg_downtime_minutes"), "total_waste_minutes")
 
 
 @query("size_capacity_utilization", "R13", f"""

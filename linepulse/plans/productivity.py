@@ -41,7 +41,7 @@ SELECT {R("(1 - CAST(SUM(COALESCE(bd.total_downtime, 0)) AS DOUBLE) / NULLIF(SUM
        AS productivity_score
 FROM batches b LEFT JOIN bd ON b.batch_id = bd.batch_id""")
 def productivity_score_line(t):
-    j = t.b.join(marts.batch_downtime(t), "batch_id", "left")
+    j = marts.batches_with_totals(t)
     lost = F.sum(F.coalesce("total_downtime", F.lit(0))).cast("double")
     return j.agg(r((F.lit(1) - lost / F.nullif(F.sum("duration_min"), F.lit(0))) * 100, 2)
                  .alias("productivity_score"))

@@ -95,6 +95,13 @@ def downtime_statistics(t):
                    F.max(m).alias("max_minutes"), F.round(F.stddev_samp(m), 4).alias("stdev_minutes"))
 
 
+def orphan_incidents(t):
+    """Incidents whose batch does not exist, read off the stored incident detail (no second join)."""
+    d = marts.detail(t).filter(F.col("batch_id").isNotNull() & ~F.col("matched"))
+    return d.agg(F.count(F.lit(1)).alias("orphan_rows")).select(F.lit("incident->batch").alias("relation"),
+                                                                 "orphan_rows")
+
+
 @query("fk_orphans", "Q07", """
 SELECT 'batch->product' AS relation, COUNT(*) AS orphan_rows FROM batches b
 WHERE b.product_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM products p WHERE p.product_id = b.product_id)
@@ -106,7 +113,7 @@ SELECT 'incident->factor', COUNT(*) FROM incidents i
 WHERE i.factor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM factors f WHERE f.factor_id = i.factor_id)""")
 def fk_orphans(t):
     return (quality.orphans(t.b, t.p, "product_id", "batch->product")
-            .unionByName(quality.orphans(t.i, t.b, "batch_id", "incident->batch"))
+            .unionByName(orphan_incidents(t))
             .unionByName(quality.orphans(t.i, F.broadcast(t.f), "factor_id", "incident->factor")))
 
 

@@ -57,7 +57,7 @@ def shift_handover(t):
 
 
 def _human_factor(t, which):
-    j = t.b.join(marts.incident_factor(t), "batch_id", "left")
+    j = marts.batch_incident_factor(t, "left")
     he_min = sum_if(is_human(), "downtime_min")
     he_cnt = sum_if(is_human(), F.lit(1))
     cols = {
@@ -76,7 +76,7 @@ SELECT b.shift, {BIG('SUM(i.downtime_min)')} AS grand_total_waste_minutes,
        COUNT(i.downtime_id) AS total_incidents_count,
        {BIG(HE_MIN)} AS operator_waste_minutes, {BIG(HE_CNT)} AS operator_error_occurrence,
        {PCT(HE_MIN, 'SUM(i.downtime_min)')} AS human_factor_pct
-FROM batches b LEFT JOIN idf i ON b.batch_id = i.batch_id GROUP BY b.shift""")
+FROM batches b LEFT JOIN idfl i ON b.batch_id = i.batch_id GROUP BY b.shift""")
 def shift_human_factor(t):
     return _human_factor(t, ["grand_total_waste_minutes", "total_incidents_count", "operator_waste_minutes",
                              "operator_error_occurrence", "human_factor_pct"])
@@ -85,7 +85,7 @@ def shift_human_factor(t):
 @query("shift_human_factor_impact", "H06", f"""
 SELECT b.shift, {BIG(HE_MIN)} AS operator_waste_minutes, {BIG('SUM(i.downtime_min)')} AS total_downtime_minutes,
        {PCT(HE_MIN, 'SUM(i.downtime_min)')} AS human_factor_pct
-FROM batches b LEFT JOIN idf i ON b.batch_id = i.batch_id GROUP BY b.shift""")
+FROM batches b LEFT JOIN idfl i ON b.batch_id = i.batch_id GROUP BY b.shift""")
 def shift_human_factor_impact(t):
     return _human_factor(t, ["operator_waste_minutes", "total_downtime_minutes", "human_factor_pct"])
 

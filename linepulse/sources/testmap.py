@@ -12,8 +12,10 @@ Canonical schema
     factors   factor_id, description, operator_error
 
 ``load`` builds the tables once per session and data folder and writes them to the shared
-folder: batches and incidents bucketed on ``batch_id`` (the only fact-to-fact join key, so
-batch/incident joins and per-batch aggregates run without a shuffle), products as Parquet.
+folder as Parquet, together with two derived tables that remove the fact-to-fact join from every
+report: per-batch downtime totals on the batches, and the incident detail (each incident with its
+batch's attributes).  The facts are deliberately not bucketed on ``batch_id``: a batch holding a
+third of all incidents would make one bucket (and one task) hold a third of the data.
 """
 
 from __future__ import annotations
@@ -59,6 +61,11 @@ INCIDENT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_qua
                   "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
 
 
+BATCH_COLS = ["batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min", "duration_min",
+              "shift", "status"]
+INCIDENT_COLS = ["downtime_id", "factor_id", "downtime_min"]
+
+
 @dataclass
 class Tables:
     b: DataFrame   # batches
@@ -66,6 +73,8 @@ class Tables:
     i: DataFrame   # incidents
     f: DataFrame   # factors
     sf_dir: str = ""
+    bt: DataFrame | None = None   # batches + total_downtime / incident_count (materialised)
+    d: DataFrame | None = None    # incident detail: every incident with its batch's attributes
 
     @property
     def spark(self) -> SparkSession:
@@ -128,36 +137,62 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(b=b, p=p, i=i, f=factors_df(spark), sf_dir=sf_dir)
 
 
+def batch_totals(b: DataFrame, i: DataFrame) -> DataFrame:
+    """Batches with their total downtime and incident count (NULL / 0 when none).
+
+    Incidents are aggregated per batch first (partial aggregation: a batch holding a third of all
+    incidents is combined map-side), so the join is one row per batch on both sides."""
+    per = i.groupBy("batch_id").agg(F.sum("downtime_min").alias("total_downtime"),
+                                    F.count(F.lit(1)).alias("incident_count"))
+    return (b.join(per, "batch_id", "left")
+             .withColumn("incident_count", F.coalesce(F.col("incident_count"), F.lit(0)).cast("long")))
+
+
+def incident_detail(i: DataFrame, b: DataFrame) -> DataFrame:
+    """Every incident with its batch's attributes (NULL for incidents of unknown batches).
+
+    The one fact-to-fact join of the model, run once when the tables are built.  Incidents are the
+    preserved (left) side, which AQE may split when one batch holds a large share of incidents.
+    """
+    attrs = b.select(*BATCH_COLS).withColumn("matched", F.lit(True))
+    return (i.select("batch_id", *INCIDENT_COLS).join(attrs, "batch_id", "left")
+             .withColumn("matched", F.coalesce(F.col("matched"), F.lit(False))))
+
+
 _CACHE: dict[tuple, Tables] = {}
+_LOCATIONS: dict[int, str] = {}
+
 
+def load(spark: SparkSession, sf_dir: str) -> Tables:
+    """Canonical tables written once to the shared folder, then read back.
 
-def load(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Tables:
-    """Canonical tables written once to the shared folder, then read back (bucketed facts)."""
+    Written: products, incidents (with their dense id), batches with per-batch totals, and the
+    incident detail (incidents joined to batch attributes).  Every report then scans these; no
+    report joins the two facts again.
+    """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key in _CACHE:
         return _CACHE[key]
     base = shared_dir(spark)
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
     root = os.path.join(base, "linepulse", tag) if "://" not in base else f"{base}/linepulse/{tag}"
-    n = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lazy = build(spark, sf_dir)
-    lazy.p.write.mode("overwrite").parquet(f"{root}/products")
-    names = {}
-    for kind, df in (("batches", lazy.b), ("incidents", lazy.i)):
-        name = f"lp_{kind}_{tag}"
-        (df.write.mode("overwrite").format("parquet").bucketBy(n, "batch_id").sortBy("batch_id")
-           .option("path", f"{root}/{kind}").saveAsTable(name))
-        names[kind] = name
-    t = Tables(b=spark.table(names["batches"]), p=spark.read.parquet(f"{root}/products"),
-               i=spark.table(names["incidents"]), f=factors_df(spark), sf_dir=sf_dir)
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    p = put(lazy.p, "products")
+    i = put(lazy.i, "incidents")
+    bt = put(batch_totals(lazy.b, i), "batches")
+    b = bt.select(*BATCH_COLS)
+    d = put(incident_detail(i, b), "incident_detail")
+    t = Tables(b=b, p=p, i=i, f=factors_df(spark), sf_dir=sf_dir, bt=bt, d=d)
     _CACHE[key] = t
     _LOCATIONS[id(t)] = root
     return t
 
 
-_LOCATIONS: dict[int, str] = {}
-
-
 def incidents_location(t: Tables) -> str:
     """Folder of the written incident table (for streaming readers)."""
     return f"{_LOCATIONS[id(t)]}/incidents"
@@ -207,6 +242,7 @@ bp AS (
   FROM batches b JOIN products p ON b.product_id = p.product_id),
 bd AS (SELECT batch_id, CAST(SUM(downtime_min) AS BIGINT) AS total_downtime FROM incidents GROUP BY batch_id),
 idf AS (SELECT i.*, f.description, f.operator_error FROM incidents i JOIN factors f ON i.factor_id = f.factor_id),
+idfl AS (SELECT i.*, f.description, f.operator_error FROM incidents i LEFT JOIN factors f ON i.factor_id = f.factor_id),
 bi AS (
   SELECT b.*, i.downtime_id, i.factor_id, i.downtime_min
   FROM batches b JOIN incidents i ON b.batch_id = i.batch_id),
