@@ -37,6 +37,18 @@ def orphans(child: DataFrame, parent: DataFrame, key: str, relation: str) -> Dat
     return o.agg(F.count(F.lit(1)).alias("orphan_rows")).select(F.lit(relation).alias("relation"), "orphan_rows")
 
 
-def schema_report(df: DataFrame, table: str) -> list[tuple]:
-    """(table, position, column, type) rows from the schema (metadata only, no data scanned)."""
-    return [(table, i + 1, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+# Spark type names -> SQL type names used in reports.
+SQL_TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT",
+                  "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR", "date": "DATE", "boolean": "BOOLEAN",
+                  "timestamp": "TIMESTAMP WITH TIME ZONE", "timestamp_ntz": "TIMESTAMP"}
+
+
+def column_profile(df: DataFrame, table: str) -> DataFrame:
+    """One row per column: position, name, SQL type and non-null count (one aggregate over the table)."""
+    fields = df.schema.fields
+    counts = df.agg(*[F.count(F.col(f.name)).alias(f"_n{i}") for i, f in enumerate(fields)])
+    rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"),
+                              F.lit(SQL_TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString().upper()))
+                              .alias("data_type"), F.col(f"_n{i}").alias("non_null"))
+                     for i, f in enumerate(fields)])
+    return counts.select(F.lit(table).alias("table_name"), F.inline(rows))

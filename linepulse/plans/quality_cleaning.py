@@ -35,13 +35,27 @@ def preview_top5_factors(t):
     return t.f.orderBy("factor_id").limit(5)
 
 
-@query("table_schema_report", "Q02")
+# Column layout of the canonical tables, used to spell the cross-check SQL of the schema report.
+SCHEMA_LAYOUT = {
+    "batches": ["batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min", "duration_min",
+                "shift", "status"],
+    "products": ["product_id", "flavor", "size", "size_l", "min_batch_time"],
+    "incidents": ["downtime_id", "batch_id", "factor_id", "downtime_min"],
+    "factors": ["factor_id", "description", "operator_error"],
+}
+
+
+@query("table_schema_report", "Q02", " UNION ALL ".join(
+    f"SELECT '{tb}' AS table_name, {i + 1} AS position, '{c}' AS column_name, "
+    f"upper(any_value(typeof({c}))) AS data_type, COUNT({c}) AS non_null FROM {tb}"
+    for tb, cols in SCHEMA_LAYOUT.items() for i, c in enumerate(cols)))
 def table_schema_report(t):
-    rows = []
+    """Column name, position, SQL type name and non-null count of every canonical table."""
+    out = None
     for name, df in (("batches", t.b), ("products", t.p), ("incidents", t.i), ("factors", t.f)):
-        rows += quality.schema_report(df, name)
-    schema = "table_name string, position int, column_name string, data_type string"
-    return t.spark.createDataFrame(rows, schema)
+        one = quality.column_profile(df, name)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _missing_sql(table, src, cols, blank=()):
