@@ -36,10 +36,6 @@ def _cols(xs) -> list:
     return list(xs)
 
 
-def _name(x) -> str:
-    return x if isinstance(x, str) else str(x)
-
-
 def dense_index(df: DataFrame, order: Sequence, name: str, partitions: int | None = None) -> DataFrame:
     """Number rows 1..n in the total order ``order`` (ascending, nulls last), distributed."""
     spark = df.sparkSession

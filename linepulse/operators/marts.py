@@ -19,7 +19,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.functions.expr import DELAY, ON_TIME
 from linepulse.sources.testmap import BATCH_COLS, INCIDENT_COLS, Tables, batch_totals, incident_detail
 
 PRODUCT_COLS = ["flavor", "size", "size_l", "min_batch_time"]
@@ -114,5 +113,3 @@ def ml_incident_frame(t: Tables) -> DataFrame:
             .join(F.broadcast(t.f.select("factor_id", "operator_error")), "factor_id", "left")
             .join(t.p.select("product_id", "min_batch_time"), "product_id", "left"))
 
-
-__all__ = ["ON_TIME", "DELAY"]

@@ -7,7 +7,6 @@ encoder fitted on the whole column gives), computed from the distinct values onl
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -197,5 +196,3 @@ def regression_report(pred: DataFrame, label: str = "downtime_min", p: str = "pr
 def coefficients(model, features: Sequence[str]) -> list[tuple]:
     return [(f, float(w)) for f, w in zip(features, model.coefficients)] + [("intercept", float(model.intercept))]
 
-
-__all__ = ["math"]

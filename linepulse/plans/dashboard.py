@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linepulse.functions.expr import pct, r
+from linepulse.functions.expr import r
 from linepulse.operators import marts
 from linepulse.operators.metrics import share
 from linepulse.plans.registry import BIG, PCT, R, query
@@ -91,8 +91,6 @@ def outlier_flags(t, k: float = 1.5):
                     out.alias("is_outlier"))
 
 
-__all__ = ["pct"]
-
 
 @query("stream_factor_downtime", "B06", f"""
 SELECT description, COUNT(*) AS incidents, {BIG('SUM(downtime_min)')} AS total_min FROM idf GROUP BY description""")

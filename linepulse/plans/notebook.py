@@ -9,14 +9,14 @@ Repeats of keys already registered elsewhere are not registered twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.functions.expr import is_human, pct, r, shift_of
 from linepulse.functions.scale import _null_safe_join, seq_cumsum, seq_lag, seq_number, with_total
 from linepulse.operators import marts
 from linepulse.operators.metrics import matrix, pareto, share, top_per_group
-from linepulse.plans.registry import BIG, DIV, INT, PCT, R, query
+from linepulse.plans.registry import BIG, INT, PCT, R, query
 from linepulse.sources.testmap import FACTORS
 
 DELAY_LBL, ON_TIME_LBL = "Delay", "On_time"
@@ -738,5 +738,3 @@ def standard_time_validation(t, small_target: int = 60, large_target: int = 98):
                     r(F.col("_l") - F.col("_s")).alias("actual_diff"),
                     r(F.col("_l") - F.col("_s") - F.lit(diff)).alias("extra_lost_time"))
 
-
-__all__ = ["Window", "DIV"]

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linepulse.functions.expr import count_if, is_human, is_on_time, pct, r, sum_if
+from linepulse.functions.expr import is_human, pct, r, sum_if
 from linepulse.operators import marts
 from linepulse.operators.metrics import flag_first_n, on_time_rate, top_per_group, volume
 from linepulse.plans.registry import BIG, PCT, R, query
@@ -191,5 +190,3 @@ def operator_fatigue_first_last2(t, n: int = 2):
         F.avg(F.when(F.col("_early"), F.col("duration_min"))).alias("early_batch_avg_time"),
         F.avg(F.when(F.col("_late"), F.col("duration_min"))).alias("late_batch_avg_time"))
 
-
-__all__ = ["Window", "count_if", "is_on_time", "HE_CNT_SQL"]

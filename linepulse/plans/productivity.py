@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from linepulse.functions.expr import DELAY, c, count_if, is_on_time, pct, r, wrap_minutes
+from linepulse.functions.expr import DELAY, count_if, is_on_time, pct, r, wrap_minutes
 from linepulse.functions.scale import seq_lag, seq_lead
 from linepulse.operators import marts
-from linepulse.operators.metrics import flag_first_n, on_time_rate, order_by, share, stats, volume
-from linepulse.plans.registry import BIG, DIV, PCT, R, query
+from linepulse.operators.metrics import flag_first_n, on_time_rate, share, stats, volume
+from linepulse.plans.registry import BIG, PCT, R, query
 
 
 @query("total_production_duration", "P01",
@@ -387,5 +387,3 @@ def product_productivity_score(t):
         r(F.avg(F.col("min_batch_time") * F.lit(100.0) / F.nullif(F.col("duration_min"), F.lit(0))), 2)
         .alias("productivity_score"))
 
-
-__all__ = ["c", "order_by", "DIV"]

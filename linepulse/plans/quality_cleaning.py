@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linepulse.operators import cleaning, marts, quality
 from linepulse.plans.registry import BIG, R, query
@@ -316,5 +315,3 @@ def rename_columns(t):
                      F.col("operator_name").alias("Operator"), F.col("prod_date").alias("Date"))
     return cleaning.rename_columns(src, {k: v for k, v in WORKBOOK_NAMES.items() if k in src.columns})
 
-
-__all__ = ["T"]
