@@ -77,9 +77,14 @@ def seq_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Sequ
     part, bucket = _cols(part), _cols(bucket)
     ordered = [(F.col(o).desc() if descending else F.col(o).asc()) if isinstance(o, str) else o for o in order]
     counts = df.groupBy(*part, *bucket).agg(F.count(F.lit(1)).alias("_lp_n"))
-    bo = [F.col(b).desc() if descending else F.col(b).asc() for b in bucket]
-    wb = Window.partitionBy(*part).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, *bucket, F.coalesce(F.sum("_lp_n").over(wb), F.lit(0)).alias("_lp_off"))
+    if not part and len(bucket) > 1 and not descending:
+        # a global order: the bucket table is itself numbered by the same split (recursively)
+        offsets = (seq_cumsum(counts, [], bucket, bucket[:-1], "_lp_n", "_lp_up", exclusive=True)
+                   .drop("_lp_n").withColumnRenamed("_lp_up", "_lp_off"))
+    else:
+        bo = [F.col(b).desc() if descending else F.col(b).asc() for b in bucket]
+        wb = Window.partitionBy(*part).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = counts.select(*part, *bucket, F.coalesce(F.sum("_lp_n").over(wb), F.lit(0)).alias("_lp_off"))
     joined = _null_safe_join(df, offsets, part + bucket)
     wi = Window.partitionBy(*part, *bucket).orderBy(*ordered)
     return joined.withColumn(name, (F.row_number().over(wi) + F.col("_lp_off")).cast("int")).drop("_lp_off")
@@ -92,9 +97,15 @@ def _shift(df: DataFrame, part, order, bucket, cols: Sequence[str], names: Seque
     vals = F.struct(*[F.col(x) for x in cols])
     edge = (F.min_by(vals, okey) if lead else F.max_by(vals, okey)).alias("_lp_edge")
     edges = df.groupBy(*part, *bucket).agg(edge)
-    wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket])
-    nb = (F.lead if lead else F.lag)("_lp_edge").over(wb)
-    neighbours = edges.select(*part, *bucket, nb.alias("_lp_nb"))
+    if not part and len(bucket) > 1:
+        # a global order: the neighbour of each bucket comes from the same split one level up,
+        # so no window ever runs over all buckets in a single partition
+        neighbours = (_shift(edges, [], list(bucket), list(bucket[:-1]), ["_lp_edge"], ["_lp_up"], lead)
+                      .drop("_lp_edge").withColumnRenamed("_lp_up", "_lp_nb"))
+    else:
+        wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket])
+        nb = (F.lead if lead else F.lag)("_lp_edge").over(wb)
+        neighbours = edges.select(*part, *bucket, nb.alias("_lp_nb"))
     joined = _null_safe_join(df, neighbours, part + bucket, "left")
     wi = Window.partitionBy(*part, *bucket).orderBy(*ordered)
     wcount = Window.partitionBy(*part, *bucket)
@@ -131,8 +142,12 @@ def seq_cumsum(df: DataFrame, part, order, bucket, col: str, name: str, exclusiv
     part, bucket = _cols(part), _cols(bucket)
     ordered = [F.col(o).asc() if isinstance(o, str) else o for o in order]
     sums = df.groupBy(*part, *bucket).agg(F.sum(col).alias("_lp_s"))
-    wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket]).rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select(*part, *bucket, F.coalesce(F.sum("_lp_s").over(wb), F.lit(0)).alias("_lp_before"))
+    if not part and len(bucket) > 1:
+        before = (seq_cumsum(sums, [], bucket, bucket[:-1], "_lp_s", "_lp_up", exclusive=True)
+                  .drop("_lp_s").withColumnRenamed("_lp_up", "_lp_before"))
+    else:
+        wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket]).rowsBetween(Window.unboundedPreceding, -1)
+        before = sums.select(*part, *bucket, F.coalesce(F.sum("_lp_s").over(wb), F.lit(0)).alias("_lp_before"))
     joined = _null_safe_join(df, before, part + bucket)
     end = -1 if exclusive else Window.currentRow
     wi = Window.partitionBy(*part, *bucket).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)

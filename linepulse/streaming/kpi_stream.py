@@ -45,7 +45,7 @@ def factor_downtime_aggregate(incidents: DataFrame, factors: DataFrame) -> DataF
 
 
 def factor_downtime_stream(spark: SparkSession, incidents_dir: str, factors: DataFrame, out_dir: str,
-                           checkpoint: str, files_per_trigger: int = 4, available_now: bool = True):
+                           checkpoint: str, files_per_trigger: int = 1000, available_now: bool = True):
     """Run the factor aggregate over the incident files as a stream; each micro-batch replaces the
     table at ``out_dir`` with the current totals (written by the executors)."""
     stream = (spark.readStream.schema(INCIDENT_SCHEMA).option("maxFilesPerTrigger", files_per_trigger)
@@ -75,7 +75,7 @@ def shift_window_aggregate(batches: DataFrame, window: str = "1 day", watermark:
 
 def shift_window_stream(spark: SparkSession, batches_dir: str, out_dir: str, checkpoint: str,
                         window: str = "1 day", watermark: str = "2 days", available_now: bool = True):
-    stream = spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", 4).parquet(batches_dir)
+    stream = spark.readStream.schema(BATCH_SCHEMA).option("maxFilesPerTrigger", 1000).parquet(batches_dir)
     agg = shift_window_aggregate(stream, window, watermark).select(
         F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "shift", "batches",
         "run_min", "on_time")

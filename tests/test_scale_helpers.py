@@ -54,3 +54,23 @@ def test_dense_index_matches_row_number(spark):
     j = ref.join(got.select("id", "ix"), "id")
     assert j.count() == 2000
     assert j.filter(F.col("ix") != F.col("rn")).count() == 0
+
+
+def test_global_split_windows_three_levels(spark):
+    """A global order split two levels deep (group, bucket) gives the plain global window."""
+    df = _frame(spark, 1500, seed=5)
+    order = ["grp", "bucket", "id"]
+    w = Window.orderBy(*order)
+    ref = (df.withColumn("lag_ref", F.lag("val").over(w)).withColumn("lead_ref", F.lead("val").over(w))
+             .withColumn("rn_ref", F.row_number().over(w))
+             .withColumn("cs_ref", F.coalesce(F.sum("dur").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                              F.lit(0))))
+    got = seq_lag(df, [], order, ["grp", "bucket"], ["val"], ["lag"])
+    got = seq_lead(got, [], order, ["grp", "bucket"], ["val"], ["lead"])
+    got = seq_number(got, [], order, ["grp", "bucket"], "rn")
+    got = seq_cumsum(got, [], order, ["grp", "bucket"], "dur", "cs", exclusive=True)
+    j = ref.join(got.select("id", "lag", "lead", "rn", "cs"), "id")
+    assert j.count() == 1500
+    bad = j.filter(~F.col("lag").eqNullSafe(F.col("lag_ref")) | ~F.col("lead").eqNullSafe(F.col("lead_ref"))
+                   | (F.col("rn") != F.col("rn_ref")) | (F.col("cs") != F.col("cs_ref")))
+    assert bad.count() == 0
