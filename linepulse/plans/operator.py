@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from linepulse.functions.expr import is_human, pct, r, sum_if
 from linepulse.operators import marts
-from linepulse.operators.metrics import flag_first_n, on_time_rate, top_per_group, volume
+from linepulse.functions.scale import _null_safe_join
+from linepulse.operators.metrics import on_time_rate, order_by, top_per_group, volume
 from linepulse.plans.registry import BIG, PCT, R, query
 
 ON_TIME_SQL = "SUM(CASE WHEN status = 'ON TIME' THEN 1 ELSE 0 END)"
@@ -183,10 +184,12 @@ SELECT operator_name, AVG(CASE WHEN a <= 2 THEN duration_min END) AS early_batch
        AVG(CASE WHEN z <= 2 THEN duration_min END) AS late_batch_avg_time
 FROM s GROUP BY operator_name""")
 def operator_fatigue_first_last2(t, n: int = 2):
+    """Average duration of each operator's first and last ``n`` batches by time of day.  Both subsets
+    come from group limits (n rows per operator leave each task); no flag is joined back."""
     b = t.b.select("batch_id", "operator_name", "start_min", "prod_date", "duration_min")
-    b = flag_first_n(b, ["operator_name"], ["start_min", "prod_date", "batch_id"], n, "batch_id", "_early")
-    b = flag_first_n(b, ["operator_name"], ["-start_min", "-prod_date", "-batch_id"], n, "batch_id", "_late")
-    return b.groupBy("operator_name").agg(
-        F.avg(F.when(F.col("_early"), F.col("duration_min"))).alias("early_batch_avg_time"),
-        F.avg(F.when(F.col("_late"), F.col("duration_min"))).alias("late_batch_avg_time"))
+    early = top_per_group(b, "operator_name", order_by(["start_min", "prod_date", "batch_id"]), n)
+    late = top_per_group(b, "operator_name", order_by(["-start_min", "-prod_date", "-batch_id"]), n)
+    e = early.groupBy("operator_name").agg(F.avg("duration_min").alias("early_batch_avg_time"))
+    z = late.groupBy("operator_name").agg(F.avg("duration_min").alias("late_batch_avg_time"))
+    return _null_safe_join(e, z, ["operator_name"])
 

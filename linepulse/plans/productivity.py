@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linepulse.functions.expr import DELAY, count_if, is_on_time, pct, r, wrap_minutes
 from linepulse.functions.scale import seq_lag, seq_lead
 from linepulse.operators import marts
-from linepulse.operators.metrics import flag_first_n, on_time_rate, share, stats, volume
+from linepulse.operators.metrics import on_time_rate, order_by, share, stats, top_per_group, volume
 from linepulse.plans.registry import BIG, PCT, R, query
 
 
@@ -208,9 +208,26 @@ def size_impact(t):
 
 
 def phase_delay(bp, part, order, n, first_label, rest_label, by=()):
-    flagged = flag_first_n(bp, part, order, n, "batch_id", "_first")
-    phase = F.when(F.col("_first"), F.lit(first_label)).otherwise(F.lit(rest_label)).alias("shift_phase")
-    return flagged.groupBy(*by, phase).agg(F.avg("delay").alias("avg_delay"))
+    """Average delay of the first ``n`` batches of each group (in ``order``) versus the rest.
+
+    No per-row flag is joined back: the first rows are taken with a group limit (at most n rows
+    per group leave each task), their sums are subtracted from the per-``by`` totals, and the two
+    averages follow from sums and counts (exactly what AVG over the rows gives).
+    """
+    by = list(by)
+    tot = bp.groupBy(*by).agg(F.sum("delay").alias("_s"), F.count("delay").alias("_n"))
+    firsts = top_per_group(bp.select(*dict.fromkeys([*part, *[o.lstrip("-") for o in order], *by, "delay"])),
+                           part, order_by(order), n)
+    head = firsts.groupBy(*by).agg(F.sum("delay").alias("_s1"), F.count("delay").alias("_n1"))
+    j = tot.join(head, by, "left") if by else tot.crossJoin(head)
+    s1, n1 = F.coalesce(F.col("_s1"), F.lit(0)), F.coalesce(F.col("_n1"), F.lit(0))
+    rows = F.array(
+        F.struct(F.lit(first_label).alias("shift_phase"), (s1.cast("double") / n1).alias("avg_delay"), n1.alias("_k")),
+        F.struct(F.lit(rest_label).alias("shift_phase"),
+                 ((F.col("_s") - s1).cast("double") / (F.col("_n") - n1)).alias("avg_delay"),
+                 (F.col("_n") - n1).alias("_k")))
+    # a phase with no rows has no group (as in a GROUP BY)
+    return j.select(*by, F.inline(rows)).filter(F.col("_k") > 0).drop("_k")
 
 
 @query("shift_phase_delay", "P20", """

@@ -8,9 +8,30 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Settings for a large cluster (~100 TB of line history on ~1000 executors).  Shuffle partitions
+# start high and AQE coalesces them towards the advisory size; skew splitting kicks in for a
+# partition five times the median and above 512 MB; scans cut 256 MB splits.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "linepulse",
                   extra: dict | None = None) -> SparkSession:
-    """A session configured the way the library expects (AQE on, UI off, UTC)."""
+    """A session configured the way the library expects (AQE on, UI off, UTC).
+
+    For a cluster pass ``extra=CLUSTER_CONF`` (and the cluster's master / shared checkpoint folder).
+    """
     builder = (
         SparkSession.builder.master(master)
         .appName(app)
