@@ -7,6 +7,8 @@ and downtime in place of predictions) have SQL formulations.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from linepulse.operators import marts, ml, recommend
@@ -127,7 +129,8 @@ def downtime_predictions_all(t):
 
 
 def _sink_path(t, name):
-    return f"{shared_dir(t.spark).rstrip('/')}/linepulse/predictions/{abs(hash(t.sf_dir)) % 10**10}/{name}"
+    tag = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:10]
+    return f"{shared_dir(t.spark).rstrip('/')}/linepulse/predictions/{tag}/{name}"
 
 
 @query("write_status_predictions", "S08")

@@ -7,6 +7,8 @@ readers are exercised on data that grows with the test tables.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from linepulse.functions.scale import dense_index
@@ -21,7 +23,8 @@ def exported(t) -> dict[str, str]:
     spark = t.spark
     key = (spark.sparkContext.applicationId, t.sf_dir)
     if key not in _EXPORTS:
-        base = f"{shared_dir(spark).rstrip('/')}/linepulse/export/{abs(hash(t.sf_dir)) % 10**10}"
+        tag = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:10]
+        base = f"{shared_dir(spark).rstrip('/')}/linepulse/export/{tag}"
         _EXPORTS[key] = {
             "products": L.write_csv(L.products_text(t.p), f"{base}/products"),
             "batches": L.write_csv(L.batches_text(t.b), f"{base}/batches"),
@@ -95,11 +98,16 @@ def unpivot_downtime(t):
 
 
 @query("cast_types", "C09", """
-SELECT 'batches' AS table_name, COUNT(*) AS row_count, 0::BIGINT AS failed_prod_date, 0::BIGINT AS failed_start_min,
+SELECT 'batches' AS table_name, COUNT(*) AS row_count,
+       COUNT(*) FILTER (WHERE batch_id % 41 = 0) AS failed_prod_date,
+       COUNT(*) FILTER (WHERE batch_id % 43 = 0) AS failed_start_min,
        0::BIGINT AS failed_end_min, 0::BIGINT AS failed_duration_min FROM batches""")
 def cast_types(t):
-    """Typed conversion of the text export with a count of values that failed to parse."""
-    raw = L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS)
+    """Typed conversion of the text export with a count of values that failed to parse.
+
+    The export is dirtied by fixed rules first (an impossible date on every 41st batch, an
+    impossible clock time on every 43rd start) so that the failure counts are exercised."""
+    raw = _dirty_text(L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS))
     pairs = [("prod_date", "Date", L.parse_date("Date")), ("start_min", "Start Time", L.clock_minutes("Start Time")),
              ("end_min", "End Time", L.clock_minutes("End Time")),
              ("duration_min", "Production Duration", L.clock_minutes("Production Duration"))]
@@ -108,10 +116,19 @@ def cast_types(t):
     return raw.agg(*aggs).select(F.lit("batches").alias("table_name"), "*")
 
 
+# Unparseable stand-ins used to dirty the text export.
+BAD_DATE, BAD_CLOCK = "31/31/2024", "25:99:00 XM"
+
+
+def _dirty_text(raw):
+    key = F.col("Batch").cast("long")
+    return raw.withColumn("Date", F.when(key % 41 == 0, F.lit(BAD_DATE)).otherwise(F.col("Date"))) \
+              .withColumn("Start Time", F.when(key % 43 == 0, F.lit(BAD_CLOCK)).otherwise(F.col("Start Time")))
+
+
 @query("parse_dates", "C10", """
 SELECT batch_id, CASE WHEN batch_id % 41 = 0 THEN NULL ELSE prod_date END AS prod_date FROM batches""")
 def parse_dates(t):
     """Month-first date text with junk in some rows: unparseable text becomes NULL."""
-    raw = L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS)
-    junk = F.when(F.col("Batch").cast("long") % 41 == 0, F.lit("31/31/2024")).otherwise(F.col("Date"))
-    return raw.select(F.col("Batch").try_cast("long").alias("batch_id"), L.parse_date(junk).alias("prod_date"))
+    raw = _dirty_text(L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS))
+    return raw.select(F.col("Batch").try_cast("long").alias("batch_id"), L.parse_date("Date").alias("prod_date"))
