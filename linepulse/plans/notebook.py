@@ -339,15 +339,14 @@ def _count_matrix(df, rows, col, values, total_name, distinct=None, labels=None)
 
 
 def _matrix_sql(rows, col, values, total_name, src, where, labels=None, distinct=None, match=None):
+    """The SQL form of ``_count_matrix``: one conditional count per fixed value, plus their total."""
     names = labels or [slug(str(v)) for v in values]
     match = match or (lambda v: f"{col} = '{v}'")
-    inner = distinct or "*"
     if distinct:
         cells = [f"COUNT(DISTINCT CASE WHEN {match(v)} THEN {distinct} END) AS {n}" for v, n in zip(values, names)]
     else:
         cells = [f"COUNT(*) FILTER (WHERE {match(v)}) AS {n}" for v, n in zip(values, names)]
     total = " + ".join(names)
-    del inner
     return (f"SELECT {rows}, {', '.join(n for n in names)}, {total} AS {total_name} FROM "
             f"(SELECT {rows}, {', '.join(cells)} FROM {src} WHERE {where} GROUP BY {rows}) m")
 
