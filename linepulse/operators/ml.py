@@ -70,10 +70,12 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def status_classifier_oof(feats: DataFrame, k: int = 5, num_trees: int = 100, seed: int = 42,
-                          features: Sequence[str] = STATUS_FEATURES, parallelism: int = 5) -> DataFrame:
+                          features: Sequence[str] = STATUS_FEATURES, parallelism: int = 5,
+                          max_memory_mb: int = 1024) -> DataFrame:
     """Out-of-fold predictions of the batch status with a balanced random forest.
 
-    Every batch is predicted by a model that did not see it (k hash folds).  The label index is
+    Every batch is predicted by a model that did not see it (k hash folds).  ``max_memory_mb`` is the
+    per-task budget for split statistics: a larger budget trains more tree nodes per pass over the data.  The label index is
     fixed alphabetically (DELAY=0, ON TIME=1) so all folds share it.
     """
     labels = feats.select("status").distinct().withColumn(
@@ -87,7 +89,7 @@ def status_classifier_oof(feats: DataFrame, k: int = 5, num_trees: int = 100, se
     data = data.checkpoint(eager=True)
     def fold_predictions(f: int) -> DataFrame:
         rf = RandomForestClassifier(numTrees=num_trees, seed=seed, weightCol="weight", labelCol="label",
-                                    featuresCol="features")
+                                    featuresCol="features", maxMemoryInMB=max_memory_mb)
         model = rf.fit(data.filter(F.col("fold") != f))
         return model.transform(data.filter(F.col("fold") == f)).select("batch_id", "status", "prediction")
 
