@@ -80,3 +80,14 @@ def test_handover(t):
 
 def test_no_unexplained_delays(t):
     assert _q("unexplained_delays")(t).count() == 0
+
+
+def test_idle_gaps_are_zero(t):
+    # on the line's own data every batch starts when the previous one ends
+    gaps = {r["total_idle_gap_min"] for r in _q("idle_gap_daily")(t).collect()}
+    assert gaps == {0}
+
+
+def test_shift_totals(t):
+    got = {r["shift"]: (r["total_batches"], r["total_production_time"]) for r in _q("shift_productivity")(t).collect()}
+    assert got == {"Afternoon": (16, 1658), "Morning": (15, 1472), "Night": (7, 728)}
