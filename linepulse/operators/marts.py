@@ -1,17 +1,18 @@
 """Joined marts (J keys) and the shared joined views every metric family starts from.
 
-Fact-to-fact work is done once, when the canonical tables are built (``sources.testmap``):
-per-batch downtime totals sit on the batches and the incident detail carries each incident's
-batch attributes.  The views below therefore never join batches with incidents again:
+Joins are done once, when the canonical tables are built (``sources.testmap``): the wide batches
+carry their downtime totals and their product's attributes, and the incident detail carries each
+incident's batch, product and factor attributes.  The views below are therefore filters,
+projections and UNION ALLs over those two tables — no report joins batches with incidents, nor
+the facts with the product dimension:
 
+- ``bp``          = wide batches whose product exists, with ``delay``;
 - ``bi`` (inner)  = incident detail rows whose batch exists;
-- ``bi`` (left)   = the same plus, by a UNION ALL, the batches without any incident;
+- ``bi`` (left)   = the same plus the batches without any incident;
 - ``bd``          = the stored per-batch totals.
 
-Dimension joins: factors is a fixed 12-row list and is always broadcast.  Products is a dimension
-whose size is not bounded by construction, so no hint is given: Spark broadcasts it only when its
-measured size is under ``spark.sql.autoBroadcastJoinThreshold`` (static estimate, re-checked at
-runtime by AQE) and otherwise shuffles, with AQE splitting a skewed product key on the batch side.
+When a ``Tables`` value carries no materialised wide tables (e.g. tables read straight from CSV
+exports), the same wide frames are derived on the fly with the same functions.
 """
 
 from __future__ import annotations
@@ -19,26 +20,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.sources.testmap import BATCH_COLS, INCIDENT_COLS, Tables, batch_totals, incident_detail
+from linepulse.sources.testmap import (BATCH_COLS, FACTOR_ATTRS, INCIDENT_COLS, PRODUCT_ATTRS, Tables,
+                                       incident_detail, wide_batches)
 
-PRODUCT_COLS = ["flavor", "size", "size_l", "min_batch_time"]
+PRODUCT_COLS = PRODUCT_ATTRS
 INCIDENT_TYPES = {"downtime_id": "long", "factor_id": "int", "downtime_min": "int"}
+FACTOR_TYPES = {"description": "string", "operator_error": "string"}
 
 
 def batches_with_totals(t: Tables) -> DataFrame:
-    """Batches plus ``total_downtime`` (NULL when none) and ``incident_count``."""
-    return t.bt if t.bt is not None else batch_totals(t.b, t.i)
+    """Wide batches: canonical columns, ``total_downtime`` (NULL when none), ``incident_count``,
+    product attributes and ``has_product``."""
+    return t.bt if t.bt is not None else wide_batches(t.b, t.i, t.p)
 
 
 def detail(t: Tables) -> DataFrame:
-    """Every incident with its batch's attributes and a ``matched`` flag."""
-    return t.d if t.d is not None else incident_detail(t.i, t.b)
+    """Every incident with batch / product / factor attributes and ``matched`` / ``has_*`` flags."""
+    return t.d if t.d is not None else incident_detail(t.i, batches_with_totals(t), t.f)
+
+
+def _delay(df: DataFrame) -> DataFrame:
+    return df.withColumn("delay", F.col("duration_min") - F.col("min_batch_time"))
+
+
+def _nulls(types: dict) -> list:
+    return [F.lit(None).cast(tp).alias(c) for c, tp in types.items()]
 
 
 def batch_product(t: Tables, how: str = "inner") -> DataFrame:
-    """``bp``: batches joined to their product, with ``delay = duration - target``."""
-    return (t.b.join(t.p, "product_id", how)
-               .withColumn("delay", F.col("duration_min") - F.col("min_batch_time")))
+    """``bp``: batches with their product's attributes and ``delay = duration - target``
+    (``how='inner'`` keeps only batches whose product exists)."""
+    w = batches_with_totals(t)
+    if how == "inner":
+        w = w.filter(F.col("has_product"))
+    return _delay(w.select(*BATCH_COLS, *PRODUCT_COLS))
+
+
+def batch_with_product(t: Tables) -> DataFrame:
+    """Batches left-joined to products."""
+    return batches_with_totals(t).select(*BATCH_COLS, *PRODUCT_COLS)
 
 
 def batch_downtime(t: Tables) -> DataFrame:
@@ -52,6 +72,12 @@ def incident_factor(t: Tables, how: str = "inner") -> DataFrame:
     return t.i.join(F.broadcast(t.f), "factor_id", how)
 
 
+def _lonely(t: Tables, *extra: str) -> DataFrame:
+    """Batches without any incident, one row each (incident / factor columns NULL)."""
+    return batches_with_totals(t).filter(F.col("incident_count") == 0).select(
+        *BATCH_COLS, *_nulls(INCIDENT_TYPES), *extra)
+
+
 def batch_incident(t: Tables, how: str = "inner") -> DataFrame:
     """``bi`` / J03: one row per batch x incident; ``how='left'`` keeps batches without incident once."""
     inner = detail(t).filter(F.col("matched")).select(*BATCH_COLS, *INCIDENT_COLS)
@@ -59,33 +85,41 @@ def batch_incident(t: Tables, how: str = "inner") -> DataFrame:
         return inner
     if how != "left":
         raise ValueError("how must be 'inner' or 'left'")
-    lonely = batches_with_totals(t).filter(F.col("incident_count") == 0).select(
-        *BATCH_COLS, *[F.lit(None).cast(tp).alias(c) for c, tp in INCIDENT_TYPES.items()])
-    return inner.unionByName(lonely)
+    return inner.unionByName(_lonely(t))
 
 
 def batch_incident_factor(t: Tables, how: str = "inner") -> DataFrame:
     """``bif``: incident detail with batch and factor attributes (left: batches without incident kept)."""
-    return batch_incident(t, how).join(F.broadcast(t.f), "factor_id", how)
+    d = detail(t).filter(F.col("matched"))
+    if how == "inner":
+        return d.filter(F.col("has_factor")).select(*BATCH_COLS, *INCIDENT_COLS, *FACTOR_ATTRS)
+    return d.select(*BATCH_COLS, *INCIDENT_COLS, *FACTOR_ATTRS).unionByName(_lonely(t, *_nulls(FACTOR_TYPES)))
 
 
 def batch_product_incident(t: Tables, how: str = "inner") -> DataFrame:
-    """``bp`` x incidents: product attributes and delay on every incident row."""
-    return (batch_incident(t, how).join(t.p, "product_id")
-            .withColumn("delay", F.col("duration_min") - F.col("min_batch_time")))
+    """``bp`` x incidents: product attributes and delay on every incident row of a batch whose
+    product exists (left: such batches without incident kept once)."""
+    d = detail(t).filter(F.col("matched") & F.col("has_product")).select(*BATCH_COLS, *INCIDENT_COLS, *PRODUCT_COLS)
+    if how == "left":
+        lonely = (batches_with_totals(t).filter((F.col("incident_count") == 0) & F.col("has_product"))
+                  .select(*BATCH_COLS, *_nulls(INCIDENT_TYPES), *PRODUCT_COLS))
+        d = d.unionByName(lonely)
+    return _delay(d)
 
 
-def batch_with_product(t: Tables) -> DataFrame:
-    """Batches left-joined to products."""
-    return t.b.join(t.p, "product_id", "left")
+def batch_product_incident_factor(t: Tables) -> DataFrame:
+    """``bp`` x incidents x factors (all three must exist), with delay."""
+    d = detail(t).filter(F.col("matched") & F.col("has_product") & F.col("has_factor"))
+    return _delay(d.select(*BATCH_COLS, *INCIDENT_COLS, *PRODUCT_COLS, *FACTOR_ATTRS))
 
 
 def complete_table(t: Tables) -> DataFrame:
     """J04 ``cp``: batches x products x incidents x factors, batches without incident kept once."""
-    return (batch_incident(t, "left").join(t.p, "product_id", "left")
-            .join(F.broadcast(t.f), "factor_id", "left")
-            .select(*BATCH_COLS, *PRODUCT_COLS, "downtime_id", "factor_id", "downtime_min", "description",
-                    "operator_error"))
+    cols = [*BATCH_COLS, *PRODUCT_COLS, "downtime_id", "factor_id", "downtime_min", *FACTOR_ATTRS]
+    inner = detail(t).filter(F.col("matched")).select(*cols)
+    lonely = batches_with_totals(t).filter(F.col("incident_count") == 0).select(
+        *BATCH_COLS, *PRODUCT_COLS, *_nulls(INCIDENT_TYPES), *_nulls(FACTOR_TYPES))
+    return inner.unionByName(lonely).select(*cols)
 
 
 def complete_with_status(t: Tables) -> DataFrame:
@@ -99,17 +133,14 @@ def complete_with_status(t: Tables) -> DataFrame:
 
 def production_master_report(t: Tables) -> DataFrame:
     """One row per batch with product attributes and total downtime (0 when none)."""
-    return (batches_with_totals(t).join(t.p, "product_id", "left")
-               .select("batch_id", "prod_date", "product_id", "flavor", "operator_name", "shift", "status",
-                       F.col("duration_min").alias("actual_min"), F.col("min_batch_time").alias("target_min"),
-                       F.coalesce(F.col("total_downtime"), F.lit(0)).cast("long").alias("total_downtime_min")))
+    return (batches_with_totals(t)
+            .select("batch_id", "prod_date", "product_id", "flavor", "operator_name", "shift", "status",
+                    F.col("duration_min").alias("actual_min"), F.col("min_batch_time").alias("target_min"),
+                    F.coalesce(F.col("total_downtime"), F.lit(0)).cast("long").alias("total_downtime_min")))
 
 
 def ml_incident_frame(t: Tables) -> DataFrame:
     """Every incident with the factor's operator-error flag and the batch's product, operator,
     shift and product target (incidents of unknown batches kept with NULL attributes)."""
-    return (detail(t).select("downtime_id", "batch_id", "factor_id", "downtime_min", "product_id",
-                             "operator_name", "shift")
-            .join(F.broadcast(t.f.select("factor_id", "operator_error")), "factor_id", "left")
-            .join(t.p.select("product_id", "min_batch_time"), "product_id", "left"))
-
+    return detail(t).select("downtime_id", "batch_id", "factor_id", "downtime_min", "operator_error", "product_id",
+                            "operator_name", "shift", "min_batch_time")

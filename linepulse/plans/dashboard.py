@@ -63,7 +63,7 @@ WITH k AS (SELECT j.duration_min, j.min_batch_time, CAST(COALESCE(bd.total_downt
 {' UNION ALL '.join(f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {R(f'CORR({a}, {b})', 6)} AS correlation FROM k"
                     for a, b in KPI_PAIRS)}""")
 def kpi_correlation(t):
-    k = (marts.batch_with_product(t).join(marts.batch_downtime(t), "batch_id", "left")
+    k = (marts.batches_with_totals(t)
          .select("duration_min", "min_batch_time",
                  F.coalesce(F.col("total_downtime"), F.lit(0)).cast("double").alias("total_downtime"),
                  (F.col("duration_min") - F.col("min_batch_time")).alias("delay")))

@@ -216,7 +216,7 @@ SELECT b.product_id, {BIG('SUM(b.downtime_min)')} AS total_downtime_min, p.min_b
        {DIV('SUM(b.downtime_min)', 'p.min_batch_time', 1)} AS estimated_lost_batches
 FROM bi b JOIN products p ON b.product_id = p.product_id GROUP BY b.product_id, p.min_batch_time""")
 def lost_batches_by_product(t):
-    j = marts.batch_incident(t).join(t.p.select("product_id", "min_batch_time"), "product_id")
+    j = marts.batch_product_incident(t)
     g = j.groupBy("product_id", "min_batch_time").agg(F.sum("downtime_min").alias("total_downtime_min"))
     return g.withColumn("estimated_lost_batches", ratio("total_downtime_min", "min_batch_time", 1))
 

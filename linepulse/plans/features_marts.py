@@ -47,7 +47,10 @@ SELECT b.batch_id, b.duration_min, CAST(COALESCE(bd.total_downtime, 0) AS BIGINT
        CAST(b.duration_min - COALESCE(bd.total_downtime, 0) AS BIGINT) AS net_run_time
 FROM batches b LEFT JOIN bd ON b.batch_id = bd.batch_id""")
 def net_run_time(t):
-    return features.net_run_time(t.b, marts.batch_downtime(t))
+    w = marts.batches_with_totals(t)
+    down = F.coalesce(F.col("total_downtime"), F.lit(0)).cast("long")
+    return w.select("batch_id", "duration_min", down.alias("total_downtime"),
+                    (F.col("duration_min") - down).alias("net_run_time"))
 
 
 @query("efficiency_score", "F06", f"""

@@ -587,8 +587,7 @@ WITH e AS (SELECT DISTINCT batch_id FROM cp WHERE operator_error = 'Yes'),
 SELECT f.n AS error_free_batches, {R('f.a')} AS avg_time_no_errors, {R('al.a')} AS avg_time_all,
        {R('al.a - f.a')} AS time_saved FROM f, al""")
 def error_free_comparison(t):
-    he = F.broadcast(t.f.filter(is_human()).select("factor_id"))
-    err = t.i.join(he, "factor_id", "left_semi").select("batch_id").distinct()
+    err = marts.detail(t).filter(is_human()).select("batch_id").distinct()
     free = t.b.join(err, "batch_id", "left_anti").agg(F.count(F.lit(1)).alias("error_free_batches"),
                                                        F.avg("duration_min").alias("_f"))
     al = t.b.agg(F.avg("duration_min").alias("_a"))
@@ -707,7 +706,7 @@ def product_ease(t):
 SELECT b.product_id, {R('AVG(COALESCE(bd.total_downtime, 0))')} AS average_downtime_minutes
 FROM batches b LEFT JOIN bd ON b.batch_id = bd.batch_id GROUP BY b.product_id""")
 def product_avg_downtime_per_batch(t):
-    j = t.b.join(marts.batch_downtime(t), "batch_id", "left")
+    j = marts.batches_with_totals(t)
     return j.groupBy("product_id").agg(
         r(F.avg(F.coalesce("total_downtime", F.lit(0)))).alias("average_downtime_minutes"))
 

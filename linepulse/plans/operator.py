@@ -63,9 +63,8 @@ GROUP BY b.operator_name""")
 def operator_error_rate(t, human_only: bool = False):
     """Errors per batch.  As reported, every incident counts (the error filter only limits the
     factor side of the outer join); ``human_only`` counts operator-error incidents only."""
-    he = F.broadcast(t.f.filter(is_human()).select("factor_id", F.col("factor_id").alias("_he_factor")))
-    j = marts.batch_incident(t, "left").join(he, "factor_id", "left")
-    counted = F.col("_he_factor") if human_only else F.col("downtime_id")
+    j = marts.batch_incident_factor(t, "left")
+    counted = F.when(is_human(), F.col("factor_id")) if human_only else F.col("downtime_id")
     # distinct batches per operator without COUNT(DISTINCT): one group per (operator, batch) first
     per_batch = j.groupBy("operator_name", "batch_id").agg(F.count(counted).alias("_n"))
     return per_batch.groupBy("operator_name").agg(
@@ -142,8 +141,7 @@ def operator_efficiency_index(t):
 
 def human_error_batches(t):
     """Batches with at least one operator-error incident (one row per batch)."""
-    he = F.broadcast(t.f.filter(is_human()).select("factor_id"))
-    return t.i.join(he, "factor_id", "left_semi").select("batch_id").distinct()
+    return marts.detail(t).filter(is_human()).select("batch_id").distinct()
 
 
 @query("operator_error_free_runtime", "O12", """

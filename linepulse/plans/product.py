@@ -20,7 +20,7 @@ def _bpi(t, how="inner"):
 
 
 def _bpif(t):
-    return marts.batch_product_incident(t).join(F.broadcast(t.f), "factor_id")
+    return marts.batch_product_incident_factor(t)
 
 
 @query("size_complexity", "R01", f"""
@@ -169,7 +169,7 @@ SELECT b.size, {BIG('SUM(b.duration_min)')} AS correct_total_run_time, {BIG('SUM
        {PCT('SUM(b.min_batch_time)', 'SUM(b.duration_min)')} AS utilization_rate_pct
 FROM bp b LEFT JOIN bd ON b.batch_id = bd.batch_id GROUP BY b.size""")
 def size_capacity_utilization(t):
-    j = marts.batch_product(t).join(marts.batch_downtime(t), "batch_id", "left")
+    j = marts.batches_with_totals(t).filter(F.col("has_product"))
     return j.groupBy("size").agg(
         F.sum("duration_min").alias("correct_total_run_time"), F.sum("total_downtime").alias("total_down_time"),
         pct(F.sum("min_batch_time"), F.sum("duration_min")).alias("utilization_rate_pct"))

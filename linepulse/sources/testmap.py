@@ -73,8 +73,8 @@ class Tables:
     i: DataFrame   # incidents
     f: DataFrame   # factors
     sf_dir: str = ""
-    bt: DataFrame | None = None   # batches + total_downtime / incident_count (materialised)
-    d: DataFrame | None = None    # incident detail: every incident with its batch's attributes
+    bt: DataFrame | None = None   # wide batches: + downtime totals and product attributes
+    d: DataFrame | None = None    # incident detail: every incident with batch/product/factor attributes
 
     @property
     def spark(self) -> SparkSession:
@@ -137,26 +137,39 @@ def build(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(b=b, p=p, i=i, f=factors_df(spark), sf_dir=sf_dir)
 
 
-def batch_totals(b: DataFrame, i: DataFrame) -> DataFrame:
-    """Batches with their total downtime and incident count (NULL / 0 when none).
+PRODUCT_ATTRS = ["flavor", "size", "size_l", "min_batch_time"]
+FACTOR_ATTRS = ["description", "operator_error"]
+
+
+def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame) -> DataFrame:
+    """Batches with their downtime totals (NULL / 0 when none) and their product's attributes.
 
     Incidents are aggregated per batch first (partial aggregation: a batch holding a third of all
-    incidents is combined map-side), so the join is one row per batch on both sides."""
+    incidents is combined map-side), so that join is one row per batch on both sides; the product
+    attributes are attached once here instead of in every report (``has_product`` tells whether
+    the product exists)."""
     per = i.groupBy("batch_id").agg(F.sum("downtime_min").alias("total_downtime"),
                                     F.count(F.lit(1)).alias("incident_count"))
-    return (b.join(per, "batch_id", "left")
-             .withColumn("incident_count", F.coalesce(F.col("incident_count"), F.lit(0)).cast("long")))
+    prod = p.select("product_id", *PRODUCT_ATTRS).withColumn("has_product", F.lit(True))
+    return (b.join(per, "batch_id", "left").join(prod, "product_id", "left")
+             .select(*BATCH_COLS, "total_downtime",
+                     F.coalesce(F.col("incident_count"), F.lit(0)).cast("long").alias("incident_count"),
+                     *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product")))
 
 
-def incident_detail(i: DataFrame, b: DataFrame) -> DataFrame:
-    """Every incident with its batch's attributes (NULL for incidents of unknown batches).
+def incident_detail(i: DataFrame, wide_b: DataFrame, f: DataFrame) -> DataFrame:
+    """Every incident with its batch's attributes, its product's and its factor's (NULL where unknown).
 
     The one fact-to-fact join of the model, run once when the tables are built.  Incidents are the
     preserved (left) side, which AQE may split when one batch holds a large share of incidents.
     """
-    attrs = b.select(*BATCH_COLS).withColumn("matched", F.lit(True))
+    attrs = wide_b.select(*BATCH_COLS, *PRODUCT_ATTRS, "has_product").withColumn("matched", F.lit(True))
+    fac = f.select("factor_id", *FACTOR_ATTRS).withColumn("has_factor", F.lit(True))
     return (i.select("batch_id", *INCIDENT_COLS).join(attrs, "batch_id", "left")
-             .withColumn("matched", F.coalesce(F.col("matched"), F.lit(False))))
+             .join(F.broadcast(fac), "factor_id", "left")
+             .select("batch_id", *INCIDENT_COLS, *[c for c in BATCH_COLS if c != "batch_id"], *PRODUCT_ATTRS,
+                     *FACTOR_ATTRS,
+                     *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("matched", "has_product", "has_factor")]))
 
 
 _CACHE: dict[tuple, Tables] = {}
@@ -166,9 +179,10 @@ _LOCATIONS: dict[int, str] = {}
 def load(spark: SparkSession, sf_dir: str) -> Tables:
     """Canonical tables written once to the shared folder, then read back.
 
-    Written: products, incidents (with their dense id), batches with per-batch totals, and the
-    incident detail (incidents joined to batch attributes).  Every report then scans these; no
-    report joins the two facts again.
+    Written: products, incidents (with their dense id), batches with per-batch totals and product
+    attributes, and the incident detail (incidents with batch, product and factor attributes).
+    Every report then scans these: no report joins the two facts again, and only reports that
+    start from the products dimension itself join it.
     """
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key in _CACHE:
@@ -184,10 +198,11 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 
     p = put(lazy.p, "products")
     i = put(lazy.i, "incidents")
-    bt = put(batch_totals(lazy.b, i), "batches")
+    f = factors_df(spark)
+    bt = put(wide_batches(lazy.b, i, p), "batches")
     b = bt.select(*BATCH_COLS)
-    d = put(incident_detail(i, b), "incident_detail")
-    t = Tables(b=b, p=p, i=i, f=factors_df(spark), sf_dir=sf_dir, bt=bt, d=d)
+    d = put(incident_detail(i, bt, f), "incident_detail")
+    t = Tables(b=b, p=p, i=i, f=f, sf_dir=sf_dir, bt=bt, d=d)
     _CACHE[key] = t
     _LOCATIONS[id(t)] = root
     return t
