@@ -36,26 +36,44 @@ def _cols(xs) -> list:
     return list(xs)
 
 
-def dense_index(df: DataFrame, order: Sequence, name: str, partitions: int | None = None) -> DataFrame:
-    """Number rows 1..n in the total order ``order`` (ascending, nulls last), distributed."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+def range_tag(df: DataFrame, order: Sequence, partitions: int | None = None) -> DataFrame:
+    """Range-partition and sort by ``order``; tag each row with its partition and position.
+
+    Lazy: the tags are only stable once the frame is materialised (checkpoint or written table).
+    """
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     keys = [F.col(k).asc_nulls_last() for k in order]
-    tagged = (df.repartitionByRange(n, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_lp_pid", F.spark_partition_id())
-                .withColumn("_lp_pos", F.monotonically_increasing_id()))
-    tagged = tagged.checkpoint(eager=True)
+    return (df.repartitionByRange(n, *keys)
+              .sortWithinPartitions(*keys)
+              .withColumn("_lp_pid", F.spark_partition_id())
+              .withColumn("_lp_pos", F.monotonically_increasing_id()))
+
+
+def partition_offsets(tagged: DataFrame) -> DataFrame:
+    """Rows before each partition (one row per partition of the range sort)."""
     counts = tagged.groupBy("_lp_pid").agg(F.count(F.lit(1)).alias("_lp_n"))
     w = Window.orderBy("_lp_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_lp_pid", F.coalesce(F.sum("_lp_n").over(w), F.lit(0)).alias("_lp_off"))
+    return counts.select("_lp_pid", F.coalesce(F.sum("_lp_n").over(w), F.lit(0)).alias("_lp_off"))
+
+
+def apply_offsets(tagged: DataFrame, offsets: DataFrame, name: str) -> DataFrame:
+    """1-based global number from a materialised tagged frame and its partition offsets."""
     # one row per partition: bounded by the partition count, so broadcasting it is safe
     out = tagged.join(F.broadcast(offsets), "_lp_pid")
     local = F.col("_lp_pos") - F.shiftleft(F.col("_lp_pid").cast("long"), 33)
     return out.withColumn(name, F.col("_lp_off") + local + F.lit(1)).drop("_lp_pid", "_lp_pos", "_lp_off")
 
 
+def dense_index(df: DataFrame, order: Sequence, name: str, partitions: int | None = None) -> DataFrame:
+    """Number rows 1..n in the total order ``order`` (ascending, nulls last), distributed.
+
+    The tagged frame is checkpointed to the shared folder so the counts and the numbering read
+    identical partitions (also after executor loss)."""
+    shared_dir(df.sparkSession)
+    tagged = range_tag(df, order, partitions).checkpoint(eager=True)
+    return apply_offsets(tagged, partition_offsets(tagged), name)
+
+
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     if not keys:
         raise ValueError("a split window needs at least one bucket column")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linepulse.functions.expr import minute_of_day, shift_of, status_of
-from linepulse.functions.scale import dense_index
+from linepulse.functions.scale import apply_offsets, dense_index, partition_offsets, range_tag
 from linepulse.session import shared_dir
 
 # The line's downtime factor list (id, description, operator error flag).
@@ -115,17 +115,27 @@ def batches_from_events(events: DataFrame, products: DataFrame) -> DataFrame:
                        status_of("duration_min", "min_batch_time").alias("status")))
 
 
+def _incident_columns() -> list:
+    return [F.col("l_orderkey").alias("batch_id"),
+            (F.col("l_suppkey") % 12 + 1).cast("int").alias("factor_id"),
+            F.floor(F.col("l_quantity") * (F.lit(1) + F.col("l_suppkey") % 4) / 2).cast("int").alias("downtime_min")]
+
+
 def incidents_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    base = lineitem.select(
-        *INCIDENT_ORDER,
-    )
-    numbered = dense_index(base, INCIDENT_ORDER, "downtime_id")
-    return numbered.select(
-        F.col("downtime_id").cast("long"),
-        F.col("l_orderkey").alias("batch_id"),
-        (F.col("l_suppkey") % 12 + 1).cast("int").alias("factor_id"),
-        F.floor(F.col("l_quantity") * (F.lit(1) + F.col("l_suppkey") % 4) / 2).cast("int").alias("downtime_min"),
-    )
+    """Incidents with a dense id in the full line-item order (checkpointed numbering)."""
+    numbered = dense_index(lineitem.select(*INCIDENT_ORDER), INCIDENT_ORDER, "downtime_id")
+    return numbered.select(F.col("downtime_id").cast("long"), *_incident_columns())
+
+
+def incidents_tagged(lineitem: DataFrame) -> DataFrame:
+    """Incident columns range-sorted in the line-item order and tagged for numbering (lazy)."""
+    tagged = range_tag(lineitem.select(*INCIDENT_ORDER), INCIDENT_ORDER)
+    return tagged.select("_lp_pid", "_lp_pos", *_incident_columns())
+
+
+def incidents_numbered(tagged: DataFrame, offsets: DataFrame) -> DataFrame:
+    return apply_offsets(tagged, offsets, "downtime_id").select(
+        F.col("downtime_id").cast("long"), "batch_id", "factor_id", "downtime_min")
 
 
 def build(spark: SparkSession, sf_dir: str) -> Tables:
@@ -190,16 +200,21 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     base = shared_dir(spark)
     tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
     root = os.path.join(base, "linepulse", tag) if "://" not in base else f"{base}/linepulse/{tag}"
-    lazy = build(spark, sf_dir)
+    read = lambda name: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
     def put(df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{root}/{name}")
         return spark.read.parquet(f"{root}/{name}")
 
-    p = put(lazy.p, "products")
-    i = put(lazy.i, "incidents")
+    p = put(products_from_part(read("part")), "products")
+    b0 = batches_from_events(read("events"), p)
+    # incidents are written once, tagged by the range sort; the dense id is the tag plus the
+    # offset of its partition (a one-row-per-partition table), applied when the table is read
+    raw = put(incidents_tagged(read("lineitem")), "incidents")
+    offsets = put(partition_offsets(raw), "incident_offsets")
+    i = incidents_numbered(raw, offsets)
     f = factors_df(spark)
-    bt = put(wide_batches(lazy.b, i, p), "batches")
+    bt = put(wide_batches(b0, i, p), "batches")
     b = bt.select(*BATCH_COLS)
     d = put(incident_detail(i, bt, f), "incident_detail")
     t = Tables(b=b, p=p, i=i, f=f, sf_dir=sf_dir, bt=bt, d=d)
