@@ -209,14 +209,17 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     p = put(products_from_part(read("part")), "products")
     b0 = batches_from_events(read("events"), p)
     # incidents are written once, tagged by the range sort; the dense id is the tag plus the
-    # offset of its partition (a one-row-per-partition table), applied when the table is read
-    raw = put(incidents_tagged(read("lineitem")), "incidents")
+    # offset of its partition (a one-row-per-partition table).  The numbered incidents are then
+    # stored inside the incident detail (which keeps every incident), so reports read the
+    # incidents as a projection of the detail, without any join.
+    raw = put(incidents_tagged(read("lineitem")), "incidents_tagged")
     offsets = put(partition_offsets(raw), "incident_offsets")
-    i = incidents_numbered(raw, offsets)
+    i0 = incidents_numbered(raw, offsets)
     f = factors_df(spark)
-    bt = put(wide_batches(b0, i, p), "batches")
+    bt = put(wide_batches(b0, i0, p), "batches")
     b = bt.select(*BATCH_COLS)
-    d = put(incident_detail(i, bt, f), "incident_detail")
+    d = put(incident_detail(i0, bt, f), "incident_detail")
+    i = d.select("downtime_id", "batch_id", "factor_id", "downtime_min")
     t = Tables(b=b, p=p, i=i, f=f, sf_dir=sf_dir, bt=bt, d=d)
     _CACHE[key] = t
     _LOCATIONS[id(t)] = root
@@ -224,8 +227,8 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
 
 
 def incidents_location(t: Tables) -> str:
-    """Folder of the written incident table (for streaming readers)."""
-    return f"{_LOCATIONS[id(t)]}/incidents"
+    """Folder of the written incident records (the incident detail keeps every incident)."""
+    return f"{_LOCATIONS[id(t)]}/incident_detail"
 
 
 def batches_location(t: Tables) -> str:
