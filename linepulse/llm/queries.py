@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linepulse.llm import bpe_automaton, huffman_ids, token_counts
+from linepulse.llm import bpe_automaton, chat, huffman_ids, mixing, token_counts
 from linepulse.llm.common import table
 
 
@@ -14,6 +14,17 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.round_trip(turns.unionByName(extra))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.contract(mixing.mix(table(spark, sf_dir, "documents")))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(bpe_automaton.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -23,8 +34,8 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op9_bpe_automaton, op10_huffman_ids)}
+    return {f.__name__: f for f in (op4_token_counts, op6_chat_formatting, op7_mixing, op9_bpe_automaton, op10_huffman_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
