@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linepulse.llm import bpe_automaton, chat, huffman_ids, mixing, token_counts
+from linepulse.llm import bpe_automaton, chat, huffman_ids, mixing, quality_lines, token_counts, winnowing
 from linepulse.llm.common import table
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.contract(quality_lines.clean(table(spark, sf_dir, "documents")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -34,8 +42,8 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_counts, op6_chat_formatting, op7_mixing, op9_bpe_automaton, op10_huffman_ids)}
+    return {f.__name__: f for f in (op1_winnowing, op2_quality_lines, op4_token_counts, op6_chat_formatting, op7_mixing, op9_bpe_automaton, op10_huffman_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
+    return {"op2_quality_lines": quality_lines.ORACLE, "op6_chat_formatting": chat.ORACLE, "op7_mixing": mixing.ORACLE}
