@@ -36,7 +36,8 @@ from pyspark.sql import functions as F
 from linepulse.llm.chunks import Remembered, byte_letters, library
 from linepulse.llm.common import in_pandas, tokenizer_file, whole_text
 
-MAX_TABLE = 600_000     # entries of the transition table before it is dropped and refilled
+MAX_TABLE = 500_000     # entries of the transition table before it is dropped and refilled
+MAX_WORDS = 150_000     # remembered words a generation
 
 
 class Automaton:
@@ -123,46 +124,47 @@ class Encoder:
 
     def _reset(self) -> None:
         self.table: dict[int, int] = {}
-        self.state_of: dict[tuple, int] = {(-1, ((0, -1),)): 0}
-        self.open: list[tuple] = [((0, -1),)]   # per state: open arcs (trie node, label before the arc)
-        self.emitted: list[int] = [-1]          # per state: label that ends here
+        self.state_of: dict[tuple, int] = {}
+        # per state: the label that ends here, then its open arcs (trie node << 24 | label before the arc + 1)
+        self.open: list[tuple] = [(-1, 0)]
 
     def _step(self, state: int, byte: int) -> int:
         child, label_at, inner, follows = self.child, self.label_at, self.inner, self.a.follows
-        arcs, last = [], -1
-        for node, before in self.open[state]:
-            c = child.get(node << 8 | byte)
+        key, last = [-1], -1
+        for arc in self.open[state][1:]:
+            before = arc & 0xFFFFFF
+            c = child.get(arc >> 16 & ~0xFF | byte)
             if c is None:
                 continue
             z = label_at[c]
-            if z >= 0 and last < 0 and follows(before, z):
+            if z >= 0 and last < 0 and follows(before - 1, z):
                 last = z
             if inner[c]:
-                arcs.append((c, before))
+                key.append(c << 24 | before)
         if last < 0:
             raise ValueError("no accepted path")
-        arcs.append((0, last))
-        key = (last, tuple(arcs))
+        key[0] = last
+        key.append(last + 1)                    # a new arc begins at the trie's root
+        key = tuple(key)
         nxt = self.state_of.get(key)
         if nxt is None:
             nxt = self.state_of[key] = len(self.open)
-            self.open.append(key[1])
-            self.emitted.append(last)
+            self.open.append(key)
         self.table[state << 8 | byte] = nxt
         return nxt
 
     def encode(self, word: bytes) -> list[int]:
         if len(self.table) > self.max_table:
             self._reset()
-        table, emitted, size = self.table, self.emitted, self.size
-        s, ends = 0, []
+        table, states, size = self.table, self.open, self.size
+        s, path = 0, []
         for b in word:
             n = table.get(s << 8 | b)
             s = self._step(s, b) if n is None else n
-            ends.append(emitted[s])
+            path.append(s)
         out, i = [], len(word)
         while i:
-            z = ends[i - 1]
+            z = states[path[i - 1]][0]
             out.append(z)
             i -= size[z]
         out.reverse()
@@ -200,7 +202,7 @@ class ByteBPE:
         self._slow = regex.compile(without(public_tokenizers.PATTERN, self._strange)).findall
         self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
         self._marks = tuple(special)
-        self._known = Remembered(lambda w: array("I", self.encoder.encode(w.encode("utf-8", "replace"))).tobytes())
+        self._known = Remembered(lambda w: array("I", self.encoder.encode(w.encode("utf-8", "replace"))).tobytes(), MAX_WORDS)
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as unsigned 32-bit integers; special strings inside it become their own id."""

@@ -52,6 +52,8 @@ def tokenizer_file(name: str) -> str:
 
 def ship(spark: SparkSession) -> None:
     """Let the workers of this session import the package, also where it is not installed on them."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if getattr(sc, "_linepulse_shipped", False):
         return
@@ -64,6 +66,9 @@ def ship(spark: SparkSession) -> None:
     sc._linepulse_shipped = True
 
 
+BATCH_ROWS = 2000    # texts are long: rows that go to a worker at a time
+
+
 def in_pandas(df: DataFrame, run, schema: str) -> DataFrame:
     """``mapInPandas`` with functions of this package."""
     ship(df.sparkSession)

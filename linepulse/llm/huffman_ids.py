@@ -16,7 +16,7 @@ by the vocabulary); code lengths by package-merge; then a range sort by doc_id a
 holds whole documents and is closed at ``BLOCK_IDS`` ids, so a task holds one block at a time.
 
 Reading: all checkpoint segments of a block are decoded side by side by one table lookup per id.  Ids before a part
-come from the sums of ``n_ids`` (one row per part).
+come from the sums of ``n_ids`` (one row per part).  A bit stream is shorter than 2^32 bits.
 
 Rows: null text is the empty text and holds the end id only; rows with equal doc_id follow one another, ordered by
 their ids; null doc_id comes first; an empty table gives empty files and no rows; only the id and the text are read.
@@ -35,7 +35,7 @@ from linepulse.llm.chunks import packer
 from linepulse.llm.common import in_pandas, run_path, tokenizer_file, whole_text, written
 
 LIMIT = 18              # bits of the longest code
-BLOCK_IDS = 1 << 18     # ids at which a block is closed
+BLOCK_IDS = 1 << 19     # ids at which a block is closed
 STEP = 256              # ids between checkpoints
 BLOCK_SCHEMA = "part int, block int, before long, n_ids long, payload binary"
 
@@ -114,17 +114,13 @@ def decode_table(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarra
 def unpack(stream: bytes, checkpoints: np.ndarray, n_ids: int, step: int, table: tuple[np.ndarray, np.ndarray], limit: int) -> np.ndarray:
     """All ids of a bit stream; the segments between checkpoints are decoded side by side."""
     sym, bits = table
-    data = np.frombuffer(stream + b"\0" * 8, dtype=np.uint8)
-    lanes = len(checkpoints)
+    data = np.frombuffer(stream + b"\0" * 8, dtype=np.uint8).astype(np.uint32)
+    ahead = data[:-3] << 24 | data[1:-2] << 16 | data[2:-1] << 8 | data[3:]     # the 32 bits from each byte on
+    lanes, last, mask = len(checkpoints), len(stream) * 8, (1 << limit) - 1
     out = np.empty((step, lanes), dtype=np.uint32)
-    at = checkpoints.astype(np.int64)
-    last = len(stream) * 8
+    at = checkpoints.astype(np.uint32)
     for i in range(step):
-        byte = at >> 3
-        window = np.zeros(lanes, dtype=np.int64)
-        for k in range(4):
-            window = window << 8 | data[byte + k]
-        window = window >> (32 - limit - (at & 7)) & ((1 << limit) - 1)
+        window = ahead[at >> 3] >> (32 - limit - (at & 7)) & mask
         out[i] = sym[window]
         at = np.minimum(at + bits[window], last)
     return out.T.reshape(-1)[:n_ids]
@@ -188,10 +184,9 @@ def count_ids(encoded: DataFrame, code: str) -> DataFrame:
         import pandas as pd
         total = np.zeros(0, dtype=np.int64)
         for pdf in batches:
-            for ids in pdf["ids"]:
-                n = np.bincount(np.frombuffer(ids, dtype=code), minlength=len(total))
-                n[:len(total)] += total
-                total = n
+            n = np.bincount(np.frombuffer(b"".join(pdf["ids"]), dtype=code), minlength=len(total))
+            n[:len(total)] += total
+            total = n
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
