@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linepulse.llm import bpe_automaton, chat, huffman_ids, mixing, quality_lines, token_counts, winnowing
+from linepulse.llm import bpe_automaton, chat, huffman_ids, language_id, mixing, quality_lines, token_counts, toxicity, winnowing
 from linepulse.llm.common import table
 
 
@@ -18,10 +18,18 @@ def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.contract(quality_lines.clean(table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
@@ -42,7 +50,7 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op2_quality_lines, op4_token_counts, op6_chat_formatting, op7_mixing, op9_bpe_automaton, op10_huffman_ids)}
+    return {f.__name__: f for f in (op1_winnowing, op2_quality_lines, op3_toxicity, op4_token_counts, op5_language_id, op6_chat_formatting, op7_mixing, op9_bpe_automaton, op10_huffman_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
