@@ -29,6 +29,9 @@ WORD = re.compile(f"[^{WHITE}]+")
 # letters that are one NFC code point and have a plain lower case; marks that no pattern treats by themselves
 PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+# characters whose lower case does not depend on their neighbours and is one NFC code point
+SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
+
 
 class Remembered(dict):
     """chunk -> value; ``make`` gives the value of a chunk not remembered."""
@@ -108,4 +111,5 @@ def counter(path: str) -> Callable[[str], int]:
 def packer(path: str, code: str) -> Callable[[str], bytes]:
     """Ids of a whole text as little-endian bytes, for a file whose normaliser drops white space."""
     known = Remembered(chunk_ids(library(path), lower=True, code=code))
-    return lambda text: b"".join(map(known.__getitem__, WORD.findall(text)))
+    # texts of simple characters are lower-cased at once, so that fewer chunks differ
+    return lambda text: b"".join(map(known.__getitem__, WORD.findall(text.lower() if SIMPLE(text) else text)))

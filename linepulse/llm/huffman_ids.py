@@ -35,8 +35,8 @@ from linepulse.llm.chunks import packer
 from linepulse.llm.common import in_pandas, run_path, tokenizer_file, whole_text, written
 
 LIMIT = 18              # bits of the longest code
-BLOCK_IDS = 1 << 19     # ids at which a block is closed
-STEP = 256              # ids between checkpoints
+BLOCK_IDS = 1 << 17     # ids at which a block is closed
+STEP = 128              # ids between checkpoints
 BLOCK_SCHEMA = "part int, block int, before long, n_ids long, payload binary"
 
 

@@ -17,15 +17,15 @@ each for itself; with nothing to learn from every row is ``und``; an empty table
 first in code point order; further columns are not read.
 """
 
-from __future__ import annotations
-
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import fold, in_pandas, whole_text, written
+from linepulse.llm.common import fold, in_pandas, ship, whole_text, written
 from linepulse.llm.ngrams import SPACE, bounded_sample, codes, hashed
 
 SIZES = (1, 2, 3)
@@ -34,6 +34,7 @@ PER_LANGUAGE = 1500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1     # learning rate, its smoothing, elastic net
 SEED = "language-id"
+MIN_SCORE = 0.3    # below it a text is in none of the learned languages with any confidence
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -121,7 +122,6 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequency of every hash over all training rows, and the number of rows."""
     def run(batches):
-        import pandas as pd
         df, rows = np.zeros(1 << BITS, dtype=np.int64), 0
         for pdf in batches:
             for text in pdf["text"]:
@@ -151,7 +151,6 @@ def train(docs: DataFrame) -> dict | None:
     idf = np.log((1 + rows) / (1 + df)) + 1
 
     def run(batches):
-        import pandas as pd
         found = pd.concat(list(batches), ignore_index=True).sort_values(["doc_id", "lang", "text"])
         yield pd.DataFrame({"model": [pickle.dumps(fit(list(zip(found["text"], found["lang"])), languages, idf))]})
 
@@ -164,7 +163,6 @@ def train(docs: DataFrame) -> dict | None:
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     def run(batches):
-        import pandas as pd
         for pdf in batches:
             found = [score(model, t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]})
@@ -187,3 +185,16 @@ def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs``."""
     docs = docs.select("doc_id", "text", "lang")
     return predict(docs, train(docs)).select("doc_id", (fold() == 0).alias("held_out"), "lang_pred", "score")
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with letters and a language predicted with at least MIN_SCORE; nothing is shuffled."""
+    model = train(docs.select("doc_id", "text", "lang"))
+
+    def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            found = [score(model, t) for t in texts]
+            yield pd.Series([lang != "und" and p >= MIN_SCORE for lang, p in found])
+
+    ship(docs.sparkSession)
+    return docs.where(F.pandas_udf(known, "boolean")(whole_text()))

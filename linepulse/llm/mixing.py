@@ -102,19 +102,21 @@ def min_cost_flow(words: list[int], members: list[list[int]], quotas: list[int],
 
 
 def _keyed(docs: DataFrame, sources: str, seed: str, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with _size, _pattern and _key, the seeded order of a pattern's documents.
+    """_row (the columns of ``docs``), _size, _pattern and _key, the seeded order of a pattern's documents.
 
     The order is by a digest of the id; rows with equal ids follow by size and digest of the text, and equal rows
     share one key and so one decision.
     """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     if docs.schema[sources].dataType.typeName() == "array":
         member = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array().cast("array<string>"))))
     else:
         member = F.array(F.col(sources).cast("string"))
     text, ident = whole_text(text_col), F.col(id_col)
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(ident.cast("string"), F.lit(""))))
-    return (docs.withColumn("_size", n_words(text)).withColumn("_pattern", member)
-            .withColumn("_key", F.struct(digest.alias("h"), ident.alias("id"), F.col("_size").alias("size"), F.xxhash64(text).alias("t"))))
+    keyed = docs.select(row, n_words(text).alias("_size"), member.alias("_pattern"), digest.alias("_h"), ident.alias("_id"), F.xxhash64(text).alias("_t"))
+    return keyed.select("_row", "_size", "_pattern", F.struct(
+        F.col("_h").alias("h"), F.col("_id").alias("id"), F.col("_size").alias("size"), F.col("_t").alias("t")).alias("_key"))
 
 
 def plan(base: DataFrame, weights: tuple[int, ...], share: float, passes: int) -> DataFrame:
@@ -202,7 +204,7 @@ def mixed_corpus(docs: DataFrame, sources: str = "source", weights: tuple[int, .
     _, cut = _solve(docs.select(id_col, text_col, sources), sources, weights, share, passes, seed, id_col, text_col)
     keyed = _keyed(docs, sources, seed, id_col, text_col)
     out = _decided(keyed, cut).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return out.select(*docs.columns)
+    return out.select("_row.*")
 
 
 def contract(mixed: DataFrame) -> DataFrame:

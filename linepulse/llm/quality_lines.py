@@ -16,7 +16,7 @@ Everything is computed inside the row by array functions: no shuffle, and a long
 to its length (the sort of the repeated windows only runs for texts that have some).
 
 Rows: null text is empty: no words, no lines, rejected; white space only likewise; repeated rows are judged each for itself;
-an empty table gives no rows; further columns are not read.
+an empty table gives no rows; further columns are kept, but ours take the place of those with the same name.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linepulse.llm import bpe_automaton, chat, huffman_ids, language_id, mixing, quality_lines, token_counts, toxicity, winnowing
+from linepulse.llm import bpe_automaton, chat, huffman_ids, language_id, mixing, near_dedup, quality_lines, token_counts, toxicity, winnowing
 from linepulse.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.contract(mixing.mix(table(spark, sf_dir, "documents")))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.digests(bpe_automaton.encode_documents(table(spark, sf_dir, "documents")))
 
@@ -49,8 +53,13 @@ def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman_ids.round_trip(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline     # beside this package, at the repository's top
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_winnowing, op2_quality_lines, op3_toxicity, op4_token_counts, op5_language_id, op6_chat_formatting, op7_mixing, op9_bpe_automaton, op10_huffman_ids)}
+    return {f.__name__: f for f in (op1_winnowing, op2_quality_lines, op3_toxicity, op4_token_counts, op5_language_id, op6_chat_formatting, op7_mixing, op8_near_dedup, op9_bpe_automaton, op10_huffman_ids, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

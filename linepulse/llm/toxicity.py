@@ -22,15 +22,15 @@ repeated rows are scored each for itself; with no labels every score is 0; an em
 read.
 """
 
-from __future__ import annotations
-
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import fold, in_pandas, whole_text, written
+from linepulse.llm.common import fold, in_pandas, ship, whole_text, written
 from linepulse.llm.ngrams import bounded_sample, codes, hashed
 
 SIZES = (4, 5)
@@ -182,7 +182,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataF
     shape = "doc_id long, y int, terms binary, counts binary, vocabulary binary"
 
     def learn(batches):
-        import pandas as pd
         rows = pd.concat(list(batches), ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id")
         y = rows["y"].to_numpy()
         once = rows.drop_duplicates(["text", "y"])
@@ -201,7 +200,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataF
     terms = np.frombuffer(head["vocabulary"], "<i8") if head else np.zeros(0, dtype=np.int64)
 
     def counts(batches):
-        import pandas as pd
         count = Counter(terms)
         for pdf in batches:
             n = [count(t) for t in pdf["text"]]
@@ -222,7 +220,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataF
 def inverse_frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
     """idf of the vocabulary over all documents."""
     def run(batches):
-        import pandas as pd
         df, rows = np.zeros(n_terms, dtype=np.int64), 0
         for pdf in batches:
             df += np.bincount(np.frombuffer(b"".join(pdf["terms"]), "<i4"), minlength=n_terms)
@@ -242,7 +239,6 @@ def score_documents(counted: DataFrame, model: Model | None) -> DataFrame:
     shape = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>"
 
     def run(batches):
-        import pandas as pd
         m, seen = pickle.loads(packed), {}
         for pdf in batches:
             out = []
@@ -259,5 +255,22 @@ def score_documents(counted: DataFrame, model: Model | None) -> DataFrame:
     return in_pandas(counted, run, shape)
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic; rows are scored where they are, nothing is shuffled."""
+    _, model = fit(docs, labels, label)
+    if model is None:
+        return docs
+    packed = pickle.dumps(model)
+
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = pickle.loads(packed)
+        count = Counter(m.terms)
+        for texts in batches:
+            yield pd.Series([m.score(*count(t))[0] >= 0.5 for t in texts])
+
+    ship(docs.sparkSession)
+    return docs.where(~F.pandas_udf(toxic, "boolean")(whole_text()))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     return score_documents(*fit(docs, labels, label))
