@@ -151,7 +151,10 @@ def train(docs: DataFrame) -> dict | None:
     idf = np.log((1 + rows) / (1 + df)) + 1
 
     def run(batches):
-        found = pd.concat(list(batches), ignore_index=True).sort_values(["doc_id", "lang", "text"])
+        batches = list(batches)
+        if not batches:
+            return
+        found = pd.concat(batches, ignore_index=True).sort_values(["doc_id", "lang", "text"])
         yield pd.DataFrame({"model": [pickle.dumps(fit(list(zip(found["text"], found["lang"])), languages, idf))]})
 
     # at most PER_LANGUAGE documents of each language

@@ -6,7 +6,7 @@ Every line (split at \n) that has a word is judged by itself:
 - navigation: separators (``| > » › · •``) between words, at least one for every three words, and two or more;
 - boilerplate: a phrase of ``PHRASES`` in a line of at most ``PHRASE_WORDS`` words;
 - symbols: more than one character of ``SYMBOLS`` for every ten other characters;
-- shouting: eight or more capital letters, and more of them than small letters.
+- shouting: eight or more capital letters, and more of them than other characters (without white space).
 
 Lines that fail are removed; a document whose removed lines hold more than ``MAX_LOST`` of its characters (without white
 space) is rejected, as is one that fails the base rules (fewer than ``MIN_WORDS`` words, or more than 30 % of the words in
@@ -21,11 +21,14 @@ an empty table gives no rows; further columns are kept, but ours take the place
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.llm.common import whole_text
-from linepulse.llm.winnowing import let
+from linepulse.llm.winnowing import let, pairs
 
 MIN_WORDS = 20
 MAX_REPEATED = 30      # per cent of the words
@@ -45,19 +48,19 @@ def _without(text: Column, letters: str) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Does a line with a word pass all line rules?"""
+    """Does a line with a word pass all line rules?  Rules are in order of their cost; a later one is read only if it matters."""
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     solid = _without(line, WHITE)
     n_solid = F.length(solid)
     n_symbols = n_solid - F.length(_without(solid, SYMBOLS))
     n_marks = F.length(line) - F.length(_without(line, "|>»›·•"))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
-    small = F.length(F.regexp_replace(line, r"[^\p{Ll}]", ""))
-    return (line.rlike(CLOSING)
+    capitals = F.regexp_count(line, F.lit(r"\p{Lu}"))
+    phrase = reduce(or_, [F.contains(F.lower(line), F.lit(p)) for p in PHRASES])
+    return ((n_symbols * 10 <= n_solid - n_symbols)
             & ~((n_marks >= 2) & (n_marks * 3 >= n_words))
-            & ~((n_words <= PHRASE_WORDS) & F.lower(line).rlike("|".join(PHRASES)))
-            & (n_symbols * 10 <= n_solid - n_symbols)
-            & ~((capitals >= 8) & (capitals > small)))
+            & line.rlike(CLOSING)
+            & ~((capitals >= 8) & (capitals * 2 > n_solid))
+            & ~(phrase & (n_words <= PHRASE_WORDS)))
 
 
 def repeated_words(words: Column) -> Column:
@@ -67,18 +70,22 @@ def repeated_words(words: Column) -> Column:
         return F.aggregate(starts, zero, lambda a, p: F.struct(
             (a["n"] + F.least(F.lit(WINDOW), p - a["last"])).alias("n"), p.alias("last")))["n"]
 
-    def starts(pairs: Column) -> Column:     # (hash, start), sorted: equal hashes are neighbours
+    def starts(found: Column) -> Column:     # (hash, start), sorted: equal hashes are neighbours
         def shared(p: Column, i: Column) -> Column:
-            return ((i > 0) & (F.get(pairs, i - 1)["h"] == p["h"])) | F.coalesce(F.get(pairs, i + 1)["h"] == p["h"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(pairs, shared), lambda p: p["i"]))
+            return ((i > 0) & (F.get(found, i - 1)["h"] == p["h"])) | F.coalesce(F.get(found, i + 1)["h"] == p["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(found, shared), lambda p: p["i"]))
 
     def count(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(let(pairs, lambda ps: covered(starts(ps))))
+        found = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long")).otherwise(let(found, lambda x: covered(starts(x))))
 
     def windows(ws: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(1), F.size(ws) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))
-        return F.when(F.size(ws) < WINDOW, F.lit(0).cast("long")).otherwise(let(hashes, count))
+        return F.when(F.size(ws) < WINDOW, F.lit(0).cast("long")).otherwise(let(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: roll(hs, F.size(ws), 1)))
+
+    def roll(hs: Column, n: Column, step: int) -> Column:     # hashes of 2, 4, ... successive words
+        if step == WINDOW:
+            return count(hs)
+        return let(pairs(hs, n, step, lambda a, b: F.xxhash64(a, b)), lambda x: roll(x, n - step, step * 2))
 
     return let(words, windows)
 
@@ -125,13 +132,13 @@ WITH d AS (
 ), l AS (
   SELECT doc_id, x, length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g')) AS solid, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
          len(regexp_extract_all(x, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(x, '[|>»›·•]')) AS marks,
-         len(regexp_extract_all(x, '\p{Lu}')) AS capitals, len(regexp_extract_all(x, '\p{Ll}')) AS small
+         len(regexp_extract_all(x, '\p{Lu}')) AS capitals
   FROM (SELECT doc_id, unnest(ls) AS x FROM d)
 ), k AS (
   SELECT doc_id, count(*)::BIGINT AS n_kept, sum(solid)::BIGINT AS kept_chars FROM l
   WHERE regexp_matches(x, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AND NOT (marks >= 2 AND marks * 3 >= words)
     AND NOT (words <= 20 AND regexp_matches(lower(x), 'PHRASES'))
-    AND symbols * 10 <= solid - symbols AND NOT (capitals >= 8 AND capitals > small)
+    AND symbols * 10 <= solid - symbols AND NOT (capitals >= 8 AND capitals * 2 > solid)
   GROUP BY doc_id
 ), c AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,

@@ -12,7 +12,7 @@ text without any has no neighbour.
 
 Score: the neighbours vote, weighted by 1 / (DISTANCE + 1 - cosine); each example's vote of its own neighbours (itself left out)
 is calibrated to the rate of the label by isotonic regression with the classes at their true sizes; a text without terms
-takes the rate of such examples.  The nearest neighbours are given as evidence.
+takes the rate of such examples, below one half in any case, since nothing speaks against it.  The nearest neighbours are given as evidence.
 
 Labels, language, source and id are no input of a score.  Terms are counted in one pass over the whole texts and written;
 the index (bounded by the examples) is sent to the tasks that search.
@@ -154,7 +154,8 @@ class Model:
                 if len(near):
                     votes[i], known[i] = vote(labels[near], cosines), True
         none = ~known
-        self.base = float((weight[none] @ labels[none] + (weight @ labels) / weight.sum()) / (weight[none].sum() + 1)) if len(labels) else 0.0
+        rate = float((weight[none] @ labels[none] + (weight @ labels) / weight.sum()) / (weight[none].sum() + 1)) if len(labels) else 0.0
+        self.base = min(rate, 0.49)      # without a neighbour there is no evidence to reject a text
         self.x, self.y = isotonic(votes[known], labels[known].astype(float), weight[known]) if known.any() else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
     def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple]]:
@@ -182,7 +183,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataF
     shape = "doc_id long, y int, terms binary, counts binary, vocabulary binary"
 
     def learn(batches):
-        rows = pd.concat(list(batches), ignore_index=True).drop_duplicates("doc_id").sort_values("doc_id")
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pd.concat(batches, ignore_index=True).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
         y = rows["y"].to_numpy()
         once = rows.drop_duplicates(["text", "y"])
         terms = vocabulary(list(once["text"]), once["y"].to_numpy())

@@ -41,7 +41,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _pairs(xs: Column, n: Column, step: int, f: Callable[[Column, Column], Column]) -> Column:
+def pairs(xs: Column, n: Column, step: int, f: Callable[[Column, Column], Column]) -> Column:
     """f(xs[i], xs[i + step]) for every i of an array of n elements."""
     return F.zip_with(F.slice(xs, F.lit(1), n - step), F.slice(xs, F.lit(step + 1), n - step), f)
 
@@ -58,7 +58,7 @@ def chosen(text: Column) -> Column:
     def roll(hs: Column, n: Column, step: int) -> Column:
         if step == K:
             return windows(hs, n)
-        return let(_pairs(hs, n, step, lambda a, b: F.xxhash64(a, b)), lambda x: roll(x, n - step, step * 2))
+        return let(pairs(hs, n, step, lambda a, b: F.xxhash64(a, b)), lambda x: roll(x, n - step, step * 2))
 
     def windows(hs: Column, n: Column) -> Column:
         return let(F.transform(hs, number), lambda v: F.when(n <= W, F.array(F.array_min(v))).otherwise(least(v, n, 1)))
@@ -66,7 +66,7 @@ def chosen(text: Column) -> Column:
     def least(v: Column, n: Column, step: int) -> Column:
         if step == W:
             return F.array_distinct(v)
-        return let(_pairs(v, n, step, lambda a, b: F.least(a, b)), lambda x: least(x, n - step, step * 2))
+        return let(pairs(v, n, step, lambda a, b: F.least(a, b)), lambda x: least(x, n - step, step * 2))
 
     def fingerprint(hs: Column) -> Column:
         n = F.size(hs)

@@ -1,0 +1,21 @@
+import os
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [ROOT, os.path.dirname(os.path.abspath(__file__))]
+os.environ["PYTHONPATH"] = ROOT + os.pathsep + os.environ.get("PYTHONPATH", "")
+
+from odd_rows import SHAPE, rows  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Documents with everything that may go wrong, and further columns whose names the operators use themselves."""
+    return spark.createDataFrame(rows(), SHAPE).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SHAPE)
