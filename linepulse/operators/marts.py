@@ -69,7 +69,7 @@ def batch_downtime(t: Tables) -> DataFrame:
 
 def incident_factor(t: Tables, how: str = "inner") -> DataFrame:
     """``idf`` / J02: incidents with their factor description and operator-error flag."""
-    return t.i.join(F.broadcast(t.f), "factor_id", how)
+    return t.i.join(t.f, "factor_id", how)
 
 
 def _lonely(t: Tables, *extra: str) -> DataFrame:

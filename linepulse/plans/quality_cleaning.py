@@ -127,7 +127,7 @@ WHERE i.factor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM factors f WHERE f.fa
 def fk_orphans(t):
     return (quality.orphans(t.b, t.p, "product_id", "batch->product")
             .unionByName(orphan_incidents(t))
-            .unionByName(quality.orphans(t.i, F.broadcast(t.f), "factor_id", "incident->factor")))
+            .unionByName(quality.orphans(t.i, t.f, "factor_id", "incident->factor")))
 
 
 @query("factor_statistics", "Q08", f"""

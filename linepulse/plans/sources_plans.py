@@ -1,8 +1,8 @@
 """Sources (S keys) and the parsing steps of cleaning.
 
-The canonical tables are exported once per session to the shared folder in the line system's
-text layout (plus the wide downtime matrix), then read back with the schema-first readers, so the
-readers are exercised on data that grows with the test tables.
+Each canonical table is exported on first use to the shared folder in the line system's text layout (plus the wide
+downtime matrix), then read back by header names, so the readers are exercised on data that grows with
+the test tables.
 """
 
 from __future__ import annotations
@@ -16,46 +16,47 @@ from linepulse.plans.registry import query
 from linepulse.session import shared_dir
 from linepulse.sources import csv_layout as L
 
-_EXPORTS: dict[tuple, dict[str, str]] = {}
+_TEXT = {
+    "products": lambda t: L.products_text(t.p),
+    "batches": lambda t: L.batches_text(t.b),
+    "incidents": lambda t: L.incidents_text(t.i),
+    "factors": lambda t: L.factors_text(t.f),
+    "wide": lambda t: L.wide_downtime(t.i, t.f),
+}
+_EXPORTS: dict[tuple, str] = {}
 
 
-def exported(t) -> dict[str, str]:
+def exported(t, name: str) -> str:
+    """Folder of one table's text export, written on first use."""
     spark = t.spark
-    key = (spark.sparkContext.applicationId, t.sf_dir)
+    key = (spark.sparkContext.applicationId, t.sf_dir, name)
     if key not in _EXPORTS:
         tag = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:10]
-        base = f"{shared_dir(spark).rstrip('/')}/linepulse/export/{tag}"
-        _EXPORTS[key] = {
-            "products": L.write_csv(L.products_text(t.p), f"{base}/products"),
-            "batches": L.write_csv(L.batches_text(t.b), f"{base}/batches"),
-            "incidents": L.write_csv(L.incidents_text(t.i), f"{base}/incidents"),
-            "factors": L.write_csv(L.factors_text(t.f), f"{base}/factors"),
-            "wide": L.write_csv(L.wide_downtime(t.i), f"{base}/wide_downtime"),
-        }
+        _EXPORTS[key] = L.write_csv(_TEXT[name](t), f"{shared_dir(spark).rstrip('/')}/linepulse/export/{tag}/{name}")
     return _EXPORTS[key]
 
 
 @query("read_products", "S01", """
 SELECT CAST(product_id AS VARCHAR) AS product_id, flavor, size, min_batch_time FROM products""")
 def read_products(t):
-    return L.read_products(t.spark, exported(t)["products"])
+    return L.read_products(t.spark, exported(t, "products"))
 
 
 @query("read_batches", "S02", """
 SELECT batch_id, prod_date, CAST(product_id AS VARCHAR) AS product_id, operator_name, start_min, end_min, duration_min,
        shift, status FROM batches""")
 def read_batches(t):
-    return L.read_batches(t.spark, exported(t)["batches"])
+    return L.read_batches(t.spark, exported(t, "batches"))
 
 
 @query("read_factors", "S03", "SELECT factor_id, description, operator_error FROM factors")
 def read_factors(t):
-    return L.read_factors(t.spark, exported(t)["factors"])
+    return L.read_factors(t.spark, exported(t, "factors"))
 
 
 @query("read_incidents", "S04", "SELECT downtime_id, batch_id, factor_id, downtime_min FROM incidents")
 def read_incidents(t):
-    return L.read_incidents(t.spark, exported(t)["incidents"])
+    return L.read_incidents(t.spark, exported(t, "incidents"))
 
 
 @query("read_all", "S05", """
@@ -64,11 +65,10 @@ UNION ALL SELECT 'batches', COUNT(*) FROM batches
 UNION ALL SELECT 'incidents', COUNT(*) FROM incidents
 UNION ALL SELECT 'factors', COUNT(*) FROM factors""")
 def read_all(t):
-    paths = exported(t)
-    frames = [("products", L.read_products(t.spark, paths["products"])),
-              ("batches", L.read_batches(t.spark, paths["batches"])),
-              ("incidents", L.read_incidents(t.spark, paths["incidents"])),
-              ("factors", L.read_factors(t.spark, paths["factors"]))]
+    frames = [("products", L.read_products(t.spark, exported(t, "products"))),
+              ("batches", L.read_batches(t.spark, exported(t, "batches"))),
+              ("incidents", L.read_incidents(t.spark, exported(t, "incidents"))),
+              ("factors", L.read_factors(t.spark, exported(t, "factors")))]
     out = None
     for name, df in frames:
         one = df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
@@ -82,7 +82,7 @@ WIDE_SQL = ", ".join(f"CAST(SUM(CASE WHEN factor_id = {k} THEN downtime_min END)
 
 @query("read_wide_downtime", "S06", f"SELECT batch_id, {WIDE_SQL} FROM incidents GROUP BY batch_id")
 def read_wide_downtime(t):
-    return L.read_wide_downtime(t.spark, exported(t)["wide"])
+    return L.read_wide_downtime(t.spark, exported(t, "wide"))
 
 
 @query("unpivot_downtime", "S07", f"""
@@ -92,7 +92,7 @@ SELECT CAST(ROW_NUMBER() OVER (ORDER BY batch_id, CAST(substr(factor_col, 3) AS
        batch_id, CAST(substr(factor_col, 3) AS INTEGER) AS factor_id, CAST(m AS INTEGER) AS downtime_min
 FROM l WHERE m IS NOT NULL""")
 def unpivot_downtime(t):
-    long = L.unpivot_downtime(L.read_wide_downtime(t.spark, exported(t)["wide"]))
+    long = L.unpivot_downtime(L.read_wide_downtime(t.spark, exported(t, "wide")))
     return dense_index(long, ["batch_id", "factor_id"], "downtime_id").select(
         F.col("downtime_id").cast("long"), "batch_id", "factor_id", "downtime_min")
 
@@ -107,10 +107,10 @@ def cast_types(t):
 
     The export is dirtied by fixed rules first (an impossible date on every 41st batch, an
     impossible clock time on every 43rd start) so that the failure counts are exercised."""
-    raw = _dirty_text(L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS))
+    raw = _dirty_text(L.read_text(t.spark, exported(t, "batches"), L.BATCH_HEADERS))
     pairs = [("prod_date", "Date", L.parse_date("Date")), ("start_min", "Start Time", L.clock_minutes("Start Time")),
              ("end_min", "End Time", L.clock_minutes("End Time")),
-             ("duration_min", "Production Duration", L.clock_minutes("Production Duration"))]
+             ("duration_min", "Production Duration", L.duration_minutes("Production Duration"))]
     aggs = [F.count(F.lit(1)).alias("row_count")] + [
         F.count(F.when(F.col(src).isNotNull() & e.isNull(), 1)).alias(f"failed_{n}") for n, src, e in pairs]
     return raw.agg(*aggs).select(F.lit("batches").alias("table_name"), "*")
@@ -130,5 +130,5 @@ def _dirty_text(raw):
 SELECT batch_id, CASE WHEN batch_id % 41 = 0 THEN NULL ELSE prod_date END AS prod_date FROM batches""")
 def parse_dates(t):
     """Month-first date text with junk in some rows: unparseable text becomes NULL."""
-    raw = _dirty_text(L._read(t.spark, exported(t)["batches"], L.BATCH_HEADERS))
+    raw = _dirty_text(L.read_text(t.spark, exported(t, "batches"), L.BATCH_HEADERS))
     return raw.select(F.col("Batch").try_cast("long").alias("batch_id"), L.parse_date("Date").alias("prod_date"))

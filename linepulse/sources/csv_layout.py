@@ -10,7 +10,7 @@ ends are accepted by the reader):
     incidents  Downtime_id, Batch, Fact_id, DownTime_MIn
     factors    Factor_ID, Description, Operator Error
 
-Readers never infer: every column is read as text with an explicit schema, then converted in one
+Readers never infer types: every column is found by its header name and read as text, then converted in one
 typed step (``parse_*``) whose failures become NULL and can be counted.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linepulse.functions.expr import c
 
@@ -31,14 +30,11 @@ FACTOR_HEADERS = ["Factor_ID", "Description", "Operator Error"]
 STATUS_TEXT = {"ON TIME": "On Time", "DELAY": "Delayed"}
 DATE_FORMAT = "M/d/yyyy"
 N_FACTORS = 12
-
-
-def _text_schema(headers) -> T.StructType:
-    return T.StructType([T.StructField(h, T.StringType(), True) for h in headers])
+MAX_FACTORS = 1000
 
 
 def clock_text(minutes) -> Column:
-    """Minutes (of the day, or a duration) printed as 'h:mm:ss AM'."""
+    """Minutes of the day printed as 'h:mm:ss AM'."""
     m = c(minutes)
     h = F.floor(m / 60).cast("int") % 24
     return F.format_string("%d:%02d:00 %s", ((h + 11) % 12 + 1), (m % 60).cast("int"),
@@ -51,6 +47,19 @@ def clock_minutes(text) -> Column:
     return (F.hour(ts) * 60 + F.minute(ts)).cast("int")
 
 
+def duration_text(minutes) -> Column:
+    """A duration printed as a clock time, as the line does; from 24 hours on as 'h:mm:ss' without AM or PM."""
+    m = c(minutes)
+    return F.when(m < 24 * 60, clock_text(m)).otherwise(F.format_string("%d:%02d:00", F.floor(m / 60).cast("long"), (m % 60).cast("int")))
+
+
+def duration_minutes(text) -> Column:
+    """The minutes of ``duration_text`` (NULL when unparseable)."""
+    t = F.trim(c(text))
+    hours, minutes = (F.regexp_extract(t, r"^(\d+):(\d\d):\d\d$", k).try_cast("int") for k in (1, 2))
+    return F.coalesce(clock_minutes(t), hours * 60 + minutes)
+
+
 def parse_date(text, fmt: str = DATE_FORMAT) -> Column:
     return F.try_to_timestamp(F.trim(c(text)), F.lit(fmt)).cast("date")
 
@@ -66,7 +75,7 @@ def batches_text(b: DataFrame) -> DataFrame:
     status = F.create_map(*[F.lit(x) for kv in STATUS_TEXT.items() for x in kv])[F.col("status")]
     return b.select(F.col("batch_id").cast("string"), F.date_format("prod_date", DATE_FORMAT),
                     F.col("product_id").cast("string"), "operator_name", clock_text("start_min"),
-                    clock_text("end_min"), clock_text("duration_min"), "shift", status).toDF(*BATCH_HEADERS)
+                    clock_text("end_min"), duration_text("duration_min"), "shift", status).toDF(*BATCH_HEADERS)
 
 
 def incidents_text(i: DataFrame) -> DataFrame:
@@ -78,9 +87,16 @@ def factors_text(f: DataFrame) -> DataFrame:
     return f.select(F.col("factor_id").cast("string"), "description", "operator_error").toDF(*FACTOR_HEADERS)
 
 
-def wide_downtime(i: DataFrame) -> DataFrame:
-    """batch x factor 1..12 matrix of downtime minutes (NULL where a batch had none)."""
-    ids = list(range(1, N_FACTORS + 1))
+def wide_downtime(i: DataFrame, factors: DataFrame) -> DataFrame:
+    """batch x factor matrix of downtime minutes (NULL where a batch had none).
+
+    One column ``f_<id>`` for each factor of the sheet (1..12), of the factor table and of the incidents, so that no
+    minute is left out.  The ids are the columns of a sheet: more than MAX_FACTORS raise an error.
+    """
+    found = factors.select("factor_id").unionByName(i.select("factor_id")).where("factor_id IS NOT NULL").distinct().limit(MAX_FACTORS + 1).collect()
+    ids = sorted({*range(1, N_FACTORS + 1), *(r[0] for r in found)})
+    if len(ids) > MAX_FACTORS:
+        raise ValueError(f"more than {MAX_FACTORS} factors do not fit a wide sheet")
     w = i.groupBy("batch_id").pivot("factor_id", ids).agg(F.sum("downtime_min"))
     return w.select("batch_id", *[F.col(str(k)).cast("long").alias(f"f_{k}") for k in ids])
 
@@ -92,13 +108,37 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 # --- readers (text layout -> canonical) -----------------------------------------------------
 
-def _read(spark: SparkSession, path: str, headers) -> DataFrame:
-    return (spark.read.schema(_text_schema(headers)).option("header", True).option("encoding", "UTF-8")
-            .option("mode", "PERMISSIVE").csv(path))
+def read_text(spark: SparkSession, path: str, headers: list[str] | None = None, banner: bool = False) -> DataFrame:
+    """The file's columns as text, found by the names in its header row (in any order).
+
+    A byte-order mark and blanks around names are ignored.  A column that is missing, or a name that stands
+    twice, raises an error; with ``headers`` only these columns come out.  ``banner``: a title row stands above the header.
+    """
+    if banner:
+        return _below_banner(spark, path, headers)
+    raw = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
+    names = [x.lstrip("\ufeff").strip() for x in raw.columns]
+    return _by_name(raw.toDF(*[f"_c{k}" for k in range(len(names))]), names, headers, path)
+
 
+def _by_name(raw: DataFrame, names: list[str], headers: list[str] | None, path: str) -> DataFrame:
+    wanted = names if headers is None else headers
+    for h in wanted:
+        if names.count(h) != 1:
+            raise ValueError(f"{path}: column {h!r} stands {names.count(h)} times in the header {names}")
+    return raw.select(*[F.col(f"_c{names.index(h)}").alias(h) for h in wanted])
 
-def _strip_bom(df: DataFrame) -> DataFrame:
-    return df.toDF(*[x.lstrip("﻿").strip() for x in df.columns])
+
+def _below_banner(spark: SparkSession, path: str, headers: list[str] | None) -> DataFrame:
+    """Every file begins with the title row, then the header row; both are the same in all files of a folder."""
+    lines = spark.read.option("encoding", "UTF-8").text(path).select(F.regexp_replace("value", "[\\x{FEFF}\r]", "").alias("value"))
+    top = [r[0] for r in lines.limit(2).collect()]
+    if len(top) < 2:
+        raise ValueError(f"{path}: no header below the title row")
+    names = [x.strip().strip('"') for x in top[1].split(",")]
+    fields = F.from_csv("value", F.lit(", ".join(f"_c{k} STRING" for k in range(len(names)))))
+    rows = lines.where(~F.col("value").isin(*top)).select(fields.alias("x")).select("x.*")
+    return _by_name(rows, names, headers, path)
 
 
 def parse_products(raw: DataFrame) -> DataFrame:
@@ -112,7 +152,7 @@ def parse_batches(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("Batch").try_cast("long").alias("batch_id"), parse_date("Date").alias("prod_date"),
                       F.trim("Product_id").alias("product_id"), F.col("Operator_Name").alias("operator_name"),
                       clock_minutes("Start Time").alias("start_min"), clock_minutes("End Time").alias("end_min"),
-                      clock_minutes("Production Duration").alias("duration_min"), F.col("Shift").alias("shift"),
+                      duration_minutes("Production Duration").alias("duration_min"), F.col("Shift").alias("shift"),
                       status.alias("status"))
 
 
@@ -128,38 +168,33 @@ def parse_factors(raw: DataFrame) -> DataFrame:
                       F.col("Operator Error").alias("operator_error"))
 
 
-def read_products(spark, path) -> DataFrame:
-    return parse_products(_strip_bom(_read(spark, path, PRODUCT_HEADERS)))
+def read_products(spark, path, banner: bool = False) -> DataFrame:
+    return parse_products(read_text(spark, path, PRODUCT_HEADERS, banner))
 
 
-def read_batches(spark, path) -> DataFrame:
-    return parse_batches(_strip_bom(_read(spark, path, BATCH_HEADERS)))
+def read_batches(spark, path, banner: bool = False) -> DataFrame:
+    return parse_batches(read_text(spark, path, BATCH_HEADERS, banner))
 
 
-def read_incidents(spark, path) -> DataFrame:
-    return parse_incidents(_strip_bom(_read(spark, path, INCIDENT_HEADERS)))
+def read_incidents(spark, path, banner: bool = False) -> DataFrame:
+    return parse_incidents(read_text(spark, path, INCIDENT_HEADERS, banner))
 
 
-def read_factors(spark, path) -> DataFrame:
-    return parse_factors(_strip_bom(_read(spark, path, FACTOR_HEADERS)))
+def read_factors(spark, path, banner: bool = False) -> DataFrame:
+    return parse_factors(read_text(spark, path, FACTOR_HEADERS, banner))
 
 
-def read_wide_downtime(spark, path) -> DataFrame:
-    schema = T.StructType([T.StructField("batch_id", T.LongType(), True)]
-                          + [T.StructField(f"f_{k}", T.LongType(), True) for k in range(1, N_FACTORS + 1)])
-    return spark.read.schema(schema).option("header", True).csv(path)
+def read_wide_downtime(spark, path, banner: bool = False) -> DataFrame:
+    """batch_id and every factor column that the header names."""
+    raw = read_text(spark, path, banner=banner)
+    if "batch_id" not in raw.columns:
+        raise ValueError(f"{path}: no column 'batch_id' in the header {raw.columns}")
+    return raw.select(*[F.col(x).try_cast("long").alias(x) for x in raw.columns if x == "batch_id" or x.startswith("f_")])
 
 
 def unpivot_downtime(wide: DataFrame) -> DataFrame:
     """Wide matrix -> long incidents (batch_id, factor_id, downtime_min), empty cells dropped."""
-    cols = [f"f_{k}" for k in range(1, N_FACTORS + 1)]
+    cols = [x for x in wide.columns if x.startswith("f_")]
     long = wide.unpivot(["batch_id"], cols, "factor_col", "downtime_min").filter(F.col("downtime_min").isNotNull())
-    return long.select("batch_id", F.substring("factor_col", 3, 3).cast("int").alias("factor_id"),
+    return long.select("batch_id", F.substring("factor_col", 3, 20).cast("int").alias("factor_id"),
                        F.col("downtime_min").cast("int").alias("downtime_min"))
-
-
-def parse_failures(parsed: DataFrame, raw: DataFrame, pairs) -> DataFrame:
-    """Count values present in text but NULL after parsing, per column (one aggregate)."""
-    del parsed
-    aggs = [F.count(F.when(F.col(src).isNotNull() & expr.isNull(), 1)).alias(f"failed_{name}") for name, src, expr in pairs]
-    return raw.agg(*aggs)

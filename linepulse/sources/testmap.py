@@ -9,27 +9,26 @@ Canonical schema
               shift, status
     products  product_id, flavor, size, size_l, min_batch_time
     incidents downtime_id, batch_id, factor_id, downtime_min
-    factors   factor_id, description, operator_error
-
-``load`` builds the tables once per session and data folder and writes them to the shared
-folder as Parquet, together with two derived tables that remove the fact-to-fact join from every
-report: per-batch downtime totals on the batches, and the incident detail (each incident with its
-batch's attributes).  The facts are deliberately not bucketed on ``batch_id``: a batch holding a
-third of all incidents would make one bucket (and one task) hold a third of the data.
+    factors   factor_id, description, operator_error (the factors of the suppliers table)
+
+``load`` gives tables that are built on first use, each by itself, and written to the shared folder as Parquet.  Two derived
+tables remove the fact-to-fact join from every report: per-batch downtime totals on the batches (which also carry
+their product's attributes, joined once), and the incident detail (each incident with its batch's attributes).  Only
+the incidents' dense ids need a sort of the incidents, and only reports that read incidents or their detail wait for it.  The facts are
+deliberately not bucketed on ``batch_id``: a batch holding a third of all incidents would make one bucket (and
+one task) hold a third of the data.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from linepulse.functions.expr import minute_of_day, shift_of, status_of
-from linepulse.functions.scale import apply_offsets, dense_index, partition_offsets, range_tag
+from linepulse.functions.scale import apply_offsets, partition_offsets, range_tag
 from linepulse.session import shared_dir
 
 # The line's downtime factor list (id, description, operator error flag).
@@ -47,11 +46,6 @@ FACTORS = [
     (11, "Label switch", "Yes"),
     (12, "Other", "No"),
 ]
-FACTOR_SCHEMA = T.StructType([
-    T.StructField("factor_id", T.IntegerType(), False),
-    T.StructField("description", T.StringType(), True),
-    T.StructField("operator_error", T.StringType(), True),
-])
 
 # Test-table mapping parameters.
 PRODUCT_MODULUS = 200        # batches.product_id = event_id % 200
@@ -64,6 +58,8 @@ INCIDENT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_qua
 BATCH_COLS = ["batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min", "duration_min",
               "shift", "status"]
 INCIDENT_COLS = ["downtime_id", "factor_id", "downtime_min"]
+PRODUCT_ATTRS = ["flavor", "size", "size_l", "min_batch_time"]
+FACTOR_ATTRS = ["description", "operator_error"]
 
 
 @dataclass
@@ -81,8 +77,20 @@ class Tables:
         return self.b.sparkSession
 
 
-def factors_df(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(FACTORS, FACTOR_SCHEMA)
+def factors_from_supplier(supplier: DataFrame) -> DataFrame:
+    """The factors that the suppliers stand for, labelled by the line's list (an id beyond it is 'Factor <id>')."""
+    ids = supplier.select((F.col("s_suppkey") % 12 + 1).cast("int").alias("factor_id")).distinct()
+    return label_factors(ids)
+
+
+def label_factors(ids: DataFrame) -> DataFrame:
+    def of(k: int):
+        out = F.when(F.col("factor_id") == FACTORS[0][0], FACTORS[0][k])
+        for row in FACTORS[1:]:
+            out = out.when(F.col("factor_id") == row[0], row[k])
+        return out
+    return ids.select("factor_id", of(1).otherwise(F.concat(F.lit("Factor "), F.col("factor_id").cast("string"))).alias("description"),
+                      of(2).otherwise(F.lit("No")).alias("operator_error"))
 
 
 def products_from_part(part: DataFrame) -> DataFrame:
@@ -97,7 +105,8 @@ def products_from_part(part: DataFrame) -> DataFrame:
     )
 
 
-def batches_from_events(events: DataFrame, products: DataFrame) -> DataFrame:
+def batches_with_product(events: DataFrame, products: DataFrame) -> DataFrame:
+    """Batches with their product's attributes (NULL where the product is unknown); the one join with products."""
     raw = events.select(
         F.col("event_id").alias("batch_id"),
         F.col("ts").cast("date").alias("prod_date"),
@@ -106,13 +115,18 @@ def batches_from_events(events: DataFrame, products: DataFrame) -> DataFrame:
         minute_of_day("ts").cast("int").alias("start_min"),
         F.floor("value").cast("int").alias("duration_min"),
     )
-    targets = products.select("product_id", "min_batch_time")
-    return (raw.join(targets, "product_id", "left")
+    prod = products.select("product_id", *PRODUCT_ATTRS).withColumn("has_product", F.lit(True))
+    return (raw.join(prod, "product_id", "left")
                .select("batch_id", "prod_date", "product_id", "operator_name", "start_min",
                        ((F.col("start_min") + F.col("duration_min")) % 1440).cast("int").alias("end_min"),
                        "duration_min",
                        shift_of("start_min").alias("shift"),
-                       status_of("duration_min", "min_batch_time").alias("status")))
+                       status_of("duration_min", "min_batch_time").alias("status"),
+                       *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product")))
+
+
+def batches_from_events(events: DataFrame, products: DataFrame) -> DataFrame:
+    return batches_with_product(events, products).select(*BATCH_COLS)
 
 
 def _incident_columns() -> list:
@@ -121,12 +135,6 @@ def _incident_columns() -> list:
             F.floor(F.col("l_quantity") * (F.lit(1) + F.col("l_suppkey") % 4) / 2).cast("int").alias("downtime_min")]
 
 
-def incidents_from_lineitem(lineitem: DataFrame) -> DataFrame:
-    """Incidents with a dense id in the full line-item order (checkpointed numbering)."""
-    numbered = dense_index(lineitem.select(*INCIDENT_ORDER), INCIDENT_ORDER, "downtime_id")
-    return numbered.select(F.col("downtime_id").cast("long"), *_incident_columns())
-
-
 def incidents_tagged(lineitem: DataFrame) -> DataFrame:
     """Incident columns range-sorted in the line-item order and tagged for numbering (lazy)."""
     tagged = range_tag(lineitem.select(*INCIDENT_ORDER), INCIDENT_ORDER)
@@ -138,106 +146,151 @@ def incidents_numbered(tagged: DataFrame, offsets: DataFrame) -> DataFrame:
         F.col("downtime_id").cast("long"), "batch_id", "factor_id", "downtime_min")
 
 
-def build(spark: SparkSession, sf_dir: str) -> Tables:
-    """Lazy canonical tables straight from the test tables (no materialisation)."""
-    read = lambda name: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    p = products_from_part(read("part"))
-    b = batches_from_events(read("events"), p)
-    i = incidents_from_lineitem(read("lineitem"))
-    return Tables(b=b, p=p, i=i, f=factors_df(spark), sf_dir=sf_dir)
-
-
-PRODUCT_ATTRS = ["flavor", "size", "size_l", "min_batch_time"]
-FACTOR_ATTRS = ["description", "operator_error"]
-
-
-def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame) -> DataFrame:
-    """Batches with their downtime totals (NULL / 0 when none) and their product's attributes.
+def with_totals(bp: DataFrame, i: DataFrame) -> DataFrame:
+    """Batches with their downtime totals (NULL / 0 when none).
 
     Incidents are aggregated per batch first (partial aggregation: a batch holding a third of all
-    incidents is combined map-side), so that join is one row per batch on both sides; the product
-    attributes are attached once here instead of in every report (``has_product`` tells whether
-    the product exists)."""
+    incidents is combined map-side), so the join is one row per batch on both sides."""
     per = i.groupBy("batch_id").agg(F.sum("downtime_min").alias("total_downtime"),
                                     F.count(F.lit(1)).alias("incident_count"))
+    return (bp.join(per, "batch_id", "left")
+              .select(*BATCH_COLS, "total_downtime",
+                      F.coalesce(F.col("incident_count"), F.lit(0)).cast("long").alias("incident_count"),
+                      *PRODUCT_ATTRS, "has_product"))
+
+
+def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame) -> DataFrame:
+    """``with_totals`` for batches that carry no product attributes yet."""
     prod = p.select("product_id", *PRODUCT_ATTRS).withColumn("has_product", F.lit(True))
-    return (b.join(per, "batch_id", "left").join(prod, "product_id", "left")
-             .select(*BATCH_COLS, "total_downtime",
-                     F.coalesce(F.col("incident_count"), F.lit(0)).cast("long").alias("incident_count"),
-                     *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product")))
+    bp = b.join(prod, "product_id", "left").select(
+        *BATCH_COLS, *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product"))
+    return with_totals(bp, i)
 
 
-def incident_detail(i: DataFrame, wide_b: DataFrame, f: DataFrame) -> DataFrame:
+def incident_detail(i: DataFrame, bp: DataFrame, f: DataFrame) -> DataFrame:
     """Every incident with its batch's attributes, its product's and its factor's (NULL where unknown).
 
     The one fact-to-fact join of the model, run once when the tables are built.  Incidents are the
     preserved (left) side, which AQE may split when one batch holds a large share of incidents.
     """
-    attrs = wide_b.select(*BATCH_COLS, *PRODUCT_ATTRS, "has_product").withColumn("matched", F.lit(True))
+    attrs = bp.select(*BATCH_COLS, *PRODUCT_ATTRS, "has_product").withColumn("matched", F.lit(True))
     fac = f.select("factor_id", *FACTOR_ATTRS).withColumn("has_factor", F.lit(True))
     return (i.select("batch_id", *INCIDENT_COLS).join(attrs, "batch_id", "left")
-             .join(F.broadcast(fac), "factor_id", "left")
+             .join(fac, "factor_id", "left")
              .select("batch_id", *INCIDENT_COLS, *[c for c in BATCH_COLS if c != "batch_id"], *PRODUCT_ATTRS,
                      *FACTOR_ATTRS,
                      *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("matched", "has_product", "has_factor")]))
 
 
-_CACHE: dict[tuple, Tables] = {}
-_LOCATIONS: dict[int, str] = {}
+class StoredTables:
+    """Canonical tables of a data folder, each built and written to the shared folder on first use.
 
+    A table is built again when the files that it comes from have changed (path, size, time).
+    """
 
-def load(spark: SparkSession, sf_dir: str) -> Tables:
-    """Canonical tables written once to the shared folder, then read back.
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:10]
+        self.root = f"{shared_dir(spark).rstrip('/')}/linepulse/{tag}"
+        self._made: dict[str, tuple[str, DataFrame]] = {}
 
-    Written: products, incidents (with their dense id), batches with per-batch totals and product
-    attributes, and the incident detail (incidents with batch, product and factor attributes).
-    Every report then scans these: no report joins the two facts again, and only reports that
-    start from the products dimension itself join it.
-    """
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key in _CACHE:
-        return _CACHE[key]
-    base = shared_dir(spark)
-    tag = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:10]
-    root = os.path.join(base, "linepulse", tag) if "://" not in base else f"{base}/linepulse/{tag}"
-    read = lambda name: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-
-    def put(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-        return spark.read.parquet(f"{root}/{name}")
-
-    p = put(products_from_part(read("part")), "products")
-    b0 = batches_from_events(read("events"), p)
-    # incidents are written once, tagged by the range sort; the dense id is the tag plus the
-    # offset of its partition (a one-row-per-partition table).  The numbered incidents are then
-    # stored inside the incident detail (which keeps every incident), so reports read the
-    # incidents as a projection of the detail, without any join.
-    raw = put(incidents_tagged(read("lineitem")), "incidents_tagged")
-    offsets = put(partition_offsets(raw), "incident_offsets")
-    i0 = incidents_numbered(raw, offsets)
-    f = factors_df(spark)
-    bt = put(wide_batches(b0, i0, p), "batches")
-    b = bt.select(*BATCH_COLS)
-    d = put(incident_detail(i0, bt, f), "incident_detail")
-    i = d.select("downtime_id", "batch_id", "factor_id", "downtime_min")
-    t = Tables(b=b, p=p, i=i, f=f, sf_dir=sf_dir, bt=bt, d=d)
-    _CACHE[key] = t
-    _LOCATIONS[id(t)] = root
-    return t
-
-
-def incidents_location(t: Tables) -> str:
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def _read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+    def _stored(self, name: str, sources: list[str], make) -> DataFrame:
+        state = hashlib.sha1("".join(listing(self.spark, self.path(x)) for x in sources).encode()).hexdigest()[:12]
+        if self._made.get(name, ("", None))[0] != state:
+            at = f"{self.root}/{name}-{state}"
+            make().write.mode("overwrite").parquet(at)
+            self._made[name] = (state, self.spark.read.parquet(at))
+        return self._made[name][1]
+
+    def location(self, name: str) -> str:
+        """Folder of a table that has been built."""
+        return f"{self.root}/{name}-{self._made[name][0]}"
+
+    @property
+    def built(self) -> list[str]:
+        return sorted(self._made)
+
+    @property
+    def p(self) -> DataFrame:
+        return self._stored("products", ["part"], lambda: products_from_part(self._read("part")))
+
+    @property
+    def f(self) -> DataFrame:
+        return self._stored("factors", ["supplier"], lambda: factors_from_supplier(self._read("supplier")).coalesce(1))
+
+    @property
+    def _bp(self) -> DataFrame:
+        return self._stored("batches", ["events", "part"], lambda: batches_with_product(self._read("events"), self.p))
+
+    @property
+    def b(self) -> DataFrame:
+        return self._bp.select(*BATCH_COLS)
+
+    @property
+    def bt(self) -> DataFrame:
+        return self._stored("batches_wide", ["events", "part", "lineitem"],
+                            lambda: with_totals(self._bp, self._read("lineitem").select(*_incident_columns())))
+
+    @property
+    def i(self) -> DataFrame:
+        # written once, tagged by the range sort; the dense id is the tag plus the offset of its
+        # partition (a table of one row per partition)
+        tagged = self._stored("incidents_tagged", ["lineitem"], lambda: incidents_tagged(self._read("lineitem")))
+        offsets = self._stored("incident_offsets", ["lineitem"], lambda: partition_offsets(tagged))
+        return incidents_numbered(tagged, offsets)
+
+    @property
+    def d(self) -> DataFrame:
+        return self._stored("incident_detail", ["events", "part", "lineitem", "supplier"],
+                            lambda: incident_detail(self.i, self._bp, self.f))
+
+    def release(self) -> None:
+        """Delete what was written for this data folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self._made.clear()
+
+
+def listing(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files at a path, in any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return ";".join(sorted(f"{x.getPath()},{x.getLen()},{x.getModificationTime()}" for x in files))
+
+
+_TABLES: dict[tuple, StoredTables] = {}
+
+
+def load(spark: SparkSession, sf_dir: str) -> StoredTables:
+    """The canonical tables of a data folder; nothing is built before it is used."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _TABLES:
+        _TABLES[key] = StoredTables(spark, sf_dir.rstrip("/"))
+    return _TABLES[key]
+
+
+def incidents_location(t: StoredTables) -> str:
     """Folder of the written incident records (the incident detail keeps every incident)."""
-    return f"{_LOCATIONS[id(t)]}/incident_detail"
+    _ = t.d
+    return t.location("incident_detail")
 
 
-def batches_location(t: Tables) -> str:
-    return f"{_LOCATIONS[id(t)]}/batches"
+def batches_location(t: StoredTables) -> str:
+    _ = t.bt
+    return t.location("batches_wide")
 
 
-def _factor_values_sql() -> str:
-    rows = ", ".join(f"({fid}, '{d}', '{e}')" for fid, d, e in FACTORS)
-    return f"SELECT * FROM (VALUES {rows}) AS t(factor_id, description, operator_error)"
+def _factor_sql() -> str:
+    def of(k: int, other: str) -> str:
+        return "CASE factor_id " + " ".join(f"WHEN {row[0]} THEN '{row[k]}'" for row in FACTORS) + f" ELSE {other} END"
+    return (f"SELECT factor_id, {of(1, chr(39) + 'Factor ' + chr(39) + ' || factor_id')} AS description, {of(2, chr(39) + 'No' + chr(39))} AS operator_error "
+            "FROM (SELECT DISTINCT CAST(s_suppkey % 12 + 1 AS INTEGER) AS factor_id FROM supplier) s")
 
 
 # The same mapping and the shared marts in plain SQL for the oracle engine.  Every oracle
@@ -269,7 +322,7 @@ incidents AS (
          CAST(l_suppkey % 12 + 1 AS INTEGER) AS factor_id,
          CAST(FLOOR(l_quantity * (1 + l_suppkey % 4) / 2) AS INTEGER) AS downtime_min
   FROM lineitem),
-factors AS ({_factor_values_sql()}),
+factors AS ({_factor_sql()}),
 bp AS (
   SELECT b.*, p.flavor, p.size, p.size_l, p.min_batch_time, b.duration_min - p.min_batch_time AS delay
   FROM batches b JOIN products p ON b.product_id = p.product_id),

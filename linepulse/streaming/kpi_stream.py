@@ -38,8 +38,8 @@ BATCH_SCHEMA = T.StructType([
 
 
 def factor_downtime_aggregate(incidents: DataFrame, factors: DataFrame) -> DataFrame:
-    """Streaming-safe aggregate: incidents x factors (broadcast) -> per factor count and minutes."""
-    return (incidents.join(F.broadcast(factors), "factor_id")
+    """Streaming-safe aggregate: incidents x factors -> per factor count and minutes."""
+    return (incidents.join(factors, "factor_id")
                      .groupBy("description")
                      .agg(F.count(F.lit(1)).alias("incidents"), F.sum("downtime_min").alias("total_min")))
 
