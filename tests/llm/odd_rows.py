@@ -1,4 +1,6 @@
-"""Rows with everything that may go wrong."""
+"""Rows with everything that may go wrong, as fixtures to import."""
+
+import pytest
 
 SHAPE = "doc_id long, text string, lang string, source string, n_chars long, n_words long, size long, digest string, bucket int, `a.b` int"
 
@@ -18,3 +20,14 @@ def rows():
     out = [(i, t, ["en", "de", None][i % 3], ["a", "b", "c", None][i % 4], 0, 1, 2, "d", 3, 4) for i, t in enumerate(texts)]
     return out + [out[6], out[6], (6, "another text under the same id", "en", "a", 0, 1, 2, "d", 3, 4), (None, "no id here at all", "en", "a", 0, 1, 2, "d", 3, 4),
                   (None, None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    """Documents with everything that may go wrong, and further columns whose names the operators use themselves."""
+    return spark.createDataFrame(rows(), SHAPE).repartition(3).cache()
+
+
+@pytest.fixture(scope="session")
+def none(spark):
+    return spark.createDataFrame([], SHAPE)

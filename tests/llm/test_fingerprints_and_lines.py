@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+from odd_rows import none, odd  # noqa: F401
 from pyspark.sql import functions as F
 
 from linepulse.llm import quality_lines, winnowing

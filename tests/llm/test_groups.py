@@ -3,7 +3,7 @@ import random
 import re
 
 import pytest
-from odd_rows import rows, sentence
+from odd_rows import none, odd, rows, sentence  # noqa: F401
 from pyspark.sql import functions as F
 
 from linepulse.llm import chat, components, mixing, near_dedup

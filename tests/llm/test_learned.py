@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from odd_rows import none, odd  # noqa: F401
 
 from linepulse.llm import language_id, toxicity
 from linepulse.llm.common import fold

@@ -5,7 +5,7 @@ from array import array
 
 import numpy as np
 import pytest
-from odd_rows import rows
+from odd_rows import none, odd, rows  # noqa: F401
 
 from linepulse.llm import bpe_automaton, chunks, huffman_ids, token_counts
 from linepulse.llm.common import tokenizer_file
