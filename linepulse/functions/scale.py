@@ -86,6 +86,25 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(r, cond, how).drop(*[f"_lp_k_{k}" for k in keys])
 
 
+def _plain_keys(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``df`` with one column of plain equality for each key: its text behind a mark, or the mark of NULL.
+
+    A join and a window on these columns need the same distribution, so the rows are shuffled once for both (a
+    null-safe join hashes on other expressions than a window over the keys does).
+    """
+    names = [f"_lp_e_{n}" for n in range(len(keys))]
+    return df.select("*", *[F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("0")).alias(n) for k, n in zip(keys, names)]), names
+
+
+def _beside(df: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner") -> tuple[DataFrame, list[str]]:
+    """``df`` joined to a per-bucket table on plain key columns, which stay for the window."""
+    if not keys:
+        raise ValueError("a split window needs at least one bucket column")
+    left, names = _plain_keys(df, keys)
+    right, _ = _plain_keys(small, keys)
+    return left.join(right.drop(*keys), names, how), names
+
+
 def seq_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Sequence[str], name: str,
                descending: bool = False) -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY part ORDER BY order) computed per (part, bucket).
@@ -103,9 +122,9 @@ def seq_number(df: DataFrame, part: Sequence[str], order: Sequence, bucket: Sequ
         bo = [F.col(b).desc() if descending else F.col(b).asc() for b in bucket]
         wb = Window.partitionBy(*part).orderBy(*bo).rowsBetween(Window.unboundedPreceding, -1)
         offsets = counts.select(*part, *bucket, F.coalesce(F.sum("_lp_n").over(wb), F.lit(0)).alias("_lp_off"))
-    joined = _null_safe_join(df, offsets, part + bucket)
-    wi = Window.partitionBy(*part, *bucket).orderBy(*ordered)
-    return joined.withColumn(name, (F.row_number().over(wi) + F.col("_lp_off")).cast("int")).drop("_lp_off")
+    joined, plain = _beside(df, offsets, part + bucket)
+    wi = Window.partitionBy(*plain).orderBy(*ordered)
+    return joined.withColumn(name, F.row_number().over(wi) + F.col("_lp_off")).drop("_lp_off", *plain)
 
 
 def _shift(df: DataFrame, part, order, bucket, cols: Sequence[str], names: Sequence[str], lead: bool) -> DataFrame:
@@ -124,15 +143,15 @@ def _shift(df: DataFrame, part, order, bucket, cols: Sequence[str], names: Seque
         wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket])
         nb = (F.lead if lead else F.lag)("_lp_edge").over(wb)
         neighbours = edges.select(*part, *bucket, nb.alias("_lp_nb"))
-    joined = _null_safe_join(df, neighbours, part + bucket, "left")
-    wi = Window.partitionBy(*part, *bucket).orderBy(*ordered)
-    wcount = Window.partitionBy(*part, *bucket)
+    joined, plain = _beside(df, neighbours, part + bucket, "left")
+    wi = Window.partitionBy(*plain).orderBy(*ordered)
+    wcount = Window.partitionBy(*plain)
     rn = F.row_number().over(wi)
     at_edge = (rn == F.count(F.lit(1)).over(wcount)) if lead else (rn == F.lit(1))
     fn = F.lead if lead else F.lag
     for x, nm in zip(cols, names):
         joined = joined.withColumn(nm, F.when(at_edge, F.col("_lp_nb").getField(x)).otherwise(fn(x).over(wi)))
-    return joined.drop("_lp_nb")
+    return joined.drop("_lp_nb", *plain)
 
 
 def seq_lag(df, part, order, bucket, cols, names) -> DataFrame:
@@ -166,8 +185,8 @@ def seq_cumsum(df: DataFrame, part, order, bucket, col: str, name: str, exclusiv
     else:
         wb = Window.partitionBy(*part).orderBy(*[F.col(b) for b in bucket]).rowsBetween(Window.unboundedPreceding, -1)
         before = sums.select(*part, *bucket, F.coalesce(F.sum("_lp_s").over(wb), F.lit(0)).alias("_lp_before"))
-    joined = _null_safe_join(df, before, part + bucket)
+    joined, plain = _beside(df, before, part + bucket)
     end = -1 if exclusive else Window.currentRow
-    wi = Window.partitionBy(*part, *bucket).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
+    wi = Window.partitionBy(*plain).orderBy(*ordered).rowsBetween(Window.unboundedPreceding, end)
     inner = F.coalesce(F.sum(col).over(wi), F.lit(0))
-    return joined.withColumn(name, F.col("_lp_before") + inner).drop("_lp_before")
+    return joined.withColumn(name, F.col("_lp_before") + inner).drop("_lp_before", *plain)

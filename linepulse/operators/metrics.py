@@ -108,7 +108,7 @@ def top_per_group(df: DataFrame, group, order: Sequence[Column], n: int = 1, tie
 
 
 def matrix(df: DataFrame, rows, col: str, values: Sequence, agg: Column, fill=0) -> DataFrame:
-    """Pivot with a fixed value list (never inferred), missing cells filled."""
+    """Pivot with a fixed value list (never inferred), missing cells filled; the list must hold every value of ``col``."""
     out = df.groupBy(*_cols(rows)).pivot(col, list(values)).agg(agg)
     if fill is not None:
         out = out.na.fill(fill, subset=[str(v) for v in values])
@@ -118,16 +118,3 @@ def matrix(df: DataFrame, rows, col: str, values: Sequence, agg: Column, fill=0)
 def order_by(keys: Sequence[str]) -> list[Column]:
     """Sort keys written as names; a leading ``-`` means descending."""
     return [F.col(k[1:]).desc() if k.startswith("-") else F.col(k).asc() for k in keys]
-
-
-def flag_first_n(df: DataFrame, part, order: Sequence[str], n: int, id_col: str, name: str) -> DataFrame:
-    """Boolean ``name``: row is among the first ``n`` of its group in ``order`` (names, ``-`` = desc).
-
-    Only the first n ids per group are ranked and exchanged (``row_number <= n`` becomes a
-    partial group limit before the shuffle), then flagged back with a join on ``id_col``; a hot
-    group never lands whole in one task.
-    """
-    cols = list(dict.fromkeys([*_cols(part), *[k.lstrip("-") for k in order], id_col]))
-    firsts = (top_per_group(df.select(*cols), part, order_by(order), n)
-              .select(id_col, F.lit(True).alias(name)))
-    return df.join(firsts, id_col, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))

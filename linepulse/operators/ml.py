@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.functions.expr import is_human
@@ -28,70 +28,103 @@ MISSING_TEXT = "nan"
 CODE_NAMES = {"product_id": "product_code", "operator_name": "operator_code", "shift": "shift_code"}
 
 
+BROADCAST_CODES = 50_000    # a vocabulary of at most so many values is sent to all tasks
+
+
 def encode_alphabetical(df: DataFrame, cols: Sequence[str], names: dict | None = None) -> DataFrame:
     """Each text column -> 0-based code in alphabetical order of its distinct values (missing -> 'nan').
 
-    Only the distinct values are numbered (a distributed dense index over the vocabulary, see
-    ``functions.scale.dense_index``), then joined back; the vocabulary never passes through the
-    driver or a single task.  Every vocabulary is taken from the input frame itself, so the plan
-    stays linear in the number of columns.
+    One pass collects the distinct values of all columns (map-side), which are numbered by a distributed
+    dense index per column.  A vocabulary that is counted to be small (BROADCAST_CODES) is sent to the tasks, so the
+    rows are not shuffled; a larger one is joined by shuffle, with the missing values kept out of the join (they
+    may be a third of all rows) and given their code as a literal.
     """
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT)).alias("v")) for c in cols]))
+    values = df.select(pairs.alias("x")).select("x.c", "x.v").distinct().checkpoint(eager=True)
+    sizes = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
-    for col in cols:
-        out = out.withColumn(f"_{col}_txt", F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TEXT)))
     for col in cols:
         out_name = (names or CODE_NAMES).get(col, f"{col}_code")
-        vocab = df.select(F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TEXT)).alias("_v")).distinct()
-        vocab = dense_index(vocab, ["_v"], "_ix").select(
-            F.col("_v").alias(f"_{col}_txt"), (F.col("_ix") - 1).cast("int").alias(out_name))
-        out = out.join(vocab, f"_{col}_txt", "left").drop(f"_{col}_txt")
+        vocab = dense_index(values.where(F.col("c") == col).select(F.col("v").alias("_v")), ["_v"], "_ix").select(
+            "_v", (F.col("_ix") - 1).cast("int").alias(out_name))
+        text = F.col(col).cast("string")
+        if sizes.get(col, 0) <= BROADCAST_CODES:
+            out = out.join(F.broadcast(vocab), F.coalesce(text, F.lit(MISSING_TEXT)) == F.col("_v"), "left").drop("_v")
+            continue
+        missing = vocab.where(F.col("_v") == MISSING_TEXT).first()
+        known = out.where(F.col(col).isNotNull()).join(vocab, text == F.col("_v"), "left").drop("_v")
+        rest = out.where(F.col(col).isNull()).withColumn(out_name, F.lit(missing[out_name] if missing else None).cast("int"))
+        out = known.unionByName(rest)
     return out
 
 
 def status_features(b_with_product: DataFrame) -> DataFrame:
     """Product, operator, shift, month, day, start hour, target; the end time and the actual
     duration are left out (they would leak the label)."""
-    d = b_with_product.select(
-        "batch_id", F.col("product_id").cast("string").alias("product_id"), "operator_name", "shift",
-        F.month("prod_date").alias("month"), F.dayofmonth("prod_date").alias("day"),
-        F.floor(F.col("start_min") / 60).cast("int").alias("start_hour"), "min_batch_time", "status")
-    return d
+    return b_with_product.select(*STATUS_COLUMNS[:1], F.col("product_id").cast("string").alias("product_id"), "operator_name", "shift",
+                                 *_calendar(), "min_batch_time", "status")
 
 
-def fold_of(key: str, k: int) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(key)), F.lit(k)).cast("int")
+STATUS_COLUMNS = ["batch_id", "product_id", "operator_name", "shift", "month", "day", "start_hour", "min_batch_time", "status"]
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weights n / (n_classes * n_class): one row per class (bounded by the label set)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = counts.agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    return counts.crossJoin(tot).select(label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
+def _calendar() -> list:
+    return [F.month("prod_date").alias("month"), F.dayofmonth("prod_date").alias("day"),
+            F.floor(F.col("start_min") / 60).cast("int").alias("start_hour")]
+
+
+def status_rows(b_with_product: DataFrame) -> DataFrame:
+    """The whole batches with the features of M01 beside them."""
+    return b_with_product.withColumn("product_id", F.col("product_id").cast("string")).select(
+        "batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min", "duration_min", "shift", "status",
+        *_calendar(), "min_batch_time")
+
+
+def fold_of(key: str, k: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(k)).cast("int")
 
 
 def status_classifier_oof(feats: DataFrame, k: int = 5, num_trees: int = 100, seed: int = 42,
                           features: Sequence[str] = STATUS_FEATURES, parallelism: int = 5,
-                          max_memory_mb: int = 1024) -> DataFrame:
+                          max_memory_mb: int = 1024, max_depth: int = 8, max_bins: int | None = None) -> DataFrame:
     """Out-of-fold predictions of the batch status with a balanced random forest.
 
-    Every batch is predicted by a model that did not see it (k hash folds).  ``max_memory_mb`` is the
-    per-task budget for split statistics: a larger budget trains more tree nodes per pass over the data.  The label index is
-    fixed alphabetically (DELAY=0, ON TIME=1) so all folds share it.
+    Every batch, also one without a recorded status, is predicted by a model that did not see it (k hash folds), with
+    class weights n / (classes * n of the class) of that model's own training rows.  ``max_depth`` bounds the trees
+    (Spark allows 30; deeper trees cost memory for split statistics); ``max_bins`` is at least the number of codes of any
+    feature (default), so that no two codes share a bin; ``max_memory_mb`` is the per-task budget for split statistics.
+    The label index is alphabetical (DELAY=0, ON TIME=1) so all folds share it.  Returns ``feats`` with predicted_status.
     """
-    labels = feats.select("status").distinct().withColumn(
-        "label", (F.dense_rank().over(Window.orderBy("status")) - 1).cast("double"))
-    data = (feats.filter(F.col("status").isNotNull()).join(F.broadcast(labels), "status")
-            .join(F.broadcast(class_weights(feats.filter(F.col("status").isNotNull()), "status")), "status")
-            .withColumn("fold", fold_of("batch_id", k)))
-    data = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(
-        data.na.fill(-1, subset=list(features)))
+    names = [r[0] for r in feats.select("status").where(F.col("status").isNotNull()).distinct().orderBy("status").limit(101).collect()]
+    if len(names) > 100:
+        raise ValueError("more than 100 classes")
+    if not names:
+        return feats.withColumn("predicted_status", F.lit(None).cast("string"))
+    label = F.lit(None).cast("double")
+    for n, name in enumerate(names):
+        label = F.when(F.col("status") == name, float(n)).otherwise(label)
+    data = feats.withColumn("label", label).withColumn("fold", fold_of("batch_id", k))
+    inputs = [f"_x_{c}" for c in features]
+    filled = data.select("*", *[F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(x) for c, x in zip(features, inputs)])
+    data = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(filled).drop(*inputs)
     # k fits read the same training frame: materialise it once in the shared folder
     data = data.checkpoint(eager=True)
+    if max_bins is None:
+        top = data.agg(*[F.max(c).alias(c) for c in features]).first()
+        max_bins = max(32, *(int(x) + 2 for x in top if x is not None))
+
     def fold_predictions(f: int) -> DataFrame:
-        rf = RandomForestClassifier(numTrees=num_trees, seed=seed, weightCol="weight", labelCol="label",
-                                    featuresCol="features", maxMemoryInMB=max_memory_mb)
-        model = rf.fit(data.filter(F.col("fold") != f))
-        return model.transform(data.filter(F.col("fold") == f)).select("batch_id", "status", "prediction")
+        train = data.filter((F.col("fold") != f) & F.col("label").isNotNull())
+        counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        held = data.filter(F.col("fold") == f)
+        if not counts:
+            return held.withColumn("prediction", F.lit(None).cast("double"))
+        weight = F.lit(0.0)
+        for y, n in counts.items():
+            weight = F.when(F.col("label") == y, sum(counts.values()) / (len(counts) * n)).otherwise(weight)
+        rf = RandomForestClassifier(numTrees=num_trees, seed=seed, weightCol="weight", labelCol="label", featuresCol="features",
+                                    maxMemoryInMB=max_memory_mb, maxDepth=max_depth, maxBins=max_bins)
+        return rf.fit(train.withColumn("weight", weight)).transform(held).drop("rawPrediction", "probability")
 
     # the k fits are independent Spark jobs: submit them concurrently (as Spark ML's own tuning does)
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
@@ -99,9 +132,8 @@ def status_classifier_oof(feats: DataFrame, k: int = 5, num_trees: int = 100, se
     out = preds[0]
     for p in preds[1:]:
         out = out.unionByName(p)
-    return (out.join(F.broadcast(labels.withColumnRenamed("status", "predicted_status")),
-                     F.col("prediction") == F.col("label"))
-               .select("batch_id", "status", "predicted_status"))
+    said = F.get(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int"))
+    return out.withColumn("predicted_status", said).select(*feats.columns, "predicted_status")
 
 
 def classification_report(pred: DataFrame, label: str = "status", predicted: str = "predicted_status") -> DataFrame:
@@ -143,10 +175,13 @@ def downtime_features(ml_frame: DataFrame) -> DataFrame:
     return encode_alphabetical(d, ["product_id", "operator_name", "shift"])
 
 
+SPLIT_PRIME, SPLIT_STEP = 2147483647, 48271     # a multiplicative step by which ids are spread over 0..99
+
+
 def split_80_20(df: DataFrame, key: str = "downtime_id", train_pct: int = 80) -> DataFrame:
-    """Deterministic hash split (stable under re-runs and executor loss)."""
-    return df.withColumn("split", F.when(F.pmod(F.xxhash64(F.col(key)), F.lit(100)) < train_pct, "train")
-                         .otherwise("test"))
+    """Deterministic split by id arithmetic (stable under re-runs and executor loss)."""
+    spread = (F.col(key) % SPLIT_PRIME) * SPLIT_STEP % SPLIT_PRIME % 100
+    return df.withColumn("split", F.when(spread < train_pct, "train").otherwise("test"))
 
 
 def scale_features(df: DataFrame, features: Sequence[str], fit_on: str = "train") -> DataFrame:
@@ -161,27 +196,30 @@ def scale_features(df: DataFrame, features: Sequence[str], fit_on: str = "train"
     return out.drop(*[f"_m_{c}" for c in features], *[f"_s_{c}" for c in features])
 
 
-def downtime_ridge(scaled: DataFrame, features: Sequence[str], alpha: float = 1.0, label: str = "downtime_min"):
-    """Ridge regression equal to ``||y - Xw - b||^2 + alpha ||w||^2`` on the training rows.
+def downtime_ridge(scaled: DataFrame, features: Sequence[str], alpha: float = 1.0, label: str = "downtime_min") -> dict[str, float]:
+    """Ridge regression ``||y - Xw - b||^2 + alpha ||w||^2`` on the training rows, by its normal equations.
 
-    Spark's normal-equation solver scales the penalty by the label's spread, hence
-    regParam = alpha * std_pop(y) / n (two scalars from one aggregate on the executors).
+    One distributed aggregate gives the moments of the features and the label; the few-by-few system is solved on the
+    driver.  Missing features count as their mean (0 after scaling).  Returns feature -> weight, and ``intercept``.
     """
-    cols = [f"{c}_scaled" for c in features]
-    train = scaled.filter((F.col("split") == "train") & F.col(label).isNotNull()).na.fill(0.0, subset=cols)
-    n, sy = train.agg(F.count(F.lit(1)), F.stddev_pop(label)).first()
-    reg = alpha * (sy or 0.0) / max(n, 1)
-    asm = VectorAssembler(inputCols=cols, outputCol="features")
-    lr = LinearRegression(featuresCol="features", labelCol=label, regParam=reg, elasticNetParam=0.0,
-                          standardization=False, solver="normal")
-    model = lr.fit(asm.transform(train).withColumn(label, F.col(label).cast("double")))
-    return model, asm
-
-
-def predict(model, asm, scaled: DataFrame, features: Sequence[str], out: str = "predicted_downtime") -> DataFrame:
-    cols = [f"{c}_scaled" for c in features]
-    return model.transform(asm.transform(scaled.na.fill(0.0, subset=cols))).withColumnRenamed("prediction", out) \
-                .drop("features")
+    xs = [F.coalesce(F.col(f"{c}_scaled"), F.lit(0.0)) for c in features] + [F.col(label).cast("double")]
+    train = scaled.filter((F.col("split") == "train") & F.col(label).isNotNull())
+    k = len(xs)
+    row = train.agg(F.count(F.lit(1)), *[F.avg(x) for x in xs], *[F.avg(xs[i] * xs[j]) for i in range(k) for j in range(i, k)]).first()
+    n, mean = row[0], np.array([0.0 if v is None else v for v in row[1:k + 1]])
+    moments = np.zeros((k, k))
+    moments[np.triu_indices(k)] = [0.0 if v is None else v for v in row[k + 1:]]
+    cov = n * (moments - np.triu(np.outer(mean, mean)))
+    cov = cov + np.triu(cov, 1).T
+    w = np.linalg.solve(cov[:-1, :-1] + alpha * np.eye(k - 1), cov[:-1, -1])
+    return {**{f: float(x) for f, x in zip(features, w)}, "intercept": float(mean[-1] - mean[:-1] @ w)}
+
+
+def predict(weights: dict[str, float], scaled: DataFrame, features: Sequence[str], out: str = "predicted_downtime") -> DataFrame:
+    total = F.lit(weights["intercept"])
+    for f in features:
+        total = total + F.lit(weights[f]) * F.coalesce(F.col(f"{f}_scaled"), F.lit(0.0))
+    return scaled.withColumn(out, total)
 
 
 def regression_report(pred: DataFrame, label: str = "downtime_min", p: str = "predicted_downtime") -> DataFrame:
@@ -193,8 +231,3 @@ def regression_report(pred: DataFrame, label: str = "downtime_min", p: str = "pr
     return m.crossJoin(sst).select(F.round("mse", 4).alias("mse"),
                                    F.round(1 - F.col("_sse") / F.nullif(F.col("_sst"), F.lit(0.0)), 4).alias("r2"),
                                    "n_test")
-
-
-def coefficients(model, features: Sequence[str]) -> list[tuple]:
-    return [(f, float(w)) for f, w in zip(features, model.coefficients)] + [("intercept", float(model.intercept))]
-

@@ -326,19 +326,31 @@ def pareto_85(t, threshold: float = 85.0):
     return pareto(d, "description", "downtime_min", "upto_le", threshold, "duration_minutes", "cum_percentage")
 
 
-def _count_matrix(df, rows, col, values, total_name, distinct=None, labels=None):
-    agg = F.count_distinct(distinct) if distinct else F.count(F.lit(1))
-    m = matrix(df, rows, col, values, agg)
+def _count_matrix(df, rows, col, values, total_name, distinct=None, labels=None, other=None):
+    """Counts (of ``distinct`` values) per group and listed value, and their total.
+
+    ``other`` names a column for rows with a value beyond the list; the total holds them too.
+    """
     names = labels or [slug(str(v)) for v in values]
-    for v, n in zip(values, names):
-        m = m.withColumnRenamed(str(v), n)
-    total = None
-    for n in names:
-        total = F.col(n) if total is None else total + F.col(n)
-    return m.withColumn(total_name, total)
+    count = F.count_distinct if distinct else F.count
+    what = F.col(distinct) if distinct else F.lit(1)
+    cells = [count(F.when(F.col(col) == v, what)).alias(n) for v, n in zip(values, names)]
+    if other:
+        cells.append(count(F.when(~F.coalesce(F.col(col).isin(*values), F.lit(False)), what)).alias(other))
+        names = [*names, other]
+    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
+    return df.groupBy(rows).agg(*cells).withColumn(total_name, total)
+
+
+def _descriptions(t, listed, condition):
+    """The listed descriptions, then those of the factor table beyond them (a small dimension: the columns of a sheet)."""
+    more = t.f.where(condition).where(~F.col("description").isin(*listed)).select("description").distinct().limit(1001).collect()
+    if len(more) > 1000:
+        raise ValueError("more than 1000 factor descriptions do not fit a matrix")
+    return [*listed, *sorted(r[0] for r in more)]
 
 
-def _matrix_sql(rows, col, values, total_name, src, where, labels=None, distinct=None, match=None):
+def _matrix_sql(rows, col, values, total_name, src, where, labels=None, distinct=None, match=None, other=None):
     """The SQL form of ``_count_matrix``: one conditional count per fixed value, plus their total."""
     names = labels or [slug(str(v)) for v in values]
     match = match or (lambda v: f"{col} = '{v}'")
@@ -346,6 +358,9 @@ def _matrix_sql(rows, col, values, total_name, src, where, labels=None, distinct
         cells = [f"COUNT(DISTINCT CASE WHEN {match(v)} THEN {distinct} END) AS {n}" for v, n in zip(values, names)]
     else:
         cells = [f"COUNT(*) FILTER (WHERE {match(v)}) AS {n}" for v, n in zip(values, names)]
+    if other:
+        cells.append(f"COUNT(*) FILTER (WHERE NOT coalesce({col} IN ({', '.join(repr(v) for v in values)}), false)) AS {other}")
+        names = [*names, other]
     total = " + ".join(names)
     return (f"SELECT {rows}, {', '.join(n for n in names)}, {total} AS {total_name} FROM "
             f"(SELECT {rows}, {', '.join(cells)} FROM {src} WHERE {where} GROUP BY {rows}) m")
@@ -355,20 +370,21 @@ N30_VALUES = [d for fid, d, _ in FACTORS if fid in (2, 3)]
 
 
 @query("product_factor_matrix", "N30", _matrix_sql("product_id", "description", N30_VALUES, "total_issues", "cp",
-                                                   "factor_id IN (2, 3)"))
+                                                   "factor_id IN (2, 3)", other="other_issues"))
 def product_factor_matrix(t, factor_ids=(2, 3)):
-    values = [d for fid, d, _ in FACTORS if fid in factor_ids]
+    values = _descriptions(t, [d for fid, d, _ in FACTORS if fid in factor_ids], F.col("factor_id").isin(*factor_ids))
     d = cp(t).filter(F.col("factor_id").isin(*factor_ids))
-    return _count_matrix(d, "product_id", "description", values, "total_issues")
+    return _count_matrix(d, "product_id", "description", values, "total_issues", other="other_issues")
 
 
 HE_VALUES = [d for _, d, e in FACTORS if e == "Yes"]
 
 
 @query("operator_error_matrix", "N31", _matrix_sql("operator_name", "description", HE_VALUES, "total_errors", "cp",
-                                                   "operator_error = 'Yes'"))
+                                                   "operator_error = 'Yes'", other="other_errors"))
 def operator_error_matrix(t):
-    return _count_matrix(cp(t).filter(is_human()), "operator_name", "description", HE_VALUES, "total_errors")
+    values = _descriptions(t, HE_VALUES, is_human())
+    return _count_matrix(cp(t).filter(is_human()), "operator_name", "description", values, "total_errors", other="other_errors")
 
 
 @query("morning_vs_night", "N32", f"""
@@ -667,8 +683,8 @@ N67_VALUES = ["Machine failure", "Machine adjustment", "Product spill"]
     distinct="batch_id"))
 def flavor_issue_matrix(t):
     d = (cp(t).filter(F.col("flavor").isNotNull() & F.col("description").isin(*N67_VALUES))
-         .select("flavor", "description", "batch_id").distinct())
-    return _count_matrix(d, "flavor", "description", N67_VALUES, "total_specific_issues")
+         .select("flavor", "description", "batch_id"))
+    return _count_matrix(d, "flavor", "description", N67_VALUES, "total_specific_issues", distinct="batch_id")
 
 
 @query("changeover_by_product_and_size", "N68", f"""

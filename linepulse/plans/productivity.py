@@ -100,16 +100,16 @@ def utilization_daily(t):
 
 
 def reasons_for(t, batches):
-    """Comma-joined factor descriptions per batch (sorted, repeats kept).
+    """Comma-joined "description x incidents" per batch, in order of the description.
 
-    Pre-aggregated to (batch, description, count) first, so the per-batch state is bounded by
-    the number of factors, not by the number of incidents of a batch.
+    Pre-aggregated to (batch, description, count) first: one entry per factor, whatever the number of
+    incidents of a batch.
     """
     per = (marts.incident_factor(t).join(batches.select("batch_id"), "batch_id", "left_semi")
            .groupBy("batch_id", "description").agg(F.count(F.lit(1)).alias("n")))
     return per.groupBy("batch_id").agg(
-        F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("description", "n"))),
-                                           lambda x: F.array_repeat(x["description"], x["n"].cast("int")))),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("description", "n"))),
+                                 lambda x: F.concat(x["description"], F.lit(" x "), x["n"].cast("string"))),
                      ", ").alias("reasons"))
 
 
@@ -117,8 +117,9 @@ def reasons_for(t, batches):
 WITH top5 AS (SELECT batch_id, product_id, duration_min FROM batches
               ORDER BY duration_min DESC, batch_id LIMIT 5)
 SELECT t.batch_id, t.product_id, t.duration_min,
-       (SELECT string_agg(description, ', ' ORDER BY description) FROM idf WHERE idf.batch_id = t.batch_id)
-       AS reasons
+       (SELECT string_agg(description || ' x ' || n, ', ' ORDER BY description)
+        FROM (SELECT batch_id, description, COUNT(*) AS n FROM idf GROUP BY batch_id, description) g
+        WHERE g.batch_id = t.batch_id) AS reasons
 FROM top5 t""")
 def longest_batches_with_reasons(t):
     top5 = t.b.select("batch_id", "product_id", "duration_min").orderBy(
