@@ -1,12 +1,13 @@
 """Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms: hashed character n-grams of sizes ``SIZES`` over letters and word ends.  The vocabulary is the ``TERMS`` terms most
-associated with the label (log-likelihood ratio of presence, at least ``LEAST_G2``) in the labelled examples, equal texts counted once.  The idf of the vocabulary is
+associated with the label (log-likelihood ratio of presence, at least ``LEAST_G2``; ``LEAST_LIFT`` times as frequent with the label) in
+the labelled examples, equal texts counted once.  The idf of the vocabulary is
 counted over all documents.  Examples: at most ``PER_CLASS`` labelled documents of each class, drawn by a digest of the id from
 rows that are not held out (the documented bound of the index).
 
 Search: the examples stand in blocks of ``BLOCK``; per term and block the index keeps the postings and their largest weight.  The
-bound of a block is the query's product with those maxima; blocks are visited by falling bound until the bound falls
+bound of a block is the query's product with those maxima; blocks are visited by falling bound, twice as many at each step, until the bound falls
 below the K-th best cosine found, so the K nearest (ties: the earlier example) are exact.  All texts with terms are searched; a
 text without any has no neighbour.
 
@@ -38,6 +39,7 @@ BITS = 20
 PER_CLASS = 3000      # labelled examples of each class at most
 TERMS = 8192          # terms of the vocabulary at most
 LEAST_G2 = 24.0       # about one in a million by chance
+LEAST_LIFT = 2.0      # times as frequent in documents with the label
 K = 15
 BLOCK = 64
 DISTANCE = 0.05
@@ -63,8 +65,9 @@ def vocabulary(texts: list[str], labels: np.ndarray) -> np.ndarray:
         share = n[y] / total
         g2 += part(seen[y], with_term * share) + part(n[y] - seen[y], (total - with_term) * share)
     g2 *= 2
-    best = np.argsort(-g2, kind="stable")[:TERMS]
-    return np.sort(best[g2[best] >= LEAST_G2])
+    marks = seen[1] * n[0] >= LEAST_LIFT * seen[0] * n[1]
+    best = np.argsort(np.where(marks, -g2, 0), kind="stable")[:TERMS]
+    return np.sort(best[marks[best] & (g2[best] >= LEAST_G2)])
 
 
 class Counter:
@@ -102,23 +105,26 @@ class Index:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples and cosines of the k nearest with a positive cosine, nearest first; ``but`` is left out."""
         bound = weights @ self.highest[terms]
-        best_doc, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms, weights):
-                i, j = self.start[t * self.n_blocks + b], self.start[t * self.n_blocks + b + 1]
-                if i < j:
-                    score[self.slot[i:j]] += w * self.weight[i:j]
-            hit = np.flatnonzero(score > 0)
-            docs = hit + b * BLOCK
-            docs, score = np.concatenate([best_doc, docs[docs != but]]), np.concatenate([best, score[hit][docs != but]])
-            score = np.round(score, 12)
+        order = np.argsort(-bound, kind="stable")
+        best_doc, best, at, step = np.zeros(0, dtype=np.int64), np.zeros(0), 0, 2
+        while at < len(order) and bound[order[at]] > 0 and not (len(best) == k and bound[order[at]] < best[-1] - 1e-12):
+            blocks = order[at:at + step]                      # the next blocks by bound, twice as many each time
+            docs, score = self._scores(terms, weights, blocks[bound[blocks] > 0])
+            docs, score = np.concatenate([best_doc, docs[docs != but]]), np.round(np.concatenate([best, score[docs != but]]), 12)
             first = np.lexsort((docs, -score))[:k]
-            best_doc, best = docs[first], score[first]
+            best_doc, best, at, step = docs[first], score[first], at + step, step * 2
         return best_doc, best
 
+    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of the blocks with a positive cosine, and their cosines."""
+        cells = (terms.astype(np.int64)[:, None] * self.n_blocks + blocks).reshape(-1)
+        begin, n = self.start[cells], self.start[cells + 1] - self.start[cells]
+        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+        place = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), n) * BLOCK + self.slot[at]
+        score = np.bincount(place, np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[at], minlength=len(blocks) * BLOCK)
+        hit = np.flatnonzero(score > 0)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
+
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
     w = 1 / (DISTANCE + 1 - cosines)
