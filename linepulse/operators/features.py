@@ -16,14 +16,6 @@ def clock(minute_col) -> Column:
     return F.format_string("%02d:%02d", F.floor(m / 60).cast("int"), (m % 60).cast("int"))
 
 
-def net_run_time(b: DataFrame, per_batch_downtime: DataFrame) -> DataFrame:
-    """duration minus the batch's total downtime (0 when it had none)."""
-    j = b.join(per_batch_downtime, "batch_id", "left")
-    down = F.coalesce(F.col("total_downtime"), F.lit(0)).cast("long")
-    return j.select("batch_id", "duration_min", down.alias("total_downtime"),
-                    (F.col("duration_min") - down).alias("net_run_time"))
-
-
 def status_three_level(duration, target, slight: int = 15) -> Column:
     """On Time / Slight Delay (within ``slight`` minutes of target) / Critical Delay; unknown target is
     Critical (comparisons with NULL are not true)."""

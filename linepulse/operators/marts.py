@@ -31,7 +31,7 @@ FACTOR_TYPES = {"description": "string", "operator_error": "string"}
 def batches_with_totals(t: Tables) -> DataFrame:
     """Wide batches: canonical columns, ``total_downtime`` (NULL when none), ``incident_count``,
     product attributes and ``has_product``."""
-    return t.bt if t.bt is not None else wide_batches(t.b, t.i, t.p)
+    return t.bt if t.bt is not None else wide_batches(t.b, t.i, t.p, t.f)
 
 
 def detail(t: Tables) -> DataFrame:

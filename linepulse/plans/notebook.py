@@ -9,7 +9,7 @@ Repeats of keys already registered elsewhere are not registered twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linepulse.functions.expr import is_human, pct, r, shift_of
@@ -71,7 +71,9 @@ FROM g""")
 def product_batch_and_time_mix(t):
     g = cp(t).filter(F.col("product_id").isNotNull()).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum("downtime_min"), F.lit(0)).alias("downtime_minutes"))
-    g = with_total(with_total(g, "_n", "_tn"), "downtime_minutes", "_tm")
+    # both totals in one aggregate over the same columns, so the grouped exchange is read twice, not made twice
+    totals = g.agg(F.sum("_n").alias("_tn"), F.sum("downtime_minutes").alias("_tm"))
+    g = g.crossJoin(F.broadcast(totals))
     return g.select("product_id", pct("_n", "_tn").alias("batch_percentage"), "downtime_minutes",
                     pct("downtime_minutes", "_tm").alias("time_percentage"))
 
@@ -398,9 +400,9 @@ def morning_vs_night(t):
     g = cp(t).filter(F.col("shift").isin("Morning", "Night")).groupBy("shift").agg(
         F.coalesce(F.sum("downtime_min"), F.lit(0)).alias("total_downtime_mins"), F.avg("downtime_min").alias("_a"),
         F.count("downtime_min").alias("incident_count"))
-    d = g.agg((F.max(F.when(F.col("shift") == "Night", F.col("_a")))
-               - F.max(F.when(F.col("shift") == "Morning", F.col("_a")))).alias("_d"))
-    return g.crossJoin(F.broadcast(d)).select(
+    both = Window.partitionBy(F.lit(1))      # over the two rows of the grouped frame
+    d = F.max(F.when(F.col("shift") == "Night", F.col("_a"))).over(both) - F.max(F.when(F.col("shift") == "Morning", F.col("_a"))).over(both)
+    return g.withColumn("_d", d).select(
         "shift", "total_downtime_mins", r("_a").alias("avg_downtime_per_incident"), "incident_count",
         r("_d").alias("night_minus_morning_avg"))
 
@@ -421,8 +423,8 @@ def setup_consistency_by_shift(t):
     g = cp(t).filter(F.col("factor_id") == 2).groupBy("shift").agg(
         F.count("downtime_min").alias("changeover_count"), F.avg("downtime_min").alias("_a"),
         F.stddev_samp("downtime_min").alias("_s"))
-    spread = g.agg((F.max("_a") - F.min("_a")).alias("_spread"))
-    return g.crossJoin(F.broadcast(spread)).select(
+    shifts = Window.partitionBy(F.lit(1))    # over the grouped frame, one row per shift
+    return g.withColumn("_spread", F.max("_a").over(shifts) - F.min("_a").over(shifts)).select(
         "shift", "changeover_count", r("_a").alias("average_minutes"), r("_s", 4).alias("standard_deviation"),
         r("_spread").alias("spread_minutes"))
 
@@ -469,10 +471,10 @@ def shift_machine_failure_rate(t):
 WITH g AS (SELECT description, AVG(downtime_min) AS a FROM cp WHERE description IS NOT NULL GROUP BY description)
 SELECT description, {R('a')} AS avg_resolution_time, {R('(SELECT AVG(downtime_min) FROM cp)')} AS overall_avg FROM g""")
 def factor_avg_resolution(t):
-    c = cp(t)
-    g = c.filter(F.col("description").isNotNull()).groupBy("description").agg(
-        r(F.avg("downtime_min")).alias("avg_resolution_time"))
-    return g.crossJoin(F.broadcast(c.agg(r(F.avg("downtime_min")).alias("overall_avg"))))
+    g = cp(t).groupBy("description").agg(F.sum("downtime_min").cast("double").alias("_s"), F.count("downtime_min").alias("_c"))
+    overall = g.agg((F.sum("_s") / F.nullif(F.sum("_c"), F.lit(0))).alias("_o"))
+    return g.crossJoin(F.broadcast(overall)).filter(F.col("description").isNotNull()).select(
+        "description", r(F.col("_s") / F.nullif(F.col("_c"), F.lit(0))).alias("avg_resolution_time"), r("_o").alias("overall_avg"))
 
 
 @query("uptime_ratio", "N40", f"""
@@ -514,6 +516,33 @@ def mtbf_unplanned(t, planned_factor: int = 2):
           .otherwise(op.cast("double"))).alias("mtbf"))
 
 
+@query("mtbf_unplanned_as_run", "N42", f"""
+WITH r AS (SELECT SUM(duration_min) AS s FROM batches),
+     d AS (SELECT SUM(downtime_min) AS m, COUNT(*) FILTER (WHERE factor_id IS DISTINCT FROM 2) AS n FROM cp)
+SELECT {BIG('r.s - d.m')} AS total_operating_time, d.n AS failure_count,
+       {R('CASE WHEN d.n > 0 THEN CAST(r.s - d.m AS DOUBLE) / d.n ELSE CAST(r.s - d.m AS DOUBLE) END')} AS mtbf
+FROM r, d""")
+def mtbf_unplanned_as_run(t, planned_factor: int = 2):
+    """N42 with every row of another factor than the planned one as a failure, also the rows of batches without incident."""
+    run = t.b.agg(F.sum("duration_min").alias("_s"))
+    other = ~F.col("factor_id").eqNullSafe(F.lit(planned_factor))
+    d = cp(t).agg(F.sum("downtime_min").alias("_m"), F.count(F.when(other, 1)).alias("failure_count"))
+    op = F.col("_s") - F.col("_m")
+    return run.crossJoin(d).select(
+        op.alias("total_operating_time"), "failure_count",
+        r(F.when(F.col("failure_count") > 0, op.cast("double") / F.col("failure_count")).otherwise(op.cast("double"))).alias("mtbf"))
+
+
+@query("hidden_loss_counts", "N44", """
+SELECT COUNT(DISTINCT batch_id) AS delayed_batches,
+       COUNT(DISTINCT CASE WHEN description IS NULL OR description = 'fill missing value' THEN batch_id END) AS delayed_without_reason
+FROM cp WHERE batch_status = 'Delay'""")
+def hidden_loss_counts(t):
+    no_reason = F.col("description").isNull() | (F.col("description") == "fill missing value")
+    per = cp(t).filter(F.col("batch_status") == DELAY_LBL).groupBy("batch_id").agg(F.max(no_reason).alias("_hidden"))
+    return per.agg(F.count("batch_id").alias("delayed_batches"), F.count(F.when(F.col("_hidden"), F.col("batch_id"))).alias("delayed_without_reason"))
+
+
 @query("hidden_loss_batches", "N44", """
 SELECT DISTINCT batch_id FROM cp
 WHERE batch_status = 'Delay' AND (description IS NULL OR description = 'fill missing value')""")
@@ -603,11 +632,10 @@ WITH e AS (SELECT DISTINCT batch_id FROM cp WHERE operator_error = 'Yes'),
 SELECT f.n AS error_free_batches, {R('f.a')} AS avg_time_no_errors, {R('al.a')} AS avg_time_all,
        {R('al.a - f.a')} AS time_saved FROM f, al""")
 def error_free_comparison(t):
-    err = marts.detail(t).filter(is_human()).select("batch_id").distinct()
-    free = t.b.join(err, "batch_id", "left_anti").agg(F.count(F.lit(1)).alias("error_free_batches"),
-                                                       F.avg("duration_min").alias("_f"))
-    al = t.b.agg(F.avg("duration_min").alias("_a"))
-    return free.crossJoin(al).select("error_free_batches", r("_f").alias("avg_time_no_errors"),
+    free = F.col("human_error_count") == 0
+    one = marts.batches_with_totals(t).agg(F.count(F.when(free, 1)).alias("error_free_batches"), F.avg(F.when(free, F.col("duration_min"))).alias("_f"),
+                                           F.avg("duration_min").alias("_a"))
+    return one.select("error_free_batches", r("_f").alias("avg_time_no_errors"),
                                      r("_a").alias("avg_time_all"), r(F.col("_a") - F.col("_f")).alias("time_saved"))
 
 
@@ -697,6 +725,15 @@ def changeover_by_product_and_size(t):
         F.sum("downtime_min").alias("total_minutes"))
 
 
+@query("changeover_average_by_size", "N68", f"""
+SELECT size, COUNT(downtime_min) AS changeover_count, {R('AVG(downtime_min)')} AS average_minutes, {BIG('SUM(downtime_min)')} AS total_minutes
+FROM cp WHERE factor_id = 2 AND size IS NOT NULL GROUP BY size ORDER BY average_minutes DESC""")
+def changeover_average_by_size(t):
+    return cp(t).filter((F.col("factor_id") == 2) & F.col("size").isNotNull()).groupBy("size").agg(
+        F.count("downtime_min").alias("changeover_count"), r(F.avg("downtime_min")).alias("average_minutes"),
+        F.sum("downtime_min").alias("total_minutes")).orderBy(F.col("average_minutes").desc())
+
+
 @query("label_error_contribution", "N69", f"""
 SELECT product_id, COUNT(*) AS error_count, {PCT('COUNT(*)', 'SUM(COUNT(*)) OVER ()')} AS contribution_pct
 FROM cp WHERE factor_id = 3 GROUP BY product_id""")

@@ -63,12 +63,9 @@ GROUP BY b.operator_name""")
 def operator_error_rate(t, human_only: bool = False):
     """Errors per batch.  As reported, every incident counts (the error filter only limits the
     factor side of the outer join); ``human_only`` counts operator-error incidents only."""
-    j = marts.batch_incident_factor(t, "left")
-    counted = F.when(is_human(), F.col("factor_id")) if human_only else F.col("downtime_id")
-    # distinct batches per operator without COUNT(DISTINCT): one group per (operator, batch) first
-    per_batch = j.groupBy("operator_name", "batch_id").agg(F.count(counted).alias("_n"))
-    return per_batch.groupBy("operator_name").agg(
-        F.count(F.lit(1)).alias("total_batches_worked"), F.sum("_n").alias("error_count")
+    counted = "human_error_count" if human_only else "incident_count"
+    return marts.batches_with_totals(t).groupBy("operator_name").agg(
+        F.count_distinct("batch_id").alias("total_batches_worked"), F.sum(counted).alias("error_count")
     ).withColumn("error_rate_per_batch_pct", pct("error_count", "total_batches_worked"))
 
 
@@ -139,17 +136,12 @@ def operator_efficiency_index(t):
     return _efficiency(marts.batch_product(t), ["operator_name"], "total_actual", "total_target", "efficiency_index")
 
 
-def human_error_batches(t):
-    """Batches with at least one operator-error incident (one row per batch)."""
-    return marts.detail(t).filter(is_human()).select("batch_id").distinct()
-
-
 @query("operator_error_free_runtime", "O12", """
 SELECT operator_name, AVG(duration_min) AS avg_run_time_without_errors FROM batches
 WHERE batch_id NOT IN (SELECT DISTINCT batch_id FROM idf WHERE operator_error = 'Yes')
 GROUP BY operator_name""")
 def operator_error_free_runtime(t):
-    clean = t.b.join(human_error_batches(t), "batch_id", "left_anti")
+    clean = marts.batches_with_totals(t).where("human_error_count = 0")
     return clean.groupBy("operator_name").agg(F.avg("duration_min").alias("avg_run_time_without_errors"))
 
 

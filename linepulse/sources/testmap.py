@@ -146,25 +146,27 @@ def incidents_numbered(tagged: DataFrame, offsets: DataFrame) -> DataFrame:
         F.col("downtime_id").cast("long"), "batch_id", "factor_id", "downtime_min")
 
 
-def with_totals(bp: DataFrame, i: DataFrame) -> DataFrame:
-    """Batches with their downtime totals (NULL / 0 when none).
+def with_totals(bp: DataFrame, i: DataFrame, f: DataFrame) -> DataFrame:
+    """Batches with their downtime totals (NULL / 0 when none) and the part of operator errors in them.
 
     Incidents are aggregated per batch first (partial aggregation: a batch holding a third of all
     incidents is combined map-side), so the join is one row per batch on both sides."""
-    per = i.groupBy("batch_id").agg(F.sum("downtime_min").alias("total_downtime"),
-                                    F.count(F.lit(1)).alias("incident_count"))
+    human = F.col("operator_error") == "Yes"
+    per = (i.join(f.select("factor_id", "operator_error"), "factor_id", "left").groupBy("batch_id").agg(
+        F.sum("downtime_min").alias("total_downtime"), F.count(F.lit(1)).alias("incident_count"),
+        F.count(F.when(human, 1)).alias("human_error_count")))
     return (bp.join(per, "batch_id", "left")
               .select(*BATCH_COLS, "total_downtime",
-                      F.coalesce(F.col("incident_count"), F.lit(0)).cast("long").alias("incident_count"),
+                      *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("incident_count", "human_error_count")],
                       *PRODUCT_ATTRS, "has_product"))
 
 
-def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame) -> DataFrame:
+def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame, f: DataFrame) -> DataFrame:
     """``with_totals`` for batches that carry no product attributes yet."""
     prod = p.select("product_id", *PRODUCT_ATTRS).withColumn("has_product", F.lit(True))
     bp = b.join(prod, "product_id", "left").select(
         *BATCH_COLS, *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product"))
-    return with_totals(bp, i)
+    return with_totals(bp, i, f)
 
 
 def incident_detail(i: DataFrame, bp: DataFrame, f: DataFrame) -> DataFrame:
@@ -234,8 +236,8 @@ class StoredTables:
 
     @property
     def bt(self) -> DataFrame:
-        return self._stored("batches_wide", ["events", "part", "lineitem"],
-                            lambda: with_totals(self._bp, self._read("lineitem").select(*_incident_columns())))
+        return self._stored("batches_wide", ["events", "part", "lineitem", "supplier"],
+                            lambda: with_totals(self._bp, self._read("lineitem").select(*_incident_columns()), self.f))
 
     @property
     def i(self) -> DataFrame:
