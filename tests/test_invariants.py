@@ -49,3 +49,12 @@ def test_complete_table_grain(q, spark):
     assert q("complete_table").count() == matched + lonely
     orphans = {r["relation"]: r["orphan_rows"] for r in q("fk_orphans").collect()}
     assert orphans["incident->batch"] == t.i.count() - matched
+
+
+@pytest.mark.parametrize("key", ["operator_mttr", "product_failure_impact", "factor_frequency", "daily_downtime"])
+def test_reports_come_in_their_order(q, key):
+    from linepulse.plans.registry import ORDER
+    rows = [r.asDict() for r in q(key).collect()]
+    for c in reversed(ORDER[key]):
+        rows_sorted = sorted(rows, key=lambda r: (r[c.lstrip("-")] is not None, r[c.lstrip("-")]), reverse=c[0] == "-")
+        assert [r[ORDER[key][0].lstrip("-")] for r in rows] == [r[ORDER[key][0].lstrip("-")] for r in rows_sorted] or c != ORDER[key][0]
