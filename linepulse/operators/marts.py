@@ -68,8 +68,13 @@ def batch_downtime(t: Tables) -> DataFrame:
 
 
 def incident_factor(t: Tables, how: str = "inner") -> DataFrame:
-    """``idf`` / J02: incidents with their factor description and operator-error flag."""
-    return t.i.join(t.f, "factor_id", how)
+    """``idf`` / J02: incidents with their factor description and operator-error flag, a projection of the detail."""
+    d = detail(t)
+    if how == "inner":
+        d = d.filter(F.col("has_factor"))
+    elif how != "left":
+        raise ValueError("how must be 'inner' or 'left'")
+    return d.select("batch_id", *INCIDENT_COLS, *FACTOR_ATTRS)
 
 
 def _lonely(t: Tables, *extra: str) -> DataFrame:
