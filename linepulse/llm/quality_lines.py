@@ -5,7 +5,7 @@ Every line (split at \n) that has a word is judged by itself:
 - punctuation: it must end in a closing mark (``CLOSING``), quotes and brackets behind it allowed;
 - navigation: separators (``| > » › · •``) between words, at least one for every three words, and two or more;
 - boilerplate: a phrase of ``PHRASES`` in a line of at most ``PHRASE_WORDS`` words;
-- symbols: more than one character of ``SYMBOLS`` for every ten other characters;
+- symbols: more than one character of ``SYMBOLS`` in eleven;
 - shouting: eight or more capital letters, and more of them than other characters (without white space).
 
 Lines that fail are removed; a document whose removed lines hold more than ``MAX_LOST`` of its characters (without white
@@ -47,19 +47,25 @@ def _without(text: Column, letters: str) -> Column:
     return F.translate(text, letters, "")
 
 
-def line_passes(line: Column) -> Column:
-    """Does a line with a word pass all line rules?  Rules are in order of their cost; a later one is read only if it matters."""
+def n_solid(line: Column) -> Column:
+    """Characters without white space."""
+    return F.length(_without(line, WHITE))
+
+
+def n_symbols(line: Column) -> Column:
+    return F.regexp_count(line, F.lit(f"[{SYMBOLS}]"))
+
+
+def line_passes(line: Column, symbols: Column | None = None) -> Column:
+    """Does a line with a word pass all line rules?  What costs more is read only where it matters."""
+    symbols = n_symbols(line) if symbols is None else symbols
     n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    solid = _without(line, WHITE)
-    n_solid = F.length(solid)
-    n_symbols = n_solid - F.length(_without(solid, SYMBOLS))
-    n_marks = F.length(line) - F.length(_without(line, "|>»›·•"))
-    capitals = F.regexp_count(line, F.lit(r"\p{Lu}"))
-    phrase = reduce(or_, [F.contains(F.lower(line), F.lit(p)) for p in PHRASES])
-    return ((n_symbols * 10 <= n_solid - n_symbols)
-            & ~((n_marks >= 2) & (n_marks * 3 >= n_words))
+    marks, capitals = F.regexp_count(line, F.lit("[|>»›·•]")), F.regexp_count(line, F.lit(r"\p{Lu}"))
+    phrase = let(F.lower(line), lambda low: reduce(or_, [F.contains(low, F.lit(p)) for p in PHRASES]))
+    return (((symbols == 0) | (symbols * 11 <= n_solid(line)))
             & line.rlike(CLOSING)
-            & ~((capitals >= 8) & (capitals * 2 > n_solid))
+            & let(marks, lambda n: (n < 2) | (n * 3 < n_words))
+            & let(capitals, lambda n: (n < 8) | (n * 2 <= n_solid(line)))
             & ~(phrase & (n_words <= PHRASE_WORDS)))
 
 
@@ -94,22 +100,24 @@ def clean(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with what the rules find: the counts, the lines kept as ``clean_text``, and the verdict."""
     text = whole_text(text_col)
     has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
-    lines = F.filter(F.split(text, "\n"), has_word)
-    out = docs.withColumns({"_words": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "_lines": lines})
-    solid = _without(text, WHITE)
+    total = lambda xs, f: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + f(x))
+    out = docs.withColumns({"_words": F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), "_lines": F.filter(F.split(text, "\n"), has_word)})
+    judged = F.transform("_lines", lambda x: let(n_symbols(x), lambda n: F.struct(x.alias("line"), n.alias("symbols"), line_passes(x, n).alias("ok"))))
     out = out.withColumns({
-        "n_words": F.size("_words").cast("long"), "word_chars": F.length(solid).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long"),
+        "n_words": F.size("_words").cast("long"), "word_chars": total(F.col("_words"), F.length),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "n_repeat_words": repeated_words(F.col("_words")),
-        "_good": F.filter("_lines", line_passes)})
+        "n_repeat_words": repeated_words(F.col("_words")), "_judged": judged})
     out = out.withColumns({
+        # symbols are word characters: lines without words have none
+        "n_symbols": total(F.col("_judged"), lambda x: x["symbols"]),
         "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
-        "n_removed": (F.col("n_lines") - F.size("_good")).cast("long"), "clean_text": F.array_join("_good", "\n")})
-    out = out.withColumn("kept_chars", F.length(_without(F.col("clean_text"), WHITE)).cast("long"))
+        "clean_text": F.array_join(F.transform(F.filter("_judged", lambda x: x["ok"]), lambda x: x["line"]), "\n"),
+        "_bad": F.filter("_judged", lambda x: ~x["ok"])})
+    out = out.withColumns({"n_removed": F.size("_bad").cast("long"),
+                           "kept_chars": F.col("word_chars") - total(F.col("_bad"), lambda x: n_solid(x["line"]))})
     lost = F.col("word_chars") - F.col("kept_chars")
-    return out.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST * F.col("word_chars"))).drop("_words", "_lines", "_good")
+    return out.withColumn("kept", ~F.col("base_failed") & (lost <= MAX_LOST * F.col("word_chars"))).drop("_words", "_lines", "_judged", "_bad")
 
 
 def contract(cleaned: DataFrame) -> DataFrame:
@@ -138,7 +146,7 @@ WITH d AS (
   SELECT doc_id, count(*)::BIGINT AS n_kept, sum(solid)::BIGINT AS kept_chars FROM l
   WHERE regexp_matches(x, '[.!?…:;]["''”’»)\]]*[\x20\x09-\x0D]*$') AND NOT (marks >= 2 AND marks * 3 >= words)
     AND NOT (words <= 20 AND regexp_matches(lower(x), 'PHRASES'))
-    AND symbols * 10 <= solid - symbols AND NOT (capitals >= 8 AND capitals * 2 > solid)
+    AND symbols * 11 <= solid AND NOT (capitals >= 8 AND capitals * 2 > solid)
   GROUP BY doc_id
 ), c AS (
   SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
