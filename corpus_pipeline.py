@@ -38,9 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    decoded = bpe_automaton.decode_documents(bpe_automaton.encode_documents(docs))
-    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
-                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe_automaton.round_trip(docs).select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                                                 F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [
