@@ -28,13 +28,13 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.llm.chunks import Remembered, byte_letters, library
-from linepulse.llm.common import in_pandas, tokenizer_file, whole_text
+from linepulse.llm.common import in_pandas, per_worker, tokenizer_file, whole_text
 
 MAX_TABLE = 500_000     # entries of the transition table before it is dropped and refilled
 MAX_WORDS = 150_000     # remembered words a generation
@@ -172,37 +172,56 @@ class Encoder:
 
 
 class ByteBPE:
-    """A byte-level BPE tokenizer file: special strings, pre-split pattern, automaton, labels."""
+    """A byte-level BPE tokenizer file: special strings, labels, and for encoding (built when first needed) pattern and automaton."""
 
     def __init__(self, path: str):
-        import public_tokenizers
         import regex
 
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        vocab = spec["model"]["vocab"]
+        self._vocab, self._merges = spec["model"]["vocab"], spec["model"]["merges"]
         letters = byte_letters()
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        n = max([*vocab.values(), *special.values()]) + 1
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        n = max([*self._vocab.values(), *self.special.values()]) + 1
         self.labels: list[bytes] = [b""] * n
-        for word, i in vocab.items():
+        for word, i in self._vocab.items():
             self.labels[i] = bytes(letters[c] for c in word)
-        for word, i in special.items():
+        for word, i in self.special.items():
             self.labels[i] = word.encode()
-        self.special = special
-        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
+        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
+        self._marks = tuple(self.special)
+        self._known = Remembered(lambda w: array("I", self.encoder.encode(w.encode("utf-8", "replace"))).tobytes(), MAX_WORDS)
+
+    @cached_property
+    def automaton(self) -> Automaton:
+        vocab = self._vocab
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in self._merges]
         byte_ids = [0] * 256
-        for c, b in letters.items():
+        for c, b in byte_letters().items():
             byte_ids[b] = vocab[c]
-        self.automaton = Automaton(byte_ids, merges, n)
-        self.encoder = Encoder(self.automaton, [x if i not in set(special.values()) else b"" for i, x in enumerate(self.labels)])
-        self._strange = strange_letters(path)
-        self._fast = regex.compile(public_tokenizers.PATTERN).findall
-        self._slow = regex.compile(without(public_tokenizers.PATTERN, self._strange)).findall
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
-        self._marks = tuple(special)
-        self._known = Remembered(lambda w: array("I", self.encoder.encode(w.encode("utf-8", "replace"))).tobytes(), MAX_WORDS)
+        return Automaton(byte_ids, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], len(self.labels))
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        special = set(self.special.values())
+        return Encoder(self.automaton, [b"" if i in special else x for i, x in enumerate(self.labels)])
+
+    @cached_property
+    def _strange(self) -> frozenset[str]:
+        return strange_letters(self.path)
+
+    @cached_property
+    def _fast(self):
+        import public_tokenizers
+        import regex
+        return regex.compile(public_tokenizers.PATTERN).findall
+
+    @cached_property
+    def _slow(self):
+        import public_tokenizers
+        import regex
+        return regex.compile(without(public_tokenizers.PATTERN, self._strange)).findall
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as unsigned 32-bit integers; special strings inside it become their own id."""
@@ -228,11 +247,12 @@ def strange_letters(path: str) -> frozenset[str]:
     """
     import regex
     splitter, strange = library(path).pre_tokenizer, set()
-    every = "".join(map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x110000)]))
-    for kind, lead in ((r"\p{L}", "a"), (r"\p{N}", "1")):
-        found = regex.findall(kind, every)
-        ends = {end for _, (_, end) in splitter.pre_tokenize_str(" ".join([lead + c for c in found]))}
-        strange.update(c for i, c in enumerate(found) if 3 * i + 1 in ends)   # cut between the lead and c
+    for at in range(0x80, 0x110000, 4096):      # in blocks, so that little memory is held
+        block = "".join([chr(c) for c in range(at, min(at + 4096, 0x110000)) if not 0xD800 <= c < 0xE000])
+        for kind, lead in ((r"\p{L}", "a"), (r"\p{N}", "1")):
+            if found := regex.findall(kind, block):
+                ends = {end for _, (_, end) in splitter.pre_tokenize_str(" ".join([lead + c for c in found]))}
+                strange.update(c for i, c in enumerate(found) if 3 * i + 1 in ends)   # cut between the lead and c
     return frozenset(strange)
 
 
@@ -246,7 +266,7 @@ def without(pattern: str, strange: frozenset[str]) -> str:
                       .replace(r" ?\p{L}", rf" ?[\p{{L}}--{odd}]").replace(r" ?\p{N}", rf" ?[\p{{N}}--{odd}]"))
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def load(path: str) -> ByteBPE:
     """One compiled tokenizer per worker process."""
     return ByteBPE(path)
@@ -262,7 +282,7 @@ def encode_documents(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_c
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "n_tokens": [len(x) // 4 for x in ids]})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
-    return in_pandas(src, run, "doc_id long, ids binary, n_tokens long")
+    return in_pandas(src, run, "doc_id long, ids binary, n_tokens long", ("bpe_automaton", "chunks"))
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
@@ -273,11 +293,23 @@ def decode_documents(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -
             pdf["decoded"] = [bpe.decode(x) for x in pdf["ids"]]
             yield pdf
 
-    return in_pandas(encoded, run, "doc_id long, ids binary, n_tokens long, decoded string")
+    return in_pandas(encoded, run, "doc_id long, ids binary, n_tokens long, decoded string", ("bpe_automaton", "chunks"))
+
+
+def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids, n_tokens and the text decoded from the ids, in one pass (one worker a task holds the tables)."""
+    def run(batches):
+        import pandas as pd
+        bpe = load(tokenizer_file(tokenizer))
+        for pdf in batches:
+            ids = [bpe.encode(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    return in_pandas(src, run, "doc_id long, ids binary, n_tokens long, decoded string", ("bpe_automaton", "chunks"))
 
 
-def digests(encoded: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:
+def digests(decoded: DataFrame) -> DataFrame:
     """The contract's columns from the real outputs (ids and decoded text)."""
-    return decode_documents(encoded, tokenizer).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

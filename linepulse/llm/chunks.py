@@ -17,7 +17,9 @@ import os
 import re
 from array import array
 from collections.abc import Callable
-from functools import lru_cache
+from operator import itemgetter
+
+from linepulse.llm.common import per_worker
 
 MAX_CHUNKS = 300_000   # remembered chunks a generation
 LONGEST = 64           # longer chunks are encoded each time
@@ -29,6 +31,7 @@ WORD = re.compile(f"[^{WHITE}]+")
 # letters that are one NFC code point and have a plain lower case; marks that no pattern treats by themselves
 PLAIN = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 # characters whose lower case does not depend on their neighbours and is one NFC code point
 SIMPLE = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*").fullmatch
 
@@ -59,7 +62,7 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=4)
+@per_worker
 def library(path: str):
     """The library's tokenizer, one per worker, without truncation or padding."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -89,6 +92,10 @@ def chunk_ids(tokenizer, lower: bool, code: str) -> Callable[[str], bytes]:
     pieces = Remembered(piece)
 
     def ids(chunk: str) -> bytes:
+        core = chunk.rstrip(MARKS)
+        if lower and core.isascii() and core.isalpha():
+            marks = chunk[len(core):]
+            return pieces[core.lower()] + pieces[marks] if marks else pieces[core.lower()]
         m = PLAIN(chunk)
         if m is None:
             return whole(chunk)
@@ -99,7 +106,7 @@ def chunk_ids(tokenizer, lower: bool, code: str) -> Callable[[str], bytes]:
     return whole if odd else ids
 
 
-@lru_cache(maxsize=4)
+@per_worker
 def counter(path: str) -> Callable[[str], int]:
     """Token count of a whole text for a byte-level file."""
     ids = chunk_ids(library(path), lower=False, code="I")
@@ -107,9 +114,19 @@ def counter(path: str) -> Callable[[str], int]:
     return lambda text: sum(map(known.__getitem__, CHUNK.findall(text)))
 
 
-@lru_cache(maxsize=4)
+@per_worker
 def packer(path: str, code: str) -> Callable[[str], bytes]:
     """Ids of a whole text as little-endian bytes, for a file whose normaliser drops white space."""
-    known = Remembered(chunk_ids(library(path), lower=True, code=code))
-    # texts of simple characters are lower-cased at once, so that fewer chunks differ
-    return lambda text: b"".join(map(known.__getitem__, WORD.findall(text.lower() if SIMPLE(text) else text)))
+    tokenizer = library(path)
+    known = Remembered(chunk_ids(tokenizer, lower=True, code=code))
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def pack(text: str) -> bytes:
+        low = text.lower()
+        if SIMPLE(text) and not any(x.lower() in low for x in special):
+            words = low.split()       # of these characters, the library and Python split at the same ones
+        else:
+            words = WORD.findall(text)
+        return b"".join(itemgetter(*words)(known) if len(words) > 1 else map(known.__getitem__, words))
+
+    return pack

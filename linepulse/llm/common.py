@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from functools import lru_cache
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,10 +67,31 @@ def ship(spark: SparkSession) -> None:
     sc._linepulse_shipped = True
 
 
+_KEPT: list = []     # what workers remember between tasks
+
+
+def per_worker(function):
+    """One value per argument and worker process, kept between tasks until another operator needs the memory."""
+    kept = lru_cache(maxsize=4)(function)
+    _KEPT.append((function.__module__, kept))
+    return kept
+
+
+def make_room(*modules: str) -> None:
+    """Forget what this worker remembers of modules other than these: workers serve many operators in turn."""
+    for module, kept in _KEPT:
+        if module.rpartition(".")[2] not in modules:
+            kept.cache_clear()
+
+
 BATCH_ROWS = 2000    # texts are long: rows that go to a worker at a time
 
 
-def in_pandas(df: DataFrame, run, schema: str) -> DataFrame:
-    """``mapInPandas`` with functions of this package."""
+def in_pandas(df: DataFrame, run, schema: str, uses: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInPandas`` with functions of this package.  uses: modules whose per-worker values it needs."""
+    def task(batches):
+        make_room(*uses)
+        yield from run(batches)
+
     ship(df.sparkSession)
-    return df.mapInPandas(run, schema)
+    return df.mapInPandas(task, schema)

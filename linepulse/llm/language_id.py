@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import fold, in_pandas, ship, whole_text, written
+from linepulse.llm.common import fold, in_pandas, make_room, ship, whole_text, written
 from linepulse.llm.ngrams import SPACE, bounded_sample, codes, hashed
 
 SIZES = (1, 2, 3)
@@ -88,7 +88,7 @@ def fit(rows: list[tuple[str, str]], languages: list[str], idf: np.ndarray) -> d
     data = []
     for text, lang in rows:
         if (terms := term_counts(text)) is not None:
-            data.append((np.append(terms[0], 1 << BITS), np.append(weighted(*terms, idf), 1.0), known[lang]))
+            data.append((np.append(terms[0], 1 << BITS).astype(np.int32), np.append(weighted(*terms, idf), 1.0).astype(np.float32), known[lang]))
     aside = [d for i, d in enumerate(data) if i % 5 == 4] or data
     learned = [d for i, d in enumerate(data) if i % 5 != 4] or data
     model = FTRL(1 << BITS, len(languages))
@@ -195,6 +195,7 @@ def in_known_language(docs: DataFrame) -> DataFrame:
     model = train(docs.select("doc_id", "text", "lang"))
 
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        make_room()
         for texts in batches:
             found = [score(model, t) for t in texts]
             yield pd.Series([lang != "und" and p >= MIN_SCORE for lang, p in found])

@@ -46,7 +46,7 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_automaton.digests(bpe_automaton.encode_documents(table(spark, sf_dir, "documents")))
+    return bpe_automaton.digests(bpe_automaton.round_trip(table(spark, sf_dir, "documents")))
 
 
 def op10_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

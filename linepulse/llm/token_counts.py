@@ -54,7 +54,7 @@ def encode_counts(texts: DataFrame, tokenizer: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"digest": pdf["digest"], "n_tokens": [count(t) for t in pdf["text"]]})
 
-    return in_pandas(texts, run, "digest binary, n_tokens long")
+    return in_pandas(texts, run, "digest binary, n_tokens long", ("chunks",))
 
 
 def fill_cache(docs: DataFrame, cache_path: str, tokenizer: str = "byte_bpe_50k.json", text_col: str = "text") -> DataFrame:

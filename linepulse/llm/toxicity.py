@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import fold, in_pandas, ship, whole_text, written
+from linepulse.llm.common import fold, in_pandas, make_room, ship, whole_text, written
 from linepulse.llm.ngrams import bounded_sample, codes, hashed
 
 SIZES = (4, 5)
@@ -273,6 +273,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> D
     packed = pickle.dumps(model)
 
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        make_room()
         m = pickle.loads(packed)
         count = Counter(m.terms)
         for texts in batches:
