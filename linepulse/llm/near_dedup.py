@@ -4,13 +4,16 @@ A document is its set of distinct ``WORDS``-word shingles (A-Z lower-cased; fewe
 shingle), as 64-bit hashes of whole shingles.  Two collections of ``GROUPS`` signatures of ``HASHES`` minhashes each are computed,
 2 * GROUPS * HASHES minhashes; every pair (i of the first, j of the second) makes one table key, so GROUPS ^ 2 tables of
 2 * HASHES minhashes cost about the square root of their minhashes.  A link of similarity s is missed with probability below
-2 * (1 - s ^ HASHES) ^ GROUPS: 2e-5 at 0.85 and less above.
+2 * (1 - s ^ HASHES) ^ GROUPS: 2e-5 at 0.85 and less above (and below 4e-6 by the sketch of step 3).  Keys are only formed from signatures that another class has too, so a text
+without relatives makes none.
 
 1. Documents with equal sets become one class (its least doc_id); copies are never paired.
 2. Classes are dealt by table key.  In each bucket every class meets one hub (there are ``HUBS`` orders in which hubs are chosen, by the
    table's number), never all others; the meeting pairs are verified, and their components are formed.
-3. What a bucket still holds apart meets pairwise: classes of different components that have not met.  A bucket in
-   one component, such as a large group of near copies, has no such pair.  No bucket is capped.
+3. What a bucket still holds apart meets pairwise: classes of different components that have not met, each pair in the first
+   table that both share.  A bucket in one component, such as a large group of near copies, has no such pair.  No bucket is capped.
+   Groups of texts that are alike but not enough are told apart by a sketch inside the join: ``SKETCH`` further minhashes of
+   4 bits; a pair goes on to verification unless it agrees in fewer than a linked pair does but once in 300,000 times.
 4. Every pair is verified on the full sets, after an exact test of their sizes: SHARE * |union| <= 100 * |both|.
 
 Texts are read whole by numpy inside tasks; all joining, grouping and verifying is done by Spark, and the steps are written
@@ -33,9 +36,11 @@ from linepulse.llm.components import components
 
 WORDS = 5
 SHARE = 85        # per cent of the union
-HASHES = 3        # minhashes of a signature
-GROUPS = 12       # signatures of a collection
+HASHES = 5        # minhashes of a signature
+GROUPS = 20       # signatures of a collection
 HUBS = 4
+SKETCH = 512      # minhashes of a sketch, 16 in a number
+SIGMAS = 4.5      # standard deviations below the mean agreement of a pair that is just linked
 COLUMNS = 1 << 15   # shingles hashed at a time
 SIGNATURES = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
 SETS = "doc_id long, shingles array<long>"
@@ -63,8 +68,8 @@ def shingles(text: str, words: int = WORDS) -> np.ndarray:
 
 def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Odd multipliers and offsets of n hash functions, from a fixed seed."""
-    draw = np.random.default_rng(20)
-    return (draw.integers(1, 1 << 63, n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)), draw.integers(0, 1 << 63, n, dtype=np.uint64)
+    draw = np.random.default_rng(20).integers(0, 1 << 63, (n, 2), dtype=np.uint64)
+    return draw[:, 0] << np.uint64(1) | np.uint64(1), draw[:, 1].copy()
 
 
 def minhashes(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,6 +104,22 @@ def signed(docs: DataFrame, words: int, groups: int, hashes: int) -> DataFrame:
     return in_pandas(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, SIGNATURES)
 
 
+def keys(classes: DataFrame, groups: int) -> DataFrame:
+    """c, n, i, j, key, order: the table keys of classes, from signatures that at least two classes have."""
+    def tagged(column: str, side: int):
+        return F.transform(column, lambda s, i: F.struct(F.lit(side).alias("side"), i.alias("at"), s.alias("s")))
+
+    sides = F.concat(tagged("first", 0), tagged("second", 1))
+    one = classes.select(F.col("doc_id").alias("c"), F.col("n_shingles").alias("n"), F.explode(sides).alias("x")).select("c", "n", "x.side", "x.at", "x.s")
+    common = one.groupBy("side", "at", "s").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
+    kept = one.join(common, ["side", "at", "s"], "left_semi")
+    # at most GROUPS signatures a side
+    of = kept.groupBy("c", "n").agg(*[F.collect_list(F.when(F.col("side") == side, F.struct("at", "s"))).alias(x) for side, x in enumerate("ab")])
+    pairs = F.flatten(F.transform("a", lambda a: F.transform("b", lambda b: F.struct(
+        a["at"].alias("i"), b["at"].alias("j"), F.xxhash64(a["s"], b["s"], a["at"] * groups + b["at"]).alias("key"), (a["at"] % HUBS).alias("order")))))
+    return of.select("c", "n", F.explode(pairs).alias("x")).select("c", "n", "x.i", "x.j", "x.key", "x.order")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """The full sets of the wanted documents."""
     def run(batches):
@@ -110,6 +131,39 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return in_pandas(texts, run, SETS)
 
 
+def sketched(sets: DataFrame, wanted: DataFrame, skip: int) -> DataFrame:
+    """c, sketch of the wanted classes, from their full sets.  skip: hash functions used already."""
+    def run(batches):
+        import pandas as pd
+        a, b = (x[skip:] for x in hash_family(skip + SKETCH))
+        places = np.arange(16, dtype=np.uint64) * np.uint64(4)
+        for pdf in batches:
+            out = []
+            for x in pdf["shingles"]:
+                low = minhashes(np.asarray(x, dtype=np.int64).view(np.uint64), a, b) >> np.uint64(20) & np.uint64(15)
+                out.append((low.reshape(-1, 16) << places).sum(axis=1, dtype=np.uint64).view(np.int64))
+            yield pd.DataFrame({"c": pdf["doc_id"], "sketch": out})
+
+    return in_pandas(sets.join(wanted, sets["doc_id"] == wanted["c"], "left_semi"), run, "c long, sketch array<long>")
+
+
+def agreement(x: str, y: str):
+    """Number of equal 4-bit minhashes of two sketches."""
+    ones = F.lit(0x1111111111111111)
+    total = F.lit(0)
+    for k in range(SKETCH // 16):
+        z = F.get(x, k).bitwiseXOR(F.get(y, k))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2))
+        total = total + (16 - F.bit_count(z.bitwiseAND(ones)))
+    return total
+
+
+def least_agreement(share: int) -> int:
+    p = share / 100 + (1 - share / 100) / 16
+    return int(SKETCH * p - SIGMAS * (SKETCH * p * (1 - p)) ** 0.5)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
     left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
@@ -126,12 +180,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, gro
     least = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     classes = linkable.select("doc_id", "digest", "n_shingles", "first", "second").join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
 
-    table = F.explode(F.flatten(F.transform("first", lambda a, i: F.transform("second", lambda b, j: F.struct(
-        F.xxhash64(a, b, i * groups + j).alias("key"), (i % HUBS).alias("order"))))))
-    dealt = classes.select(F.col("doc_id").alias("c"), F.col("n_shingles").alias("n"), table.alias("t")).select("c", "n", "t.key", "t.order")
+    tables = keys(classes, groups)
+    dealt = tables.select("c", "n", "key", "order")
     shared = dealt.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c", "order").alias("h"), F.col("c"), F.col("n"))).alias("hub")).where("size > 1")
-    members = written(dealt.join(shared, "key").select("key", "c", "n", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "near-buckets")
+    members = written(tables.join(shared, "key").select("key", "c", "n", "i", "j", F.col("hub.c").alias("hub"), F.col("hub.n").alias("hub_n")), "near-buckets")
 
     def sizes_agree(n: str, m: str):
         return 100 * F.least(n, m) >= share * F.greatest(n, m)
@@ -145,12 +198,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, gro
 
     # buckets that still hold more than one component
     found = components(links)
-    placed = members.join(found, F.col("c") == F.col("node"), "left").select("key", "c", "n", "hub", F.coalesce("component", "c").alias("k"))
+    placed = members.join(found, F.col("c") == F.col("node"), "left").select("key", "c", "n", "i", "j", "hub", F.coalesce("component", "c").alias("k"))
     placed = written(placed, "near-placed")
     apart = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi AND size > 2").select("key")
-    rest = placed.where("c <> hub").join(apart, "key", "left_semi")
-    a, b = (rest.select("key", *[F.col(x).alias(f"{x}{y}") for x in ("c", "n", "k")]) for y in ("1", "2"))
-    more = a.join(b, "key").where((F.col("c1") < F.col("c2")) & (F.col("k1") != F.col("k2")) & sizes_agree("n1", "n2")).select(
+    rest = placed.where("c <> hub").join(apart, "key", "left_semi").join(
+        classes.select(F.col("doc_id").alias("c"), "first", "second"), "c")
+    sketches = written(sketched(sets, rest.select("c").distinct(), 2 * groups * hashes), "near-sketches")
+    rest = rest.join(sketches, "c")
+    a, b = (rest.select("key", *[F.col(x).alias(f"{x}{y}") for x in ("c", "n", "k", "i", "j", "first", "second", "sketch")]) for y in ("1", "2"))
+
+    def earlier(x: str, at: str):      # do both have a signature in common before this one?
+        same = F.zip_with(F.slice(f"{x}1", F.lit(1), F.col(at)), F.slice(f"{x}2", F.lit(1), F.col(at)), lambda p, q: p == q)
+        return F.exists(same, lambda z: z)
+
+    more = a.join(b, (a["key"] == b["key"]) & (F.col("c1") < F.col("c2")) & (F.col("k1") != F.col("k2")) & sizes_agree("n1", "n2")
+                  & (agreement("sketch1", "sketch2") >= least_agreement(share)) & ~earlier("first", "i1") & ~earlier("second", "j1")).select(
         F.col("c1").alias("u"), F.col("c2").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
     more = written(more, "near-more")
     links = written(links.unionByName(verified(more, sets, share)), "near-all-links")
