@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from linepulse.llm.chunks import Remembered, byte_letters, library
 from linepulse.llm.common import in_pandas, per_worker, tokenizer_file, whole_text
 
-MAX_TABLE = 500_000     # entries of the transition table before it is dropped and refilled
-MAX_WORDS = 150_000     # remembered words a generation
+MAX_TABLE = 400_000     # entries of the transition table before it is dropped and refilled
+MAX_WORDS = 120_000     # remembered words a generation
 
 
 class Automaton:
