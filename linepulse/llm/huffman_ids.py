@@ -11,8 +11,8 @@ File format, a folder with two Parquet tables:
               32-bit), the checkpoints (unsigned 32-bit bit offsets into the stream) and the bit stream, most
               significant bit first.
 
-Writing: the texts are encoded once and written; the counts of all ids come from that table (one row per id, bounded
-by the vocabulary); code lengths by package-merge; then a range sort by doc_id and one pass that packs blocks.  A block
+Writing: the texts are encoded once and written, with each task's counts of ids; their sum (one row per id, bounded
+by the vocabulary) gives the code lengths, by package-merge; then a range sort by doc_id and one pass that packs blocks.  A block
 holds whole documents and is closed at ``BLOCK_IDS`` ids, so a task holds one block at a time.
 
 Reading: all checkpoint segments of a block are decoded side by side by one table lookup per id.  Ids before a part
@@ -155,17 +155,26 @@ def parse_block(payload: bytes, table: tuple[np.ndarray, np.ndarray], limit: int
 
 
 def encode_texts(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, ids (16- or 32-bit little-endian, by the vocabulary's size) of every row, the end id last."""
+    """doc_id, ids (16- or 32-bit little-endian, by the vocabulary's size) of every row, the end id last.
+
+    Each task adds one row without ids: how often it wrote each id (``counts``, signed 64-bit).
+    """
     code = id_code(tokenizer)
 
     def run(batches):
         import pandas as pd
         ids = packer(tokenizer_file(tokenizer), code)
-        end = np.array([end_id], dtype=code).tobytes()
+        end, total = np.array([end_id], dtype=code).tobytes(), np.zeros(0, dtype=np.int64)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [ids(t) + end for t in pdf["text"]]})
+            found = [ids(t) + end for t in pdf["text"]]
+            n = np.bincount(np.frombuffer(b"".join(found), dtype=code), minlength=len(total))
+            n[:len(total)] += total
+            total = n
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": found, "counts": None})
+        yield pd.DataFrame({"doc_id": [None], "ids": [None], "counts": [total.astype("<i8").tobytes()]})
 
-    return in_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), run, "doc_id long, ids binary")
+    return in_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text")), run,
+                     "doc_id long, ids binary, counts binary", ("chunks",))
 
 
 @lru_cache(maxsize=4)
@@ -178,19 +187,17 @@ def id_code(tokenizer: str) -> str:
     return "H" if vocabulary(tokenizer) <= 1 << 16 else "I"
 
 
-def count_ids(encoded: DataFrame, code: str) -> DataFrame:
-    """id, n over all rows."""
+def count_ids(encoded: DataFrame) -> DataFrame:
+    """id, n over all rows, from the counts of the tasks."""
     def run(batches):
         import pandas as pd
-        total = np.zeros(0, dtype=np.int64)
         for pdf in batches:
-            n = np.bincount(np.frombuffer(b"".join(pdf["ids"]), dtype=code), minlength=len(total))
-            n[:len(total)] += total
-            total = n
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"id": at, "n": total[at]})
+            for counts in pdf["counts"]:
+                n = np.frombuffer(counts, "<i8")
+                at = np.flatnonzero(n)
+                yield pd.DataFrame({"id": at, "n": n[at]})
 
-    return in_pandas(encoded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return in_pandas(encoded.where("counts IS NOT NULL").select("counts"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, limit: int = LIMIT,
@@ -199,7 +206,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
     spark, code = docs.sparkSession, id_code(tokenizer)
     encoded = written(encode_texts(docs, tokenizer, end_id, id_col, text_col), "token-ids")
     counts = np.zeros(max(vocabulary(tokenizer), end_id + 1), dtype=np.int64)
-    for row in count_ids(encoded, code).collect():      # at most one row per id of the vocabulary
+    for row in count_ids(encoded).collect():      # at most one row per id of the vocabulary
         counts[row["id"]] = row["n"]
     lengths = code_lengths(counts, limit)
     spark.createDataFrame([(limit, lengths.tobytes())], "limit int, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
@@ -226,7 +233,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json",
             yield row()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    keyed = encoded.withColumn("h", F.xxhash64("ids"))
+    keyed = encoded.where("ids IS NOT NULL").withColumn("h", F.xxhash64("ids"))
     ordered = (keyed.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "h")
                .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "ids").select("doc_id", "ids"))
     in_pandas(ordered, run, BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
