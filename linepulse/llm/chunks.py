@@ -21,7 +21,7 @@ from operator import itemgetter
 
 from linepulse.llm.common import per_worker
 
-MAX_CHUNKS = 300_000   # remembered chunks a generation
+MAX_CHUNKS = 400_000   # remembered chunks a generation
 LONGEST = 64           # longer chunks are encoded each time
 
 # the characters of Unicode's White_Space property (fixed values)
