@@ -38,6 +38,8 @@ WORDS = 5
 SHARE = 85        # per cent of the union
 HASHES = 5        # minhashes of a signature
 GROUPS = 20       # signatures of a collection
+# of the pipeline's stage: links from 0.80 on, missed with probability below 2 * (1 - 0.8 ^ 4) ^ 23 = 1.1e-5
+STAGE_SHARE, STAGE_HASHES, STAGE_GROUPS = 80, 4, 23
 HUBS = 4
 SKETCH = 512      # minhashes of a sketch, 16 in a number
 SIGMAS = 4.5      # standard deviations below the mean agreement of a pair that is just linked
@@ -227,6 +229,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, gro
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    """``docs`` with one document of each component of links of STAGE_SHARE per cent or more."""
+    gone = near_duplicates(docs, share=STAGE_SHARE, groups=STAGE_GROUPS, hashes=STAGE_HASHES).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -63,6 +63,23 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_stage_drops_copies_from_80_per_cent_on(spark):
+    draw = random.Random(12)
+    docs = []
+    for i in range(60):       # pairs on both sides of 0.80
+        words = [f"w{draw.randrange(10 ** 6)}" for _ in range(300)]
+        docs.append((2 * i, " ".join(words)))
+        for at in draw.sample(range(5, 295), 4 + i % 6):
+            words[at] = f"x{draw.randrange(10 ** 6)}"
+        docs.append((2 * i + 1, " ".join(words)))
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in docs)}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in links) and len(links) < 60
+    place = reachable(list(sets), links)
+    kept = near_dedup.without_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert {r["doc_id"] for r in kept.collect()} == {i for i in sets if place[i] == i}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == odd.count()
