@@ -1,50 +1,56 @@
 """Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms: hashed character n-grams of sizes ``SIZES`` over letters and word ends.  The vocabulary is the ``TERMS`` terms most
-associated with the label (log-likelihood ratio of presence, at least ``LEAST_G2``; ``LEAST_LIFT`` times as frequent with the label) in
-the labelled examples, equal texts counted once.  The idf of the vocabulary is
-counted over all documents.  Examples: at most ``PER_CLASS`` labelled documents of each class, drawn by a digest of the id from
+Terms: all hashed character n-grams of sizes ``SIZES`` over letters and word ends that the examples contain; their idf is counted
+over all documents.  Examples: at most ``PER_CLASS`` labelled documents of each class, drawn by a digest of the id from
 rows that are not held out (the documented bound of the index).
 
-Search: the examples stand in blocks of ``BLOCK``; per term and block the index keeps the postings and their largest weight.  The
-bound of a block is the query's product with those maxima; blocks are visited by falling bound, twice as many at each step, until the bound falls
-below the K-th best cosine found, so the K nearest (ties: the earlier example) are exact.  All texts with terms are searched; a
-text without any has no neighbour.
+Search (``Whole``): the ``COMMON`` terms with the most postings are scored by a matrix product, the others by their postings, in
+32 bits; every example within ``MARGIN`` of the K-th best is scored again in 64 bits, so the K nearest (cosines to six decimals; ties:
+the earlier example) are exact.  Every text with a known term has neighbours.
 
-Score: the neighbours vote, weighted by 1 / (DISTANCE + 1 - cosine); each example's vote of its own neighbours (itself left out)
-is calibrated to the rate of the label by isotonic regression with the classes at their true sizes; a text without terms
-takes the rate of such examples, below one half in any case, since nothing speaks against it.  The nearest neighbours are given as evidence.
+Marks: a second search (``Index``, block-max) sees only the at most ``TERMS`` terms most associated with the label (log-likelihood ratio of
+presence, at least ``LEAST_G2``; ``LEAST_LIFT`` times as frequent with the label), so that a mark is found in a long text too.
+It can raise a score and never lowers one.
 
-Labels, language, source and id are no input of a score.  Terms are counted in one pass over the whole texts and written;
-the index (bounded by the examples) is sent to the tasks that search.
+Score: the neighbours of each search vote, weighted by 1 / (DISTANCE + 1 - cosine); each example's vote of its own neighbours (itself
+left out) is calibrated to the rate of the label by isotonic regression with the classes at their true sizes.  A text with the
+vector of an example takes the label of such examples.  The score is the larger of both searches, and the nearest
+neighbours of that search are given as evidence; a text without neighbours takes the rate of such examples.
+
+Labels, language, source and id are no input of a score.  Texts are read twice, for the idf and for the scores; the index (bounded
+by the examples) is sent to the tasks that search.
 
 Rows: null and empty texts have no terms; null labels are not learned from, a doc_id with several labels takes the largest;
 repeated rows are scored each for itself; with no labels every score is 0; an empty table gives no rows; further columns are not
 read.
 """
 
+import hashlib
 import pickle
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import fold, in_pandas, make_room, ship, whole_text, written
+from linepulse.llm.common import fold, in_pandas, make_room, per_worker, ship, whole_text, written
 from linepulse.llm.ngrams import bounded_sample, codes, hashed
 
 SIZES = (4, 5)
 BITS = 20
 PER_CLASS = 3000      # labelled examples of each class at most
-TERMS = 8192          # terms of the vocabulary at most
+TERMS = 8192          # marks at most
 LEAST_G2 = 24.0       # about one in a million by chance
 LEAST_LIFT = 2.0      # times as frequent in documents with the label
 K = 15
 BLOCK = 64
 DISTANCE = 0.05
+COMMON = 4096         # terms scored by a matrix product
+ROWS = 256            # texts scored at a time
+MARGIN = 1e-4         # far above the error of 32-bit scores
 SEED = "toxicity"
-TERM_SCHEMA = "doc_id long, held_out boolean, terms binary, counts binary"
 
 
 def vocabulary(texts: list[str], labels: np.ndarray) -> np.ndarray:
@@ -71,7 +77,7 @@ def vocabulary(texts: list[str], labels: np.ndarray) -> np.ndarray:
 
 
 class Counter:
-    """Counts of the vocabulary's terms in a text."""
+    """Counts of known terms in a text."""
 
     def __init__(self, terms: np.ndarray):
         self.number = np.full(1 << BITS, -1, dtype=np.int32)
@@ -145,33 +151,165 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([e for p in pools for e in (p[0], p[1])]), np.array([p[2] for p in pools for _ in (0, 1)])
 
 
-class Model:
-    """Vocabulary, idf, index of examples and calibration."""
-
-    def __init__(self, ids, labels, vectors, terms, idf, class_weights):
-        self.ids, self.labels, self.terms, self.idf = ids, labels, terms, idf
-        units = [(t, unit(t, c, idf)) if len(t) else (t, np.zeros(0)) for t, c in vectors]
-        self.index = Index(units, len(terms))
-        weight = np.where(labels == 1, class_weights[1], class_weights[0])
-        votes, known = np.zeros(len(ids)), np.zeros(len(ids), dtype=bool)
-        for i, (t, v) in enumerate(units):
-            if len(t):
-                near, cosines = self.index.nearest(t, v, K, but=i)
-                if len(near):
-                    votes[i], known[i] = vote(labels[near], cosines), True
-        none = ~known
-        rate = float((weight[none] @ labels[none] + (weight @ labels) / weight.sum()) / (weight[none].sum() + 1)) if len(labels) else 0.0
-        self.base = min(rate, 0.49)      # without a neighbour there is no evidence to reject a text
-        self.x, self.y = isotonic(votes[known], labels[known].astype(float), weight[known]) if known.any() else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple]]:
-        if not len(terms):
-            return self.base, []
-        near, cosines = self.index.nearest(terms, unit(terms, counts, self.idf), K)
+class Whole:
+    """Examples as unit vectors of all their terms: exact K nearest by cosine."""
+
+    def __init__(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], n_terms: int):
+        terms, weights = [], []
+        for t, w in vectors:
+            terms.append(t.astype(np.int32))
+            weights.append(w.astype(np.float32))
+        self.size, self.begin = len(terms), np.append(0, np.cumsum([len(t) for t in terms], dtype=np.int64))
+        self.term = np.concatenate([np.zeros(0, dtype=np.int32), *terms])
+        del terms
+        self.weight = np.concatenate([np.zeros(0, dtype=np.float32), *weights])
+        del weights
+        df = np.bincount(self.term, minlength=n_terms)
+        common = np.sort(np.argsort(-df, kind="stable")[:COMMON])
+        self.place = np.full(n_terms, -1, dtype=np.int32)
+        self.place[common] = np.arange(len(common))
+        self.common = np.zeros((len(common), self.size), dtype=np.float32)
+        for i in range(self.size):
+            t, w = self.term[self.begin[i]:self.begin[i + 1]], self.weight[self.begin[i]:self.begin[i + 1]]
+            place = self.place[t]
+            self.common[place[place >= 0], i] = w[place >= 0]
+        self.start = np.append(0, np.cumsum(np.where(self.place >= 0, 0, df)))
+        self.doc, self.posted = np.zeros(self.start[-1], dtype=np.int32), np.zeros(self.start[-1], dtype=np.float32)
+        free = self.start[:-1].copy()                 # the next free place of each term
+        for i in range(self.size):
+            t, w = self.term[self.begin[i]:self.begin[i + 1]], self.weight[self.begin[i]:self.begin[i + 1]]
+            rare = self.place[t] < 0
+            at = free[t[rare]]
+            self.doc[at], self.posted[at] = i, w[rare]
+            free[t[rare]] += 1
+        self.query = np.zeros(n_terms)
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Examples and cosines of the k nearest with a positive cosine of each vector, nearest first; ``but`` are left out."""
+        out = []
+        for at in range(0, len(vectors), ROWS):
+            some = vectors[at:at + ROWS]
+            common = np.zeros((len(some), len(self.common)), dtype=np.float32)
+            for row, (t, w) in zip(common, some):
+                place = self.place[t]
+                row[place[place >= 0]] = w[place >= 0]
+            scores = common @ self.common
+            for i, (t, w) in enumerate(some):
+                out.append(self._best(scores[i], t, w.astype(np.float32), k, but[at + i] if but else -1))
+        return out
+
+    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        n = self.start[terms + 1] - self.start[terms]
+        at = np.repeat(self.start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        score = score + np.bincount(self.doc[at], np.repeat(weights, n) * self.posted[at], minlength=self.size)
+        if but >= 0:
+            score[but] = 0
+        least = np.partition(score, -k)[-k] - MARGIN if len(score) > k else 0
+        near = np.flatnonzero((score > 0) & (score >= least))
         if not len(near):
-            return self.base, []
-        p = float(np.interp(vote(self.labels[near], cosines), self.x, self.y))
-        return p, [(int(self.ids[i]), float(c), int(self.labels[i])) for i, c in zip(near[:3], cosines[:3])]
+            return near, np.zeros(0)
+        self.query[terms] = weights
+        n = self.begin[near + 1] - self.begin[near]
+        at = np.repeat(self.begin[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cosines = np.round(np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.cumsum(n) - n), 6)
+        self.query[terms] = 0
+        first = np.lexsort((near, -cosines))[:k]
+        return near[first], cosines[first]
+
+
+def packed_counts(text: str) -> bytes:
+    """All hashes of a text and their counts, small enough for the driver to pass on."""
+    t, c = np.unique(hashed(codes(text), SIZES, BITS), return_counts=True)
+    return zlib.compress(np.concatenate([np.diff(t.astype("<i4"), prepend=np.int32(0)), c]).astype("<i4").tobytes(), 1)
+
+
+def unpacked(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
+    t, c = np.frombuffer(zlib.decompress(pack), "<i4").reshape(2, -1)
+    return np.cumsum(t), c
+
+
+class Model:
+    """Terms, marks among them, idf, examples and calibration.  What searches is made in the tasks (``Searcher``)."""
+
+    def __init__(self, ids, labels, packs, terms, marks, idf, class_weights):
+        self.ids, self.labels, self.packs, self.terms, self.marks, self.idf = ids, labels, packs, terms, marks, idf
+        self.weight = np.where(labels == 1, class_weights[1], class_weights[0])
+
+    def calibration(self, votes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, float]:
+        """The curve of each search, from the examples' (number, vote) by it, and the rate without neighbours."""
+        curves, none = [], np.ones(len(self.ids), dtype=bool)
+        for at, value in votes:
+            none[at] = False
+            curves.append(isotonic(value, self.labels[at].astype(float), self.weight[at]) if len(at) else (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+        weight, labels = self.weight, self.labels
+        return curves, float((weight[none] @ labels[none] + (weight @ labels) / weight.sum()) / (weight[none].sum() + 1))
+
+
+class Searcher:
+    """Both searches of a model."""
+
+    def __init__(self, model: Model):
+        self.model, self.count = model, Counter(model.terms)
+        self.mark = np.full(len(model.terms), -1, dtype=np.int32)
+        self.mark[model.marks] = np.arange(len(model.marks))
+        self.whole = Whole((self.example(i)[0] for i in range(len(model.ids))), len(model.terms))
+        self.marks = Index([self.example(i)[1] for i in range(len(model.ids))], len(model.marks))
+
+    def example(self, i: int) -> tuple[tuple, tuple]:
+        terms, counts = unpacked(self.model.packs[i])
+        return self.vectors(self.count.number[terms], counts)
+
+    def vectors(self, terms: np.ndarray, counts: np.ndarray) -> tuple[tuple, tuple]:
+        """The unit vectors of a text: of all its terms, and of its marks."""
+        marked = self.mark[terms] >= 0
+        nothing = terms[:0], np.zeros(0)
+        return ((terms, unit(terms, counts, self.model.idf)) if len(terms) else nothing,
+                (self.mark[terms[marked]], unit(terms[marked], counts[marked], self.model.idf)) if marked.any() else nothing)
+
+    def neighbours(self, found: list[tuple[tuple, tuple]], but: list[int] | None = None) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
+        whole = self.whole.nearest([v for v, _ in found], K, but)
+        return [[w, self.marks.nearest(*v, K, but[i] if but else -1) if len(v[0]) else nothing] for i, (w, (_, v)) in enumerate(zip(whole, found))]
+
+    def scores(self, texts: list[str], curves: list, base: float) -> list[tuple[float, list[tuple]]]:
+        out, m = [], self.model
+        for at in range(0, len(texts), ROWS):
+            for both in self.neighbours([self.vectors(*self.count(t)) for t in texts[at:at + ROWS]]):
+                best, evidence = None, []
+                for (near, cosines), curve, copies in zip(both, curves, (True, False)):
+                    if not len(near):
+                        continue
+                    if copies and cosines[0] >= 1 - 1e-6:
+                        p = float(m.labels[near[cosines >= 1 - 1e-6]].mean())
+                    else:
+                        p = float(np.interp(vote(m.labels[near], cosines), *curve))
+                    if best is None or p > best:
+                        best, evidence = p, [(int(m.ids[i]), float(c), int(m.labels[i])) for i, c in zip(near[:3], cosines[:3])]
+                out.append((base if best is None else best, evidence))
+        return out
+
+
+class Packed:
+    """A model on its way to the tasks, and its calibration."""
+
+    def __init__(self, model: Model):
+        self.data = pickle.dumps(model, protocol=5)
+        self.token = hashlib.blake2b(self.data, digest_size=16).hexdigest()
+        self.curves, self.base = [], 0.0
+
+
+@per_worker
+def held() -> dict:
+    return {}
+
+
+def searcher(packed: Packed) -> Searcher:
+    """A worker's searches of the model, made once; only those of the last model are kept."""
+    kept = held()
+    if packed.token not in kept:
+        kept.clear()
+        kept[packed.token] = Searcher(pickle.loads(packed.data))
+    return kept[packed.token]
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict]:
@@ -183,105 +321,106 @@ def examples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame,
     return docs.select("doc_id", whole_text().alias("text")).join(few, "doc_id"), sizes
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[DataFrame, Model | None]:
-    """Terms of all documents (written), and the model."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Packed | None:
+    """The model, or None without labels."""
     found, sizes = examples(docs, labels, label)
-    shape = "doc_id long, y int, terms binary, counts binary, vocabulary binary"
+    shape = "doc_id long, y int, pack binary"
 
     def learn(batches):
         batches = list(batches)
         if not batches:
             return
         rows = pd.concat(batches, ignore_index=True).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-        y = rows["y"].to_numpy()
         once = rows.drop_duplicates(["text", "y"])
-        terms = vocabulary(list(once["text"]), once["y"].to_numpy())
-        count = Counter(terms)
-        n = [count(t) for t in rows["text"]]
-        out = pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(), "y": y, "terms": [t.astype("<i4").tobytes() for t, _ in n],
-                            "counts": [c.astype("<i4").tobytes() for _, c in n], "vocabulary": None})
-        out.loc[len(out)] = [-1, -1, b"", b"", terms.astype("<i8").tobytes()]
-        yield out
+        marks = vocabulary(list(once["text"]), once["y"].to_numpy())
+        packs = [packed_counts(t) for t in rows["text"]]
+        terms = np.zeros(1 << BITS, dtype=bool)
+        for pack in packs:
+            terms[unpacked(pack)[0]] = True
+        head = [zlib.compress(x.astype("<i4").tobytes()) for x in (np.flatnonzero(terms), marks)]
+        yield pd.DataFrame({"doc_id": [-2, -1, *rows["doc_id"]], "y": [-2, -1, *rows["y"]], "pack": head + packs})
 
     # one task: at most PER_CLASS examples a class
     learned = written(in_pandas(found.coalesce(1), learn, shape), "toxic-examples").collect()
-    head = next((r for r in learned if r["vocabulary"] is not None), None)
-    rows = sorted((r for r in learned if r["vocabulary"] is None), key=lambda r: r["doc_id"])
-    terms = np.frombuffer(head["vocabulary"], "<i8") if head else np.zeros(0, dtype=np.int64)
-
-    def counts(batches):
-        count = Counter(terms)
-        for pdf in batches:
-            n = [count(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "terms": [t.astype("<i4").tobytes() for t, _ in n],
-                                "counts": [c.astype("<i4").tobytes() for _, c in n]})
-
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), whole_text().alias("text"))
-    counted = written(in_pandas(src, counts, TERM_SCHEMA), "toxic-terms")
+    rows = sorted((r for r in learned if r["y"] >= 0), key=lambda r: r["doc_id"])
     if not rows:
-        return counted, None
-    idf = inverse_frequencies(counted, len(terms))
-    labels_of = np.array([r["y"] for r in rows])
-    vectors = [(np.frombuffer(r["terms"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in rows]
+        return None
+    terms, marks = (next(np.frombuffer(zlib.decompress(r["pack"]), "<i4") for r in learned if r["y"] == y) for y in (-2, -1))
+    labels_of, ids = np.array([r["y"] for r in rows]), np.array([r["doc_id"] for r in rows])
     per = [sizes.get(c, 0) / max(int((labels_of == c).sum()), 1) for c in (0, 1)]
-    return counted, Model(np.array([r["doc_id"] for r in rows]), labels_of, vectors, terms, idf, per)
+    model = Model(ids, labels_of, [bytes(r["pack"]) for r in rows], terms, np.searchsorted(terms, marks), inverse_frequencies(docs, terms), per)
+    del rows, learned
+    packed = Packed(model)
+    packed.curves, packed.base = model.calibration(own_votes(docs.sparkSession, packed, len(ids)))
+    return packed
 
 
-def inverse_frequencies(counted: DataFrame, n_terms: int) -> np.ndarray:
-    """idf of the vocabulary over all documents."""
+def inverse_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+    """idf of the terms over all documents."""
+    def run(batches):
+        number = Counter(terms).number
+        last = np.full(len(terms), -1, dtype=np.int64)
+        df, rows = np.zeros(len(terms), dtype=np.int64), 0
+        for pdf in batches:
+            for text in pdf["text"]:
+                at = number[hashed(codes(text), SIZES, BITS)]
+                at = at[at >= 0]
+                place = np.arange(len(at))
+                last[at] = place                      # of equal terms one stays
+                df[at[last[at] == place]] += 1
+                rows += 1
+        some = np.flatnonzero(df)
+        yield pd.DataFrame({"term": np.append(some, -1), "df": np.append(df[some], rows)})
+
+    total = in_pandas(docs.select(whole_text().alias("text")), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()   # a row a term
+    df = np.zeros(len(terms) + 1)
+    df[total["term"].to_numpy()] = total["df"].to_numpy()
+    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+
+def own_votes(spark, packed: Packed, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The examples' numbers and votes by each search, themselves left out."""
     def run(batches):
-        df, rows = np.zeros(n_terms, dtype=np.int64), 0
+        s = searcher(packed)
         for pdf in batches:
-            df += np.bincount(np.frombuffer(b"".join(pdf["terms"]), "<i4"), minlength=n_terms)
-            rows += len(pdf)
-        yield pd.DataFrame({"term": np.arange(-1, n_terms), "df": np.append([rows], df)})
+            at = [int(i) for i in pdf["id"]]
+            both = s.neighbours([s.example(i) for i in at], at)
+            votes = [[vote(s.model.labels[near], c) if len(near) else None for near, c in x] for x in both]
+            yield pd.DataFrame({"at": at, "whole": pd.array([v[0] for v in votes], dtype="Float64"), "marks": pd.array([v[1] for v in votes], dtype="Float64")})
 
-    total = in_pandas(counted.select("terms"), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()   # a row a term
-    df = np.zeros(n_terms + 1)
-    for r in total:
-        df[r["term"] + 1] = r["df"]
-    return np.log((1 + df[0]) / (1 + df[1:])) + 1
+    got = in_pandas(spark.range(0, n, 1, 24), run, "at long, whole double, marks double", ("toxicity",)).collect()
+    got.sort(key=lambda r: r["at"])
+    return [(np.array([r["at"] for r in got if r[x] is not None], dtype=np.int64), np.array([r[x] for r in got if r[x] is not None])) for x in ("whole", "marks")]
 
 
-def score_documents(counted: DataFrame, model: Model | None) -> DataFrame:
+def score_documents(docs: DataFrame, packed: Packed | None) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of every row."""
-    packed = pickle.dumps(model)
     shape = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>"
 
     def run(batches):
-        m, seen = pickle.loads(packed), {}
         for pdf in batches:
-            out = []
-            for t, c in zip(pdf["terms"], pdf["counts"]):
-                found = (0.0, []) if m is None else seen.get((t, c))
-                if found is None:
-                    found = m.score(np.frombuffer(t, "<i4"), np.frombuffer(c, "<i4"))
-                    if len(seen) < 50_000:
-                        seen[t, c] = found
-                out.append(found)
+            out = searcher(packed).scores(list(pdf["text"]), packed.curves, packed.base) if packed else [(0.0, [])] * len(pdf)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [p for p, _ in out], "predicted": [int(p >= 0.5) for p, _ in out],
                                 "evidence": [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in out]})
 
-    return in_pandas(counted, run, shape)
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), whole_text().alias("text"))
+    return in_pandas(src, run, shape, ("toxicity",))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; rows are scored where they are, nothing is shuffled."""
-    _, model = fit(docs, labels, label)
-    if model is None:
+    packed = fit(docs, labels, label)
+    if packed is None:
         return docs
-    packed = pickle.dumps(model)
 
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        make_room()
-        m = pickle.loads(packed)
-        count = Counter(m.terms)
+        make_room("toxicity")
         for texts in batches:
-            yield pd.Series([m.score(*count(t))[0] >= 0.5 for t in texts])
+            yield pd.Series([p >= 0.5 for p, _ in searcher(packed).scores(list(texts), packed.curves, packed.base)])
 
     ship(docs.sparkSession)
     return docs.where(~F.pandas_udf(toxic, "boolean")(whole_text()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
-    return score_documents(*fit(docs, labels, label))
+    return score_documents(docs, fit(docs, labels, label))

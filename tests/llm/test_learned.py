@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -138,6 +139,42 @@ def test_toxicity_on_held_out_rows(corpus, odd, none, spark):
     assert toxicity.toxicity(none, marks).collect() == []
 
 
+def test_rare_marks_have_neighbours(spark):
+    draw = random.Random(3)
+    texts = {i: prose("en", draw, 30) for i in range(1, 60)}
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 5][:16]       # eight of a class, each toxic one with a mark of its own
+    for k, i in enumerate(learned[:8]):
+        texts[i] += f" {'bcdfghjk'[k]}{'lmnpqrst'[k]}uxx"
+    labels = spark.createDataFrame([(i, int(k < 8)) for k, i in enumerate(learned)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([*texts.items(), (1000, texts[learned[0]])], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels).collect()}
+    assert got[1000]["predicted"] == 1 and got[1000]["evidence"][0]["doc_id"] == learned[0] and got[1000]["evidence"][0]["cosine"] == 1
+    assert all(r["evidence"] for r in got.values())
+    assert 1000 not in {r["doc_id"] for r in toxicity.without_toxic(docs, labels).collect()}
+
+
+@pytest.mark.parametrize("common", [0, 7, 200])
+def test_whole_search_is_exact(common, monkeypatch):
+    monkeypatch.setattr(toxicity, "COMMON", common)
+    draw, vectors = np.random.default_rng(common), []
+    for _ in range(300):
+        t = np.sort(draw.choice(80, draw.integers(0, 12), replace=False))
+        v = draw.random(len(t)) + 0.1
+        vectors.append((t, v / np.sqrt(v @ v) if len(t) else v))
+    vectors += vectors[:40]
+    dense = np.zeros((len(vectors), 80))
+    for i, (t, v) in enumerate(vectors):
+        dense[i, t] = v
+    whole = toxicity.Whole(vectors, 80)
+    for but in (None, list(range(len(vectors)))):
+        for q, (near, found) in enumerate(whole.nearest(vectors, toxicity.K, but)):
+            cosines = dense @ dense[q]
+            if but:
+                cosines[q] = 0
+            want = np.sort(cosines[cosines > 0])[::-1][:toxicity.K]
+            assert np.allclose(found, want, atol=2e-6) and np.allclose(cosines[near], found, atol=2e-6)
+
+
 def test_fold_is_crc32(spark):
     import zlib
     ids = [0, 5, 17, 123456, -4]
