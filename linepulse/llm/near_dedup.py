@@ -4,7 +4,7 @@ A document is its set of distinct ``WORDS``-word shingles (A-Z lower-cased; fewe
 shingle), as 64-bit hashes of whole shingles.  Two collections of ``GROUPS`` signatures of ``HASHES`` minhashes each are computed,
 2 * GROUPS * HASHES minhashes; every pair (i of the first, j of the second) makes one table key, so GROUPS ^ 2 tables of
 2 * HASHES minhashes cost about the square root of their minhashes.  A link of similarity s is missed with probability below
-2 * (1 - s ^ HASHES) ^ GROUPS: 2e-5 at 0.85 and less above (and below 4e-6 by the sketch of step 3).  Keys are only formed from signatures that another class has too, so a text
+2 * (1 - s ^ HASHES) ^ GROUPS: 1.6e-5 at 0.85 and less above (and 5.8e-6 by the sketch of step 3, its exact binomial tail: 2.2e-5 in all).  Keys are only formed from signatures that another class has too, so a text
 without relatives makes none.
 
 1. Documents with equal sets become one class (its least doc_id); copies are never paired.
@@ -13,7 +13,8 @@ without relatives makes none.
 3. What a bucket still holds apart meets pairwise: classes of different components that have not met, each pair in the first
    table that both share.  A bucket in one component, such as a large group of near copies, has no such pair.  No bucket is capped.
    Groups of texts that are alike but not enough are told apart by a sketch inside the join: ``SKETCH`` further minhashes of
-   4 bits; a pair goes on to verification unless it agrees in fewer than a linked pair does but once in 300,000 times.
+   4 bits; a pair goes on to verification unless it agrees in fewer than a linked pair does but once in 170,000 times.
+   Pairs that it rejects are formed and compared inside the join, but are not among its output rows.
 4. Every pair is verified on the full sets, after an exact test of their sizes: SHARE * |union| <= 100 * |both|.
 
 Texts are read whole by numpy inside tasks; all joining, grouping and verifying is done by Spark, and the steps are written
