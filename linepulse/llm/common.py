@@ -87,6 +87,22 @@ def make_room(*modules: str) -> None:
 BATCH_ROWS = 2000    # texts are long: rows that go to a worker at a time
 
 
+def in_arrow(df: DataFrame, run, schema: str, uses: tuple[str, ...] = ()) -> DataFrame:
+    """``mapInArrow`` with functions of this package: numbers beside nulls stay what they are."""
+    def task(batches):
+        make_room(*uses)
+        yield from run(batches)
+
+    ship(df.sparkSession)
+    return df.mapInArrow(task, schema)
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str) -> DataFrame:
+    """Cogroup two frames on ``keys`` and apply ``run(key, left table, right table)``, Arrow tables in and out."""
+    ship(left.sparkSession)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
 def in_pandas(df: DataFrame, run, schema: str, uses: tuple[str, ...] = ()) -> DataFrame:
     """``mapInPandas`` with functions of this package.  uses: modules whose per-worker values it needs."""
     def task(batches):
