@@ -9,8 +9,12 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from linepulse.session import shared_dir
 
@@ -104,10 +108,22 @@ def beside(left: DataFrame, right: DataFrame, keys: list[str], run, schema: str)
 
 
 def in_pandas(df: DataFrame, run, schema: str, uses: tuple[str, ...] = ()) -> DataFrame:
-    """``mapInPandas`` with functions of this package.  uses: modules whose per-worker values it needs."""
+    """``run`` over pandas frames of the rows, with functions of this package.  uses: modules whose per-worker values it needs.
+
+    Integers beside nulls come as pandas' Int64, so that large ids are not rounded.
+    """
+    shape = to_arrow_schema(StructType.fromDDL(schema))
+
+    def frames(batches):
+        for batch in batches:
+            pdf = batch.to_pandas()
+            for name, column in zip(batch.schema.names, batch.columns):
+                if pa.types.is_integer(column.type) and column.null_count:
+                    pdf[name] = column.cast(pa.int64()).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+            yield pdf
+
     def task(batches):
-        make_room(*uses)
-        yield from run(batches)
+        for pdf in run(frames(batches)):
+            yield pa.RecordBatch.from_pandas(pdf, schema=shape, preserve_index=False)
 
-    ship(df.sparkSession)
-    return df.mapInPandas(task, schema)
+    return in_arrow(df, task, schema, uses)

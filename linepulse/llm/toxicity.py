@@ -1,135 +1,195 @@
-"""Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine.
+"""Operator 3: toxicity by the nearest labelled examples under exact TF-IDF cosine, with block-max inverted indexes.
 
-Terms: all hashed character n-grams of sizes ``SIZES`` over letters and word ends that the examples contain; their idf is counted
-over all documents.  Examples: at most ``PER_CLASS`` labelled documents of each class, drawn by a digest of the id from
-rows that are not held out (the documented bound of the index).
+Terms: the first ``PREFIX`` letters of each word (longer runs than ``RUN`` letters, as in scripts without spaces, are cut into pieces of that size), weighted by
+tf * idf ^ ``POWER``; idf = ln((1 + N) / (1 + df)) counted over all documents.  Examples: at most ``PER_CLASS`` labelled documents of each class, drawn by
+a digest of the id from rows that are not held out (the documented bound of the index), each one vector of its whole text.
 
-Search (``Whole``): the ``COMMON`` terms with the most postings are scored by a matrix product, the others by their postings, in
-32 bits; every example within ``MARGIN`` of the K-th best is scored again in 64 bits, so the K nearest (cosines to six decimals; ties:
-the earlier example) are exact.  Every text with a known term has neighbours.
+Queries: a text is cut into passages, three or four of a short text and pieces of about ``PASSAGE`` words of a long one (whole texts, nothing is left out), and
+each passage finds its K nearest examples, so that marks count in a long text as in a short one.
 
-Marks: a second search (``Index``, block-max) sees only the at most ``TERMS`` terms most associated with the label (log-likelihood ratio of
-presence, at least ``LEAST_G2``; ``LEAST_LIFT`` times as frequent with the label), so that a mark is found in a long text too.
-It can raise a score and never lowers one.
+Index: examples are ordered by their heaviest frequent term, so that blocks of ``BLOCK`` are alike.  Lists of the ``COMMON`` longest-listed terms, which reach
+nearly every block, are dense rows, scored for many passages by one matrix product.  All other terms have inverted lists with the greatest weight
+of each block.  A block whose greatest dense score plus the greatest weights of the passage's other terms stays below the K-th best score is
+skipped; blocks are opened by falling bound.  Dense scores are 32-bit: every example within ``MARGIN`` of the K-th best is scored again in 64
+bits, so the K nearest are exact (cosines to six decimals; ties: the earlier example).
 
-Score: the neighbours of each search vote, weighted by 1 / (DISTANCE + 1 - cosine); each example's vote of its own neighbours (itself
-left out) is calibrated to the rate of the label by isotonic regression with the classes at their true sizes.  A text with the
-vector of an example takes the label of such examples.  The score is the larger of both searches, and the nearest
-neighbours of that search are given as evidence; a text without neighbours takes the rate of such examples.
+Score: neighbours vote, weighted by 1 / (DISTANCE + 1 - cosine); a text's vote is the highest of its passages, whose neighbours are its evidence.  The examples'
+own votes (themselves left out) calibrate votes to the rate of the label by isotonic regression, with the classes at their true
+sizes.  A text whose term vector points where an example's does takes the label of such examples; a text without neighbours
+takes the rate of such examples.
 
-Labels, language, source and id are no input of a score.  Texts are read twice, for the idf and for the scores; the index (bounded
-by the examples) is sent to the tasks that search.
+Labels, language, source and id are no input of a score.  Texts are read twice, for the idf and for the scores; the index, bounded by the examples, is
+sent to the tasks that search.
 
-Rows: null and empty texts have no terms; null labels are not learned from, a doc_id with several labels takes the largest;
-repeated rows are scored each for itself; with no labels every score is 0; an empty table gives no rows; further columns are not
-read.
+Rows: null and empty texts have no terms; null labels are not learned from, a doc_id with several labels takes the largest, one
+with several texts the least; repeated rows are scored each for itself; with no labels every score is 0; an empty table gives no rows; further columns are
+not read.
 """
 
 import hashlib
 import pickle
-import zlib
-from collections.abc import Iterable, Iterator
+import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import fold, in_pandas, make_room, per_worker, ship, whole_text, written
-from linepulse.llm.ngrams import bounded_sample, codes, hashed
+from linepulse.llm.common import fold, in_arrow, make_room, per_worker, ship, whole_text, written
+from linepulse.llm.ngrams import bounded_sample
 
-SIZES = (4, 5)
-BITS = 20
+PREFIX = 4
+RUN = 24
+PASSAGE = 250         # words of a passage of a long text
+SHORT, LEAST = 160, 15     # a text of so many words has four passages, a longer one three at least; words of the shortest passages
+POWER = 1.5           # of the idf
 PER_CLASS = 3000      # labelled examples of each class at most
-TERMS = 8192          # marks at most
-LEAST_G2 = 24.0       # about one in a million by chance
-LEAST_LIFT = 2.0      # times as frequent in documents with the label
-K = 15
+K = 20
 BLOCK = 64
+COMMON = 1024         # terms with dense lists
+FIRST = 12            # blocks opened at first, then twice as many each time
 DISTANCE = 0.05
-COMMON = 4096         # terms scored by a matrix product
-ROWS = 256            # texts scored at a time
+ROWS = 96             # passages scored at a time
 MARGIN = 1e-4         # far above the error of 32-bit scores
 SEED = "toxicity"
+WORD = re.compile(r"[^\W\d_]+")
 
 
-def vocabulary(texts: list[str], labels: np.ndarray) -> np.ndarray:
-    """The hashes most associated with the label, ascending."""
-    seen = np.zeros((2, 1 << BITS))
-    for text, y in zip(texts, labels):
-        seen[y, np.unique(hashed(codes(text), SIZES, BITS))] += 1
-    n = np.array([(labels == 0).sum(), (labels == 1).sum()], dtype=float)
-    if not n.all():
-        return np.zeros(0, dtype=np.int64)
-    with_term, total = seen.sum(0), n.sum()
+def terms_of(text: str) -> list[str]:
+    """The terms of a text, in order."""
+    words = WORD.findall(text.lower())
+    if max(map(len, words), default=0) <= RUN:
+        return [w[:PREFIX] for w in words]
+    return [p for w in words for p in ([w[:PREFIX]] if len(w) <= RUN else [w[i:i + PREFIX] for i in range(0, len(w), PREFIX)])]
 
-    def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
-        return observed * np.log(np.where(observed > 0, observed, 1) / np.maximum(expected, 1e-300))
 
-    g2 = np.zeros(1 << BITS)
-    for y in (0, 1):
-        share = n[y] / total
-        g2 += part(seen[y], with_term * share) + part(n[y] - seen[y], (total - with_term) * share)
-    g2 *= 2
-    marks = seen[1] * n[0] >= LEAST_LIFT * seen[0] * n[1]
-    best = np.argsort(np.where(marks, -g2, 0), kind="stable")[:TERMS]
-    return np.sort(best[marks[best] & (g2[best] >= LEAST_G2)])
+def passages(terms: list) -> list[list]:
+    """Terms of a text in passages of about the same size."""
+    n = max(1, round(len(terms) / PASSAGE), min(4 if len(terms) <= SHORT else 3, round(len(terms) / LEAST)))
+    step = max(-(-len(terms) // n), 1)
+    return [terms[i:i + step] for i in range(0, max(len(terms), 1), step)]
 
 
-class Counter:
-    """Counts of known terms in a text."""
+def counted(terms: list) -> tuple[np.ndarray, np.ndarray]:
+    """Term numbers, ascending, and their counts."""
+    c = Counter(terms)
+    found = np.fromiter(c, dtype=np.int64, count=len(c))
+    order = np.argsort(found)
+    return found[order], np.fromiter(c.values(), dtype=np.int64, count=len(c))[order]
 
-    def __init__(self, terms: np.ndarray):
-        self.number = np.full(1 << BITS, -1, dtype=np.int32)
-        self.number[terms] = np.arange(len(terms))
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        at = self.number[hashed(codes(text), SIZES, BITS)]
-        return np.unique(at[at >= 0], return_counts=True)
+def direction(vector: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Equal for count vectors that point the same way."""
+    terms, counts = vector
+    return terms.tobytes() + (counts // np.gcd.reduce(counts)).tobytes() if len(terms) else b""
 
 
-def unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = (1 + np.log(counts)) * idf[terms]
-    return v / np.sqrt(v @ v)
+def unit(vector: tuple[np.ndarray, np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The TF-IDF unit vector of counts; terms without weight are left out."""
+    terms, counts = vector
+    v = counts * idf[terms]
+    some = v > 0
+    terms, v = terms[some], v[some]
+    return terms, v / np.sqrt(v @ v) if len(v) else v
 
 
 class Index:
     """Block-max inverted index over unit vectors: exact K nearest by cosine."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        self.size, self.n_blocks = len(vectors), max(-(-len(vectors) // BLOCK), 1)
-        term = np.concatenate([t for t, _ in vectors] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
-        doc = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
-        weight = np.concatenate([w for _, w in vectors] or [np.zeros(0)])
-        cell = term * self.n_blocks + doc // BLOCK            # postings by (term, block, document)
-        order = np.lexsort((doc, cell))
-        self.cell, self.slot, self.weight = cell[order], (doc % BLOCK)[order].astype(np.int16), weight[order]
-        self.start = np.searchsorted(self.cell, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
-        self.highest = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.highest.reshape(-1), self.cell, self.weight)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Examples and cosines of the k nearest with a positive cosine, nearest first; ``but`` is left out."""
-        bound = weights @ self.highest[terms]
-        order = np.argsort(-bound, kind="stable")
-        best_doc, best, at, step = np.zeros(0, dtype=np.int64), np.zeros(0), 0, 2
-        while at < len(order) and bound[order[at]] > 0 and not (len(best) == k and bound[order[at]] < best[-1] - 1e-12):
-            blocks = order[at:at + step]                      # the next blocks by bound, twice as many each time
-            docs, score = self._scores(terms, weights, blocks[bound[blocks] > 0])
-            docs, score = np.concatenate([best_doc, docs[docs != but]]), np.round(np.concatenate([best, score[docs != but]]), 12)
-            first = np.lexsort((docs, -score))[:k]
-            best_doc, best, at, step = docs[first], score[first], at + step, step * 2
-        return best_doc, best
-
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of the blocks with a positive cosine, and their cosines."""
-        cells = (terms.astype(np.int64)[:, None] * self.n_blocks + blocks).reshape(-1)
-        begin, n = self.start[cells], self.start[cells + 1] - self.start[cells]
-        at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
-        place = np.repeat(np.tile(np.arange(len(blocks)), len(terms)), n) * BLOCK + self.slot[at]
-        score = np.bincount(place, np.repeat(np.repeat(weights, len(blocks)), n) * self.weight[at], minlength=len(blocks) * BLOCK)
-        hit = np.flatnonzero(score > 0)
-        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
+        n = len(vectors)
+        self.n_blocks = max(-(-n // BLOCK), 1)
+        size = self.n_blocks * BLOCK
+        df = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[t for t, _ in vectors]]), minlength=n_terms)
+        common = np.sort(np.argsort(-df, kind="stable")[:COMMON])
+        self.place = np.full(n_terms, -1, dtype=np.int64)
+        self.place[common] = np.arange(len(common))
+        heaviest = [max(((w, t) for t, w in zip(ts, ws) if self.place[t] >= 0), default=(0.0, -1))[1] for ts, ws in vectors]
+        order = np.lexsort((np.arange(n), heaviest)) if n else np.zeros(0, dtype=np.int64)
+        self.example = np.concatenate([order, np.full(size - n, -1, dtype=np.int64)])     # place -> example
+        self.slot = np.empty(n, dtype=np.int64)
+        self.slot[order] = np.arange(n)
+        vectors = [vectors[i] for i in order]
+        self.begin = np.append(0, np.cumsum([len(t) for t, _ in vectors], dtype=np.int64))
+        self.term = np.concatenate([np.zeros(0, dtype=np.int64), *[t for t, _ in vectors]])
+        self.weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        at = np.repeat(np.arange(n), np.diff(self.begin))
+        dense = self.place[self.term] >= 0
+        self.dense = np.zeros((len(common), size), dtype=np.float32)
+        self.dense[self.place[self.term[dense]], at[dense]] = self.weight[dense]
+        # inverted lists by (term, block)
+        cell = self.term[~dense] * self.n_blocks + at[~dense] // BLOCK
+        by = np.argsort(cell, kind="stable")
+        self.doc, self.posted = at[~dense][by].astype(np.int32), self.weight[~dense][by].astype(np.float32)
+        self.start = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
+        self.highest = np.zeros((n_terms, self.n_blocks), dtype=np.float32)
+        np.maximum.at(self.highest.reshape(-1), cell[by], self.posted)
+        self.n_terms = n_terms
+        self.opened = 0            # blocks opened so far
+
+    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Examples and cosines of the k nearest with a positive cosine of each vector, nearest first; ``but`` are left out."""
+        out = []
+        for at in range(0, len(vectors), ROWS):
+            some = vectors[at:at + ROWS]
+            q = np.zeros((len(some), len(self.dense)), dtype=np.float32)
+            rare = []
+            for row, (t, w) in zip(q, some):
+                place = self.place[t]
+                row[place[place >= 0]] = w[place >= 0]
+                rare.append((t[place < 0], w[place < 0].astype(np.float32)))
+            scores = q @ self.dense
+            if but:
+                scores[np.arange(len(some)), self.slot[but[at:at + ROWS]]] = -4      # below anything the rest can add
+            tops = scores.reshape(len(some), self.n_blocks, BLOCK).max(axis=2)
+            kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(some), dtype=np.float32)
+            near = [self._near(scores[i], tops[i], float(kth[i]), *rare[i], k) for i in range(len(some))]
+            out += self._exact(near, some, k)
+        return out
+
+    def _near(self, score: np.ndarray, top: np.ndarray, least: float, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
+        """Places of the examples that may be among the k nearest.  score: dense scores; top: the greatest of each block; least: the k-th best."""
+        bound = top + weights @ self.highest[terms]
+        may = np.flatnonzero((bound > 0) & (bound >= least - MARGIN))
+        may = may[np.argsort(-bound[may], kind="stable")]
+        step, at = FIRST, 0
+        while at < len(may) and len(terms) and bound[may[at]] >= least - MARGIN:
+            blocks = may[at:at + step]
+            cells = (terms[:, None] * self.n_blocks + blocks).reshape(-1)
+            begin = self.start[cells]
+            count = self.start[cells + 1] - begin
+            some = np.flatnonzero(count)
+            if len(some):
+                begin, count = begin[some], count[some]
+                where = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
+                np.add.at(score, self.doc[where], np.repeat(weights[some // len(blocks)], count) * self.posted[where])
+            at, step = at + len(blocks), 2 * step
+            if at < len(may) and len(score) > k:
+                least = max(least, float(np.partition(score, -k)[-k]))
+        self.opened += at
+        if len(score) > k:
+            least = max(least, float(np.partition(score, -k)[-k]))
+        return np.flatnonzero((score > 0) & (score >= least - MARGIN))
+
+    def _exact(self, near: list[np.ndarray], vectors: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The k nearest of what may be near, by cosines in 64 bits."""
+        query = np.zeros((len(vectors), self.n_terms))
+        for row, (t, w) in zip(query, vectors):
+            row[t] = w
+        of, place = np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate(near)
+        n = self.begin[place + 1] - self.begin[place]
+        at = np.repeat(self.begin[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        products = query.reshape(-1)[np.repeat(of * self.n_terms, n) + self.term[at]] * self.weight[at]
+        cosines = np.round(np.add.reduceat(products, np.cumsum(n) - n), 6) if len(place) else np.zeros(0)
+        example = self.example[place]
+        order = np.lexsort((example, -cosines, of))
+        order = order[cosines[order] > 0]
+        first = np.searchsorted(of[order], np.arange(len(near) + 1))
+        return [(example[order[b:min(e, b + k)]], cosines[order[b:min(e, b + k)]]) for b, e in zip(first[:-1], first[1:])]
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
@@ -151,141 +211,65 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([e for p in pools for e in (p[0], p[1])]), np.array([p[2] for p in pools for _ in (0, 1)])
 
 
-class Whole:
-    """Examples as unit vectors of all their terms: exact K nearest by cosine."""
-
-    def __init__(self, vectors: Iterable[tuple[np.ndarray, np.ndarray]], n_terms: int):
-        terms, weights = [], []
-        for t, w in vectors:
-            terms.append(t.astype(np.int32))
-            weights.append(w.astype(np.float32))
-        self.size, self.begin = len(terms), np.append(0, np.cumsum([len(t) for t in terms], dtype=np.int64))
-        self.term = np.concatenate([np.zeros(0, dtype=np.int32), *terms])
-        del terms
-        self.weight = np.concatenate([np.zeros(0, dtype=np.float32), *weights])
-        del weights
-        df = np.bincount(self.term, minlength=n_terms)
-        common = np.sort(np.argsort(-df, kind="stable")[:COMMON])
-        self.place = np.full(n_terms, -1, dtype=np.int32)
-        self.place[common] = np.arange(len(common))
-        self.common = np.zeros((len(common), self.size), dtype=np.float32)
-        for i in range(self.size):
-            t, w = self.term[self.begin[i]:self.begin[i + 1]], self.weight[self.begin[i]:self.begin[i + 1]]
-            place = self.place[t]
-            self.common[place[place >= 0], i] = w[place >= 0]
-        self.start = np.append(0, np.cumsum(np.where(self.place >= 0, 0, df)))
-        self.doc, self.posted = np.zeros(self.start[-1], dtype=np.int32), np.zeros(self.start[-1], dtype=np.float32)
-        free = self.start[:-1].copy()                 # the next free place of each term
-        for i in range(self.size):
-            t, w = self.term[self.begin[i]:self.begin[i + 1]], self.weight[self.begin[i]:self.begin[i + 1]]
-            rare = self.place[t] < 0
-            at = free[t[rare]]
-            self.doc[at], self.posted[at] = i, w[rare]
-            free[t[rare]] += 1
-        self.query = np.zeros(n_terms)
-
-    def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Examples and cosines of the k nearest with a positive cosine of each vector, nearest first; ``but`` are left out."""
-        out = []
-        for at in range(0, len(vectors), ROWS):
-            some = vectors[at:at + ROWS]
-            common = np.zeros((len(some), len(self.common)), dtype=np.float32)
-            for row, (t, w) in zip(common, some):
-                place = self.place[t]
-                row[place[place >= 0]] = w[place >= 0]
-            scores = common @ self.common
-            for i, (t, w) in enumerate(some):
-                out.append(self._best(scores[i], t, w.astype(np.float32), k, but[at + i] if but else -1))
-        return out
-
-    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        n = self.start[terms + 1] - self.start[terms]
-        at = np.repeat(self.start[terms] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        score = score + np.bincount(self.doc[at], np.repeat(weights, n) * self.posted[at], minlength=self.size)
-        if but >= 0:
-            score[but] = 0
-        least = np.partition(score, -k)[-k] - MARGIN if len(score) > k else 0
-        near = np.flatnonzero((score > 0) & (score >= least))
-        if not len(near):
-            return near, np.zeros(0)
-        self.query[terms] = weights
-        n = self.begin[near + 1] - self.begin[near]
-        at = np.repeat(self.begin[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        cosines = np.round(np.add.reduceat(self.query[self.term[at]] * self.weight[at], np.cumsum(n) - n), 6)
-        self.query[terms] = 0
-        first = np.lexsort((near, -cosines))[:k]
-        return near[first], cosines[first]
-
-
-def packed_counts(text: str) -> bytes:
-    """All hashes of a text and their counts, small enough for the driver to pass on."""
-    t, c = np.unique(hashed(codes(text), SIZES, BITS), return_counts=True)
-    return zlib.compress(np.concatenate([np.diff(t.astype("<i4"), prepend=np.int32(0)), c]).astype("<i4").tobytes(), 1)
-
-
-def unpacked(pack: bytes) -> tuple[np.ndarray, np.ndarray]:
-    t, c = np.frombuffer(zlib.decompress(pack), "<i4").reshape(2, -1)
-    return np.cumsum(t), c
-
-
 class Model:
-    """Terms, marks among them, idf, examples and calibration.  What searches is made in the tasks (``Searcher``)."""
+    """Terms, their idf, the examples (texts as term counts) and the calibration.  What searches is made in the tasks (``Searcher``)."""
 
-    def __init__(self, ids, labels, packs, terms, marks, idf, class_weights):
-        self.ids, self.labels, self.packs, self.terms, self.marks, self.idf = ids, labels, packs, terms, marks, idf
+    def __init__(self, ids, labels, vectors, terms, idf, class_weights):
+        self.ids, self.labels, self.vectors, self.terms, self.idf = ids, labels, vectors, terms, idf
         self.weight = np.where(labels == 1, class_weights[1], class_weights[0])
 
-    def calibration(self, votes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list, float]:
-        """The curve of each search, from the examples' (number, vote) by it, and the rate without neighbours."""
-        curves, none = [], np.ones(len(self.ids), dtype=bool)
-        for at, value in votes:
-            none[at] = False
-            curves.append(isotonic(value, self.labels[at].astype(float), self.weight[at]) if len(at) else (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    def calibration(self, at: np.ndarray, votes: np.ndarray) -> tuple[tuple, float]:
+        """The curve from the votes of examples ``at`` by the others, and the rate of those without neighbours."""
+        none = np.ones(len(self.ids), dtype=bool)
+        none[at] = False
+        curve = isotonic(votes, self.labels[at].astype(float), self.weight[at]) if len(at) else (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
         weight, labels = self.weight, self.labels
-        return curves, float((weight[none] @ labels[none] + (weight @ labels) / weight.sum()) / (weight[none].sum() + 1))
+        return curve, float((weight[none] @ labels[none] + (weight @ labels) / weight.sum()) / (weight[none].sum() + 1))
 
 
 class Searcher:
-    """Both searches of a model."""
+    """The search of a model."""
 
     def __init__(self, model: Model):
-        self.model, self.count = model, Counter(model.terms)
-        self.mark = np.full(len(model.terms), -1, dtype=np.int32)
-        self.mark[model.marks] = np.arange(len(model.marks))
-        self.whole = Whole((self.example(i)[0] for i in range(len(model.ids))), len(model.terms))
-        self.marks = Index([self.example(i)[1] for i in range(len(model.ids))], len(model.marks))
-
-    def example(self, i: int) -> tuple[tuple, tuple]:
-        terms, counts = unpacked(self.model.packs[i])
-        return self.vectors(self.count.number[terms], counts)
-
-    def vectors(self, terms: np.ndarray, counts: np.ndarray) -> tuple[tuple, tuple]:
-        """The unit vectors of a text: of all its terms, and of its marks."""
-        marked = self.mark[terms] >= 0
-        nothing = terms[:0], np.zeros(0)
-        return ((terms, unit(terms, counts, self.model.idf)) if len(terms) else nothing,
-                (self.mark[terms[marked]], unit(terms[marked], counts[marked], self.model.idf)) if marked.any() else nothing)
-
-    def neighbours(self, found: list[tuple[tuple, tuple]], but: list[int] | None = None) -> list[list[tuple[np.ndarray, np.ndarray]]]:
-        nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
-        whole = self.whole.nearest([v for v, _ in found], K, but)
-        return [[w, self.marks.nearest(*v, K, but[i] if but else -1) if len(v[0]) else nothing] for i, (w, (_, v)) in enumerate(zip(whole, found))]
-
-    def scores(self, texts: list[str], curves: list, base: float) -> list[tuple[float, list[tuple]]]:
-        out, m = [], self.model
+        self.model = model
+        self.number = {t: i for i, t in enumerate(model.terms)}
+        self.index = Index([unit(v, model.idf) for v in model.vectors], len(model.terms))
+        same = {}
+        for i, v, y in zip(model.ids, model.vectors, model.labels):
+            if len(v[0]):
+                same.setdefault(direction(v), []).append((int(i), 1.0, int(y)))
+        self.same = {d: (sum(y for *_, y in found) / len(found), found[:3]) for d, found in same.items()}
+
+    def known(self, text: str) -> list[int]:
+        return [n for n in map(self.number.get, terms_of(text)) if n is not None]
+
+    def votes(self, texts: list[list[int]], but: list[int] | None = None) -> list[tuple[float | None, list[tuple]]]:
+        """The highest vote of each text's passages, and the three nearest examples of that passage."""
+        parts, of = [], []
+        for i, terms in enumerate(texts):
+            found = [unit(counted(p), self.model.idf) for p in passages(terms)]
+            parts += found
+            of += [i] * len(found)
+        out: list = [(None, [])] * len(texts)
+        m = self.model
+        near = self.index.nearest(parts, K, [but[i] for i in of] if but else None)
+        for i, (examples, cosines) in zip(of, near):
+            if len(examples):
+                v = vote(m.labels[examples], cosines)
+                if out[i][0] is None or v > out[i][0]:
+                    out[i] = v, [(int(m.ids[e]), float(c), int(m.labels[e])) for e, c in zip(examples[:3], cosines[:3])]
+        return out
+
+    def scores(self, texts: list[str], curve: tuple, base: float) -> list[tuple[float, list[tuple]]]:
+        out = []
         for at in range(0, len(texts), ROWS):
-            for both in self.neighbours([self.vectors(*self.count(t)) for t in texts[at:at + ROWS]]):
-                best, evidence = None, []
-                for (near, cosines), curve, copies in zip(both, curves, (True, False)):
-                    if not len(near):
-                        continue
-                    if copies and cosines[0] >= 1 - 1e-6:
-                        p = float(m.labels[near[cosines >= 1 - 1e-6]].mean())
-                    else:
-                        p = float(np.interp(vote(m.labels[near], cosines), *curve))
-                    if best is None or p > best:
-                        best, evidence = p, [(int(m.ids[i]), float(c), int(m.labels[i])) for i, c in zip(near[:3], cosines[:3])]
-                out.append((base if best is None else best, evidence))
+            known = [self.known(t) for t in texts[at:at + ROWS]]
+            for terms, (found, evidence) in zip(known, self.votes(known)):
+                same = self.same.get(direction(counted(terms))) if evidence else None
+                if same:
+                    out.append((same[0], (same[1] + [e for e in evidence if e not in same[1]])[:3]))
+                else:
+                    out.append((base if found is None else float(np.interp(found, *curve)), evidence))
         return out
 
 
@@ -295,7 +279,7 @@ class Packed:
     def __init__(self, model: Model):
         self.data = pickle.dumps(model, protocol=5)
         self.token = hashlib.blake2b(self.data, digest_size=16).hexdigest()
-        self.curves, self.base = [], 0.0
+        self.curve, self.base = (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.0
 
 
 @per_worker
@@ -304,7 +288,7 @@ def held() -> dict:
 
 
 def searcher(packed: Packed) -> Searcher:
-    """A worker's searches of the model, made once; only those of the last model are kept."""
+    """A worker's search of the model, made once; only that of the last model is kept."""
     kept = held()
     if packed.token not in kept:
         kept.clear()
@@ -313,84 +297,85 @@ def searcher(packed: Packed) -> Searcher:
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str) -> tuple[DataFrame, dict]:
-    """doc_id, text, y of the drawn examples, and the number of labelled rows of each class."""
+    """doc_id, y, text of the drawn examples, and the number of labelled rows of each class."""
     marked = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
               .where((fold() != 0) & F.col("y").isin(0, 1)))
     drawn, sizes = bounded_sample(marked, "doc_id", "y", PER_CLASS, SEED)
     few = F.broadcast(drawn.limit(2 * PER_CLASS))      # ids of at most PER_CLASS rows a class
-    return docs.select("doc_id", whole_text().alias("text")).join(few, "doc_id"), sizes
+    found = docs.select("doc_id", whole_text().alias("text")).join(few, "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")), sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Packed | None:
     """The model, or None without labels."""
     found, sizes = examples(docs, labels, label)
-    shape = "doc_id long, y int, pack binary"
-
-    def learn(batches):
-        batches = list(batches)
-        if not batches:
-            return
-        rows = pd.concat(batches, ignore_index=True).sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-        once = rows.drop_duplicates(["text", "y"])
-        marks = vocabulary(list(once["text"]), once["y"].to_numpy())
-        packs = [packed_counts(t) for t in rows["text"]]
-        terms = np.zeros(1 << BITS, dtype=bool)
-        for pack in packs:
-            terms[unpacked(pack)[0]] = True
-        head = [zlib.compress(x.astype("<i4").tobytes()) for x in (np.flatnonzero(terms), marks)]
-        yield pd.DataFrame({"doc_id": [-2, -1, *rows["doc_id"]], "y": [-2, -1, *rows["y"]], "pack": head + packs})
-
-    # one task: at most PER_CLASS examples a class
-    learned = written(in_pandas(found.coalesce(1), learn, shape), "toxic-examples").collect()
-    rows = sorted((r for r in learned if r["y"] >= 0), key=lambda r: r["doc_id"])
-    if not rows:
+
+    def run(batches):
+        for batch in batches:
+            terms = [terms_of(t) for t in batch.column(2).to_pylist()]
+            counts = [Counter(t) for t in terms]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.list_(pa.string())), pa.array([list(c) for c in counts], pa.list_(pa.string())),
+                                              pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))], names=["doc_id", "y", "terms", "found", "n"])
+
+    # written, so that the index and the examples' votes come from the same rows
+    texts = written(in_arrow(found.select(F.col("doc_id").cast("long").alias("doc_id"), "y", "text"), run,
+                             "doc_id long, y int, terms array<string>, found array<string>, n array<long>"), "toxic-examples")
+    rows = texts.select("doc_id", "y", "found", "n").orderBy("doc_id").toArrow()       # at most PER_CLASS examples a class
+    if not rows.num_rows:
         return None
-    terms, marks = (next(np.frombuffer(zlib.decompress(r["pack"]), "<i4") for r in learned if r["y"] == y) for y in (-2, -1))
-    labels_of, ids = np.array([r["y"] for r in rows]), np.array([r["doc_id"] for r in rows])
+    lists = rows.column("found").combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    order = sorted(range(len(names)), key=names.__getitem__)
+    number = np.empty(len(names), dtype=np.int64)
+    number[order] = np.arange(len(names))
+    codes, n = number[coded.indices.to_numpy()] if names else np.zeros(0, dtype=np.int64), rows.column("n").combine_chunks().flatten().to_numpy()
+    begin = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy()))
+    vectors = []
+    for b, e in zip(begin[:-1], begin[1:]):
+        by = np.argsort(codes[b:e])
+        vectors.append((codes[b:e][by], n[b:e][by]))
+    terms = [names[i] for i in order]
+    ids, labels_of = rows.column("doc_id").to_numpy(), rows.column("y").to_numpy()
     per = [sizes.get(c, 0) / max(int((labels_of == c).sum()), 1) for c in (0, 1)]
-    model = Model(ids, labels_of, [bytes(r["pack"]) for r in rows], terms, np.searchsorted(terms, marks), inverse_frequencies(docs, terms), per)
-    del rows, learned
-    packed = Packed(model)
-    packed.curves, packed.base = model.calibration(own_votes(docs.sparkSession, packed, len(ids)))
+    packed = Packed(Model(ids, labels_of, vectors, terms, inverse_frequencies(docs, terms), per))
+    packed.curve, packed.base = pickle.loads(packed.data).calibration(*own_votes(texts, packed))
     return packed
 
 
-def inverse_frequencies(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
+def inverse_frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
     """idf of the terms over all documents."""
     def run(batches):
-        number = Counter(terms).number
-        last = np.full(len(terms), -1, dtype=np.int64)
+        number = {t: i for i, t in enumerate(terms)}
         df, rows = np.zeros(len(terms), dtype=np.int64), 0
-        for pdf in batches:
-            for text in pdf["text"]:
-                at = number[hashed(codes(text), SIZES, BITS)]
-                at = at[at >= 0]
-                place = np.arange(len(at))
-                last[at] = place                      # of equal terms one stays
-                df[at[last[at] == place]] += 1
-                rows += 1
+        for batch in batches:
+            found = [n for t in batch.column(0).to_pylist() for n in map(number.get, set(terms_of(t))) if n is not None]
+            df += np.bincount(np.array(found, dtype=np.int64), minlength=len(terms))
+            rows += batch.num_rows
         some = np.flatnonzero(df)
-        yield pd.DataFrame({"term": np.append(some, -1), "df": np.append(df[some], rows)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(df[some], rows))], names=["term", "df"])
 
-    total = in_pandas(docs.select(whole_text().alias("text")), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()   # a row a term
+    total = in_arrow(docs.select(whole_text().alias("text")), run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()   # a row a term
     df = np.zeros(len(terms) + 1)
     df[total["term"].to_numpy()] = total["df"].to_numpy()
-    return np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    return np.log((1 + df[-1]) / (1 + df[:-1])) ** POWER
 
 
-def own_votes(spark, packed: Packed, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The examples' numbers and votes by each search, themselves left out."""
+def own_votes(texts: DataFrame, packed: Packed) -> tuple[np.ndarray, np.ndarray]:
+    """The examples' numbers and votes, themselves left out."""
     def run(batches):
-        s = searcher(packed)
-        for pdf in batches:
-            at = [int(i) for i in pdf["id"]]
-            both = s.neighbours([s.example(i) for i in at], at)
-            votes = [[vote(s.model.labels[near], c) if len(near) else None for near, c in x] for x in both]
-            yield pd.DataFrame({"at": at, "whole": pd.array([v[0] for v in votes], dtype="Float64"), "marks": pd.array([v[1] for v in votes], dtype="Float64")})
+        for batch in batches:
+            s = searcher(packed)
+            at = np.searchsorted(s.model.ids, batch.column(0).to_numpy()).tolist()
+            votes = [v for v, _ in s.votes([[s.number[t] for t in terms] for terms in batch.column(1).to_pylist()], at)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(votes, pa.float64())], names=["at", "vote"])
+
+    parts = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    got = in_arrow(texts.select("doc_id", "terms").repartition(parts), run, "at long, vote double", ("toxicity",)).where("vote IS NOT NULL").orderBy("at").toArrow()
+    return got["at"].to_numpy(), got["vote"].to_numpy()
+
 
-    got = in_pandas(spark.range(0, n, 1, 24), run, "at long, whole double, marks double", ("toxicity",)).collect()
-    got.sort(key=lambda r: r["at"])
-    return [(np.array([r["at"] for r in got if r[x] is not None], dtype=np.int64), np.array([r[x] for r in got if r[x] is not None])) for x in ("whole", "marks")]
+EVIDENCE = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
 
 
 def score_documents(docs: DataFrame, packed: Packed | None) -> DataFrame:
@@ -398,13 +383,15 @@ def score_documents(docs: DataFrame, packed: Packed | None) -> DataFrame:
     shape = "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>"
 
     def run(batches):
-        for pdf in batches:
-            out = searcher(packed).scores(list(pdf["text"]), packed.curves, packed.base) if packed else [(0.0, [])] * len(pdf)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": [p for p, _ in out], "predicted": [int(p >= 0.5) for p, _ in out],
-                                "evidence": [[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in out]})
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            out = searcher(packed).scores(texts, packed.curve, packed.base) if packed else [(0.0, [])] * len(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p for p, _ in out], pa.float64()), pa.array([int(p >= 0.5) for p, _ in out], pa.int32()),
+                                              pa.array([[{"doc_id": d, "cosine": c, "label": y} for d, c, y in e] for _, e in out], EVIDENCE)],
+                                             names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), whole_text().alias("text"))
-    return in_pandas(src, run, shape, ("toxicity",))
+    return in_arrow(src, run, shape, ("toxicity",))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
@@ -416,7 +403,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> D
     def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         make_room("toxicity")
         for texts in batches:
-            yield pd.Series([p >= 0.5 for p, _ in searcher(packed).scores(list(texts), packed.curves, packed.base)])
+            yield pd.Series([p >= 0.5 for p, _ in searcher(packed).scores(list(texts), packed.curve, packed.base)])
 
     ship(docs.sparkSession)
     return docs.where(~F.pandas_udf(toxic, "boolean")(whole_text()))
