@@ -4,14 +4,14 @@ Terms: the first ``PREFIX`` letters of each word (longer runs than ``RUN`` lette
 tf * idf ^ ``POWER``; idf = ln((1 + N) / (1 + df)) counted over all documents.  Examples: at most ``PER_CLASS`` labelled documents of each class, drawn by
 a digest of the id from rows that are not held out (the documented bound of the index), each one vector of its whole text.
 
-Queries: a text is cut into passages, three or four of a short text and pieces of about ``PASSAGE`` words of a long one (whole texts, nothing is left out), and
+Queries: a text is cut into passages, two or four of a short text and pieces of about ``PASSAGE`` words of a long one (whole texts, nothing is left out), and
 each passage finds its K nearest examples, so that marks count in a long text as in a short one.
 
 Index: examples are ordered by their heaviest frequent term, so that blocks of ``BLOCK`` are alike.  Lists of the ``COMMON`` longest-listed terms, which reach
 nearly every block, are dense rows, scored for many passages by one matrix product.  All other terms have inverted lists with the greatest weight
 of each block.  A block whose greatest dense score plus the greatest weights of the passage's other terms stays below the K-th best score is
-skipped; blocks are opened by falling bound.  Dense scores are 32-bit: every example within ``MARGIN`` of the K-th best is scored again in 64
-bits, so the K nearest are exact (cosines to six decimals; ties: the earlier example).
+skipped; blocks are opened by falling bound.  Nothing is approximate but the 32-bit sums: the K nearest are those of all examples, by cosines to
+five decimals (ties: the earlier example).
 
 Score: neighbours vote, weighted by 1 / (DISTANCE + 1 - cosine); a text's vote is the highest of its passages, whose neighbours are its evidence.  The examples'
 own votes (themselves left out) calibrate votes to the rate of the label by isotonic regression, with the classes at their true
@@ -44,17 +44,17 @@ from linepulse.llm.ngrams import bounded_sample
 
 PREFIX = 4
 RUN = 24
-PASSAGE = 250         # words of a passage of a long text
-SHORT, LEAST = 160, 15     # a text of so many words has four passages, a longer one three at least; words of the shortest passages
+PASSAGE = 200         # words of a passage of a long text
+SHORT, LEAST = 160, 15     # a text of so many words has four passages, a longer one two at least; words of the shortest passages
 POWER = 1.5           # of the idf
-PER_CLASS = 3000      # labelled examples of each class at most
+PER_CLASS = 2000      # labelled examples of each class at most
 K = 20
 BLOCK = 64
 COMMON = 1024         # terms with dense lists
 FIRST = 12            # blocks opened at first, then twice as many each time
 DISTANCE = 0.05
 ROWS = 96             # passages scored at a time
-MARGIN = 1e-4         # far above the error of 32-bit scores
+MARGIN = 1e-5         # above the error of 32-bit scores; cosines below it count as 0
 SEED = "toxicity"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -69,17 +69,14 @@ def terms_of(text: str) -> list[str]:
 
 def passages(terms: list) -> list[list]:
     """Terms of a text in passages of about the same size."""
-    n = max(1, round(len(terms) / PASSAGE), min(4 if len(terms) <= SHORT else 3, round(len(terms) / LEAST)))
+    n = max(1, round(len(terms) / PASSAGE), min(4 if len(terms) <= SHORT else 2, round(len(terms) / LEAST)))
     step = max(-(-len(terms) // n), 1)
     return [terms[i:i + step] for i in range(0, max(len(terms), 1), step)]
 
 
-def counted(terms: list) -> tuple[np.ndarray, np.ndarray]:
+def counted(terms) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers, ascending, and their counts."""
-    c = Counter(terms)
-    found = np.fromiter(c, dtype=np.int64, count=len(c))
-    order = np.argsort(found)
-    return found[order], np.fromiter(c.values(), dtype=np.int64, count=len(c))[order]
+    return np.unique(np.asarray(terms, dtype=np.int64), return_counts=True)
 
 
 def direction(vector: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -114,21 +111,19 @@ class Index:
         self.slot = np.empty(n, dtype=np.int64)
         self.slot[order] = np.arange(n)
         vectors = [vectors[i] for i in order]
-        self.begin = np.append(0, np.cumsum([len(t) for t, _ in vectors], dtype=np.int64))
-        self.term = np.concatenate([np.zeros(0, dtype=np.int64), *[t for t, _ in vectors]])
-        self.weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
-        at = np.repeat(np.arange(n), np.diff(self.begin))
-        dense = self.place[self.term] >= 0
+        term = np.concatenate([np.zeros(0, dtype=np.int64), *[t for t, _ in vectors]])
+        weight = np.concatenate([np.zeros(0), *[w for _, w in vectors]])
+        at = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        dense = self.place[term] >= 0
         self.dense = np.zeros((len(common), size), dtype=np.float32)
-        self.dense[self.place[self.term[dense]], at[dense]] = self.weight[dense]
+        self.dense[self.place[term[dense]], at[dense]] = weight[dense]
         # inverted lists by (term, block)
-        cell = self.term[~dense] * self.n_blocks + at[~dense] // BLOCK
+        cell = term[~dense] * self.n_blocks + at[~dense] // BLOCK
         by = np.argsort(cell, kind="stable")
-        self.doc, self.posted = at[~dense][by].astype(np.int32), self.weight[~dense][by].astype(np.float32)
+        self.doc, self.posted = at[~dense][by].astype(np.int32), weight[~dense][by].astype(np.float32)
         self.start = np.searchsorted(cell[by], np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
         self.highest = np.zeros((n_terms, self.n_blocks), dtype=np.float32)
         np.maximum.at(self.highest.reshape(-1), cell[by], self.posted)
-        self.n_terms = n_terms
         self.opened = 0            # blocks opened so far
 
     def nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -147,12 +142,11 @@ class Index:
                 scores[np.arange(len(some)), self.slot[but[at:at + ROWS]]] = -4      # below anything the rest can add
             tops = scores.reshape(len(some), self.n_blocks, BLOCK).max(axis=2)
             kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(some), dtype=np.float32)
-            near = [self._near(scores[i], tops[i], float(kth[i]), *rare[i], k) for i in range(len(some))]
-            out += self._exact(near, some, k)
+            out += [self._best(scores[i], tops[i], float(kth[i]), *rare[i], k) for i in range(len(some))]
         return out
 
-    def _near(self, score: np.ndarray, top: np.ndarray, least: float, terms: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-        """Places of the examples that may be among the k nearest.  score: dense scores; top: the greatest of each block; least: the k-th best."""
+    def _best(self, score: np.ndarray, top: np.ndarray, least: float, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest.  score: dense scores; top: the greatest of each block; least: the k-th best."""
         bound = top + weights @ self.highest[terms]
         may = np.flatnonzero((bound > 0) & (bound >= least - MARGIN))
         may = may[np.argsort(-bound[may], kind="stable")]
@@ -171,25 +165,12 @@ class Index:
             if at < len(may) and len(score) > k:
                 least = max(least, float(np.partition(score, -k)[-k]))
         self.opened += at
-        if len(score) > k:
-            least = max(least, float(np.partition(score, -k)[-k]))
-        return np.flatnonzero((score > 0) & (score >= least - MARGIN))
-
-    def _exact(self, near: list[np.ndarray], vectors: list[tuple], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The k nearest of what may be near, by cosines in 64 bits."""
-        query = np.zeros((len(vectors), self.n_terms))
-        for row, (t, w) in zip(query, vectors):
-            row[t] = w
-        of, place = np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate(near)
-        n = self.begin[place + 1] - self.begin[place]
-        at = np.repeat(self.begin[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        products = query.reshape(-1)[np.repeat(of * self.n_terms, n) + self.term[at]] * self.weight[at]
-        cosines = np.round(np.add.reduceat(products, np.cumsum(n) - n), 6) if len(place) else np.zeros(0)
-        example = self.example[place]
-        order = np.lexsort((example, -cosines, of))
-        order = order[cosines[order] > 0]
-        first = np.searchsorted(of[order], np.arange(len(near) + 1))
-        return [(example[order[b:min(e, b + k)]], cosines[order[b:min(e, b + k)]]) for b, e in zip(first[:-1], first[1:])]
+        near = np.argpartition(score, -k)[-k:] if len(score) > k else np.arange(len(score))
+        near = np.flatnonzero(score >= max(score[near].min() - MARGIN, MARGIN))
+        cosines = np.round(score[near].astype(np.float64), 5)
+        example = self.example[near]
+        first = np.lexsort((example, -cosines))[:k]
+        return example[first], cosines[first]
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:

@@ -111,12 +111,12 @@ def test_search_is_exact(common, monkeypatch):
         dense[i, t] = v
     for but in (None, list(range(len(vectors)))):
         for q, (near, found) in enumerate(index.nearest(vectors, toxicity.K, but)):
-            cosines = np.round(dense @ dense[q], 6)
+            cosines = np.round(dense @ dense[q], 5)
             if but:
                 cosines[q] = 0
             want = [i for i in np.lexsort((np.arange(len(vectors)), -cosines)) if cosines[i] > 0][:toxicity.K]
-            assert np.allclose(found, cosines[want], atol=2e-6) and len(near) == len(want)
-            assert np.allclose(cosines[near], found, atol=2e-6)
+            assert np.allclose(found, cosines[want], atol=2e-5) and len(near) == len(want)
+            assert np.allclose(cosines[near], found, atol=2e-5)
 
 
 def test_search_skips_blocks():
@@ -150,7 +150,7 @@ def brute_scores(docs, labels):
         best = None
         for part in toxicity.passages([t for t in words if t in terms]):
             v = vector(part)
-            near = sorted(((-round(sum(x * e.get(t, 0) for t, x in v.items()), 6), i) for i, e in examples.items() if i != but))[:toxicity.K]
+            near = sorted(((-round(sum(x * e.get(t, 0) for t, x in v.items()), 5), i) for i, e in examples.items() if i != but))[:toxicity.K]
             near = [(-c, known[i]) for c, i in near if c < 0]
             if near:
                 w = [1 / (toxicity.DISTANCE + 1 - c) for c, _ in near]
