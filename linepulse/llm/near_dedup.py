@@ -4,24 +4,26 @@ A document is its set of distinct ``WORDS``-word shingles (A-Z lower-cased; fewe
 shingle), as 64-bit hashes of whole shingles.  Two collections of ``GROUPS`` signatures of ``HASHES`` minhashes each are computed,
 2 * GROUPS * HASHES minhashes; every pair (i of the first, j of the second) makes one table key, so GROUPS ^ 2 tables of
 2 * HASHES minhashes cost about the square root of their minhashes.  A link of similarity s is missed with probability below
-2 * (1 - s ^ HASHES) ^ GROUPS: 1.6e-5 at 0.85 and less above (and 5.8e-6 by the sketch of step 3, its exact binomial tail: 2.2e-5 in all).  Keys are only formed from signatures that another class has too, so a text
+2 * (1 - s ^ HASHES) ^ GROUPS: 1.6e-5 at 0.85 and less above (and 5.8e-6 by the sketch of step 4, its exact binomial tail: 2.2e-5 in all).  Keys are only formed from signatures that another class has too, so a text
 without relatives makes none.
 
-1. Documents with equal sets become one class (its least doc_id); copies are never paired.
+1. Documents with equal sets become one class, named by 128 bits of its set; copies are never paired.
 2. Classes are dealt by table key.  In each bucket every class meets one hub (there are ``HUBS`` orders in which hubs are chosen, by the
    table's number), never all others; the meeting pairs are verified, and their components are formed.
-3. What a bucket still holds apart meets pairwise: classes of different components that have not met, each pair in the first
+3. In buckets that still hold several components one hub of each meets one of the largest, another one each round, while this merges anything (at most
+   ``ROUNDS`` rounds).
+4. What a bucket still holds apart meets pairwise: classes of different components that have not met, each pair in the first
    table that both share.  A bucket in one component, such as a large group of near copies, has no such pair.  No bucket is capped.
    Groups of texts that are alike but not enough are told apart by a sketch inside the join: ``SKETCH`` further minhashes of
    4 bits; a pair goes on to verification unless it agrees in fewer than a linked pair does but once in 170,000 times.
    Pairs that it rejects are formed and compared inside the join, but are not among its output rows.
-4. Every pair is verified on the full sets, after an exact test of their sizes: SHARE * |union| <= 100 * |both|.
+5. Every pair is verified on the full sets, after an exact test of their sizes: SHARE * |union| <= 100 * |both|.
 
 Texts are read whole by numpy inside tasks; all joining, grouping and verifying is done by Spark, and the steps are written
 to the shared folder, so a lost executor repeats one step's tasks.
 
-Rows: null and empty texts, and texts without words, have no shingles and are linked with nothing; repeated rows (one doc_id) share
-their result; a null doc_id is linked with nothing and kept; an empty table gives no rows; further columns are not read.
+Rows: null and empty texts, and texts without words, have no shingles and are linked with nothing; repeated rows share their result, rows of one
+doc_id with different texts each have their own; a null doc_id is linked with nothing and kept; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -45,8 +47,9 @@ HUBS = 4
 SKETCH = 512      # minhashes of a sketch, 16 in a number
 SIGMAS = 4.5      # standard deviations below the mean agreement of a pair that is just linked
 COLUMNS = 1 << 15   # shingles hashed at a time
-SIGNATURES = "doc_id long, n_shingles long, digest binary, first array<long>, second array<long>"
-SETS = "doc_id long, shingles array<long>"
+ROUNDS = 4        # further rounds in which components meet through one hub each, at most
+SIGNATURES = "doc_id long, text_key long, n_shingles long, digest binary, first array<long>, second array<long>"
+SETS = "c binary, shingles array<long>"
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -91,6 +94,11 @@ def signatures(low: np.ndarray, groups: int, hashes: int) -> tuple[np.ndarray, n
     return x[:groups], x[groups:]
 
 
+def digest_of(x: np.ndarray) -> bytes | None:
+    """Name of a class: 128 bits of its set."""
+    return hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None
+
+
 def signed(docs: DataFrame, words: int, groups: int, hashes: int) -> DataFrame:
     def run(batches):
         import pandas as pd
@@ -100,11 +108,11 @@ def signed(docs: DataFrame, words: int, groups: int, hashes: int) -> DataFrame:
             for text in pdf["text"]:
                 x = shingles(text, words)
                 first, second = signatures(minhashes(x, a, b), groups, hashes) if len(x) else (None, None)
-                out.append((len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None, first, second))
+                out.append((len(x), digest_of(x), first, second))
             n, digest, first, second = zip(*out) if out else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_shingles": n, "digest": digest, "first": first, "second": second})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text_key": pdf["text_key"], "n_shingles": n, "digest": digest, "first": first, "second": second})
 
-    return in_pandas(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), run, SIGNATURES)
+    return in_pandas(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_key"), whole_text().alias("text")), run, SIGNATURES)
 
 
 def keys(classes: DataFrame, groups: int) -> DataFrame:
@@ -113,7 +121,7 @@ def keys(classes: DataFrame, groups: int) -> DataFrame:
         return F.transform(column, lambda s, i: F.struct(F.lit(side).alias("side"), i.alias("at"), s.alias("s")))
 
     sides = F.concat(tagged("first", 0), tagged("second", 1))
-    one = classes.select(F.col("doc_id").alias("c"), F.col("n_shingles").alias("n"), F.explode(sides).alias("x")).select("c", "n", "x.side", "x.at", "x.s")
+    one = classes.select("c", F.col("n_shingles").alias("n"), F.explode(sides).alias("x")).select("c", "n", "x.side", "x.at", "x.s")
     common = one.groupBy("side", "at", "s").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
     kept = one.join(common, ["side", "at", "s"], "left_semi")
     # at most GROUPS signatures a side
@@ -124,14 +132,15 @@ def keys(classes: DataFrame, groups: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The full sets of the wanted documents."""
+    """The full sets of the classes of the wanted documents (doc_id)."""
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": [shingles(t, words).view(np.int64) for t in pdf["text"]]})
+            found = [shingles(t, words) for t in pdf["text"]]
+            yield pd.DataFrame({"c": [digest_of(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(wanted, "doc_id", "left_semi")
-    return in_pandas(texts, run, SETS)
+    return in_pandas(texts.select("text"), run, SETS).dropDuplicates(["c"])
 
 
 def sketched(sets: DataFrame, wanted: DataFrame, skip: int) -> DataFrame:
@@ -145,9 +154,9 @@ def sketched(sets: DataFrame, wanted: DataFrame, skip: int) -> DataFrame:
             for x in pdf["shingles"]:
                 low = minhashes(np.asarray(x, dtype=np.int64).view(np.uint64), a, b) >> np.uint64(20) & np.uint64(15)
                 out.append((low.reshape(-1, 16) << places).sum(axis=1, dtype=np.uint64).view(np.int64))
-            yield pd.DataFrame({"c": pdf["doc_id"], "sketch": out})
+            yield pd.DataFrame({"c": pdf["c"], "sketch": out})
 
-    return in_pandas(sets.join(wanted, sets["doc_id"] == wanted["c"], "left_semi"), run, "c long, sketch array<long>")
+    return in_pandas(sets.join(wanted, "c", "left_semi"), run, "c binary, sketch array<long>")
 
 
 def agreement(x: str, y: str):
@@ -169,20 +178,30 @@ def least_agreement(share: int) -> int:
 
 def verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (u, v) whose sets are similar enough."""
-    left = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("y"))
+    left = sets.select(F.col("c").alias("u"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("c").alias("v"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     found = pairs.join(right, "v").join(left, "u").select("u", "v", F.size("x").alias("n"), F.size("y").alias("m"), both.alias("both"))
     return found.where(100 * F.col("both") >= share * (F.col("n") + F.col("m") - F.col("both"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, groups: int = GROUPS, hashes: int = HASHES) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row, and n_links: the links of its class to other texts."""
-    base = written(signed(docs, words, groups, hashes), "near-signatures")
-    linkable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    classes = linkable.select("doc_id", "digest", "n_shingles", "first", "second").join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+def mixed(placed: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one component."""
+    apart = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("key")
+    return placed.join(apart, "key", "left_semi")
+
+
+def merged(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """``placed`` after new links between its classes: components of components."""
+    of = placed.select("c", "k").distinct()
+    ends = links.join(of.select(F.col("c").alias("u"), F.col("k").alias("ku")), "u").join(of.select(F.col("c").alias("v"), F.col("k").alias("kv")), "v")
+    found = components(ends.select(F.col("ku").alias("u"), F.col("kv").alias("v")))
+    return placed.join(found.select(F.col("node").alias("k"), "component"), "k", "left").select(
+        "key", "c", "n", "i", "j", "hub", F.coalesce("component", "k").alias("k"))
 
+
+def linked_classes(classes: DataFrame, docs: DataFrame, words: int, share: int, groups: int, hashes: int) -> DataFrame:
+    """node, component (binary names) of all classes that have a link."""
     tables = keys(classes, groups)
     dealt = tables.select("c", "n", "key", "order")
     shared = dealt.groupBy("key").agg(
@@ -195,17 +214,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, gro
     met = members.where(F.col("c") != F.col("hub")).where(sizes_agree("n", "hub_n")).select(
         F.least("c", "hub").alias("u"), F.greatest("c", "hub").alias("v")).distinct()
     met = written(met, "near-pairs")
-    alike = members.select(F.col("c").alias("doc_id")).distinct()
-    sets = written(sets_of(docs, alike, words).dropDuplicates(["doc_id"]), "near-sets")
+    alike = members.select("c").distinct().join(classes.select("c", "doc_id"), "c").select("doc_id")
+    sets = written(sets_of(docs, alike, words), "near-sets")
     links = written(verified(met, sets, share), "near-links")
 
-    # buckets that still hold more than one component
+    # buckets that still hold more than one component: one hub of each component meets the hub of the bucket's largest
     found = components(links)
     placed = members.join(found, F.col("c") == F.col("node"), "left").select("key", "c", "n", "i", "j", "hub", F.coalesce("component", "c").alias("k"))
-    placed = written(placed, "near-placed")
-    apart = placed.groupBy("key").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi AND size > 2").select("key")
-    rest = placed.where("c <> hub").join(apart, "key", "left_semi").join(
-        classes.select(F.col("doc_id").alias("c"), "first", "second"), "c")
+    placed = written(mixed(placed), "near-placed")
+    for at in range(ROUNDS):
+        hubs = placed.groupBy("key", "k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c", "key", F.lit(at)).alias("h"), F.col("c"), F.col("n"))).alias("x"))
+        first = hubs.groupBy("key").agg(F.max(F.struct("size", "k", F.col("x.c").alias("c"), F.col("x.n").alias("n"))).alias("first"))
+        pairs = hubs.join(first, "key").where((F.col("k") != F.col("first.k")) & sizes_agree("x.n", "first.n")).select(
+            F.least("x.c", "first.c").alias("u"), F.greatest("x.c", "first.c").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
+        pairs = written(pairs, "near-more-pairs")
+        more = written(verified(pairs, sets, share), "near-more-links")
+        met = met.unionByName(pairs)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        placed = written(mixed(merged(placed, more)), "near-placed")
+
+    # what is still apart meets pairwise
+    rest = placed.where("c <> hub").join(classes.select("c", "first", "second"), "c")
     sketches = written(sketched(sets, rest.select("c").distinct(), 2 * groups * hashes), "near-sketches")
     rest = rest.join(sketches, "c")
     a, b = (rest.select("key", *[F.col(x).alias(f"{x}{y}") for x in ("c", "n", "k", "i", "j", "first", "second", "sketch")]) for y in ("1", "2"))
@@ -218,18 +249,31 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, gro
                   & (agreement("sketch1", "sketch2") >= least_agreement(share)) & ~earlier("first", "i1") & ~earlier("second", "j1")).select(
         F.col("c1").alias("u"), F.col("c2").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
     more = written(more, "near-more")
-    links = written(links.unionByName(verified(more, sets, share)), "near-all-links")
+    return components(written(links.unionByName(verified(more, sets, share)), "near-all-links"))
+
+
+def grouped(docs: DataFrame, words: int, share: int, groups: int, hashes: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept of every row."""
+    base = written(signed(docs, words, groups, hashes), "near-signatures")
+    linkable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    least = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    classes = linkable.select("doc_id", "digest", "n_shingles", "first", "second").join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"]).withColumnRenamed("digest", "c")
+    found = linked_classes(classes, docs, words, share, groups, hashes)
+    # a component is shown as the least doc_id of its classes
+    placed = least.join(found.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    shown = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = placed.join(shown, "component").select("digest", "component_id")
+    rows = base.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+    out = rows.join(of_class, "digest", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-    found = components(links).withColumnRenamed("node", "c")
-    ends = links.select(F.col("u").alias("c")).unionByName(links.select(F.col("v").alias("c"))).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
-    of_class = (least.withColumnRenamed("doc_id", "c").join(found, "c", "left").join(ends, "c", "left")
-                .select("digest", F.coalesce("component", "c").alias("component"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
-    out = base.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-                      F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, share: int = SHARE, groups: int = GROUPS, hashes: int = HASHES) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row."""
+    return grouped(docs, words, share, groups, hashes).drop("text_key")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component of links of STAGE_SHARE per cent or more."""
-    gone = near_duplicates(docs, share=STAGE_SHARE, groups=STAGE_GROUPS, hashes=STAGE_HASHES).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` with one document of each component of links of STAGE_SHARE per cent or more; a row is known by its doc_id and text."""
+    gone = grouped(docs, WORDS, STAGE_SHARE, STAGE_GROUPS, STAGE_HASHES).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_gone_key"]), "left_anti")

@@ -63,6 +63,15 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = sentence(1, 80), sentence(2, 80)
+    rows = [(1, a), (2, a), (2, b), (2 ** 53 + 1, sentence(3, 80)), (None, a), (2 ** 53 + 3, sentence(4, 80))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (2, 2, True), (2 ** 53 + 1, 2 ** 53 + 1, True), (None, None, True), (2 ** 53 + 3, 2 ** 53 + 3, True)}
+    assert {tuple(r) for r in near_dedup.without_copies(df).collect()} == set(rows) - {(2, a)}
+
+
 def test_stage_drops_copies_from_80_per_cent_on(spark):
     draw = random.Random(12)
     docs = []
