@@ -34,7 +34,6 @@ PER_LANGUAGE = 1500
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1     # learning rate, its smoothing, elastic net
 SEED = "language-id"
-MIN_SCORE = 0.3    # below it a text is in none of the learned languages with any confidence
 
 
 def term_counts(text: str) -> tuple[np.ndarray, np.ndarray] | None:
@@ -191,14 +190,13 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with letters and a language predicted with at least MIN_SCORE; nothing is shuffled."""
+    """The rows of ``docs`` that are not ``und``: those with a letter, also where no language was learned; nothing is shuffled."""
     model = train(docs.select("doc_id", "text", "lang"))
 
     def known(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         make_room()
         for texts in batches:
-            found = [score(model, t) for t in texts]
-            yield pd.Series([lang != "und" and p >= MIN_SCORE for lang, p in found])
+            yield pd.Series([score(model, t)[0] != "und" if model else term_counts(t) is not None for t in texts])
 
     ship(docs.sparkSession)
     return docs.where(F.pandas_udf(known, "boolean")(whole_text()))

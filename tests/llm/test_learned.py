@@ -71,6 +71,8 @@ def test_language_of_odd_rows(odd, none, corpus):
         assert all((r["lang_pred"] == "und") == (m is None or r["doc_id"] in letterless) for r in got if r["doc_id"] is not None)
     assert language_id.identify(none).collect() == []
     assert language_id.in_known_language(none).collect() == []
+    assert {r["doc_id"] for r in language_id.in_known_language(odd.selectExpr("doc_id", "text", "cast(null AS string) AS lang", "source", "n_chars")).collect()} == \
+        {r["doc_id"] for r in odd.collect()} - letterless
     kept = language_id.in_known_language(odd)
     assert kept.columns == odd.columns and not {0, 1, 2, 16} & {r["doc_id"] for r in kept.collect()}
 
