@@ -3,7 +3,7 @@
 Each stage works on all rows that its predecessor kept, is written as Parquet below the cluster's shared folder and read again.
 
 1. toxicity: documents predicted toxic go;
-2. language: documents without letters, or in no learned language, go;
+2. language: documents without letters go (also where no language could be learned, documents with letters stay);
 3. near-duplicates: of each group of documents (linked by five-word shingles, similarity 0.80 or more) the one with the least doc_id stays;
 4. mixing: documents are kept, repeated or left out until their sources are near their targets;
 5. token ids: every row is encoded and decoded; doc_id and the ids with their digests come out.
