@@ -22,6 +22,7 @@ from operator import itemgetter
 from linepulse.llm.common import per_worker
 
 MAX_CHUNKS = 400_000   # remembered chunks a generation
+PACKED = 650_000       # the same where words and pieces share one memory
 LONGEST = 64           # longer chunks are encoded each time
 
 # the characters of Unicode's White_Space property (fixed values)
@@ -114,11 +115,41 @@ def counter(path: str) -> Callable[[str], int]:
     return lambda text: sum(map(known.__getitem__, CHUNK.findall(text)))
 
 
+class Words(Remembered):
+    """Remembered ids of chunks of a file that lower-cases and drops white space; "word", "word," and "Word" share what they have in common."""
+
+    def __init__(self, tokenizer, code: str):
+        ids = chunk_ids(tokenizer, lower=True, code=code)
+        super().__init__(ids, PACKED)
+        self.tokenize, self.code = tokenizer.model.tokenize, code
+        self.plain = not any(PLAIN(t.content) for t in tokenizer.get_added_tokens_decoder().values())
+
+    def __missing__(self, chunk):
+        value = self.old.get(chunk)
+        if value is None:
+            core = chunk.rstrip(MARKS)
+            if not (self.plain and core.isascii() and core.isalpha()):
+                value = self.make(chunk)
+            elif len(core) < len(chunk):
+                value = self[core] + self[chunk[len(core):]]
+            elif core.islower():
+                value = array(self.code, [t.id for t in self.tokenize(core)]).tobytes()
+            else:
+                value = self[core.lower()]
+            if len(chunk) > LONGEST:
+                return value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[chunk] = value
+        return value
+
+
 @per_worker
 def packer(path: str, code: str) -> Callable[[str], bytes]:
     """Ids of a whole text as little-endian bytes, for a file whose normaliser drops white space."""
     tokenizer = library(path)
-    known = Remembered(chunk_ids(tokenizer, lower=True, code=code))
+    known = Words(tokenizer, code)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def pack(text: str) -> bytes:
