@@ -34,13 +34,25 @@ BROADCAST_CODES = 50_000    # a vocabulary of at most so many values is sent to
 def encode_alphabetical(df: DataFrame, cols: Sequence[str], names: dict | None = None) -> DataFrame:
     """Each text column -> 0-based code in alphabetical order of its distinct values (missing -> 'nan').
 
-    One pass collects the distinct values of all columns (map-side), which are numbered by a distributed
-    dense index per column.  A vocabulary that is counted to be small (BROADCAST_CODES) is sent to the tasks, so the
-    rows are not shuffled; a larger one is joined by shuffle, with the missing values kept out of the join (they
-    may be a third of all rows) and given their code as a literal.
+    One pass collects the distinct values of all columns (map-side).  If they are counted to be few (BROADCAST_CODES a column), they are
+    numbered as they are and sent to the tasks, so no row is shuffled.  Otherwise each column is numbered by a distributed dense
+    index and joined by shuffle, with the missing values kept out of the join (they may be a third of all rows) and given their
+    code as a literal.
     """
+    spark = df.sparkSession
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.coalesce(F.col(c).cast("string"), F.lit(MISSING_TEXT)).alias("v")) for c in cols]))
-    values = df.select(pairs.alias("x")).select("x.c", "x.v").distinct().checkpoint(eager=True)
+    values = df.select(pairs.alias("x")).select("x.c", "x.v").distinct()
+    most = BROADCAST_CODES * len(cols)
+    few = values.limit(most + 1).collect()                    # bounded: at most BROADCAST_CODES values a column on average
+    if len(few) <= most:
+        out = df
+        for col in cols:
+            out_name = (names or CODE_NAMES).get(col, f"{col}_code")
+            codes = [(v, i) for i, v in enumerate(sorted(r["v"] for r in few if r["c"] == col))]
+            vocab = spark.createDataFrame(codes, f"_v string, `{out_name}` int")
+            out = out.join(F.broadcast(vocab), F.coalesce(F.col(col).cast("string"), F.lit(MISSING_TEXT)) == F.col("_v"), "left").drop("_v")
+        return out
+    values = values.checkpoint(eager=True)
     sizes = {r["c"]: r["n"] for r in values.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     out = df
     for col in cols:

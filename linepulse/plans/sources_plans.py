@@ -23,17 +23,18 @@ _TEXT = {
     "factors": lambda t: L.factors_text(t.f),
     "wide": lambda t: L.wide_downtime(t.i, t.f),
 }
-_EXPORTS: dict[tuple, str] = {}
+_SOURCES = {"products": ["part"], "batches": ["events", "part"], "incidents": ["lineitem"], "factors": ["supplier"], "wide": ["lineitem", "supplier"]}
+_EXPORTS: dict[tuple, tuple[str, str]] = {}
 
 
 def exported(t, name: str) -> str:
-    """Folder of one table's text export, written on first use."""
+    """Folder of one table's text export; written on first use and again when the files that it comes from have changed."""
     spark = t.spark
-    key = (spark.sparkContext.applicationId, t.sf_dir, name)
-    if key not in _EXPORTS:
+    key, state = (spark.sparkContext.applicationId, t.sf_dir, name), t.state(*_SOURCES[name])
+    if _EXPORTS.get(key, ("", ""))[0] != state:
         tag = hashlib.sha1(t.sf_dir.encode()).hexdigest()[:10]
-        _EXPORTS[key] = L.write_csv(_TEXT[name](t), f"{shared_dir(spark).rstrip('/')}/linepulse/export/{tag}/{name}")
-    return _EXPORTS[key]
+        _EXPORTS[key] = state, L.write_csv(_TEXT[name](t), f"{shared_dir(spark).rstrip('/')}/linepulse/export/{tag}/{name}-{state}")
+    return _EXPORTS[key][1]
 
 
 @query("read_products", "S01", """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -72,3 +74,17 @@ def shared_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="linepulse-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the workers of this session import the package, also where it is not installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_linepulse_package", False):
+        return
+    root = Path(__file__).resolve().parent
+    to = os.path.join(tempfile.mkdtemp(prefix="linepulse-"), "linepulse.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(to)
+    sc._linepulse_package = True

@@ -76,6 +76,10 @@ class Tables:
     def spark(self) -> SparkSession:
         return self.b.sparkSession
 
+    def state(self, *sources: str) -> str:
+        """Frames of the caller: a state of their own for each value."""
+        return f"frames-{id(self)}"
+
 
 def factors_from_supplier(supplier: DataFrame) -> DataFrame:
     """The factors that the suppliers stand for, labelled by the line's list (an id beyond it is 'Factor <id>')."""
@@ -202,8 +206,12 @@ class StoredTables:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def state(self, *sources: str) -> str:
+        """A digest of the files that these test tables consist of now."""
+        return hashlib.sha1("".join(listing(self.spark, self.path(x)) for x in sources).encode()).hexdigest()[:12]
+
     def _stored(self, name: str, sources: list[str], make) -> DataFrame:
-        state = hashlib.sha1("".join(listing(self.spark, self.path(x)) for x in sources).encode()).hexdigest()[:12]
+        state = self.state(*sources)
         if self._made.get(name, ("", None))[0] != state:
             at = f"{self.root}/{name}-{state}"
             make().write.mode("overwrite").parquet(at)

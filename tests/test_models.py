@@ -115,3 +115,29 @@ def test_one_shuffle_for_join_and_window(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     join = plan.index("SortMergeJoin")
     assert "Exchange" not in plan[plan.index("Window"):join]
+
+
+def small_tables(spark, at, parts):
+    """The test tables below ``at``, with so many rows of ``part`` and ``lineitem``."""
+    for name in ("events", "supplier", "part", "lineitem"):
+        df = spark.read.parquet(f"{SF_SMALL}/{name}.parquet")
+        if name in ("part", "lineitem"):
+            df = df.limit(parts if name == "part" else 40 * parts)
+        df.limit(300).write.mode("overwrite").parquet(str(at / f"{name}.parquet"))
+
+
+def test_exports_and_models_follow_the_files(spark, tmp_path):
+    from linepulse.plans import ml_plans, sources_plans
+    from linepulse.sources.testmap import StoredTables
+    small_tables(spark, tmp_path, 5)
+    t = StoredTables(spark, str(tmp_path))
+    assert sources_plans.read_products(t).count() == 5
+    assert {r["table_name"]: r["row_count"] for r in sources_plans.read_all(t).collect()}["products"] == 5
+    weights = {r["feature"]: r["coefficient"] for r in ml_plans.downtime_ridge(t).collect()}
+    n = ml_plans.downtime_predictions_all(t).count()
+    small_tables(spark, tmp_path, 7)
+    assert sources_plans.read_products(t).count() == 7
+    assert {r["table_name"]: r["row_count"] for r in sources_plans.read_all(t).collect()}["products"] == 7
+    assert ml_plans.downtime_predictions_all(t).count() == t.i.count() > n
+    assert ml_plans.write_downtime_predictions(t).count() == t.i.count()
+    assert {r["feature"]: r["coefficient"] for r in ml_plans.downtime_ridge(t).collect()} != weights
