@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.sources.testmap import (BATCH_COLS, FACTOR_ATTRS, INCIDENT_COLS, PRODUCT_ATTRS, Tables,
-                                       incident_detail, wide_batches)
+                                       incident_detail, line_of, wide_batches)
 
 PRODUCT_COLS = PRODUCT_ATTRS
 INCIDENT_TYPES = {"downtime_id": "long", "factor_id": "int", "downtime_min": "int"}
@@ -53,12 +53,13 @@ def batch_product(t: Tables, how: str = "inner") -> DataFrame:
     w = batches_with_totals(t)
     if how == "inner":
         w = w.filter(F.col("has_product"))
-    return _delay(w.select(*BATCH_COLS, *PRODUCT_COLS))
+    return _delay(w.select(*BATCH_COLS, *line_of(w), *PRODUCT_COLS))
 
 
 def batch_with_product(t: Tables) -> DataFrame:
     """Batches left-joined to products."""
-    return batches_with_totals(t).select(*BATCH_COLS, *PRODUCT_COLS)
+    w = batches_with_totals(t)
+    return w.select(*BATCH_COLS, *line_of(w), *PRODUCT_COLS)
 
 
 def batch_downtime(t: Tables) -> DataFrame:

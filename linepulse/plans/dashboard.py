@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linepulse.functions.expr import r
-from linepulse.operators import marts
+from linepulse.operators import marts, ranks, sketches
 from linepulse.operators.metrics import share
 from linepulse.plans.registry import BIG, PCT, R, query
 
@@ -21,7 +21,7 @@ FROM d, r""")
 def kpi_summary(t):
     """One row: total downtime, incident count, MTTR, MTBF and availability, all grain-safe
     (incident measures from incidents, run time from batches; two one-row aggregates)."""
-    d = t.i.agg(F.sum("downtime_min").alias("total_downtime_min"), F.count(F.lit(1)).alias("incident_count"),
+    d = t.ir.agg(F.sum("downtime_min").alias("total_downtime_min"), F.count(F.lit(1)).alias("incident_count"),
                 F.avg("downtime_min").alias("_a"))
     run = t.b.agg(F.sum("duration_min").alias("_s"))
     return d.crossJoin(run).select(
@@ -73,6 +73,53 @@ def kpi_correlation(t):
     return one.select(F.inline(rows))
 
 
+def _kpis(t):
+    return (marts.batches_with_totals(t)
+            .select("duration_min", "min_batch_time", F.coalesce(F.col("total_downtime"), F.lit(0)).cast("double").alias("total_downtime"),
+                    (F.col("duration_min") - F.col("min_batch_time")).alias("delay")))
+
+
+def _rank_sql(a: str, b: str) -> str:
+    def rank(x):
+        return f"RANK() OVER (ORDER BY {x}) + (COUNT(*) OVER (PARTITION BY {x}) - 1) / 2.0E0"
+    return (f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, {R('CORR(ra, rb)', 6)} AS correlation, COUNT(*) AS n "
+            f"FROM (SELECT {rank(a)} AS ra, {rank(b)} AS rb FROM k WHERE {a} IS NOT NULL AND {b} IS NOT NULL) u")
+
+
+@query("kpi_rank_correlation", "B04", f"""
+WITH k AS (SELECT j.duration_min, j.min_batch_time, CAST(COALESCE(bd.total_downtime, 0) AS DOUBLE) AS total_downtime,
+                  j.duration_min - j.min_batch_time AS delay
+           FROM j01 j LEFT JOIN bd ON j.batch_id = bd.batch_id)
+{' UNION ALL '.join(_rank_sql(a, b) for a, b in KPI_PAIRS)}""")
+def kpi_rank_correlation(t):
+    """Spearman's correlation of the same measures: average ranks, ties shared."""
+    return ranks.rank_correlations(_kpis(t), KPI_PAIRS)
+
+
+DISTINCT_COLS = ["product_id", "operator_name", "flavor"]
+
+
+@query("approx_distinct_monthly", "P37-P39", """
+SELECT CAST(year(prod_date) AS INTEGER) AS year, CAST(month(prod_date) AS INTEGER) AS month, COUNT(DISTINCT product_id) AS product_id,
+       COUNT(DISTINCT operator_name) AS operator_name, COUNT(DISTINCT flavor) AS flavor
+FROM j01 GROUP BY 1, 2""")
+def approx_distinct_monthly(t):
+    """Opt-in approximate distinct counts a month, merged from the stored daily sketches (some hundred values are counted exactly)."""
+    daily = t.kept("distinct_daily", ["events", "part"], lambda: sketches.daily_distinct(marts.batch_with_product(t), "prod_date", DISTINCT_COLS))
+    return sketches.distinct_over(daily, DISTINCT_COLS, [F.year("prod_date").alias("year"), F.month("prod_date").alias("month")])
+
+
+@query("approx_fences", "B05", """
+WITH q AS (SELECT product_id, COUNT(*) AS n, CAST(quantile_disc(duration_min, 0.25) AS BIGINT) AS q1, CAST(quantile_disc(duration_min, 0.75) AS BIGINT) AS q3
+           FROM batches GROUP BY product_id)
+SELECT product_id, n, q1, q3, q1 - 1.5E0 * (q3 - q1) AS low, q3 + 1.5E0 * (q3 - q1) AS high FROM q""")
+def approx_fences(t):
+    """Quartiles and outlier limits of every product from stored daily quantile sketches: exact up to KLL_K batches a product, then within the
+    sketch's rank error (``sketches.outlier_rates`` reads the rates off the same sketches)."""
+    daily = t.kept("duration_daily", ["events", "part"], lambda: sketches.daily_quantiles(t.b, "product_id", "prod_date", "duration_min"))
+    return sketches.fences(daily, "product_id").drop("sketch")
+
+
 @query("outlier_flags", "B05", f"""
 WITH q AS (SELECT product_id, quantile_cont(duration_min, 0.25) AS q1, quantile_cont(duration_min, 0.75) AS q3
            FROM batches GROUP BY product_id)

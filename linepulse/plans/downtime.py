@@ -39,14 +39,14 @@ def _count_if(cond):
 
 @query("mttr", "D01", "SELECT AVG(downtime_min) AS mttr_minutes FROM incidents")
 def mttr(t):
-    return t.i.agg(F.avg("downtime_min").alias("mttr_minutes"))
+    return t.ir.agg(F.avg("downtime_min").alias("mttr_minutes"))
 
 
 @query("downtime_ratio", "D02", f"""
 SELECT {PCT('(SELECT SUM(downtime_min) FROM incidents)', '(SELECT SUM(duration_min) FROM batches)')}
        AS downtime_ratio_pct""")
 def downtime_ratio(t):
-    down = t.i.agg(F.sum("downtime_min").alias("_d"))
+    down = t.ir.agg(F.sum("downtime_min").alias("_d"))
     run = t.b.agg(F.sum("duration_min").alias("_r"))
     # two one-row aggregates side by side
     return down.crossJoin(run).select(pct("_d", "_r").alias("downtime_ratio_pct"))
@@ -195,7 +195,7 @@ SELECT d.s AS total_downtime_min, r.s AS total_production_duration_min,
        {PCT('d.s', 'r.s')} AS corrected_downtime_ratio_pct
 FROM d, r""")
 def downtime_ratio_components(t):
-    down = t.i.agg(F.sum("downtime_min").alias("total_downtime_min"))
+    down = t.ir.agg(F.sum("downtime_min").alias("total_downtime_min"))
     run = t.b.agg(F.sum("duration_min").alias("total_production_duration_min"))
     return down.crossJoin(run).withColumn(
         "corrected_downtime_ratio_pct", pct("total_downtime_min", "total_production_duration_min"))

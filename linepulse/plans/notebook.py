@@ -17,7 +17,7 @@ from linepulse.functions.scale import _null_safe_join, seq_cumsum, seq_lag, seq_
 from linepulse.operators import marts
 from linepulse.operators.metrics import matrix, pareto, share, top_per_group
 from linepulse.plans.registry import BIG, INT, PCT, R, query
-from linepulse.sources.testmap import FACTORS
+from linepulse.sources.testmap import FACTORS, line_of
 
 DELAY_LBL, ON_TIME_LBL = "Delay", "On_time"
 
@@ -117,10 +117,11 @@ WITH s AS (SELECT prod_date, product_id, LAG(product_id) OVER (ORDER BY prod_dat
 SELECT prod_date, COUNT(*) FILTER (WHERE prev IS NULL OR product_id <> prev) AS product_changes
 FROM s GROUP BY prod_date""")
 def changeovers_running(t):
-    s = seq_lag(t.b.select("batch_id", "prod_date", "start_min", "product_id"), [],
+    line = line_of(t.b)
+    s = seq_lag(t.b.select(*line, "batch_id", "prod_date", "start_min", "product_id"), line,
                 ["prod_date", "start_min", "batch_id"], ["prod_date", "start_min"], ["product_id"], ["prev"])
     changed = F.col("prev").isNull() | (F.col("product_id") != F.col("prev"))
-    return s.groupBy("prod_date").agg(F.count(F.when(changed, F.lit(1))).alias("product_changes"))
+    return s.groupBy(*line, "prod_date").agg(F.count(F.when(changed, F.lit(1))).alias("product_changes"))
 
 
 @query("idle_time_rows", "N09", """
@@ -131,11 +132,12 @@ SELECT batch_id, prod_date, start_min,
        CAST(COALESCE((prod_date - pd) * 1440 + start_min - pe, 0) AS BIGINT) AS idle_time
 FROM s""")
 def idle_time_rows(t):
-    b = t.b.select("batch_id", "prod_date", "start_min", (F.col("start_min") + F.col("duration_min")).alias("end_at"))
-    s = seq_lag(b, [], ["prod_date", "start_min", "batch_id"], ["prod_date", "start_min"],
+    line = line_of(t.b)
+    b = t.b.select(*line, "batch_id", "prod_date", "start_min", (F.col("start_min") + F.col("duration_min")).alias("end_at"))
+    s = seq_lag(b, line, ["prod_date", "start_min", "batch_id"], ["prod_date", "start_min"],
                 ["prod_date", "end_at"], ["pd", "pe"])
     gap = F.datediff("prod_date", "pd") * 1440 + F.col("start_min") - F.col("pe")
-    return s.select("batch_id", "prod_date", "start_min", F.coalesce(gap, F.lit(0)).cast("long").alias("idle_time"))
+    return s.select(*line, "batch_id", "prod_date", "start_min", F.coalesce(gap, F.lit(0)).cast("long").alias("idle_time"))
 
 
 @query("product_distinct_batches", "N10", """
@@ -201,8 +203,10 @@ WITH u AS (SELECT duration_min - min_batch_time AS dev,
            FROM j01)
 SELECT {INT('seq')} AS batch_order, {R('AVG(dev)')} AS avg_delay FROM u GROUP BY seq""")
 def sequence_impact(t):
-    s = seq_number(j01(t), ["prod_date", "operator_name"], ["start_min", "batch_id"], ["start_min"], "batch_order")
-    return s.groupBy("batch_order").agg(r(F.avg("time_deviation")).alias("avg_delay"))
+    j = j01(t)
+    line = line_of(j)
+    s = seq_number(j, [*line, "prod_date", "operator_name"], ["start_min", "batch_id"], ["start_min"], "batch_order")
+    return s.groupBy(*line, "batch_order").agg(r(F.avg("time_deviation")).alias("avg_delay"))
 
 
 @query("line_and_operator_efficiency", "N18", f"""
@@ -660,10 +664,12 @@ WITH u AS (SELECT duration_min - min_batch_time AS dev,
                   END AS work_window FROM u)
 SELECT work_window, {R('AVG(dev)')} AS avg_delay FROM b WHERE work_window IS NOT NULL GROUP BY work_window""")
 def fatigue_by_worked_minutes(t):
-    s = seq_cumsum(j01(t), ["prod_date", "operator_name"], ["start_min", "batch_id"], ["start_min"],
+    j = j01(t)
+    line = line_of(j)
+    s = seq_cumsum(j, [*line, "prod_date", "operator_name"], ["start_min", "batch_id"], ["start_min"],
                    "duration_min", "worked", exclusive=True)
     return (s.withColumn("work_window", _fatigue_bin(F.col("worked"))).filter(F.col("work_window").isNotNull())
-             .groupBy("work_window").agg(r(F.avg("time_deviation")).alias("avg_delay")))
+             .groupBy(*line, "work_window").agg(r(F.avg("time_deviation")).alias("avg_delay")))
 
 
 # --- Shifts and products --------------------------------------------------------------------

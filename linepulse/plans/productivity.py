@@ -10,6 +10,7 @@ from linepulse.functions.scale import seq_lag, seq_lead
 from linepulse.operators import marts
 from linepulse.operators.metrics import on_time_rate, order_by, share, stats, top_per_group, volume
 from linepulse.plans.registry import BIG, PCT, R, query
+from linepulse.sources.testmap import line_of
 
 
 @query("total_production_duration", "P01",
@@ -26,7 +27,7 @@ def avg_duration(t):
 @query("total_downtime", "P03",
        f"SELECT {BIG('SUM(downtime_min)')} AS total_downtime_min FROM incidents")
 def total_downtime(t):
-    return t.i.agg(F.sum("downtime_min").alias("total_downtime_min"))
+    return t.ir.agg(F.sum("downtime_min").alias("total_downtime_min"))
 
 
 @query("status_counts", "P04", """
@@ -140,9 +141,10 @@ WITH s AS (SELECT prod_date, product_id,
 SELECT prod_date, COUNT(*) AS changeover_count FROM s
 WHERE prev_product IS NOT NULL AND product_id <> prev_product GROUP BY prod_date""")
 def changeovers_daily(t):
-    s = seq_lag(t.b.select("batch_id", "prod_date", "start_min", "product_id"), ["prod_date"],
+    line = line_of(t.b)
+    s = seq_lag(t.b.select(*line, "batch_id", "prod_date", "start_min", "product_id"), [*line, "prod_date"],
                 ["start_min", "batch_id"], ["start_min"], ["product_id"], ["prev_product"])
-    return volume(s, "prod_date", "changeover_count",
+    return volume(s, [*line, "prod_date"], "changeover_count",
                   where=F.col("prev_product").isNotNull() & (F.col("product_id") != F.col("prev_product")))
 
 
@@ -153,10 +155,11 @@ WITH s AS (SELECT prod_date, start_min + duration_min AS end_at,
 SELECT prod_date, {BIG('SUM(next_start - end_at)')} AS total_idle_gap_min FROM s
 WHERE next_start IS NOT NULL GROUP BY prod_date""")
 def idle_gap_daily(t):
-    s = seq_lead(t.b.select("batch_id", "prod_date", "start_min", "duration_min"), ["prod_date"],
+    line = line_of(t.b)
+    s = seq_lead(t.b.select(*line, "batch_id", "prod_date", "start_min", "duration_min"), [*line, "prod_date"],
                  ["start_min", "batch_id"], ["start_min"], ["start_min"], ["next_start"])
     gap = F.col("next_start") - (F.col("start_min") + F.col("duration_min"))
-    return (s.filter(F.col("next_start").isNotNull()).groupBy("prod_date")
+    return (s.filter(F.col("next_start").isNotNull()).groupBy(*line, "prod_date")
              .agg(F.sum(gap).cast("long").alias("total_idle_gap_min")))
 
 

@@ -103,7 +103,7 @@ SELECT COUNT(downtime_min) AS incident_count, {BIG('SUM(downtime_min)')} AS tota
 FROM incidents""")
 def downtime_statistics(t):
     m = F.col("downtime_min")
-    return t.i.agg(F.count(m).alias("incident_count"), F.sum(m).alias("total_minutes"),
+    return t.ir.agg(F.count(m).alias("incident_count"), F.sum(m).alias("total_minutes"),
                    F.round(F.avg(m), 4).alias("avg_minutes"), F.min(m).alias("min_minutes"),
                    F.max(m).alias("max_minutes"), F.round(F.stddev_samp(m), 4).alias("stdev_minutes"))
 
@@ -127,7 +127,7 @@ WHERE i.factor_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM factors f WHERE f.fa
 def fk_orphans(t):
     return (quality.orphans(t.b, t.p, "product_id", "batch->product")
             .unionByName(orphan_incidents(t))
-            .unionByName(quality.orphans(t.i, t.f, "factor_id", "incident->factor")))
+            .unionByName(quality.orphans(t.ir, t.f, "factor_id", "incident->factor")))
 
 
 @query("factor_statistics", "Q08", f"""
@@ -161,7 +161,7 @@ def duplicates_batches(t):
 SELECT batch_id, factor_id, downtime_min, COUNT(*) AS dup_count FROM incidents
 GROUP BY batch_id, factor_id, downtime_min HAVING COUNT(*) > 1""")
 def duplicates_incidents(t):
-    return quality.duplicate_groups(t.i, ["batch_id", "factor_id", "downtime_min"])
+    return quality.duplicate_groups(t.ir, ["batch_id", "factor_id", "downtime_min"])
 
 
 @query("duplicates_products", "Q12", """
@@ -184,7 +184,7 @@ UNION ALL SELECT 'incidents', (SELECT COUNT(*) FROM incidents)
 UNION ALL SELECT 'products', (SELECT COUNT(*) FROM products) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM products))""")
 def full_row_duplicates(t):
     return (quality.full_row_duplicates(dirty.dirty_batches(t), "batches")
-            .unionByName(quality.full_row_duplicates(t.i.select("batch_id", "factor_id", "downtime_min"), "incidents"))
+            .unionByName(quality.full_row_duplicates(t.ir.select("batch_id", "factor_id", "downtime_min"), "incidents"))
             .unionByName(quality.full_row_duplicates(t.p, "products")))
 
 

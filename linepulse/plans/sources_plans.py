@@ -8,6 +8,7 @@ the test tables.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -98,6 +99,26 @@ def unpivot_downtime(t):
         F.col("downtime_id").cast("long"), "batch_id", "factor_id", "downtime_min")
 
 
+@query("csv_rejects", "S01-S06", """
+SELECT 'batches' AS table_name, CASE WHEN batch_id % 37 = 0 THEN 'too many fields' ELSE 'too few fields' END AS reason, COUNT(*) AS rejected_rows
+FROM batches WHERE batch_id % 37 = 0 OR batch_id % 53 = 0 GROUP BY 2
+UNION ALL SELECT 'batches', 'good', COUNT(*) FROM batches WHERE batch_id % 37 <> 0 AND batch_id % 53 <> 0""")
+def csv_rejects(t):
+    """Records of the text export that have too many or too few fields, by reason, and the number of good ones.
+
+    The export is dirtied by fixed rules first: every 37th batch has a field more, every 53rd ends after its third."""
+    spark = t.spark
+    lines = spark.read.text(exported(t, "batches"))
+    fields = F.split("value", ",")
+    key = F.get(fields, F.lit(0)).try_cast("long")
+    dirty = lines.select(F.when(key % 37 == 0, F.concat("value", F.lit(",more"))).when(key % 53 == 0, F.concat_ws(",", F.slice(fields, 1, 3))).otherwise(F.col("value")).alias("value"))
+    path = f"{shared_dir(spark).rstrip('/')}/linepulse/export/dirty-{uuid.uuid4().hex}"
+    dirty.write.text(path)
+    bad = L.rejected(spark, path).groupBy("reason").agg(F.count(F.lit(1)).alias("rejected_rows"))
+    good = L.read_batches(spark, path).agg(F.count(F.lit(1)).alias("rejected_rows")).select(F.lit("good").alias("reason"), "rejected_rows")
+    return bad.unionByName(good).select(F.lit("batches").alias("table_name"), "reason", "rejected_rows")
+
+
 @query("cast_types", "C09", """
 SELECT 'batches' AS table_name, COUNT(*) AS row_count,
        COUNT(*) FILTER (WHERE batch_id % 41 = 0) AS failed_prod_date,

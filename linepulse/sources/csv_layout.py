@@ -16,6 +16,10 @@ typed step (``parse_*``) whose failures become NULL and can be counted.
 
 from __future__ import annotations
 
+import csv
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,17 +112,46 @@ def write_csv(df: DataFrame, path: str) -> str:
 
 # --- readers (text layout -> canonical) -----------------------------------------------------
 
-def read_text(spark: SparkSession, path: str, headers: list[str] | None = None, banner: bool = False) -> DataFrame:
-    """The file's columns as text, found by the names in its header row (in any order).
+def read_text(spark: SparkSession, path: str, headers: list[str] | None = None, banner: bool = False, multiline: bool = False) -> DataFrame:
+    """The file's columns as text, found by the names in its header row (in any order); only records with a field for every column.
 
     A byte-order mark and blanks around names are ignored.  A column that is missing, or a name that stands
-    twice, raises an error; with ``headers`` only these columns come out.  ``banner``: a title row stands above the header.
+    twice, raises an error; with ``headers`` only these columns come out.  ``banner``: a title row stands above the header of each file.
+    ``multiline``: quoted fields may hold line breaks (each file is then read by one task).  Records with too many or too few
+    fields are in ``rejected``.
     """
+    names, raw = _records(spark, path, banner, multiline)
+    # the second test is never true: it keeps a data column among those read, which the reader asks for
+    good = raw.where(F.when(F.col("_bad").isNull(), F.lit(True)).otherwise(F.length("_c0") < 0))
+    return _by_name(good, names, headers, path)
+
+
+def rejected(spark: SparkSession, path: str, banner: bool = False, multiline: bool = False) -> DataFrame:
+    """file, record, n_fields, reason of every record that ``read_text`` leaves out."""
+    names, raw = _records(spark, path, banner, multiline)
+    fields = F.size(F.split(F.regexp_replace("_bad", '"([^"]|"")*"', ""), ","))
+    reason = F.when(F.col("n_fields") > len(names), "too many fields").when(F.col("n_fields") < len(names), "too few fields").otherwise("malformed")
+    bad = raw.where(F.col("_bad").isNotNull() & (F.length(F.coalesce("_c0", F.lit(""))) >= 0))
+    return bad.select(F.col("_file").alias("file"), F.col("_bad").alias("record"), fields.alias("n_fields")).withColumn("reason", reason)
+
+
+def _records(spark: SparkSession, path: str, banner: bool, multiline: bool) -> tuple[list[str], DataFrame]:
+    """The names of the header row, and the records as columns _c0, _c1, ..., _bad (the text of a record with another number of fields), _file."""
+    reader = spark.read.option("inferSchema", False).option("encoding", "UTF-8").option("mode", "PERMISSIVE").option("multiLine", multiline)
     if banner:
-        return _below_banner(spark, path, headers)
-    raw = spark.read.option("header", True).option("inferSchema", False).option("encoding", "UTF-8").option("mode", "PERMISSIVE").csv(path)
-    names = [x.lstrip("\ufeff").strip() for x in raw.columns]
-    return _by_name(raw.toDF(*[f"_c{k}" for k in range(len(names))]), names, headers, path)
+        top = [r[0].lstrip("\ufeff").rstrip("\r") for r in spark.read.option("encoding", "UTF-8").text(path).limit(2).collect()]
+        if len(top) < 2:
+            raise ValueError(f"{path}: no header below the title row")
+        names = next(csv.reader([top[1]]))
+    else:
+        names = reader.option("header", True).csv(path).columns
+    names = [x.lstrip("\ufeff").strip() for x in names]
+    columns = ", ".join(f"_c{k} STRING" for k in range(len(names)))
+    raw = (reader.option("header", not banner).option("columnNameOfCorruptRecord", "_bad").option("columnPruning", False)
+           .schema(f"{columns}, _bad STRING").csv(path))
+    if not banner:
+        return names, raw.select("*", F.col("_metadata.file_path").alias("_file"))
+    return names, _below_top(raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")), 2)
 
 
 def _by_name(raw: DataFrame, names: list[str], headers: list[str] | None, path: str) -> DataFrame:
@@ -129,16 +162,25 @@ def _by_name(raw: DataFrame, names: list[str], headers: list[str] | None, path:
     return raw.select(*[F.col(f"_c{names.index(h)}").alias(h) for h in wanted])
 
 
-def _below_banner(spark: SparkSession, path: str, headers: list[str] | None) -> DataFrame:
-    """Every file begins with the title row, then the header row; both are the same in all files of a folder."""
-    lines = spark.read.option("encoding", "UTF-8").text(path).select(F.regexp_replace("value", "[\\x{FEFF}\r]", "").alias("value"))
-    top = [r[0] for r in lines.limit(2).collect()]
-    if len(top) < 2:
-        raise ValueError(f"{path}: no header below the title row")
-    names = [x.strip().strip('"') for x in top[1].split(",")]
-    fields = F.from_csv("value", F.lit(", ".join(f"_c{k} STRING" for k in range(len(names)))))
-    rows = lines.where(~F.col("value").isin(*top)).select(fields.alias("x")).select("x.*")
-    return _by_name(rows, names, headers, path)
+def _below_top(raw: DataFrame, top: int) -> DataFrame:
+    """``raw`` without the first records of each file, by position: rows of a file's first block come in the file's order."""
+    def run(batches):
+        last, seen = None, 0
+        for batch in batches:
+            of = batch.column(batch.num_columns - 2).dictionary_encode()
+            files, code, start = of.dictionary.to_pylist(), of.indices.to_numpy(), batch.column(batch.num_columns - 1).to_numpy()
+            keep = np.ones(batch.num_rows, dtype=bool)
+            edges = [*np.flatnonzero(np.diff(code, prepend=-1) | np.diff(start, prepend=-1)), batch.num_rows] if batch.num_rows else []
+            for b, e in zip(edges[:-1], edges[1:]):
+                here = (files[code[b]], int(start[b]))
+                if here != last:
+                    last, seen = here, 0
+                if here[1] == 0:
+                    keep[b:min(e, b + max(top - seen, 0))] = False
+                seen += int(e - b)
+            yield batch.filter(pa.array(keep)).select(batch.schema.names[:-1])
+
+    return raw.mapInArrow(run, raw.drop("_start").schema)
 
 
 def parse_products(raw: DataFrame) -> DataFrame:

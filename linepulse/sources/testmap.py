@@ -57,6 +57,14 @@ INCIDENT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_qua
 
 BATCH_COLS = ["batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min", "duration_min",
               "shift", "status"]
+LINE = "line_id"      # optional: the line that made a batch, where one plant has several
+
+
+def line_of(b: DataFrame) -> list[str]:
+    """The line key of batches that carry one: it then leads every sequence and is part of its report."""
+    return [LINE] if LINE in b.columns else []
+
+
 INCIDENT_COLS = ["downtime_id", "factor_id", "downtime_min"]
 PRODUCT_ATTRS = ["flavor", "size", "size_l", "min_batch_time"]
 FACTOR_ATTRS = ["description", "operator_error"]
@@ -80,6 +88,15 @@ class Tables:
         """Frames of the caller: a state of their own for each value."""
         return f"frames-{id(self)}"
 
+    def kept(self, name: str, sources: list[str], make) -> DataFrame:
+        """A derived table; frames of the caller keep nothing."""
+        return make()
+
+    @property
+    def ir(self) -> DataFrame:
+        """Incidents for counts and sums."""
+        return self.i
+
 
 def factors_from_supplier(supplier: DataFrame) -> DataFrame:
     """The factors that the suppliers stand for, labelled by the line's list (an id beyond it is 'Factor <id>')."""
@@ -160,7 +177,7 @@ def with_totals(bp: DataFrame, i: DataFrame, f: DataFrame) -> DataFrame:
         F.sum("downtime_min").alias("total_downtime"), F.count(F.lit(1)).alias("incident_count"),
         F.count(F.when(human, 1)).alias("human_error_count")))
     return (bp.join(per, "batch_id", "left")
-              .select(*BATCH_COLS, "total_downtime",
+              .select(*BATCH_COLS, *line_of(bp), "total_downtime",
                       *[F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("incident_count", "human_error_count")],
                       *PRODUCT_ATTRS, "has_product"))
 
@@ -169,7 +186,7 @@ def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame, f: DataFrame) -> Data
     """``with_totals`` for batches that carry no product attributes yet."""
     prod = p.select("product_id", *PRODUCT_ATTRS).withColumn("has_product", F.lit(True))
     bp = b.join(prod, "product_id", "left").select(
-        *BATCH_COLS, *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product"))
+        *BATCH_COLS, *line_of(b), *PRODUCT_ATTRS, F.coalesce(F.col("has_product"), F.lit(False)).alias("has_product"))
     return with_totals(bp, i, f)
 
 
@@ -218,6 +235,15 @@ class StoredTables:
             self._made[name] = (state, self.spark.read.parquet(at))
         return self._made[name][1]
 
+    def kept(self, name: str, sources: list[str], make) -> DataFrame:
+        """A derived table, written on first use and again when its files have changed."""
+        return self._stored(name, sources, make)
+
+    @property
+    def ir(self) -> DataFrame:
+        """Incidents without their ids, for counts and sums: nothing is sorted or written."""
+        return self._read("lineitem").select(*_incident_columns())
+
     def location(self, name: str) -> str:
         """Folder of a table that has been built."""
         return f"{self.root}/{name}-{self._made[name][0]}"
