@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linepulse.session import shared_dir
+
 
 def missing_values(df: DataFrame, table: str, cols: Sequence[str], blank_as_missing: Sequence[str] = ()) -> DataFrame:
     """Row count and null count per column in a single aggregate (blank text counts for the listed columns)."""
@@ -24,11 +26,35 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str], name: str = "dup_count"
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).filter(F.col(name) > 1)
 
 
+FEW_DIGESTS = 4_000_000     # so many 64-bit digests (32 MB) are sent to all tasks
+
+
+def repeated_digests(df: DataFrame) -> tuple[DataFrame, int]:
+    """Digests of whole rows that occur more than once, and their number: 8 bytes a row are shuffled, not the rows."""
+    shared_dir(df.sparkSession)
+    found = df.groupBy(F.xxhash64(*df.columns).alias("_h")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h").checkpoint(eager=True)
+    return found, found.count()
+
+
+def candidates(df: DataFrame, digests: DataFrame, n: int, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose digest is (left_anti: is not) among ``digests``; few digests go to the rows, many meet them by shuffle."""
+    side = F.broadcast(digests) if n <= FEW_DIGESTS else digests
+    return df.withColumn("_h", F.xxhash64(*df.columns)).join(side, "_h", how).drop("_h")
+
+
 def full_row_duplicates(df: DataFrame, table: str) -> DataFrame:
-    """Rows identical to an earlier row: row count minus distinct row count, as one aggregate."""
-    per_row = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return per_row.agg((F.sum("_n") - F.count(F.lit(1))).alias("duplicate_rows")).select(
-        F.lit(table).alias("table_name"), "duplicate_rows")
+    """Rows identical to an earlier row, in two phases: only rows of repeated digests are compared whole."""
+    digests, n = repeated_digests(df)
+    per_row = candidates(df, digests, n).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    return per_row.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows")).select(F.lit(table).alias("table_name"), "duplicate_rows")
+
+
+def without_full_duplicates(df: DataFrame) -> DataFrame:
+    """One of each set of identical rows; rows whose digest occurs once stay where they are."""
+    digests, n = repeated_digests(df)
+    if n > FEW_DIGESTS:
+        return df.dropDuplicates()
+    return candidates(df, digests, n, "left_anti").unionByName(candidates(df, digests, n).dropDuplicates())
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, relation: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from linepulse.functions.expr import is_human, pct, r, shift_of
 from linepulse.functions.scale import _null_safe_join, seq_cumsum, seq_lag, seq_number, with_total
-from linepulse.operators import marts
+from linepulse.operators import marts, stretches
 from linepulse.operators.metrics import matrix, pareto, share, top_per_group
 from linepulse.plans.registry import BIG, INT, PCT, R, query
 from linepulse.sources.testmap import FACTORS, line_of
@@ -672,6 +672,19 @@ def fatigue_by_worked_minutes(t):
              .groupBy(*line, "work_window").agg(r(F.avg("time_deviation")).alias("avg_delay")))
 
 
+@query("work_stretches", "N59/O14", f"""
+WITH r AS (SELECT operator_name, batch_id, duration_min, CAST(prod_date - DATE '1970-01-01' AS BIGINT) * 1440 + start_min AS at0 FROM batches),
+     u AS (SELECT *, MAX(at0 + duration_min) OVER (PARTITION BY operator_name ORDER BY at0, batch_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS until0 FROM r),
+     n AS (SELECT *, SUM(CASE WHEN until0 IS NULL OR at0 - until0 >= {stretches.GAP_MIN} THEN 1 ELSE 0 END)
+                     OVER (PARTITION BY operator_name ORDER BY at0, batch_id ROWS UNBOUNDED PRECEDING) AS stretch FROM u)
+SELECT operator_name, CAST(stretch AS BIGINT) AS stretch, MIN(at0) AS started_at, MAX(at0 + duration_min) AS ended_at, COUNT(*) AS batches,
+       CAST(SUM(duration_min) AS BIGINT) AS worked_min
+FROM n GROUP BY operator_name, stretch""")
+def work_stretches(t):
+    """Stretches of work of every operator, parted by pauses of an hour or more instead of by the calendar day."""
+    return stretches.work_stretches(t.b)
+
+
 # --- Shifts and products --------------------------------------------------------------------
 
 @query("machine_vs_shortage", "N62", f"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linepulse.operators import cleaning, marts, quality
+from linepulse.operators import cleaning, footers, marts, quality, spelling
 from linepulse.plans.registry import BIG, R, query
 from linepulse.sources import dirty
 
@@ -278,6 +278,36 @@ def fix_operator_typos(t):
                                cleaning.OPERATOR_FIXES)
 
 
+@query("operator_spelling_proposals", "C14", """
+WITH c AS (SELECT trim(operator_name) AS v, COUNT(*) AS n FROM dbatches WHERE operator_name IS NOT NULL GROUP BY 1),
+     m AS (SELECT a.v AS spelling, a.n, b.v AS correction, b.n AS n_correction,
+                  ROW_NUMBER() OVER (PARTITION BY a.v ORDER BY b.n DESC, b.v) AS rn
+           FROM c a JOIN c b ON levenshtein(a.v, b.v) = 1 AND b.n >= 1 * a.n)
+SELECT spelling, n, correction, n_correction FROM m WHERE rn = 1""")
+def operator_spelling_proposals(t, times: int = 1):
+    """Corrections for operator names that are one edit from a name at least as frequent (beside the hand list of C14)."""
+    names = dirty.dirty_batches(t).select(F.trim("operator_name").alias("operator_name"))
+    return spelling.proposals(names, "operator_name", times)
+
+
+PROFILED = {"batches": ["batch_id", "prod_date", "start_min", "duration_min", "operator_name", "status"], "products": ["product_id", "min_batch_time", "size"]}
+
+
+@query("stored_table_profile", "Q02-Q06", " UNION ALL ".join(
+    f"SELECT '{tb}' AS table_name, '{c}' AS column_name, COUNT(*) AS row_count, COUNT({c}) AS non_null, "
+    + ("CAST(NULL AS VARCHAR) AS minimum, CAST(NULL AS VARCHAR) AS maximum" if c in ("operator_name", "status", "size")
+       else f"CAST(MIN({c}) AS VARCHAR) AS minimum, CAST(MAX({c}) AS VARCHAR) AS maximum") + f" FROM {tb}"
+    for tb, cols in PROFILED.items() for c in cols))
+def stored_table_profile(t):
+    """Row and value counts, minima and maxima of the stored tables, from their Parquet footers alone."""
+    out = None
+    for name, cols in PROFILED.items():
+        _ = t.b if name == "batches" else t.p
+        one = footers.footer_profile(t.spark, t.location(name), cols).select(F.lit(name).alias("table_name"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("standardize_size", "C15", f"""
 SELECT product_id,
        CASE WHEN lower(trim(size)) IN ({', '.join(repr(x) for x in cleaning.SMALL_LABELS)}) THEN '600ml'
@@ -301,7 +331,7 @@ def dedup_batches(t):
 
 @query("drop_full_duplicates", "C17", "SELECT DISTINCT * FROM dbatches")
 def drop_full_duplicates(t):
-    return dirty.dirty_batches(t).dropDuplicates()
+    return quality.without_full_duplicates(dirty.dirty_batches(t))
 
 
 # The line workbook's column names and their canonical names.
