@@ -7,11 +7,11 @@ shingle), as 64-bit hashes of whole shingles.  Two collections of ``GROUPS`` sig
 2 * (1 - s ^ HASHES) ^ GROUPS: 1.6e-5 at 0.85 and less above (and 5.8e-6 by the sketch of step 4, its exact binomial tail: 2.2e-5 in all).  Keys are only formed from signatures that another class has too, so a text
 without relatives makes none.
 
-1. Documents with equal sets become one class, named by 128 bits of its set; copies are never paired.
+1. Documents with equal sets (by 128 bits) become one class with a number of its own; copies are never paired.
 2. Classes are dealt by table key.  In each bucket every class meets one hub (there are ``HUBS`` orders in which hubs are chosen, by the
    table's number), never all others; the meeting pairs are verified, and their components are formed.
 3. In buckets that still hold several components one hub of each meets one of the largest, another one each round, while this merges anything (at most
-   ``ROUNDS`` rounds).
+   1 + ``ROUNDS`` rounds).
 4. What a bucket still holds apart meets pairwise: classes of different components that have not met, each pair in the first
    table that both share.  A bucket in one component, such as a large group of near copies, has no such pair.  No bucket is capped.
    Groups of texts that are alike but not enough are told apart by a sketch inside the join: ``SKETCH`` further minhashes of
@@ -31,7 +31,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linepulse.llm.common import in_pandas, whole_text, written
@@ -47,9 +47,10 @@ HUBS = 4
 SKETCH = 512      # minhashes of a sketch, 16 in a number
 SIGMAS = 4.5      # standard deviations below the mean agreement of a pair that is just linked
 COLUMNS = 1 << 15   # shingles hashed at a time
-ROUNDS = 4        # further rounds in which components meet through one hub each, at most
+ROUNDS = 2        # further rounds in which components of mixed buckets meet through one hub each, at most
+FEW = 2_000_000   # rows of two numbers that are sent to all tasks, counted first
 SIGNATURES = "doc_id long, text_key long, n_shingles long, digest binary, first array<long>, second array<long>"
-SETS = "c binary, shingles array<long>"
+SETS = "digest binary, shingles array<long>"
 
 
 def shingles(text: str, words: int = WORDS) -> np.ndarray:
@@ -131,16 +132,22 @@ def keys(classes: DataFrame, groups: int) -> DataFrame:
     return of.select("c", "n", F.explode(pairs).alias("x")).select("c", "n", "x.i", "x.j", "x.key", "x.order")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """The full sets of the classes of the wanted documents (doc_id)."""
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """c, shingles: the full sets of the wanted classes, from the text of one document each."""
     def run(batches):
         import pandas as pd
         for pdf in batches:
             found = [shingles(t, words) for t in pdf["text"]]
-            yield pd.DataFrame({"c": [digest_of(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
+            yield pd.DataFrame({"digest": [digest_of(x) for x in found], "shingles": [x.view(np.int64) for x in found]})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(wanted, "doc_id", "left_semi")
-    return in_pandas(texts.select("text"), run, SETS).dropDuplicates(["c"])
+    of = classes.select("c", "digest", "doc_id").join(wanted, "c", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).join(of.select("doc_id").distinct(), "doc_id", "left_semi")
+    return in_pandas(texts.select("text"), run, SETS).dropDuplicates(["digest"]).join(of.select("digest", "c"), "digest").select("c", "shingles")
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df`` for a join: sent to all tasks where it was counted to be small."""
+    return F.broadcast(df) if n <= FEW else df
 
 
 def sketched(sets: DataFrame, wanted: DataFrame, skip: int) -> DataFrame:
@@ -156,7 +163,7 @@ def sketched(sets: DataFrame, wanted: DataFrame, skip: int) -> DataFrame:
                 out.append((low.reshape(-1, 16) << places).sum(axis=1, dtype=np.uint64).view(np.int64))
             yield pd.DataFrame({"c": pdf["c"], "sketch": out})
 
-    return in_pandas(sets.join(wanted, "c", "left_semi"), run, "c binary, sketch array<long>")
+    return in_pandas(sets.join(wanted, "c", "left_semi"), run, "c long, sketch array<long>")
 
 
 def agreement(x: str, y: str):
@@ -191,17 +198,23 @@ def mixed(placed: DataFrame) -> DataFrame:
     return placed.join(apart, "key", "left_semi")
 
 
-def merged(placed: DataFrame, links: DataFrame) -> DataFrame:
-    """``placed`` after new links between its classes: components of components."""
-    of = placed.select("c", "k").distinct()
-    ends = links.join(of.select(F.col("c").alias("u"), F.col("k").alias("ku")), "u").join(of.select(F.col("c").alias("v"), F.col("k").alias("kv")), "v")
-    found = components(ends.select(F.col("ku").alias("u"), F.col("kv").alias("v")))
-    return placed.join(found.select(F.col("node").alias("k"), "component"), "k", "left").select(
-        "key", "c", "n", "i", "j", "hub", F.coalesce("component", "k").alias("k"))
+def renamed(placed: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """``placed`` with its components named anew by ``found`` (node, component; n rows)."""
+    return placed.join(few(found.select(F.col("node").alias("k"), "component"), n), "k", "left").withColumn("k", F.coalesce("component", "k")).drop("component")
+
+
+def meetings(placed: DataFrame, share: int, at: int) -> DataFrame:
+    """key, k, fk, u, v: in each mixed bucket one hub of every component meets one of the largest (fk); ``at``: another choice of hubs."""
+    dealt = placed.repartition("key")
+    hubs = dealt.groupBy("key", "k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c", "key", F.lit(at)).alias("h"), F.col("c"), F.col("n"))).alias("x"))
+    first = F.max(F.struct("size", "k", F.col("x.c").alias("c"), F.col("x.n").alias("n"))).over(Window.partitionBy("key"))      # a row for each component
+    return hubs.withColumn("first", first).where(F.col("k") != F.col("first.k")).select(
+        "key", "k", F.col("first.k").alias("fk"), F.least("x.c", "first.c").alias("u"), F.greatest("x.c", "first.c").alias("v"),
+        (100 * F.least("x.n", "first.n") >= share * F.greatest("x.n", "first.n")).alias("may"))
 
 
 def linked_classes(classes: DataFrame, docs: DataFrame, words: int, share: int, groups: int, hashes: int) -> DataFrame:
-    """node, component (binary names) of all classes that have a link."""
+    """node, component (numbers of classes) of all classes that have a link."""
     tables = keys(classes, groups)
     dealt = tables.select("c", "n", "key", "order")
     shared = dealt.groupBy("key").agg(
@@ -214,26 +227,26 @@ def linked_classes(classes: DataFrame, docs: DataFrame, words: int, share: int,
     met = members.where(F.col("c") != F.col("hub")).where(sizes_agree("n", "hub_n")).select(
         F.least("c", "hub").alias("u"), F.greatest("c", "hub").alias("v")).distinct()
     met = written(met, "near-pairs")
-    alike = members.select("c").distinct().join(classes.select("c", "doc_id"), "c").select("doc_id")
-    sets = written(sets_of(docs, alike, words), "near-sets")
+    sets = written(sets_of(docs, classes, members.select("c").distinct(), words), "near-sets")
     links = written(verified(met, sets, share), "near-links")
 
-    # buckets that still hold more than one component: one hub of each component meets the hub of the bucket's largest
-    found = components(links)
-    placed = members.join(found, F.col("c") == F.col("node"), "left").select("key", "c", "n", "i", "j", "hub", F.coalesce("component", "c").alias("k"))
-    placed = written(mixed(placed), "near-placed")
-    for at in range(ROUNDS):
-        hubs = placed.groupBy("key", "k").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("c", "key", F.lit(at)).alias("h"), F.col("c"), F.col("n"))).alias("x"))
-        first = hubs.groupBy("key").agg(F.max(F.struct("size", "k", F.col("x.c").alias("c"), F.col("x.n").alias("n"))).alias("first"))
-        pairs = hubs.join(first, "key").where((F.col("k") != F.col("first.k")) & sizes_agree("x.n", "first.n")).select(
-            F.least("x.c", "first.c").alias("u"), F.greatest("x.c", "first.c").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
-        pairs = written(pairs, "near-more-pairs")
+    # buckets that still hold more than one component: their hubs meet, first in all buckets, then in those that are left
+    found = written(components(links), "near-components")
+    n_found = found.count()
+    placed = renamed(members.select("key", "c", "n", "i", "j", "hub", F.col("c").alias("k")), found, n_found)
+    for at in range(1 + ROUNDS):
+        hubs = written(meetings(placed, share, at), "near-hubs")
+        pairs = written(hubs.where("may").select("u", "v").distinct().join(met, ["u", "v"], "left_anti"), "near-more-pairs")
         more = written(verified(pairs, sets, share), "near-more-links")
         met = met.unionByName(pairs)
-        if more.isEmpty():
-            break
+        joined = written(components(hubs.join(more, ["u", "v"]).select(F.col("k").alias("u"), F.col("fk").alias("v"))), "near-merged")
+        n_joined = joined.count()
         links = links.unionByName(more)
-        placed = written(mixed(merged(placed, more)), "near-placed")
+        apart = renamed(renamed(hubs, joined, n_joined).withColumnsRenamed({"k": "_k", "fk": "k"}), joined, n_joined).where("_k <> k").select("key").distinct()
+        apart = written(apart, "near-apart")
+        placed = written(renamed(placed.join(few(apart, apart.count()), "key", "left_semi"), joined, n_joined), "near-placed")
+        if not n_joined:
+            break
 
     # what is still apart meets pairwise
     rest = placed.where("c <> hub").join(classes.select("c", "first", "second"), "c")
@@ -257,10 +270,11 @@ def grouped(docs: DataFrame, words: int, share: int, groups: int, hashes: int) -
     base = written(signed(docs, words, groups, hashes), "near-signatures")
     linkable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     least = linkable.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    classes = linkable.select("doc_id", "digest", "n_shingles", "first", "second").join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"]).withColumnRenamed("digest", "c")
+    classes = linkable.select("doc_id", "digest", "n_shingles", "first", "second").join(least, ["doc_id", "digest"], "left_semi").dropDuplicates(["digest"])
+    classes = written(classes.withColumn("c", F.monotonically_increasing_id()), "near-classes")      # numbered once, as written
     found = linked_classes(classes, docs, words, share, groups, hashes)
     # a component is shown as the least doc_id of its classes
-    placed = least.join(found.select(F.col("node").alias("digest"), "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    placed = classes.select("c", "digest", "doc_id").join(found.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     shown = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_class = placed.join(shown, "component").select("digest", "component_id")
     rows = base.select("doc_id", "text_key", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
