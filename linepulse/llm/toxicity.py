@@ -10,7 +10,7 @@ each passage finds its K nearest examples, so that marks count in a long text as
 Index: examples are ordered by their heaviest frequent term, so that blocks of ``BLOCK`` are alike.  Lists of the ``COMMON`` longest-listed terms, which reach
 nearly every block, are dense rows, scored for many passages by one matrix product.  All other terms have inverted lists with the greatest weight
 of each block.  A block whose greatest dense score plus the greatest weights of the passage's other terms stays below the K-th best score is
-skipped; blocks are opened by falling bound.  Nothing is approximate but the 32-bit sums: the K nearest are those of all examples, by cosines to
+skipped: the ``FIRST`` blocks of the highest bounds are opened, then those whose bound reaches the K-th best of then.  Nothing is approximate but the 32-bit sums: the K nearest are those of all examples, by cosines to
 five decimals (ties: the earlier example).
 
 Score: neighbours vote, weighted by 1 / (DISTANCE + 1 - cosine); a text's vote is the highest of its passages, whose neighbours are its evidence.  The examples'
@@ -51,17 +51,19 @@ PER_CLASS = 2000      # labelled examples of each class at most
 K = 20
 BLOCK = 64
 COMMON = 1024         # terms with dense lists
-FIRST = 12            # blocks opened at first, then twice as many each time
+FIRST = 12            # blocks opened at first; then all that may still hold one of the nearest
 DISTANCE = 0.05
 ROWS = 96             # passages scored at a time
 MARGIN = 1e-5         # above the error of 32-bit scores; cosines below it count as 0
 SEED = "toxicity"
 WORD = re.compile(r"[^\W\d_]+")
+SPACED = {c: " " for c in range(128) if not chr(c).isalpha()}      # parts the words of plain ASCII as WORD does
 
 
 def terms_of(text: str) -> list[str]:
     """The terms of a text, in order."""
-    words = WORD.findall(text.lower())
+    lower = text.lower()
+    words = lower.translate(SPACED).split() if lower.isascii() else WORD.findall(lower)
     if max(map(len, words), default=0) <= RUN:
         return [w[:PREFIX] for w in words]
     return [p for w in words for p in ([w[:PREFIX]] if len(w) <= RUN else [w[i:i + PREFIX] for i in range(0, len(w), PREFIX)])]
@@ -76,7 +78,9 @@ def passages(terms: list) -> list[list]:
 
 def counted(terms) -> tuple[np.ndarray, np.ndarray]:
     """Term numbers, ascending, and their counts."""
-    return np.unique(np.asarray(terms, dtype=np.int64), return_counts=True)
+    t = np.sort(np.asarray(terms, dtype=np.int64))
+    begin = np.flatnonzero(np.append(True, t[1:] != t[:-1])) if len(t) else t
+    return t[begin], np.diff(np.append(begin, len(t)))
 
 
 def direction(vector: tuple[np.ndarray, np.ndarray]) -> bytes:
@@ -130,47 +134,58 @@ class Index:
         """Examples and cosines of the k nearest with a positive cosine of each vector, nearest first; ``but`` are left out."""
         out = []
         for at in range(0, len(vectors), ROWS):
-            some = vectors[at:at + ROWS]
-            q = np.zeros((len(some), len(self.dense)), dtype=np.float32)
-            rare = []
-            for row, (t, w) in zip(q, some):
-                place = self.place[t]
-                row[place[place >= 0]] = w[place >= 0]
-                rare.append((t[place < 0], w[place < 0].astype(np.float32)))
-            scores = q @ self.dense
-            if but:
-                scores[np.arange(len(some)), self.slot[but[at:at + ROWS]]] = -4      # below anything the rest can add
-            tops = scores.reshape(len(some), self.n_blocks, BLOCK).max(axis=2)
-            kth = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(some), dtype=np.float32)
-            out += [self._best(scores[i], tops[i], float(kth[i]), *rare[i], k) for i in range(len(some))]
+            out += self._nearest(vectors[at:at + ROWS], k, but[at:at + ROWS] if but else None)
         return out
 
-    def _best(self, score: np.ndarray, top: np.ndarray, least: float, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest.  score: dense scores; top: the greatest of each block; least: the k-th best."""
-        bound = top + weights @ self.highest[terms]
-        may = np.flatnonzero((bound > 0) & (bound >= least - MARGIN))
-        may = may[np.argsort(-bound[may], kind="stable")]
-        step, at = FIRST, 0
-        while at < len(may) and len(terms) and bound[may[at]] >= least - MARGIN:
-            blocks = may[at:at + step]
-            cells = (terms[:, None] * self.n_blocks + blocks).reshape(-1)
-            begin = self.start[cells]
-            count = self.start[cells + 1] - begin
-            some = np.flatnonzero(count)
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of a few vectors at once: each is a row of the scores."""
+        n = len(vectors)
+        row = np.repeat(np.arange(n), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors])
+        weight = np.concatenate([w for _, w in vectors]).astype(np.float32)
+        place = self.place[term]
+        dense = place >= 0
+        q = np.zeros((n, len(self.dense)), dtype=np.float32)
+        q[row[dense], place[dense]] = weight[dense]
+        scores = q @ self.dense
+        if but:
+            scores[np.arange(n), self.slot[but]] = -4      # below anything the rest can add
+        row, term, weight = row[~dense], term[~dense], weight[~dense]
+        if len(term):
+            highest = self.highest[term]
+            bound = scores.reshape(n, self.n_blocks, BLOCK).max(axis=2)
+            begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            bound[row[begin]] += np.add.reduceat(highest * weight[:, None], begin)
+            may = (bound > 0) & (bound >= self._kth(scores, k)[:, None] - MARGIN)
+            first = may & (bound >= np.partition(bound, -FIRST, axis=1)[:, -FIRST, None]) if self.n_blocks > FIRST else may
+            self._open(scores, first, highest, row, term, weight)
+            rest = may & ~first
+            some = np.flatnonzero(rest.any(axis=1))
             if len(some):
-                begin, count = begin[some], count[some]
-                where = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-                np.add.at(score, self.doc[where], np.repeat(weights[some // len(blocks)], count) * self.posted[where])
-            at, step = at + len(blocks), 2 * step
-            if at < len(may) and len(score) > k:
-                least = max(least, float(np.partition(score, -k)[-k]))
-        self.opened += at
-        near = np.argpartition(score, -k)[-k:] if len(score) > k else np.arange(len(score))
-        near = np.flatnonzero(score >= max(score[near].min() - MARGIN, MARGIN))
-        cosines = np.round(score[near].astype(np.float64), 5)
-        example = self.example[near]
-        first = np.lexsort((example, -cosines))[:k]
-        return example[first], cosines[first]
+                rest[some] &= bound[some] >= self._kth(scores[some], k)[:, None] - MARGIN
+                self._open(scores, rest, highest, row, term, weight)
+        of, near = np.nonzero(scores >= np.maximum(self._kth(scores, k) - np.float32(MARGIN), np.float32(MARGIN))[:, None])
+        cosine, example = np.round(scores[of, near].astype(np.float64), 5), self.example[near]
+        by = np.lexsort((example, -cosine, of))
+        cosine, example = cosine[by], example[by]
+        begin = np.searchsorted(of, np.arange(n + 1)).tolist()
+        return [(example[b:min(b + k, e)], cosine[b:min(b + k, e)]) for b, e in zip(begin, begin[1:])]
+
+    @staticmethod
+    def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+        """The k-th best score of each row, 0 where there are no more than k."""
+        return np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.zeros(len(scores), dtype=np.float32)
+
+    def _open(self, scores: np.ndarray, blocks: np.ndarray, highest: np.ndarray, row: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Add what the lists of the terms hold in the opened blocks of their rows."""
+        self.opened += int(blocks.sum())
+        i, block = np.nonzero(blocks[row] & (highest > 0))
+        cell = term[i] * self.n_blocks + block
+        begin = self.start[cell]
+        count = self.start[cell + 1] - begin
+        end = np.cumsum(count)
+        where = np.repeat(begin - end + count, count) + np.arange(end[-1] if len(end) else 0)
+        np.add.at(scores.reshape(-1), np.repeat(row[i] * scores.shape[1], count) + self.doc[where], np.repeat(weight[i], count) * self.posted[where])
 
 
 def vote(labels: np.ndarray, cosines: np.ndarray) -> float:
