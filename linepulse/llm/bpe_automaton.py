@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linepulse.llm.chunks import Remembered, byte_letters, library
-from linepulse.llm.common import in_pandas, per_worker, tokenizer_file, whole_text
+from linepulse.llm.common import give_back, in_pandas, per_worker, tokenizer_file, whole_text
 
 MAX_TABLE = 400_000     # entries of the transition table before it is dropped and refilled
 MAX_WORDS = 120_000     # remembered words a generation
@@ -200,12 +200,16 @@ class ByteBPE:
         byte_ids = [0] * 256
         for c, b in byte_letters().items():
             byte_ids[b] = vocab[c]
-        return Automaton(byte_ids, [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs], len(self.labels))
+        merges = [(vocab[u], vocab[v], vocab[u + v]) for u, v in pairs]
+        self._vocab = self._merges = None       # not needed any more
+        return Automaton(byte_ids, merges, len(self.labels))
 
     @cached_property
     def encoder(self) -> Encoder:
         special = set(self.special.values())
-        return Encoder(self.automaton, [b"" if i in special else x for i, x in enumerate(self.labels)])
+        made = Encoder(self.automaton, [b"" if i in special else x for i, x in enumerate(self.labels)])
+        give_back()
+        return made
 
     @cached_property
     def _strange(self) -> frozenset[str]:
@@ -246,7 +250,7 @@ def strange_letters(path: str) -> frozenset[str]:
     The two may follow different versions of Unicode.
     """
     import regex
-    splitter, strange = library(path).pre_tokenizer, set()
+    splitter, strange = library.__wrapped__(path).pre_tokenizer, set()      # used once, not kept
     for at in range(0x80, 0x110000, 4096):      # in blocks, so that little memory is held
         block = "".join([chr(c) for c in range(at, min(at + 4096, 0x110000)) if not 0xD800 <= c < 0xE000])
         for kind, lead in ((r"\p{L}", "a"), (r"\p{N}", "1")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -83,9 +85,25 @@ def per_worker(function):
 
 def make_room(*modules: str) -> None:
     """Forget what this worker remembers of modules other than these: workers serve many operators in turn."""
-    for module, kept in _KEPT:
-        if module.rpartition(".")[2] not in modules:
-            kept.cache_clear()
+    others = [kept for module, kept in _KEPT if module.rpartition(".")[2] not in modules]
+    full = any(kept.cache_info().currsize for kept in others)
+    for kept in others:
+        kept.cache_clear()
+    if full or not _SERVED or _SERVED[-1] != modules:
+        give_back()
+    _SERVED[:] = [modules]
+
+
+_SERVED: list = []   # the modules that this worker served last
+
+
+def give_back() -> None:
+    """Return freed memory to the system; allocators keep it otherwise, and a worker's executor has other uses for it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # of the GNU C library only
+    if trim is not None:
+        trim(0)
 
 
 BATCH_ROWS = 2000    # texts are long: rows that go to a worker at a time
