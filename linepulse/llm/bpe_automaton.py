@@ -38,6 +38,7 @@ from linepulse.llm.common import give_back, in_pandas, per_worker, tokenizer_fil
 
 MAX_TABLE = 400_000     # entries of the transition table before it is dropped and refilled
 MAX_WORDS = 120_000     # remembered words a generation
+PART = 250             # texts of a batch whose ids and decoded texts are held together
 
 
 class Automaton:
@@ -213,7 +214,9 @@ class ByteBPE:
 
     @cached_property
     def _strange(self) -> frozenset[str]:
-        return strange_letters(self.path)
+        found = strange_letters(self.path)
+        give_back()
+        return found
 
     @cached_property
     def _fast(self):
@@ -306,8 +309,10 @@ def round_trip(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", id_col: st
         import pandas as pd
         bpe = load(tokenizer_file(tokenizer))
         for pdf in batches:
-            ids = [bpe.encode(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [bpe.decode(x) for x in ids]})
+            for at in range(0, len(pdf), PART):
+                part = pdf.iloc[at:at + PART]
+                ids = [bpe.encode(t) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "decoded": [bpe.decode(x) for x in ids]})
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
     return in_pandas(src, run, "doc_id long, ids binary, n_tokens long, decoded string", ("bpe_automaton", "chunks"))

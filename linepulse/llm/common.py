@@ -61,6 +61,8 @@ def ship(spark: SparkSession) -> None:
     """Let the workers of this session import the package, also where it is not installed on them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:      # left unset by the caller
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_linepulse_shipped", False):
         return
@@ -106,7 +108,8 @@ def give_back() -> None:
         trim(0)
 
 
-BATCH_ROWS = 2000    # texts are long: rows that go to a worker at a time
+BATCH_ROWS = 2000         # texts are long: rows that go to a worker at a time
+BATCH_BYTES = 8 << 20     # and their bytes, beyond which a batch ends
 
 
 def in_arrow(df: DataFrame, run, schema: str, uses: tuple[str, ...] = ()) -> DataFrame:
