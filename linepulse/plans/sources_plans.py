@@ -108,12 +108,12 @@ def csv_rejects(t):
 
     The export is dirtied by fixed rules first: every 37th batch has a field more, every 53rd ends after its third."""
     spark = t.spark
-    lines = spark.read.text(exported(t, "batches"))
-    fields = F.split("value", ",")
-    key = F.get(fields, F.lit(0)).try_cast("long")
-    dirty = lines.select(F.when(key % 37 == 0, F.concat("value", F.lit(",more"))).when(key % 53 == 0, F.concat_ws(",", F.slice(fields, 1, 3))).otherwise(F.col("value")).alias("value"))
-    path = f"{shared_dir(spark).rstrip('/')}/linepulse/export/dirty-{uuid.uuid4().hex}"
-    dirty.write.text(path)
+    # records by the header's names: a task may begin within a file, and every file that it writes has its own header
+    rows = L.read_text(spark, exported(t, "batches"), L.BATCH_HEADERS)
+    line, short = (F.to_csv(F.struct(*[F.col(x) for x in names])) for names in (L.BATCH_HEADERS, L.BATCH_HEADERS[:3]))
+    key = F.col("Batch").try_cast("long")
+    dirty = rows.select(F.when(key % 37 == 0, F.concat(line, F.lit(",more"))).when(key % 53 == 0, short).otherwise(line).alias("value"))
+    path = L.write_lines(dirty, L.BATCH_HEADERS, f"{shared_dir(spark).rstrip('/')}/linepulse/export/dirty-{uuid.uuid4().hex}")
     bad = L.rejected(spark, path).groupBy("reason").agg(F.count(F.lit(1)).alias("rejected_rows"))
     good = L.read_batches(spark, path).agg(F.count(F.lit(1)).alias("rejected_rows")).select(F.lit("good").alias("reason"), "rejected_rows")
     return bad.unionByName(good).select(F.lit("batches").alias("table_name"), "reason", "rejected_rows")

@@ -110,6 +110,13 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
+def write_lines(lines: DataFrame, header: list[str], path: str) -> str:
+    """Records that are text already, one a line as they stand (column ``value``), below the header row in every file."""
+    plain = {"header": True, "sep": "\u0001", "comment": "\u0002", "quote": "", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines.select(F.col("value").alias(",".join(header))).write.mode("overwrite").options(**plain).csv(path)
+    return path
+
+
 # --- readers (text layout -> canonical) -----------------------------------------------------
 
 def read_text(spark: SparkSession, path: str, headers: list[str] | None = None, banner: bool = False, multiline: bool = False) -> DataFrame:
