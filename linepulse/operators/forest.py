@@ -29,6 +29,8 @@ GROUP_TREES = 4
 GRID = 512                 # steps of a label rate
 FEW_VALUES = 50_000        # a table of at most so many values is sent to all tasks
 MISSING = "nan"
+CHUNK = 65_536             # rows that a task works on at once
+MOST_BINS = 64             # room for the bins of a node in a table of steps
 
 
 def bag_of(key: str, groups: int, seed: int):
@@ -40,15 +42,44 @@ def bag_of(key: str, groups: int, seed: int):
     return out
 
 
+_POISSON = np.cumsum(np.exp(-1 / SHARE) * np.cumprod(np.append(1.0, 1 / SHARE / np.arange(1, 16))))
+_EDGES = np.arange(65_536) / 65_536
+_SURE = np.searchsorted(_POISSON, _EDGES).astype(np.uint8)        # numbers by the first 16 bits; 255 where the other bits decide
+_SURE[np.searchsorted(_POISSON, _EDGES + (1 / 65_536 - 2.0 ** -53)) != _SURE] = 255
+
+
 def poisson_weights(h: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """Poisson(1 / SHARE) numbers of rows by their hashes."""
     x = h.view(np.uint64) ^ np.uint64((0x9E3779B97F4A7C15 * (tree + 1) + seed) & (2 ** 64 - 1))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2 ** 53
-    rate = 1 / SHARE
-    p = np.exp(-rate) * np.cumprod(np.append(1.0, rate / np.arange(1, 16)))
-    return np.searchsorted(np.cumsum(p), u).astype(np.int64)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    w = _SURE.take((x >> np.uint64(48)).view(np.int64))
+    rest = np.flatnonzero(w == 255)
+    w[rest] = np.searchsorted(_POISSON, (x[rest] >> np.uint64(11)).astype(np.float64) / 2 ** 53)
+    return w.astype(np.int64)
+
+
+def chunks(batches):
+    """The batches, small ones together."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= CHUNK:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if n:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def byte_rows(column, width: int) -> np.ndarray:
+    """A binary column of equal lengths, without nulls, as rows of bytes."""
+    column = column.cast(pa.binary())
+    if not len(column):
+        return np.zeros((0, width), dtype=np.uint8)
+    first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset])
+    return np.frombuffer(column.buffers()[2], np.uint8)[first:first + len(column) * width].reshape(-1, width)
 
 
 def best_split(counts: np.ndarray, weights: np.ndarray, category: bool) -> tuple[float, int, np.ndarray]:
@@ -85,15 +116,24 @@ class Trees:
         self.weights = np.ones((n, classes))
         self.open = {(t, 1) for t in range(n)}
 
-    def place(self, tree: int, bins, n: int, levels: int) -> np.ndarray:
-        """The node of each row after so many levels; ``bins(feature, rows)`` gives bins."""
-        at = np.ones(n, dtype=np.int64)
+    def steps(self, tree: int, levels: int) -> tuple[np.ndarray, np.ndarray]:
+        """The feature that a node above this level asks for (0 at a leaf), and the next node by node and bin (a leaf stays)."""
+        node = np.arange(1 << levels)
+        f, split = self.feature[tree, node], (self.feature[tree, node] >= 0)[:, None]
+        right = (self.mask[tree, node][:, None] >> np.arange(MOST_BINS)) & 1
+        return np.where(f >= 0, f, 0).astype(np.int64), np.where(split, 2 * node[:, None] + right, node[:, None]).ravel()
+
+    @staticmethod
+    def place(steps: tuple[np.ndarray, np.ndarray], rows: np.ndarray, levels: int) -> np.ndarray:
+        """The node of each row (its bins by feature) after so many levels."""
+        asked, following = steps
+        flat, first = rows.ravel(), np.arange(0, rows.size, rows.shape[1])
+        at = np.ones(len(rows), dtype=np.int64)
         for _ in range(levels):
-            f = self.feature[tree, at]
-            for k in np.unique(f[f >= 0]):
-                rows = np.flatnonzero(f == k)
-                node = at[rows]
-                at[rows] = 2 * node + ((self.mask[tree, node] >> bins(k, rows)) & 1)
+            b = flat.take(first + asked.take(at))
+            at *= MOST_BINS
+            at += b
+            at = following.take(at)
         return at
 
     def leaf_shares(self, tree: int) -> np.ndarray:
@@ -181,13 +221,9 @@ def out_of_bag(feats: DataFrame, key: str, label: str, categories: Sequence[str]
     for i in range(n_cat):
         one = bins_of.where(F.col("f") == i).select(F.col("v").alias(f"_t{i}"), F.col("b").alias(f"_b{i}"))
         binned = binned.join(F.broadcast(one) if sizes.get(i, 0) <= FEW_VALUES else one, f"_t{i}")
-    for i in range(len(numbers)):
-        edges = sorted(set(cuts[f"c{i}"] or []))
-        above = F.lit(0)
-        for e in edges:
-            above = above + (F.col(f"_v{i}") > F.lit(e)).cast("int")
-        binned = binned.withColumn(f"_n{i}", above.cast("int"))
-    inner = ["_h", "_bag", "_y", *[f"_b{i}" for i in range(n_cat)], *[f"_n{i}" for i in range(len(numbers))]]
+    # numbers are cut by the tasks that read the rows: as an expression of Spark, with the bags beside it, the cuts make one method too long to be compiled
+    edges = [np.array(sorted(set(cuts[f"c{i}"] or [])), dtype=np.float64) for i in range(len(numbers))]
+    inner = ["_h", "_bag", "_y", *[f"_b{i}" for i in range(n_cat)], *[f"_v{i}" for i in range(len(numbers))]]
     binned = _written(binned.select(*feats.columns, *inner), "rows")
 
     n_features = n_cat + len(numbers)
@@ -196,11 +232,11 @@ def out_of_bag(feats: DataFrame, key: str, label: str, categories: Sequence[str]
     n_classes = len(names)
 
     def opened(batch, first: int):
-        """hash, bag, label and a function (group, feature, rows) -> bins of a batch whose inner columns begin at ``first``."""
+        """hash, bag, label and a function (group, rows) -> bins (rows x features) of a batch whose inner columns begin at ``first``."""
         h, bag, lab = (batch.column(first + i).to_numpy() for i in range(3))
-        cats = [np.frombuffer(b"".join(batch.column(first + 3 + i).to_pylist()), np.uint8).reshape(-1, groups) for i in range(n_cat)]
-        nums = [batch.column(first + 3 + n_cat + i).to_numpy() for i in range(len(numbers))]
-        return h, bag, lab, lambda g, f, at: (cats[f][at, g] if f < n_cat else nums[f - n_cat][at]).astype(np.int64)
+        cats = [byte_rows(batch.column(first + 3 + i), groups) for i in range(n_cat)]
+        nums = [np.searchsorted(edges[i], batch.column(first + 3 + n_cat + i).to_numpy()).astype(np.uint8) for i in range(len(numbers))]
+        return h, bag, lab, lambda g, at: np.column_stack([*[x[at, g] for x in cats], *[x[at] for x in nums]])
 
     def grown(level: int) -> None:
         width = 1 << level
@@ -211,25 +247,25 @@ def out_of_bag(feats: DataFrame, key: str, label: str, categories: Sequence[str]
 
         def count(batches):
             held = {t: np.zeros(width * slots * bins * n_classes, dtype=np.int64) for t in wanted}
-            for batch in batches:
+            steps = {t: trees.steps(t, level) for t in wanted}
+            for batch in chunks(batches):
                 h, bag, lab, bins_at = opened(batch, 0)
                 for g in sorted({t // GROUP_TREES % groups for t in wanted}):
                     mine = np.flatnonzero((bag >> g & 1).astype(bool) & (lab >= 0))
+                    rows_g, h_g, lab_g = bins_at(g, mine), h[mine], lab[mine].astype(np.int64)
                     for t in wanted:
                         if t // GROUP_TREES % groups != g:
                             continue
-                        w = poisson_weights(h[mine], t, seed)
-                        some = w > 0
-                        rows_, w = mine[some], w[some]
-                        at = trees.place(t, lambda f, r: bins_at(g, f, rows_[r]), len(rows_), level) - width
-                        here = at >= 0
-                        rows_, w, at = rows_[here], w[here], at[here]
+                        w = poisson_weights(h_g, t, seed)
+                        some = np.flatnonzero(w)
+                        at = trees.place(steps[t], rows_g.take(some, axis=0), level) - width
+                        here = np.flatnonzero((at >= 0) & (chosen[t, :, 0] >= 0).take(at, mode="clip"))
+                        some, at = some.take(here), at.take(here)
+                        w, first, of = w.take(some), some * n_features, lab_g.take(some)
                         for s in range(slots):
-                            of = chosen[t, at, s]
-                            for f in np.unique(of[of >= 0]):
-                                r = np.flatnonzero(of == f)
-                                cell = ((at[r] * slots + s) * bins + bins_at(g, f, rows_[r])) * n_classes + lab[rows_[r]]
-                                held[t] += np.bincount(cell, w[r], minlength=len(held[t])).astype(np.int64)
+                            b = rows_g.ravel().take(first + chosen[t, :, s].take(at))
+                            cell = ((at * slots + s) * bins + b) * n_classes + of
+                            held[t] += np.bincount(cell, w, minlength=len(held[t])).astype(np.int64)
             some = {t: np.flatnonzero(x) for t, x in held.items()}
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([a.astype("<i8").tobytes() for a in some.values()], pa.binary()),
                                               pa.array([held[t][a].astype("<i8").tobytes() for t, a in some.items()], pa.binary())], names=["tree", "cells", "n"])
@@ -279,15 +315,18 @@ def out_of_bag(feats: DataFrame, key: str, label: str, categories: Sequence[str]
         grown(level)
 
     def predict(batches):
-        shares = [trees.leaf_shares(t) for t in range(num_trees)]
-        for batch in batches:
+        shares, steps = [trees.leaf_shares(t) for t in range(num_trees)], [trees.steps(t, max_depth) for t in range(num_trees)]
+        for batch in chunks(batches):
             h, bag, lab, bins_at = opened(batch, k)
             score, votes = np.zeros((batch.num_rows, n_classes)), np.zeros(batch.num_rows, dtype=np.int64)
+            last = None
             for t in range(num_trees):
                 g = t // GROUP_TREES % groups
-                free = np.flatnonzero(((bag >> g & 1) == 0) | (lab < 0))
+                if g != last:
+                    free = np.flatnonzero(((bag >> g & 1) == 0) | (lab < 0))
+                    rows_g, last = bins_at(g, free), g
                 if len(free) and trees.counts[t, 1].any():
-                    score[free] += shares[t][trees.place(t, lambda f, r: bins_at(g, f, free[r]), len(free), max_depth)]
+                    score[free] += shares[t].take(trees.place(steps[t], rows_g, max_depth), axis=0)
                     votes[free] += 1
             others = total - (np.arange(n_classes) == lab[:, None])
             said = np.where(votes > 0, score.argmax(axis=1), others.argmax(axis=1))
