@@ -22,7 +22,7 @@ _TEXT = {
     "batches": lambda t: L.batches_text(t.b),
     "incidents": lambda t: L.incidents_text(t.i),
     "factors": lambda t: L.factors_text(t.f),
-    "wide": lambda t: L.wide_downtime(t.i, t.f),
+    "wide": lambda t: L.wide_downtime(t.ir, t.f),     # sums: no ids
 }
 _SOURCES = {"products": ["part"], "batches": ["events", "part"], "incidents": ["lineitem"], "factors": ["supplier"], "wide": ["lineitem", "supplier"]}
 _EXPORTS: dict[tuple, tuple[str, str]] = {}

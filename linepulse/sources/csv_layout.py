@@ -35,6 +35,7 @@ STATUS_TEXT = {"ON TIME": "On Time", "DELAY": "Delayed"}
 DATE_FORMAT = "M/d/yyyy"
 N_FACTORS = 12
 MAX_FACTORS = 1000
+FEW_FACTORS = 100        # columns that one aggregate sums side by side
 
 
 def clock_text(minutes) -> Column:
@@ -101,6 +102,8 @@ def wide_downtime(i: DataFrame, factors: DataFrame) -> DataFrame:
     ids = sorted({*range(1, N_FACTORS + 1), *(r[0] for r in found)})
     if len(ids) > MAX_FACTORS:
         raise ValueError(f"more than {MAX_FACTORS} factors do not fit a wide sheet")
+    if len(ids) <= FEW_FACTORS:     # one aggregate of one row a batch; a pivot also holds one of a row for every batch and factor in the same task
+        return i.groupBy("batch_id").agg(*[F.sum(F.when(F.col("factor_id") == k, F.col("downtime_min"))).cast("long").alias(f"f_{k}") for k in ids])
     w = i.groupBy("batch_id").pivot("factor_id", ids).agg(F.sum("downtime_min"))
     return w.select("batch_id", *[F.col(str(k)).cast("long").alias(f"f_{k}") for k in ids])
 
