@@ -36,7 +36,7 @@ SELECT product_id, {BIG('SUM(downtime_min)')} AS total_downtime_min,
        {PCT('SUM(downtime_min)', 'SUM(SUM(downtime_min)) OVER ()')} AS downtime_pct
 FROM bi GROUP BY product_id""")
 def product_downtime_share(t):
-    return share(marts.batch_incident(t), "product_id", "downtime_min", "total_downtime_min", "downtime_pct")
+    return share(marts.batch_incident(t, ids=False), "product_id", "downtime_min", "total_downtime_min", "downtime_pct")
 
 
 @query("monthly_downtime_trend", "B03", f"""
@@ -45,7 +45,7 @@ WITH g AS (SELECT CAST(year(prod_date) AS INTEGER) AS year, CAST(month(prod_date
 SELECT year, month, {BIG('m')} AS total_downtime_min, n AS incidents,
        {BIG('m - LAG(m) OVER (ORDER BY year, month)')} AS change_vs_previous FROM g""")
 def monthly_downtime_trend(t):
-    g = marts.batch_incident(t).groupBy(F.year("prod_date").alias("year"), F.month("prod_date").alias("month")).agg(
+    g = marts.batch_incident(t, ids=False).groupBy(F.year("prod_date").alias("year"), F.month("prod_date").alias("month")).agg(
         F.sum("downtime_min").alias("total_downtime_min"), F.count(F.lit(1)).alias("incidents"))
     # one row per month: the ordered window runs on a tiny frame
     return g.withColumn("change_vs_previous", F.col("total_downtime_min")

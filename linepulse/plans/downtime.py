@@ -22,7 +22,7 @@ SELECT description, total_min, {PCT('c', 'g')} AS cumulative_pct
 FROM cum WHERE (c - total_min) * 100.0E0 / g < 80
 """)
 def downtime_pareto(t):
-    return pareto(marts.incident_factor(t), "description", "downtime_min", "before_lt", 80.0)
+    return pareto(marts.incident_factor(t, ids=False), "description", "downtime_min", "before_lt", 80.0)
 
 
 def _he(col="operator_error"):
@@ -57,7 +57,7 @@ SELECT {PCT('SUM(b.duration_min) - SUM(COALESCE(i.downtime_min, 0))', 'SUM(b.dur
        AS availability_score_pct
 FROM batches b LEFT JOIN incidents i ON b.batch_id = i.batch_id""")
 def availability_incident_weighted(t):
-    j = marts.batch_incident(t, "left")
+    j = marts.batch_incident(t, "left", ids=False)
     return j.agg(pct(F.sum("duration_min") - F.sum(F.coalesce("downtime_min", F.lit(0))),
                      F.sum("duration_min")).alias("availability_score_pct"))
 
@@ -65,27 +65,27 @@ def availability_incident_weighted(t):
 @query("factor_frequency", "D04", """
 SELECT description, COUNT(downtime_id) AS occurrence_count FROM idf GROUP BY description""")
 def factor_frequency(t):
-    return marts.incident_factor(t).groupBy("description").agg(F.count("downtime_id").alias("occurrence_count"))
+    return marts.incident_factor(t, ids=False).groupBy("description").agg(F.count("incident").alias("occurrence_count"))
 
 
 @query("top5_factors_by_duration", "D05", f"""
 SELECT description, {BIG('SUM(downtime_min)')} AS total_downtime_minutes FROM idf GROUP BY description
 ORDER BY total_downtime_minutes DESC, description LIMIT 5""")
 def top5_factors_by_duration(t, n: int = 5):
-    g = marts.incident_factor(t).groupBy("description").agg(F.sum("downtime_min").alias("total_downtime_minutes"))
+    g = marts.incident_factor(t, ids=False).groupBy("description").agg(F.sum("downtime_min").alias("total_downtime_minutes"))
     return g.orderBy(F.col("total_downtime_minutes").desc(), "description").limit(n)
 
 
 @query("shift_downtime", "D06", f"""
 SELECT shift, {BIG('SUM(downtime_min)')} AS total_downtime_min FROM bi GROUP BY shift""")
 def shift_downtime(t):
-    return marts.batch_incident(t).groupBy("shift").agg(F.sum("downtime_min").alias("total_downtime_min"))
+    return marts.batch_incident(t, ids=False).groupBy("shift").agg(F.sum("downtime_min").alias("total_downtime_min"))
 
 
 @query("daily_downtime", "D07", f"""
 SELECT prod_date, {BIG('SUM(downtime_min)')} AS total_downtime_min FROM bi GROUP BY prod_date""")
 def daily_downtime(t):
-    return marts.batch_incident(t).groupBy("prod_date").agg(F.sum("downtime_min").alias("total_downtime_min"))
+    return marts.batch_incident(t, ids=False).groupBy("prod_date").agg(F.sum("downtime_min").alias("total_downtime_min"))
 
 
 @query("error_category_share", "D08", f"""
@@ -94,7 +94,7 @@ SELECT CASE WHEN operator_error = 'Yes' THEN 'Operator' WHEN operator_error = 'N
        {PCT('SUM(downtime_min)', 'SUM(SUM(downtime_min)) OVER ()')} AS loss_percentage
 FROM idf GROUP BY operator_error""")
 def error_category_share(t):
-    s = share(marts.incident_factor(t), "operator_error", "downtime_min", "_m", "loss_percentage")
+    s = share(marts.incident_factor(t, ids=False), "operator_error", "downtime_min", "_m", "loss_percentage")
     cat = (F.when(F.col("operator_error") == "Yes", "Operator").when(F.col("operator_error") == "No", "Non Operator")
            .otherwise("Other"))
     return s.select(cat.alias("error_category"), "loss_percentage")
@@ -105,7 +105,7 @@ SELECT description, {BIG('SUM(downtime_min)')} AS total_downtime_min,
        {PCT('SUM(downtime_min)', 'SUM(SUM(downtime_min)) OVER ()')} AS downtime_percentage
 FROM idf GROUP BY description""")
 def factor_downtime_share(t):
-    return share(marts.incident_factor(t), "description", "downtime_min", "total_downtime_min", "downtime_percentage")
+    return share(marts.incident_factor(t, ids=False), "description", "downtime_min", "total_downtime_min", "downtime_percentage")
 
 
 @query("operator_downtime_share", "D11", f"""
@@ -113,7 +113,7 @@ SELECT operator_name, {BIG('SUM(downtime_min)')} AS total_downtime_min,
        {PCT('SUM(downtime_min)', 'SUM(SUM(downtime_min)) OVER ()')} AS downtime_pct
 FROM bi GROUP BY operator_name""")
 def operator_downtime_share(t):
-    return share(marts.batch_incident(t), "operator_name", "downtime_min", "total_downtime_min", "downtime_pct")
+    return share(marts.batch_incident(t, ids=False), "operator_name", "downtime_min", "total_downtime_min", "downtime_pct")
 
 
 @query("product_failure_impact", "D12", f"""
@@ -122,18 +122,18 @@ SELECT product_id, description AS failure_type, COUNT(downtime_id) AS occurrence
 FROM bif WHERE description IN ('Batch change', 'Label switch', 'Labeling error')
 GROUP BY product_id, description""")
 def product_failure_impact(t, causes=("Batch change", "Label switch", "Labeling error")):
-    d = marts.batch_incident_factor(t).filter(F.col("description").isin(*causes))
+    d = marts.batch_incident_factor(t, ids=False).filter(F.col("description").isin(*causes))
     return d.groupBy("product_id", F.col("description").alias("failure_type")).agg(
-        F.count("downtime_id").alias("occurrence_count"), F.sum("downtime_min").alias("total_lost_time"))
+        F.count("incident").alias("occurrence_count"), F.sum("downtime_min").alias("total_lost_time"))
 
 
 @query("operator_repeated_errors", "D13", """
 SELECT operator_name, description AS failure_reason, COUNT(downtime_id) AS frequency
 FROM bif WHERE operator_error = 'Yes' GROUP BY operator_name, description HAVING COUNT(downtime_id) > 1""")
 def operator_repeated_errors(t, min_count: int = 1):
-    d = marts.batch_incident_factor(t).filter(_he())
+    d = marts.batch_incident_factor(t, ids=False).filter(_he())
     return (d.groupBy("operator_name", F.col("description").alias("failure_reason"))
-             .agg(F.count("downtime_id").alias("frequency")).filter(F.col("frequency") > min_count))
+             .agg(F.count("incident").alias("frequency")).filter(F.col("frequency") > min_count))
 
 
 @query("failure_timing_morning_night", "D14", f"""
@@ -141,10 +141,10 @@ SELECT shift, AVG(downtime_min) AS avg_downtime_duration, {BIG('SUM(downtime_min
        COUNT(downtime_id) AS number_of_incidents
 FROM bi WHERE shift IN ('Morning', 'Night') GROUP BY shift""")
 def failure_timing_morning_night(t, shifts=("Morning", "Night")):
-    d = marts.batch_incident(t).filter(F.col("shift").isin(*shifts))
+    d = marts.batch_incident(t, ids=False).filter(F.col("shift").isin(*shifts))
     return d.groupBy("shift").agg(F.avg("downtime_min").alias("avg_downtime_duration"),
                                   F.sum("downtime_min").alias("total_downtime_min"),
-                                  F.count("downtime_id").alias("number_of_incidents"))
+                                  F.count("incident").alias("number_of_incidents"))
 
 
 @query("changeover_setup_by_shift", "D15", f"""
@@ -152,8 +152,8 @@ SELECT shift, COUNT(downtime_id) AS number_of_setups, {BIG('SUM(downtime_min)')}
        AVG(downtime_min) AS avg_setup_time_per_batch
 FROM bif WHERE description = 'Batch change' GROUP BY shift""")
 def changeover_setup_by_shift(t):
-    d = marts.batch_incident_factor(t).filter(F.col("description") == "Batch change")
-    return d.groupBy("shift").agg(F.count("downtime_id").alias("number_of_setups"),
+    d = marts.batch_incident_factor(t, ids=False).filter(F.col("description") == "Batch change")
+    return d.groupBy("shift").agg(F.count("incident").alias("number_of_setups"),
                                   F.sum("downtime_min").alias("total_setup_minutes"),
                                   F.avg("downtime_min").alias("avg_setup_time_per_batch"))
 
@@ -163,7 +163,7 @@ SELECT description AS downtime_factor, COUNT(CASE WHEN status = 'DELAY' THEN 1 E
        {BIG('SUM(downtime_min)')} AS total_downtime_min
 FROM bif GROUP BY description""")
 def factor_vs_delay(t):
-    return marts.batch_incident_factor(t).groupBy(F.col("description").alias("downtime_factor")).agg(
+    return marts.batch_incident_factor(t, ids=False).groupBy(F.col("description").alias("downtime_factor")).agg(
         _count_if(F.col("status") == "DELAY").alias("delay_occurrences"),
         F.sum("downtime_min").alias("total_downtime_min"))
 
@@ -173,9 +173,9 @@ SELECT product_id, description AS failure_type, COUNT(downtime_id) AS frequency
 FROM bif WHERE description IN ('Labeling error', 'Calibration error', 'Label switch')
 GROUP BY product_id, description""")
 def product_labeling_calibration(t, causes=("Labeling error", "Calibration error", "Label switch")):
-    d = marts.batch_incident_factor(t).filter(F.col("description").isin(*causes))
+    d = marts.batch_incident_factor(t, ids=False).filter(F.col("description").isin(*causes))
     return d.groupBy("product_id", F.col("description").alias("failure_type")).agg(
-        F.count("downtime_id").alias("frequency"))
+        F.count("incident").alias("frequency"))
 
 
 @query("machine_failure_by_shift", "D18", f"""
@@ -183,9 +183,9 @@ SELECT shift, description AS failure_type, COUNT(downtime_id) AS incident_count,
        {BIG('SUM(downtime_min)')} AS total_minutes_lost
 FROM bif WHERE description = 'Machine failure' GROUP BY shift, description""")
 def machine_failure_by_shift(t, cause: str = "Machine failure"):
-    d = marts.batch_incident_factor(t).filter(F.col("description") == cause)
+    d = marts.batch_incident_factor(t, ids=False).filter(F.col("description") == cause)
     return d.groupBy("shift", F.col("description").alias("failure_type")).agg(
-        F.count("downtime_id").alias("incident_count"), F.sum("downtime_min").alias("total_minutes_lost"))
+        F.count("incident").alias("incident_count"), F.sum("downtime_min").alias("total_minutes_lost"))
 
 
 @query("downtime_ratio_components", "D19", f"""
@@ -206,7 +206,7 @@ SELECT 100.0E0 - {PCT('SUM(downtime_min)', 'SUM(((end_min - start_min) % 1440 +
        AS availability_score_pct
 FROM bi""")
 def availability_inner_incident_weighted(t):
-    j = marts.batch_incident(t)
+    j = marts.batch_incident(t, ids=False)
     return j.agg((F.lit(100.0) - pct(F.sum("downtime_min"), F.sum(wrap_minutes("start_min", "end_min"))))
                  .alias("availability_score_pct"))
 
@@ -216,7 +216,7 @@ SELECT b.product_id, {BIG('SUM(b.downtime_min)')} AS total_downtime_min, p.min_b
        {DIV('SUM(b.downtime_min)', 'p.min_batch_time', 1)} AS estimated_lost_batches
 FROM bi b JOIN products p ON b.product_id = p.product_id GROUP BY b.product_id, p.min_batch_time""")
 def lost_batches_by_product(t):
-    j = marts.batch_product_incident(t)
+    j = marts.batch_product_incident(t, ids=False)
     g = j.groupBy("product_id", "min_batch_time").agg(F.sum("downtime_min").alias("total_downtime_min"))
     return g.withColumn("estimated_lost_batches", ratio("total_downtime_min", "min_batch_time", 1))
 
@@ -226,9 +226,9 @@ SELECT CAST(FLOOR(CAST(SUM(((b.end_min - b.start_min) % 1440 + 1440) % 1440) AS
                   / NULLIF(COUNT(i.downtime_id), 0)) AS BIGINT) AS mtbf_minutes
 FROM batches b LEFT JOIN incidents i ON b.batch_id = i.batch_id""")
 def mtbf_incident_weighted(t):
-    j = marts.batch_incident(t, "left")
+    j = marts.batch_incident(t, "left", ids=False)
     run = F.sum(wrap_minutes("start_min", "end_min")).cast("double")
-    return j.agg(F.floor(run / F.nullif(F.count("downtime_id"), F.lit(0))).cast("long").alias("mtbf_minutes"))
+    return j.agg(F.floor(run / F.nullif(F.count("incident"), F.lit(0))).cast("long").alias("mtbf_minutes"))
 
 
 @query("human_error_rate", "D23", f"""
@@ -241,18 +241,18 @@ SELECT COUNT(downtime_id) AS total_incidents,
        AS human_error_freq_rate_pct
 FROM idf""")
 def human_error_rate(t):
-    return human_error_summary(marts.incident_factor(t), [])
+    return human_error_summary(marts.incident_factor(t, ids=False), [])
 
 
 def human_error_summary(d, by):
     he_n = F.sum(F.when(_he(), F.lit(1)).otherwise(F.lit(0)))
     he_m = _sum_if(_he(), "downtime_min")
     return d.groupBy(*by).agg(
-        F.count("downtime_id").alias("total_incidents"),
+        F.count("incident").alias("total_incidents"),
         he_n.alias("human_error_count"),
         he_m.alias("human_error_total_min"),
         pct(he_m, F.sum("downtime_min")).alias("human_error_time_rate_pct"),
-        pct(he_n, F.count("downtime_id")).alias("human_error_freq_rate_pct"))
+        pct(he_n, F.count("incident")).alias("human_error_freq_rate_pct"))
 
 
 @query("unexplained_delays", "D24", """
@@ -272,8 +272,8 @@ SELECT description, COUNT(downtime_id) AS frequency, {BIG('SUM(downtime_min)')}
             ELSE 'Normal' END AS failure_category
 FROM idf GROUP BY description""")
 def failure_classification(t, minor_n=5, minor_avg=20, major_avg=45, chronic_n=8, chronic_sum=200):
-    g = marts.incident_factor(t).groupBy("description").agg(
-        F.count("downtime_id").alias("frequency"), F.sum("downtime_min").alias("total_duration"),
+    g = marts.incident_factor(t, ids=False).groupBy("description").agg(
+        F.count("incident").alias("frequency"), F.sum("downtime_min").alias("total_duration"),
         F.avg("downtime_min").alias("_avg"))
     cat = (F.when((F.col("frequency") > minor_n) & (F.col("_avg") < minor_avg), "Frequent Minor Failure")
            .when(F.col("_avg") > major_avg, "Major Failure (Long Repair)")

@@ -29,7 +29,7 @@ def _label(df: DataFrame) -> DataFrame:
 
 def cp(t) -> DataFrame:
     """Complete table with the notebook label and the time deviation."""
-    return _label(marts.complete_table(t)).withColumn("time_deviation", F.col("duration_min") - F.col("min_batch_time"))
+    return _label(marts.complete_table(t, ids=False)).withColumn("time_deviation", F.col("duration_min") - F.col("min_batch_time"))
 
 
 def j01(t) -> DataFrame:

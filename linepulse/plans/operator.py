@@ -85,9 +85,9 @@ WITH s AS (SELECT operator_name, description AS error_type, COUNT(downtime_id) A
            FROM bif WHERE operator_error = 'Yes' GROUP BY operator_name, description)
 SELECT operator_name, error_type, frequency FROM s WHERE rk = 1""")
 def operator_top_error(t):
-    g = (marts.batch_incident_factor(t).filter(is_human())
+    g = (marts.batch_incident_factor(t, ids=False).filter(is_human())
          .groupBy("operator_name", F.col("description").alias("error_type"))
-         .agg(F.count("downtime_id").alias("frequency")))
+         .agg(F.count("incident").alias("frequency")))
     return top_per_group(g, "operator_name", [F.col("frequency").desc()], 1, ties=True)
 
 
@@ -96,8 +96,8 @@ SELECT b.operator_name, COUNT(i.downtime_id) AS total_incidents, {BIG('SUM(i.dow
        AVG(i.downtime_min) AS avg_downtime_per_incident
 FROM batches b LEFT JOIN incidents i ON b.batch_id = i.batch_id GROUP BY b.operator_name""")
 def operator_lost_time(t):
-    return marts.batch_incident(t, "left").groupBy("operator_name").agg(
-        F.count("downtime_id").alias("total_incidents"), F.sum("downtime_min").alias("total_lost_minutes"),
+    return marts.batch_incident(t, "left", ids=False).groupBy("operator_name").agg(
+        F.count("incident").alias("total_incidents"), F.sum("downtime_min").alias("total_lost_minutes"),
         F.avg("downtime_min").alias("avg_downtime_per_incident"))
 
 
@@ -106,8 +106,8 @@ SELECT operator_name, COUNT(downtime_id) AS total_failures, {BIG('SUM(downtime_m
        {R('AVG(downtime_min)')} AS mttr_min
 FROM bi GROUP BY operator_name""")
 def operator_mttr(t):
-    return marts.batch_incident(t).groupBy("operator_name").agg(
-        F.count("downtime_id").alias("total_failures"), F.sum("downtime_min").alias("total_downtime_min"),
+    return marts.batch_incident(t, ids=False).groupBy("operator_name").agg(
+        F.count("incident").alias("total_failures"), F.sum("downtime_min").alias("total_downtime_min"),
         r(F.avg("downtime_min")).alias("mttr_min"))
 
 
@@ -158,7 +158,7 @@ FROM w JOIN run ON w.operator_name = run.operator_name""")
 def operator_waste(t):
     run = t.b.groupBy("operator_name").agg(F.sum("duration_min").alias("total_production_duration"))
     he_min = sum_if(is_human(), "downtime_min")
-    w = marts.batch_incident_factor(t, "left").groupBy("operator_name").agg(
+    w = marts.batch_incident_factor(t, "left", ids=False).groupBy("operator_name").agg(
         F.sum("downtime_min").alias("total_downtime_minutes"), he_min.alias("operator_mistake_minutes"),
         pct(he_min, F.sum("downtime_min")).alias("operator_responsibility_pct"))
     return w.join(run, "operator_name")

@@ -16,11 +16,11 @@ STANDARD_TIME = {0.6: 60, 2.0: 98}
 
 def _bpi(t, how="inner"):
     """batch x product x incident rows (incident-weighted)."""
-    return marts.batch_product_incident(t, how)
+    return marts.batch_product_incident(t, how, ids=False)
 
 
 def _bpif(t):
-    return marts.batch_product_incident_factor(t)
+    return marts.batch_product_incident_factor(t, ids=False)
 
 
 @query("size_complexity", "R01", f"""
@@ -35,7 +35,7 @@ def size_complexity(t):
     run = marts.batch_product(t).groupBy("size").agg(F.sum("duration_min").alias("total_production_min"))
     # incident-weighted sums per product first (a hot product is combined map-side), then the
     # products dimension (products without batches still give their size a row)
-    per = marts.batch_incident(t, "left").groupBy("product_id").agg(
+    per = marts.batch_incident(t, "left", ids=False).groupBy("product_id").agg(
         F.sum("downtime_min").alias("_m"), F.sum("duration_min").alias("_d"), F.count("duration_min").alias("_n"))
     fan = (t.p.select("product_id", "size").join(per, "product_id", "left").groupBy("size")
            .agg(F.sum("_m").alias("total_downtime"),
@@ -59,8 +59,8 @@ SELECT b.size, COUNT(i.downtime_id) AS changeover_count, {BIG('SUM(i.downtime_mi
        AVG(i.downtime_min) AS avg_changeover_duration
 FROM bp b JOIN incidents i ON b.batch_id = i.batch_id WHERE i.factor_id = 2 GROUP BY b.size""")
 def changeover_by_size(t, factor_id: int = 2):
-    d = marts.batch_product_incident(t).filter(F.col("factor_id") == factor_id)
-    return d.groupBy("size").agg(F.count("downtime_id").alias("changeover_count"),
+    d = marts.batch_product_incident(t, ids=False).filter(F.col("factor_id") == factor_id)
+    return d.groupBy("size").agg(F.count("incident").alias("changeover_count"),
                                  F.sum("downtime_min").alias("total_changeover_minutes"),
                                  F.avg("downtime_min").alias("avg_changeover_duration"))
 
@@ -70,7 +70,7 @@ SELECT b.flavor, b.size, COUNT(i.downtime_id) AS labeling_failures, {BIG('SUM(i.
 FROM bp b JOIN idf i ON b.batch_id = i.batch_id WHERE i.description ILIKE '%Label%' GROUP BY b.flavor, b.size""")
 def labeling_issues(t, pattern: str = "%Label%"):
     d = _bpif(t).filter(F.col("description").ilike(pattern))
-    return d.groupBy("flavor", "size").agg(F.count("downtime_id").alias("labeling_failures"),
+    return d.groupBy("flavor", "size").agg(F.count("incident").alias("labeling_failures"),
                                            F.sum("downtime_min").alias("lost_minutes"))
 
 
@@ -96,7 +96,7 @@ def size_rate(t):
 
 def _flavor_cause(t, cond, n_name, m_name):
     d = _bpif(t).filter(cond)
-    return d.groupBy("flavor").agg(F.count("downtime_id").alias(n_name), F.sum("downtime_min").alias(m_name))
+    return d.groupBy("flavor").agg(F.count("incident").alias(n_name), F.sum("downtime_min").alias(m_name))
 
 
 @query("flavor_shortage", "R07", f"""
@@ -155,7 +155,7 @@ FROM products p LEFT JOIN batches b ON p.product_id = b.product_id
 LEFT JOIN incidents i ON b.batch_id = i.batch_id GROUP BY p.product_id""")
 def product_avg_downtime(t):
     # per product over the fanned rows first, then every product (one row each side)
-    per = marts.batch_incident(t, "left").groupBy("product_id").agg(
+    per = marts.batch_incident(t, "left", ids=False).groupBy("product_id").agg(
         F.count(F.lit(1)).alias("_rows"), F.sum(F.coalesce("downtime_min", F.lit(0))).alias("_s"),
         F.sum("downtime_min").alias("total_waste_minutes"))
     j = t.p.select("product_id").join(per, "product_id", "left")
@@ -204,8 +204,8 @@ SELECT shift, COUNT(downtime_id) AS number_of_stops, {BIG('SUM(downtime_min)')}
        AVG(downtime_min) AS avg_repair_time
 FROM bi GROUP BY shift""")
 def shift_time_of_day(t):
-    return marts.batch_incident(t).groupBy("shift").agg(
-        F.count("downtime_id").alias("number_of_stops"), F.sum("downtime_min").alias("total_downtime_minutes"),
+    return marts.batch_incident(t, ids=False).groupBy("shift").agg(
+        F.count("incident").alias("number_of_stops"), F.sum("downtime_min").alias("total_downtime_minutes"),
         F.avg("downtime_min").alias("avg_repair_time"))
 
 
@@ -214,8 +214,8 @@ SELECT description, COUNT(downtime_id) AS frequency, {BIG('SUM(downtime_min)')}
        AVG(downtime_min) AS avg_duration_per_stop
 FROM idf GROUP BY description""")
 def chronic_vs_acute(t):
-    return marts.incident_factor(t).groupBy("description").agg(
-        F.count("downtime_id").alias("frequency"), F.sum("downtime_min").alias("total_impact_minutes"),
+    return marts.incident_factor(t, ids=False).groupBy("description").agg(
+        F.count("incident").alias("frequency"), F.sum("downtime_min").alias("total_impact_minutes"),
         F.avg("downtime_min").alias("avg_duration_per_stop"))
 
 
@@ -223,7 +223,7 @@ def chronic_vs_acute(t):
 SELECT operator_name, COUNT(downtime_id) AS issues_handled, AVG(downtime_min) AS response_repair_speed
 FROM bif WHERE description ILIKE '%Machine%' GROUP BY operator_name""")
 def operator_machine_issues(t):
-    d = marts.batch_incident_factor(t).filter(F.col("description").ilike("%Machine%"))
-    return d.groupBy("operator_name").agg(F.count("downtime_id").alias("issues_handled"),
+    d = marts.batch_incident_factor(t, ids=False).filter(F.col("description").ilike("%Machine%"))
+    return d.groupBy("operator_name").agg(F.count("incident").alias("issues_handled"),
                                           F.avg("downtime_min").alias("response_repair_speed"))
 

@@ -106,7 +106,7 @@ def reasons_for(t, batches):
     Pre-aggregated to (batch, description, count) first: one entry per factor, whatever the number of
     incidents of a batch.
     """
-    per = (marts.incident_factor(t).join(batches.select("batch_id"), "batch_id", "left_semi")
+    per = (marts.incident_factor(t, ids=False).join(batches.select("batch_id"), "batch_id", "left_semi")
            .groupBy("batch_id", "description").agg(F.count(F.lit(1)).alias("n")))
     return per.groupBy("batch_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("description", "n"))),

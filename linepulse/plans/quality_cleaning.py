@@ -110,7 +110,7 @@ def downtime_statistics(t):
 
 def orphan_incidents(t):
     """Incidents whose batch does not exist, read off the stored incident detail (no second join)."""
-    d = marts.detail(t).filter(F.col("batch_id").isNotNull() & ~F.col("matched"))
+    d = marts.detail(t, ids=False).filter(F.col("batch_id").isNotNull() & ~F.col("matched"))
     return d.agg(F.count(F.lit(1)).alias("orphan_rows")).select(F.lit("incident->batch").alias("relation"),
                                                                  "orphan_rows")
 
@@ -135,7 +135,7 @@ SELECT description, COUNT(*) AS frequency, {BIG('SUM(downtime_min)')} AS total_m
        {R('AVG(downtime_min)')} AS avg_minutes
 FROM idf GROUP BY description""")
 def factor_statistics(t):
-    return marts.incident_factor(t).groupBy("description").agg(
+    return marts.incident_factor(t, ids=False).groupBy("description").agg(
         F.count(F.lit(1)).alias("frequency"), F.sum("downtime_min").alias("total_minutes"),
         F.round(F.avg("downtime_min"), 2).alias("avg_minutes"))
 

@@ -28,8 +28,8 @@ def shift_productivity(t):
 SELECT shift, description, {BIG('SUM(downtime_min)')} AS total_downtime_minutes, COUNT(downtime_id) AS failure_count
 FROM bif GROUP BY shift, description""")
 def shift_factor_downtime(t):
-    return marts.batch_incident_factor(t).groupBy("shift", "description").agg(
-        F.sum("downtime_min").alias("total_downtime_minutes"), F.count("downtime_id").alias("failure_count"))
+    return marts.batch_incident_factor(t, ids=False).groupBy("shift", "description").agg(
+        F.sum("downtime_min").alias("total_downtime_minutes"), F.count("incident").alias("failure_count"))
 
 
 @query("shift_otdr", "H03", f"""
@@ -57,13 +57,13 @@ def shift_handover(t):
 
 
 def _human_factor(t, which):
-    j = marts.batch_incident_factor(t, "left")
+    j = marts.batch_incident_factor(t, "left", ids=False)
     he_min = sum_if(is_human(), "downtime_min")
     he_cnt = sum_if(is_human(), F.lit(1))
     cols = {
         "grand_total_waste_minutes": F.sum("downtime_min"),
         "total_downtime_minutes": F.sum("downtime_min"),
-        "total_incidents_count": F.count("downtime_id"),
+        "total_incidents_count": F.count("incident"),
         "operator_waste_minutes": he_min,
         "operator_error_occurrence": he_cnt,
         "human_factor_pct": pct(he_min, F.sum("downtime_min")),
@@ -95,8 +95,8 @@ SELECT b.shift, {BIG('SUM(i.downtime_min)')} AS total_downtime_minutes, COUNT(i.
        {R('AVG(i.downtime_min)')} AS avg_downtime_per_incident
 FROM batches b LEFT JOIN incidents i ON b.batch_id = i.batch_id GROUP BY b.shift""")
 def shift_downtime_severity(t):
-    return marts.batch_incident(t, "left").groupBy("shift").agg(
-        F.sum("downtime_min").alias("total_downtime_minutes"), F.count("downtime_id").alias("number_of_incidents"),
+    return marts.batch_incident(t, "left", ids=False).groupBy("shift").agg(
+        F.sum("downtime_min").alias("total_downtime_minutes"), F.count("incident").alias("number_of_incidents"),
         r(F.avg("downtime_min")).alias("avg_downtime_per_incident"))
 
 
@@ -106,6 +106,6 @@ SELECT shift, COUNT(downtime_id) AS total_errors_count, {BIG(HE_CNT)} AS human_e
 FROM bif GROUP BY shift""")
 def shift_error_occurrence(t):
     he_cnt = sum_if(is_human(), F.lit(1))
-    return marts.batch_incident_factor(t).groupBy("shift").agg(
-        F.count("downtime_id").alias("total_errors_count"), he_cnt.alias("human_errors_only"),
-        pct(he_cnt, F.count("downtime_id")).alias("error_frequency_pct"))
+    return marts.batch_incident_factor(t, ids=False).groupBy("shift").agg(
+        F.count("incident").alias("total_errors_count"), he_cnt.alias("human_errors_only"),
+        pct(he_cnt, F.count("incident")).alias("error_frequency_pct"))

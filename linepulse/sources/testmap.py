@@ -53,6 +53,9 @@ OPERATOR_MODULUS = 8         # operator = op_<user_id % 8>
 LARGE_SIZE_FROM = 36         # p_size > 35 -> 2 L bottles
 INCIDENT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
                   "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+# Every column of an incident is made of these first ones: line items alike in them are the same incident, whatever their order, so
+# the columns behind them change nothing but which of two equal rows gets which id, and stay out of the sort.
+INCIDENT_KEY = INCIDENT_ORDER[:5]
 
 
 BATCH_COLS = ["batch_id", "prod_date", "product_id", "operator_name", "start_min", "end_min", "duration_min",
@@ -66,6 +69,7 @@ def line_of(b: DataFrame) -> list[str]:
 
 
 INCIDENT_COLS = ["downtime_id", "factor_id", "downtime_min"]
+ROW_COLS = ["incident", "factor_id", "downtime_min"]     # of an incident without its id: ``incident`` is true
 PRODUCT_ATTRS = ["flavor", "size", "size_l", "min_batch_time"]
 FACTOR_ATTRS = ["description", "operator_error"]
 
@@ -97,6 +101,11 @@ class Tables:
         """Incidents for counts and sums."""
         return self.i
 
+    @property
+    def dr(self) -> DataFrame | None:
+        """Incident detail for counts and sums."""
+        return None if self.d is None else self.d.withColumn("incident", F.when(F.col("downtime_id").isNotNull(), True)).drop("downtime_id")
+
 
 def factors_from_supplier(supplier: DataFrame) -> DataFrame:
     """The factors that the suppliers stand for, labelled by the line's list (an id beyond it is 'Factor <id>')."""
@@ -158,7 +167,7 @@ def _incident_columns() -> list:
 
 def incidents_tagged(lineitem: DataFrame) -> DataFrame:
     """Incident columns range-sorted in the line-item order and tagged for numbering (lazy)."""
-    tagged = range_tag(lineitem.select(*INCIDENT_ORDER), INCIDENT_ORDER)
+    tagged = range_tag(lineitem.select(*INCIDENT_KEY), INCIDENT_KEY)
     return tagged.select("_lp_pid", "_lp_pos", *_incident_columns())
 
 
@@ -190,7 +199,7 @@ def wide_batches(b: DataFrame, i: DataFrame, p: DataFrame, f: DataFrame) -> Data
     return with_totals(bp, i, f)
 
 
-def incident_detail(i: DataFrame, bp: DataFrame, f: DataFrame) -> DataFrame:
+def incident_detail(i: DataFrame, bp: DataFrame, f: DataFrame, cols: list[str] = INCIDENT_COLS) -> DataFrame:
     """Every incident with its batch's attributes, its product's and its factor's (NULL where unknown).
 
     The one fact-to-fact join of the model, run once when the tables are built.  Incidents are the
@@ -198,9 +207,9 @@ def incident_detail(i: DataFrame, bp: DataFrame, f: DataFrame) -> DataFrame:
     """
     attrs = bp.select(*BATCH_COLS, *PRODUCT_ATTRS, "has_product").withColumn("matched", F.lit(True))
     fac = f.select("factor_id", *FACTOR_ATTRS).withColumn("has_factor", F.lit(True))
-    return (i.select("batch_id", *INCIDENT_COLS).join(attrs, "batch_id", "left")
+    return (i.select("batch_id", *cols).join(attrs, "batch_id", "left")
              .join(fac, "factor_id", "left")
-             .select("batch_id", *INCIDENT_COLS, *[c for c in BATCH_COLS if c != "batch_id"], *PRODUCT_ATTRS,
+             .select("batch_id", *cols, *[c for c in BATCH_COLS if c != "batch_id"], *PRODUCT_ATTRS,
                      *FACTOR_ATTRS,
                      *[F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("matched", "has_product", "has_factor")]))
 
@@ -286,6 +295,12 @@ class StoredTables:
         return self._stored("incident_detail", ["events", "part", "lineitem", "supplier"],
                             lambda: incident_detail(self.i, self._bp, self.f))
 
+    @property
+    def dr(self) -> DataFrame:
+        """The incident detail without ids, for counts and sums: one join, and nothing is sorted for numbers that nobody reads."""
+        return self._stored("incident_rows", ["events", "part", "lineitem", "supplier"],
+                            lambda: incident_detail(self.ir.withColumn("incident", F.lit(True)), self._bp, self.f, ROW_COLS))
+
     def release(self) -> None:
         """Delete what was written for this data folder."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
