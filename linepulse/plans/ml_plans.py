@@ -158,7 +158,7 @@ def scale_features(t):
 
 def _ridge(t, alpha=1.0):
     def build():
-        s = _scaled(t).checkpoint(eager=True)
+        s = _scaled(t)      # a projection of the stored detail beside small tables: read again where it is used, not written a second time
         return s, ml.downtime_ridge(s, FEATURES, alpha)
     return _cached(t, ("ridge", alpha), build)
 
