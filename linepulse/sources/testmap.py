@@ -203,7 +203,8 @@ def incident_detail(i: DataFrame, bp: DataFrame, f: DataFrame, cols: list[str] =
     """Every incident with its batch's attributes, its product's and its factor's (NULL where unknown).
 
     The one fact-to-fact join of the model, run once when the tables are built.  Incidents are the
-    preserved (left) side, which AQE may split when one batch holds a large share of incidents.
+    preserved (left) side, which AQE may split when one batch holds a large share of incidents.  Factors
+    that are known to be few come with a broadcast hint: dealt by factor, whole rows would meet in a dozen tasks.
     """
     attrs = bp.select(*BATCH_COLS, *PRODUCT_ATTRS, "has_product").withColumn("matched", F.lit(True))
     fac = f.select("factor_id", *FACTOR_ATTRS).withColumn("has_factor", F.lit(True))
@@ -269,6 +270,11 @@ class StoredTables:
     def f(self) -> DataFrame:
         return self._stored("factors", ["supplier"], lambda: factors_from_supplier(self._read("supplier")).coalesce(1))
 
+    @property
+    def _few_factors(self) -> DataFrame:
+        """The factors for a join with incidents: ids are remainders by 12, so there are at most 24 rows, which go to all tasks."""
+        return F.broadcast(self.f)
+
     @property
     def _bp(self) -> DataFrame:
         return self._stored("batches", ["events", "part"], lambda: batches_with_product(self._read("events"), self.p))
@@ -280,7 +286,7 @@ class StoredTables:
     @property
     def bt(self) -> DataFrame:
         return self._stored("batches_wide", ["events", "part", "lineitem", "supplier"],
-                            lambda: with_totals(self._bp, self._read("lineitem").select(*_incident_columns()), self.f))
+                            lambda: with_totals(self._bp, self._read("lineitem").select(*_incident_columns()), self._few_factors))
 
     @property
     def i(self) -> DataFrame:
@@ -293,13 +299,13 @@ class StoredTables:
     @property
     def d(self) -> DataFrame:
         return self._stored("incident_detail", ["events", "part", "lineitem", "supplier"],
-                            lambda: incident_detail(self.i, self._bp, self.f))
+                            lambda: incident_detail(self.i, self._bp, self._few_factors))
 
     @property
     def dr(self) -> DataFrame:
         """The incident detail without ids, for counts and sums: one join, and nothing is sorted for numbers that nobody reads."""
         return self._stored("incident_rows", ["events", "part", "lineitem", "supplier"],
-                            lambda: incident_detail(self.ir.withColumn("incident", F.lit(True)), self._bp, self.f, ROW_COLS))
+                            lambda: incident_detail(self.ir, self._bp, self._few_factors, ROW_COLS[1:]).withColumn(ROW_COLS[0], F.lit(True)))
 
     def release(self) -> None:
         """Delete what was written for this data folder."""
