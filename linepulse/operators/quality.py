@@ -58,9 +58,12 @@ def without_full_duplicates(df: DataFrame) -> DataFrame:
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str, relation: str) -> DataFrame:
-    """Rows of ``child`` whose non-null ``key`` has no parent row (anti join), counted."""
-    o = child.filter(F.col(key).isNotNull()).join(parent.select(key), key, "left_anti")
-    return o.agg(F.count(F.lit(1)).alias("orphan_rows")).select(F.lit(relation).alias("relation"), "orphan_rows")
+    """Rows of ``child`` whose non-null ``key`` has no parent row (anti join), counted.
+
+    Rows are counted by key first, where they are: however many share a key, one row of it meets the parents."""
+    per = child.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    o = per.join(parent.select(key), key, "left_anti")
+    return o.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("orphan_rows")).select(F.lit(relation).alias("relation"), "orphan_rows")
 
 
 # Spark type names -> SQL type names used in reports.
