@@ -42,11 +42,24 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+DONE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    path = run_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write ``df`` to the shared folder and read it back.
+
+    The step's shuffle files go with its end: nothing reads them again, and the driver may not collect its garbage for long."""
+    spark = df.sparkSession
+    path, before = run_path(spark, name), spark.conf.get(DONE_SHUFFLES, None)
+    spark.conf.set(DONE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DONE_SHUFFLES)
+        else:
+            spark.conf.set(DONE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def tokenizer_file(name: str) -> str:

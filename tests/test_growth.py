@@ -1,6 +1,7 @@
 """Work that has to hold on larger tables: exports cut into parts, incidents without ids, the forest's arithmetic, the wide sheet."""
 
 import datetime
+import time
 
 import numpy as np
 import pytest
@@ -167,3 +168,23 @@ def test_orphans_are_counted_by_key_before_they_meet_parents(spark):
     assert [tuple(r) for r in quality.orphans(child.limit(0), parent, "factor_id", "x").collect()] == [("x", 0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [factor_id" in plan.split("LeftAnti")[1]
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark):
+    """Pipeline's disk: shuffle files go with the step that made them, not when the driver happens to collect its garbage."""
+    from linepulse.llm.common import DONE_SHUFFLES, written
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in files.split("\n") if "shuffle_" in x}
+
+    before, setting = shuffles(), spark.conf.get(DONE_SHUFFLES, None)
+    many = spark.range(2000).selectExpr("id % 97 AS k", "id")
+    step = many.join(many.groupBy("k").count().hint("shuffle_hash"), "k")
+    got = written(step, "growth-step")
+    deadline = time.time() + 20
+    while shuffles() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(DONE_SHUFFLES, None) == setting
+    assert sorted(map(tuple, got.collect())) == sorted((k % 97, k, len(range(k % 97, 2000, 97))) for k in range(2000))
+    assert step.count() == 2000      # the frame itself can still be used
