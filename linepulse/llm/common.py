@@ -59,7 +59,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(DONE_SHUFFLES)
         else:
             spark.conf.set(DONE_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def dropped(*steps: DataFrame) -> None:
+    """Remove the folders of ``written`` steps that nothing reads any more, neither these frames nor any made from them."""
+    for df in steps:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+FEW = 2_000_000   # rows of two numbers that are sent to all tasks, counted first
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df`` for a join: sent to all tasks where it was counted to be small."""
+    return F.broadcast(df) if n <= FEW else df
 
 
 def tokenizer_file(name: str) -> str:

@@ -10,8 +10,8 @@ without relatives makes none.
 1. Documents with equal sets (by 128 bits) become one class with a number of its own; copies are never paired.
 2. Classes are dealt by table key.  In each bucket every class meets one hub (there are ``HUBS`` orders in which hubs are chosen, by the
    table's number), never all others; the meeting pairs are verified, and their components are formed.
-3. In buckets that still hold several components one hub of each meets one of the largest, another one each round, while this merges anything (at most
-   1 + ``ROUNDS`` rounds).
+3. In buckets that still hold several components one hub of each meets one of the largest, another one each round, while this merges anything and brings a
+   tenth of the buckets into one component (at most 1 + ``ROUNDS`` rounds); this only saves work of step 4.
 4. What a bucket still holds apart meets pairwise: classes of different components that have not met, each pair in the first
    table that both share.  A bucket in one component, such as a large group of near copies, has no such pair.  No bucket is capped.
    Groups of texts that are alike but not enough are told apart by a sketch inside the join: ``SKETCH`` further minhashes of
@@ -20,7 +20,7 @@ without relatives makes none.
 5. Every pair is verified on the full sets, after an exact test of their sizes: SHARE * |union| <= 100 * |both|.
 
 Texts are read whole by numpy inside tasks; all joining, grouping and verifying is done by Spark, and the steps are written
-to the shared folder, so a lost executor repeats one step's tasks.
+to the shared folder, so a lost executor repeats one step's tasks; a step's folder is removed once no later step reads it.
 
 Rows: null and empty texts, and texts without words, have no shingles and are linked with nothing; repeated rows share their result, rows of one
 doc_id with different texts each have their own; a null doc_id is linked with nothing and kept; an empty table gives no rows; further columns are not read.
@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linepulse.llm.common import in_pandas, whole_text, written
+from linepulse.llm.common import dropped, few, in_pandas, whole_text, written
 from linepulse.llm.components import components
 
 WORDS = 5
@@ -48,7 +48,6 @@ SKETCH = 512      # minhashes of a sketch, 16 in a number
 SIGMAS = 4.5      # standard deviations below the mean agreement of a pair that is just linked
 COLUMNS = 1 << 15   # shingles hashed at a time
 ROUNDS = 2        # further rounds in which components of mixed buckets meet through one hub each, at most
-FEW = 2_000_000   # rows of two numbers that are sent to all tasks, counted first
 SIGNATURES = "doc_id long, text_key long, n_shingles long, digest binary, first array<long>, second array<long>"
 SETS = "digest binary, shingles array<long>"
 
@@ -145,11 +144,6 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, words: int)
     return in_pandas(texts.select("text"), run, SETS).dropDuplicates(["digest"]).join(of.select("digest", "c"), "digest").select("c", "shingles")
 
 
-def few(df: DataFrame, n: int) -> DataFrame:
-    """``df`` for a join: sent to all tasks where it was counted to be small."""
-    return F.broadcast(df) if n <= FEW else df
-
-
 def sketched(sets: DataFrame, wanted: DataFrame, skip: int) -> DataFrame:
     """c, sketch of the wanted classes, from their full sets.  skip: hash functions used already."""
     def run(batches):
@@ -231,38 +225,52 @@ def linked_classes(classes: DataFrame, docs: DataFrame, words: int, share: int,
     links = written(verified(met, sets, share), "near-links")
 
     # buckets that still hold more than one component: their hubs meet, first in all buckets, then in those that are left
-    found = written(components(links), "near-components")
+    found = components(links)
     n_found = found.count()
     placed = renamed(members.select("key", "c", "n", "i", "j", "hub", F.col("c").alias("k")), found, n_found)
+    read = [members, found]      # what ``placed`` is made from
+    done = [met, sets, links]    # what is read until the end
+    before = None
     for at in range(1 + ROUNDS):
         hubs = written(meetings(placed, share, at), "near-hubs")
         pairs = written(hubs.where("may").select("u", "v").distinct().join(met, ["u", "v"], "left_anti"), "near-more-pairs")
         more = written(verified(pairs, sets, share), "near-more-links")
         met = met.unionByName(pairs)
-        joined = written(components(hubs.join(more, ["u", "v"]).select(F.col("k").alias("u"), F.col("fk").alias("v"))), "near-merged")
+        done += [pairs, more]
+        joined = components(hubs.join(more, ["u", "v"]).select(F.col("k").alias("u"), F.col("fk").alias("v")))
         n_joined = joined.count()
         links = links.unionByName(more)
         apart = renamed(renamed(hubs, joined, n_joined).withColumnsRenamed({"k": "_k", "fk": "k"}), joined, n_joined).where("_k <> k").select("key").distinct()
         apart = written(apart, "near-apart")
-        placed = written(renamed(placed.join(few(apart, apart.count()), "key", "left_semi"), joined, n_joined), "near-placed")
-        if not n_joined:
+        n_apart = apart.count()
+        placed = written(renamed(placed.join(few(apart, n_apart), "key", "left_semi"), joined, n_joined), "near-placed")
+        dropped(hubs, joined, apart, *read)
+        read = [placed]
+        if not n_joined or before is not None and 10 * n_apart > 9 * before:
             break
+        before = n_apart
 
     # what is still apart meets pairwise
     rest = placed.where("c <> hub").join(classes.select("c", "first", "second"), "c")
     sketches = written(sketched(sets, rest.select("c").distinct(), 2 * groups * hashes), "near-sketches")
-    rest = rest.join(sketches, "c")
-    a, b = (rest.select("key", *[F.col(x).alias(f"{x}{y}") for x in ("c", "n", "k", "i", "j", "first", "second", "sketch")]) for y in ("1", "2"))
+    rest = rest.join(sketches, "c").select("key", "i", "j", "c", "n", "k", "first", "second", "sketch")
+    a, b = rest.alias("a"), rest.alias("b")      # the same columns on both sides: these wide rows are dealt once
 
     def earlier(x: str, at: str):      # do both have a signature in common before this one?
-        same = F.zip_with(F.slice(f"{x}1", F.lit(1), F.col(at)), F.slice(f"{x}2", F.lit(1), F.col(at)), lambda p, q: p == q)
+        same = F.zip_with(F.slice(f"a.{x}", F.lit(1), F.col(at)), F.slice(f"b.{x}", F.lit(1), F.col(at)), lambda p, q: p == q)
         return F.exists(same, lambda z: z)
 
-    more = a.join(b, (a["key"] == b["key"]) & (F.col("c1") < F.col("c2")) & (F.col("k1") != F.col("k2")) & sizes_agree("n1", "n2")
-                  & (agreement("sketch1", "sketch2") >= least_agreement(share)) & ~earlier("first", "i1") & ~earlier("second", "j1")).select(
-        F.col("c1").alias("u"), F.col("c2").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
+    same_table = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("key", "i", "j")]
+    more = a.join(b, same_table + [F.col("a.c") < F.col("b.c"), F.col("a.k") != F.col("b.k"), sizes_agree("a.n", "b.n"),
+                                   agreement("a.sketch", "b.sketch") >= least_agreement(share), ~earlier("first", "a.i"), ~earlier("second", "a.j")]).select(
+        F.col("a.c").alias("u"), F.col("b.c").alias("v")).distinct().join(met, ["u", "v"], "left_anti")
     more = written(more, "near-more")
-    return components(written(links.unionByName(verified(more, sets, share)), "near-all-links"))
+    dropped(placed, sketches)
+    links = written(links.unionByName(verified(more, sets, share)), "near-all-links")
+    dropped(more, *done)
+    found = components(links)
+    dropped(links)
+    return found
 
 
 def grouped(docs: DataFrame, words: int, share: int, groups: int, hashes: int) -> DataFrame:
